@@ -3,7 +3,7 @@
 Every shingle is a 63-bit token that sorts rare-first: above the hash stands the size class of its bucket in a table of
 document counts (a fixed number of buckets over all documents, so of bounded size at any scale; any order that all
 documents share keeps the join exact, the counts only make it cheap). A set of n tokens posts its first
-n - ceil(share * n) + 1 tokens, and two sets that reach the share meet on one of them. Equal sets are one class before
+n - ceil(share * n) + n / 16 tokens, and two sets that reach the share meet on a sixteenth of their tokens among these. Equal sets are one class before
 anything is posted.
 
 Sets that meet are handled by blocks, never as listed pairs: each takes the smallest set of the token that it shares most as
@@ -33,6 +33,8 @@ SHARE = 75
 BITS, SLICES = 20, 64
 #: Sets in a block on average.
 BLOCK = 256
+#: One of so many tokens of a set has to be met by a partner among those that both post.
+MEET = 16
 #: Blocks of so many pairs and more are compared as matrices.
 DENSE = 1024
 #: Bits of the filter of the sets that take part, which spares a shuffle of all texts.
@@ -80,8 +82,14 @@ def _tokens(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return t
 
 
+def least_met(n: int) -> int:
+    """The posted tokens of a set of n that a partner must post as well; more than one, so that a shared passage in long texts is not enough."""
+    return max(1, n // MEET)
+
+
 def prefix_length(n: int, share: int = SHARE) -> int:
-    return n + (-share * n) // 100 + 1 if n else 0
+    """Sets of n tokens that reach the share with another post so many, of which the two have least_met of the smaller in common."""
+    return min(n, n + (-share * n) // 100 + least_met(n))
 
 
 def _digest(h: np.ndarray) -> tuple[int, int]:
@@ -271,11 +279,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     members = saved(some.join(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), ["n", "d1", "d2"]).select("doc_id", "n", "rep"))
     firsts = some.join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
 
-    # tokens that several sets post; each set's lead
-    by = Window.partitionBy("token")
-    posts = firsts.select(F.col("doc_id").alias("rep"), F.explode("posts").alias("token"))
-    posts = saved(posts.select("rep", "token", F.min("rep").over(by).alias("low"), F.max("rep").over(by).alias("high")).filter("low < high").drop("high"))
-    lead = posts.groupBy("rep", "low").count().groupBy("rep").agg(F.max_by("low", F.struct("count", -F.col("low"))).alias("lead"))
+    # tokens that several sets post, of sets that meet enough of them; each set's lead
+    need = F.greatest(F.lit(1), F.floor(share * F.col("n") / (100 * MEET)))  # least_met of the smallest partner
+    posts = firsts.select(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), F.explode("posts").alias("token"))
+    for _ in range(2):
+        by = Window.partitionBy("token")
+        posts = saved(posts.select("rep", "n", "token", F.min("rep").over(by).alias("low"), F.max("rep").over(by).alias("high")).filter("low < high").drop("high"))
+        enough = posts.groupBy("rep", "n").count().filter(F.col("count") >= need).select("rep")
+        posts = posts.join(enough, "rep", "left_semi")
+    posts = saved(posts)
+    lead = posts.groupBy("rep", "n", "low").count().groupBy("rep", "n").agg(F.max_by("low", F.struct("count", -F.col("low"))).alias("lead"))
     size = lead.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     lead = saved(lead.join(size, "lead").withColumn("part", F.pmod(F.xxhash64("rep"), "parts")))
 
@@ -302,23 +315,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     star = sets.filter("rep <> lead").join(leads, ["lead", "part"]).filter(100 * both >= share * (F.size("tokens") + F.size("theirs") - both)).select("rep", "lead").distinct()
     star = saved(star)
 
-    # blocks of sets with one lead, linked with it or not, and the pairs of them that a token holds together
-    near = star.select("rep", F.lit(True).alias("near"))
-    blocks = lead.join(near, "rep", "left").select("rep", "lead", F.coalesce("near", F.expr("rep = lead")).alias("near"), F.xxhash64("lead", F.coalesce("near", F.expr("rep = lead")), "part").alias("block"))
+    # blocks of sets with one lead, linked with it or not; the sets that meet enough tokens of another block, or of others in their own
+    near = F.coalesce("near", F.expr("rep = lead"))
+    blocks = lead.join(star.select("rep", F.lit(True).alias("near")), "rep", "left").select("rep", "lead", near.alias("near"), F.xxhash64("lead", near, "part").alias("block"))
     blocks = saved(blocks)
-    many = blocks.groupBy("block").agg(F.count("*").alias("sets"))
-    held = posts.select("rep", "token").join(blocks, "rep").select("token", "block", "lead", "near").distinct()
-    other = held.select("token", F.col("block").alias("two"), F.col("lead").alias("lead2"), F.col("near").alias("near2"))
-    # a token whose blocks all stand for one lead has nothing left to compare
-    open_ = held.groupBy("token").agg(F.count("*").alias("k"), F.min("near").alias("all"), F.min("lead").alias("l"), F.max("lead").alias("h")).filter("l < h or not all").select("token")
-    held, other = (x.join(open_, "token", "left_semi") for x in (held, other))
-    pairs = held.join(other, "token").filter("block <= two and not (near and near2 and lead = lead2)").select(F.col("block").alias("one"), "two").distinct()
-    pairs = pairs.join(many.select(F.col("block").alias("one"), "sets"), "one").filter("one <> two or sets > 1").drop("sets")
-    pairs = saved(pairs)
-
-    full = sets.select("rep", "tokens").join(blocks.select("rep", "block"), "rep")
-    sides = pairs.join(full.withColumnRenamed("block", "one"), "one").select("one", "two", F.lit(0).alias("side"), "rep", "tokens")
-    sides = sides.union(pairs.filter("one <> two").join(full.withColumnRenamed("block", "two"), "two").select("one", "two", F.lit(1).alias("side"), "rep", "tokens"))
+    own = posts.select("rep", "n", "token").join(blocks, "rep")
+    held = own.groupBy("token", "block", "lead", "near").agg(F.count("*").alias("sets"))
+    held = held.select("token", F.col("block").alias("other"), F.col("lead").alias("lead2"), F.col("near").alias("near2"), "sets")
+    met = own.join(held, "token").filter("not (near and near2 and lead = lead2) and (block <> other or sets > 1)")
+    met = met.groupBy("rep", "n", "block", "other").count().filter(F.col("count") >= need)
+    met = saved(met.select("rep", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side")))
+    both = met.groupBy("one", "two").agg(F.min("side").alias("l"), F.max("side").alias("h")).filter("one = two or l < h").select("one", "two")
+
+    sides = met.join(both, ["one", "two"], "left_semi").join(sets.select("rep", "tokens"), "rep").select("one", "two", "side", "rep", "tokens")
     found = sides.repartition("one", "two").sortWithinPartitions("one", "two").mapInArrow(lambda batches: _compare(batches, share), "a long, b long")
 
     links = star.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).union(found)
