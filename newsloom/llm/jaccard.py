@@ -37,6 +37,8 @@ BLOCK = 256
 MEET = 16
 #: Blocks of so many pairs and more are compared as matrices.
 DENSE = 1024
+#: A class of copies is common if it has more than one of so many documents.
+COMMON = 1 << 16
 #: Bits of the filter of the sets that take part, which spares a shuffle of all texts.
 FILTER_BITS = 1 << 23
 _STEP = np.uint64(0xA0761D6478BD642F)
@@ -264,33 +266,48 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, class_id (the smallest doc_id with the same set) and component_id (the smallest that links reach) of every row."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = spark.sparkContext.broadcast(size_classes(docs, words))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             sets = shingle_sets(*text_bytes(batch.column("text")), words)
             digests = np.array([_digest(h) for h in sets], np.int64).reshape(-1, 2)
-            posts = [_tokens(h, classes.value)[: prefix_length(len(h), share)] for h in sets]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), _list(posts)], names=["doc_id", "n", "d1", "d2", "posts"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=["doc_id", "n", "d1", "d2"])
 
-    signed = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, d1 long, d2 long, posts array<long>"))
+    # classes of equal sets; copies within the common ones post nothing
+    signed = saved(docs.mapInArrow(sign, "doc_id long, n long, d1 long, d2 long"))
     some = signed.filter("n > 0 and doc_id is not null")
-    members = saved(some.join(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), ["n", "d1", "d2"]).select("doc_id", "n", "rep"))
-    firsts = some.join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
+    same = saved(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    members = saved(some.join(same, ["n", "d1", "d2"]).select("doc_id", "n", "rep"))
+    common = same.filter(F.col("copies") > max(1, signed.count() // COMMON)).select("d1", "d2", "rep").collect()  # COMMON rows at most
+    common = spark.sparkContext.broadcast({(r.d1, r.d2): r.rep for r in common})
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            keep, sizes, lists = [], [], []
+            for d, h in zip(batch.column("doc_id").to_pylist(), shingle_sets(*text_bytes(batch.column("text")), words), strict=True):
+                if len(h) and d is not None and common.value.get(_digest(h), d) == d:
+                    keep.append(d)
+                    sizes.append(len(h))
+                    lists.append(_tokens(h, classes.value)[: prefix_length(len(h), share)])
+            yield pa.record_batch([pa.array(keep, pa.int64()), pa.array(sizes, pa.int32()), _list(lists)], names=["rep", "n", "tokens"])
 
     # tokens that several sets post, of sets that meet enough of them; each set's lead
     need = F.greatest(F.lit(1), F.floor(share * F.col("n") / (100 * MEET)))  # least_met of the smallest partner
-    posts = firsts.select(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), F.explode("posts").alias("token"))
-    for _ in range(2):
-        by = Window.partitionBy("token")
+    posts = docs.mapInArrow(post, "rep long, n int, tokens array<long>").select("rep", "n", F.explode("tokens").alias("token"))
+    by = Window.partitionBy("token")
+    for step in range(2):
         posts = saved(posts.select("rep", "n", "token", F.min("rep").over(by).alias("low"), F.max("rep").over(by).alias("high")).filter("low < high").drop("high"))
+        if not step:  # copies within the other classes
+            posts = posts.join(members.filter("doc_id <> rep").select(F.col("doc_id").alias("rep")).distinct(), "rep", "left_anti")
         enough = posts.groupBy("rep", "n").count().filter(F.col("count") >= need).select("rep")
         posts = posts.join(enough, "rep", "left_semi")
     posts = saved(posts)
     lead = posts.groupBy("rep", "n", "low").count().groupBy("rep", "n").agg(F.max_by("low", F.struct("count", -F.col("low"))).alias("lead"))
     size = lead.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    lead = saved(lead.join(size, "lead").withColumn("part", F.pmod(F.xxhash64("rep"), "parts")))
+    lead = lead.join(size, "lead").withColumn("part", F.pmod(F.xxhash64("rep"), "parts")).drop("parts")
+    lead = saved(lead.join(size.select(F.col("lead").alias("rep"), "parts"), "rep", "left"))  # parts: of those that it leads
 
     # their whole sets, from the texts again
     at = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
@@ -306,13 +323,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
                 sets = shingle_sets(*text_bytes(part.column("text")), words)
                 yield pa.record_batch([part.column("rep"), _list([_tokens(h, classes.value) for h in sets])], names=["rep", "tokens"])
 
-    given = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").withColumn("at", at)
+    given = docs.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text").withColumn("at", at)
     sets = saved(given.mapInArrow(whole, "rep long, tokens array<long>").join(lead, "rep"))
 
     # those linked with their lead
-    leads = sets.select(F.col("rep").alias("lead"), F.col("tokens").alias("theirs")).join(size, "lead").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    leads = sets.select(F.col("rep").alias("lead"), F.col("tokens").alias("theirs"), "parts").filter("parts is not null").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     both = F.size(F.array_intersect("tokens", "theirs"))
-    star = sets.filter("rep <> lead").join(leads, ["lead", "part"]).filter(100 * both >= share * (F.size("tokens") + F.size("theirs") - both)).select("rep", "lead").distinct()
+    star = sets.filter("rep <> lead").drop("parts").join(leads, ["lead", "part"]).filter(100 * both >= share * (F.size("tokens") + F.size("theirs") - both)).select("rep", "lead").distinct()
     star = saved(star)
 
     # blocks of sets with one lead, linked with it or not; the sets that meet enough tokens of another block, or of others in their own
