@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, flac, jaccard, packing, urls
-from .common import table
+from . import ann, bpe, ctw, flac, html, jaccard, packing, urls
+from .common import fold, table
 
 
 def tokenizer(name: str) -> str:
@@ -21,6 +21,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 7) == 2
+    return ctw.scores(table(spark, sf_dir, "documents"), ~held_out, held_out)
+
+
 def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -47,7 +56,9 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_flac_media, op5_bpe_encoding, op6_best_fit_packing, op8_nearest_neighbours, op9_url_filters, op10_ngram_jaccard_join)
+    for f in (
+        op3_context_tree_weighting, op4_flac_media, op5_bpe_encoding, op6_best_fit_packing, op7_html_extraction, op8_nearest_neighbours, op9_url_filters, op10_ngram_jaccard_join,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_url_filters": urls.oracle_sql()}
