@@ -17,6 +17,7 @@ component. Rows that repeat a doc_id count as one document. Other columns of the
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +90,19 @@ def least_met(n: int) -> int:
     return max(1, n // MEET)
 
 
+def packed(h: np.ndarray) -> bytes:
+    """A set's hashes as its tokens have them, 48 bits each in ascending order: the form in which sets are compared."""
+    low = np.sort(h & np.uint64((1 << 48) - 1)).astype("<u8")
+    return low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: pa.BinaryScalar) -> np.ndarray:
+    six = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, 6)
+    eight = np.zeros((len(six), 8), np.uint8)
+    eight[:, :6] = six
+    return eight.view("<i8").ravel()
+
+
 def prefix_length(n: int, share: int = SHARE) -> int:
     """Sets of n tokens that reach the share with another post so many, of which the two have least_met of the smaller in common."""
     return min(n, n + (-share * n) // 100 + least_met(n))
@@ -117,13 +131,13 @@ def size_classes(docs: DataFrame, words: int = WORDS) -> np.ndarray:
             at, n = np.unique(_bucket(np.concatenate(sets)), return_counts=True)
             total[at] += n.astype(np.uint32)
         if total.any():
-            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([total[k * size : (k + 1) * size].tobytes() for k in range(SLICES)], pa.binary())], names=["slice", "counts"])
+            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(total[k * size : (k + 1) * size].tobytes(), 1) for k in range(SLICES)], pa.binary())], names=["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64)
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32).astype(np.uint64)
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
 
     parts = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary")
@@ -203,7 +217,7 @@ def _matrix(a: list[np.ndarray], b: list[np.ndarray], share: int) -> Iterator[tu
 
 
 def _compare(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a pair of blocks stand together: (one, two, side, rep, tokens). Gives the links between side 0 and side 1, or within side 0 if
+    """Rows of a pair of blocks stand together: (one, two, side, rep, set). Gives the links between side 0 and side 1, or within side 0 if
     the blocks are the same."""
 
     def links(key: tuple[int, int], sides: tuple[list, list]) -> Iterator[tuple[int, int]]:
@@ -225,14 +239,13 @@ def _compare(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.Recor
 
     key, sides, out = None, ([], []), []
     for batch in batches:
-        tokens = batch.column("tokens")
-        flat, offsets = tokens.values.to_numpy(), tokens.offsets.to_numpy()
+        held = batch.column("set")
         for i, (one, two, side, rep) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("one", "two", "side", "rep")), strict=True)):
             if (one, two) != key:
                 if key:
                     out += links(key, sides)
                 key, sides = (one, two), ([], [])
-            sides[side].append((rep, flat[offsets[i] : offsets[i + 1]].copy()))
+            sides[side].append((rep, unpacked(held[i])))
             if len(out) > 10_000:
                 yield made(out)
                 out = []
@@ -297,14 +310,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     need = F.greatest(F.lit(1), F.floor(share * F.col("n") / (100 * MEET)))  # least_met of the smallest partner
     posts = docs.mapInArrow(post, "rep long, n int, tokens array<long>").select("rep", "n", F.explode("tokens").alias("token"))
     by = Window.partitionBy("token")
-    for step in range(2):
-        posts = saved(posts.select("rep", "n", "token", F.min("rep").over(by).alias("low"), F.max("rep").over(by).alias("high")).filter("low < high").drop("high"))
-        if not step:  # copies within the other classes
-            posts = posts.join(members.filter("doc_id <> rep").select(F.col("doc_id").alias("rep")).distinct(), "rep", "left_anti")
-        enough = posts.groupBy("rep", "n").count().filter(F.col("count") >= need).select("rep")
-        posts = posts.join(enough, "rep", "left_semi")
-    posts = saved(posts)
-    lead = posts.groupBy("rep", "n", "low").count().groupBy("rep", "n").agg(F.max_by("low", F.struct("count", -F.col("low"))).alias("lead"))
+    posts = posts.select("rep", "n", "token", F.min("rep").over(by).alias("low"), F.max("rep").over(by).alias("high")).filter("low < high").drop("high")
+    copies = members.filter("doc_id <> rep").select(F.col("doc_id").alias("rep")).distinct()  # within the classes that aren't common
+    posts = saved(posts.join(copies, "rep", "left_anti"))
+    enough = posts.groupBy("rep", "n").count().filter(F.col("count") >= need).select("rep")
+    posts = posts.join(enough, "rep", "left_semi")
+    lead = posts.groupBy("rep", "n", "low").count().groupBy("rep", "n").agg(F.max(F.struct("count", -F.col("low"))).alias("best"))
+    lead = lead.select("rep", (-F.col("best.col2")).alias("lead"), (F.col("best.count") >= need).alias("hopeful"))
     size = lead.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     lead = lead.join(size, "lead").withColumn("part", F.pmod(F.xxhash64("rep"), "parts")).drop("parts")
     lead = saved(lead.join(size.select(F.col("lead").alias("rep"), "parts"), "rep", "left"))  # parts: of those that it leads
@@ -321,22 +333,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
             at = batch.column("at").to_numpy(zero_copy_only=False)
             for part in chunks(iter([batch.filter(pa.array((bits.value[at >> 6] >> (at & 63)) & 1 == 1))])):
                 sets = shingle_sets(*text_bytes(part.column("text")), words)
-                yield pa.record_batch([part.column("rep"), _list([_tokens(h, classes.value) for h in sets])], names=["rep", "tokens"])
+                yield pa.record_batch([part.column("rep"), pa.array([packed(h) for h in sets], pa.binary())], names=["rep", "set"])
 
     given = docs.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text").withColumn("at", at)
-    sets = saved(given.mapInArrow(whole, "rep long, tokens array<long>").join(lead, "rep"))
+    sets = saved(given.mapInArrow(whole, "rep long, set binary").join(lead, "rep"))
 
     # those linked with their lead
-    leads = sets.select(F.col("rep").alias("lead"), F.col("tokens").alias("theirs"), "parts").filter("parts is not null").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    both = F.size(F.array_intersect("tokens", "theirs"))
-    star = sets.filter("rep <> lead").drop("parts").join(leads, ["lead", "part"]).filter(100 * both >= share * (F.size("tokens") + F.size("theirs") - both)).select("rep", "lead").distinct()
-    star = saved(star)
+    def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [linked(unpacked(x), unpacked(y), share) for x, y in zip(batch.column("set"), batch.column("theirs"), strict=True)]
+            yield pa.record_batch(batch.columns[:2], names=["rep", "lead"]).filter(pa.array(keep, pa.bool_()))
+
+    leads = sets.filter("parts is not null").select(F.col("rep").alias("lead"), F.col("set").alias("theirs"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    star = sets.filter("rep <> lead and hopeful").join(leads, ["lead", "part"]).select("rep", "lead", "set", "theirs").mapInArrow(starred, "rep long, lead long")
+    star = saved(star.distinct())
 
     # blocks of sets with one lead, linked with it or not; the sets that meet enough tokens of another block, or of others in their own
     near = F.coalesce("near", F.expr("rep = lead"))
     blocks = lead.join(star.select("rep", F.lit(True).alias("near")), "rep", "left").select("rep", "lead", near.alias("near"), F.xxhash64("lead", near, "part").alias("block"))
     blocks = saved(blocks)
-    own = posts.select("rep", "n", "token").join(blocks, "rep")
+    own = posts.select("rep", "n", "token").join(blocks, "rep").repartition("token")
     held = own.groupBy("token", "block", "lead", "near").agg(F.count("*").alias("sets"))
     held = held.select("token", F.col("block").alias("other"), F.col("lead").alias("lead2"), F.col("near").alias("near2"), "sets")
     met = own.join(held, "token").filter("not (near and near2 and lead = lead2) and (block <> other or sets > 1)")
@@ -344,7 +360,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     met = saved(met.select("rep", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side")))
     both = met.groupBy("one", "two").agg(F.min("side").alias("l"), F.max("side").alias("h")).filter("one = two or l < h").select("one", "two")
 
-    sides = met.join(both, ["one", "two"], "left_semi").join(sets.select("rep", "tokens"), "rep").select("one", "two", "side", "rep", "tokens")
+    sides = met.join(both, ["one", "two"], "left_semi").join(sets.select("rep", "set"), "rep").select("one", "two", "side", "rep", "set")
     found = sides.repartition("one", "two").sortWithinPartitions("one", "two").mapInArrow(lambda batches: _compare(batches, share), "a long, b long")
 
     links = star.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).union(found)
