@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,42 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % n
 
 
+#: Bits of an id filter: fixed, so that it can be broadcast; with many more ids it only lets more rows through to the exact join.
+FILTER_BITS = 1 << 23
+
+
+def _bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
+
+
+def id_filter(ids: DataFrame, column: str) -> Broadcast:
+    """A bitmap of hashed ids."""
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    words = ids.select(_bit(column).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    for k, x in words.collect():  # FILTER_BITS / 64 rows at most
+        bits[k] = x
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def maybe_in(df: DataFrame, column: str, bits: Broadcast, hit: bool = True) -> DataFrame:
+    """The rows whose id has its bit set (all that are in the filter and a few more), or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            keep = ((bits.value[at >> 6] >> (at & 63)) & 1 == 1) == hit
+            yield pa.record_batch(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+
+    return df.withColumn("_at", _bit(column)).mapInArrow(run, df.schema)
+
+
+def without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose id isn't among ids. Only those that may be are shuffled for the exact join."""
+    ids = saved(ids.select(column).distinct())
+    bits = id_filter(ids, column)
+    return maybe_in(df, column, bits, False).unionByName(maybe_in(df, column, bits).join(ids, column, "left_anti"))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and where each row's begin and end (rows + 1 offsets); null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -60,6 +97,16 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             at = end
 
 
+def row_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of so many values."""
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=values, minlength=len(sizes))
+
+
+def spread(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of whole numbers or flags between offsets."""
+    return np.diff(np.concatenate(([0], np.cumsum(values, dtype=np.int64)))[offsets])
+
+
 # --- word hashes ---------------------------------------------------------------------------------------------------
 
 
@@ -97,10 +144,10 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of every run of bytes other than 0x20 and 0x09-0x0D within a row, and the number of words of each row."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of every run of bytes within a row that aren't between words (0x20 and 0x09-0x0D), and the number of words of each row."""
     n = len(data)
-    inside = ~SPACE[data]
+    inside = ~between[data]
     first = np.ones(n + 1, bool)
     first[1:] = ~np.append(inside[:-1], False) if n else first[1:]
     edge = np.zeros(n + 1, bool)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, saved, text_bytes, word_hashes, word_spans
+from .common import chunks, id_filter, maybe_in, mix, saved, text_bytes, word_hashes, word_spans
 
 WORDS = 5
 #: Links need SHARE hundredths of the union.
@@ -40,8 +40,6 @@ MEET = 16
 DENSE = 1024
 #: A class of copies is common if it has more than one of so many documents.
 COMMON = 1 << 16
-#: Bits of the filter of the sets that take part, which spares a shuffle of all texts.
-FILTER_BITS = 1 << 23
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
@@ -322,20 +320,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     lead = saved(lead.join(size.select(F.col("lead").alias("rep"), "parts"), "rep", "left"))  # parts: of those that it leads
 
     # their whole sets, from the texts again
-    at = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for k, x in lead.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))"))).collect():  # FILTER_BITS / 64 rows at most
-        bits[k] = x
-    bits = spark.sparkContext.broadcast(bits)
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("at").to_numpy(zero_copy_only=False)
-            for part in chunks(iter([batch.filter(pa.array((bits.value[at >> 6] >> (at & 63)) & 1 == 1))])):
-                sets = shingle_sets(*text_bytes(part.column("text")), words)
-                yield pa.record_batch([part.column("rep"), pa.array([packed(h) for h in sets], pa.binary())], names=["rep", "set"])
+        for part in chunks(batches):
+            sets = shingle_sets(*text_bytes(part.column("text")), words)
+            yield pa.record_batch([part.column("rep"), pa.array([packed(h) for h in sets], pa.binary())], names=["rep", "set"])
 
-    given = docs.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text").withColumn("at", at)
+    given = maybe_in(docs.select(F.col("doc_id").alias("rep"), "text").filter("rep is not null"), "rep", id_filter(lead, "rep"))
     sets = saved(given.mapInArrow(whole, "rep long, set binary").join(lead, "rep"))
 
     # those linked with their lead

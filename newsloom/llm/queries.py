@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, ctw, flac, html, jaccard, packing, urls
+from . import ann, bpe, ctw, flac, html, jaccard, packing, quality, toxicity, urls
 from .common import fold, table
 
 
@@ -21,6 +21,16 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 4) == 2
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out, held_out)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 5) == 0
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out, held_out)
+
+
 def op3_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 7) == 2
     return ctw.scores(table(spark, sf_dir, "documents"), ~held_out, held_out)
@@ -57,7 +67,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op3_context_tree_weighting, op4_flac_media, op5_bpe_encoding, op6_best_fit_packing, op7_html_extraction, op8_nearest_neighbours, op9_url_filters, op10_ngram_jaccard_join,
+        op1_toxicity, op2_quality, op3_context_tree_weighting, op4_flac_media, op5_bpe_encoding, op6_best_fit_packing, op7_html_extraction, op8_nearest_neighbours, op9_url_filters, op10_ngram_jaccard_join,
     )
 }
 
