@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at a time; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with batches of at most BATCH_ROWS rows for Python workers in its session: texts are long, and memory has to stay bounded."""
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % n

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes
+from .common import chunks, small_batches, text_bytes
 
 BLOCK = 192
 RATE = 8000
@@ -547,7 +547,7 @@ def text_media(docs: DataFrame) -> DataFrame:
                 said.append(feature(samples))
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(streams, pa.binary()), pa.array(back, pa.binary()), pa.array(said, pa.string())], names=["doc_id", "n_bytes", "media", "payload", "feature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, feature string")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, feature string")
 
 
 def digests(docs: DataFrame) -> DataFrame:

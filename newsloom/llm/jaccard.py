@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, id_filter, maybe_in, mix, saved, text_bytes, word_hashes, word_spans
+from .common import chunks, id_filter, maybe_in, mix, saved, small_batches, text_bytes, word_hashes, word_spans
 
 WORDS = 5
 #: Links need SHARE hundredths of the union.
@@ -277,7 +277,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, class_id (the smallest doc_id with the same set) and component_id (the smallest that links reach) of every row."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = spark.sparkContext.broadcast(size_classes(docs, words))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

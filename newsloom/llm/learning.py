@@ -10,7 +10,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes
+from .common import chunks, small_batches, text_bytes
 
 #: Raw scores are averaged over so many bins before calibration, so that its input is of fixed size.
 BINS = 1000
@@ -27,7 +27,7 @@ def measured(docs: DataFrame, keep: list[str], measure: Callable[[np.ndarray, np
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.record_batch([*batch.columns[:-1], lists], names=[*keep, X])
 
-    given = docs.select(*keep, F.col("text").alias("_text"))
+    given = small_batches(docs).select(*keep, F.col("text").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
     return given.mapInArrow(run, f"{kinds}, {X} array<double>")
 

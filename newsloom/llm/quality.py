@@ -132,40 +132,44 @@ def solve(train: DataFrame, features: Features, ridge: float = RIDGE) -> np.ndar
     return np.linalg.solve(left, both[:, -1])
 
 
-def model(rows: DataFrame, labels: DataFrame, learns: Column) -> Callable[[DataFrame], DataFrame]:
-    """From rows (doc_id, X) and labels (doc_id, quality) what adds RAW and SCORE to rows with X."""
+def model(rows: DataFrame, labels: DataFrame, learns: Column) -> tuple[Callable[[np.ndarray], np.ndarray], Callable[[DataFrame], DataFrame]]:
+    """From rows (doc_id, X) and labels (doc_id, quality) the raw score of statistics, and what adds SCORE to rows with RAW."""
     train = saved(labelled(rows, labels, "quality", learns))
     wide = range(len(STATISTICS))
     moments = train.agg(F.count("*"), *(F.avg(F.col(X)[k]) for k in wide), *(F.stddev_pop(F.col(X)[k]) for k in wide)).collect()[0]
     if not moments[0]:
-        return lambda rows: calibration(train.withColumn(RAW, F.lit(0.5)))(rows.withColumn(RAW, F.lit(0.5)))
+        return lambda x: np.full(len(x), 0.5), calibration(train.withColumn(RAW, F.lit(0.5)))
     features = Features(np.array(moments[1 : 1 + len(wide)]), np.array(moments[1 + len(wide) :]))
-    fitted = rows.sparkSession.sparkContext.broadcast((features, solve(train, features)))
+    weights = solve(train, features)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, w = fitted.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                raw = f(matrix(part.column(X), len(STATISTICS))) @ w
-                yield pa.record_batch([*part.columns, pa.array(raw)], names=[*part.schema.names, RAW])
+    def raw(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([features(x[at : at + 4096]) @ weights for at in range(0, len(x), 4096)]) if len(x) else np.zeros(0)
+
+    return raw, calibration(with_raw(train, raw))
 
-    def raw(df: DataFrame) -> DataFrame:
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        return df.mapInArrow(score, f"{kinds}, {RAW} double").drop(X)
 
-    calibrate = calibration(raw(train))
-    return lambda rows: calibrate(raw(rows))
+def with_raw(rows: DataFrame, raw: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """rows with RAW in place of X."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([*batch.columns[:-1], pa.array(raw(matrix(batch.column(X), len(STATISTICS))))], names=[*batch.schema.names[:-1], RAW])
+
+    rows = rows.select(*(c for c in rows.columns if c != X), X)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kinds}, {RAW} double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, learns: Column, held_out: Column, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score (the probability of quality 1), predicted and raw of every row of docs (doc_id, text). learns and held_out are
     conditions on doc_id."""
     rows = saved(measured(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], statistics))
-    return judged(model(rows, labels, learns)(rows), held_out, threshold)
+    raw, calibrate = model(rows, labels, learns)
+    return judged(calibrate(with_raw(rows, raw)), held_out, threshold)
 
 
 def scored(docs: DataFrame, labels: DataFrame, learns: Column) -> DataFrame:
     """docs with RAW and SCORE beside its columns; texts are read twice, and never shuffled."""
-    fitted = model(measured(docs, ["doc_id"], statistics), labels, learns)
-    return fitted(measured(docs, docs.columns, statistics))
+    raw, calibrate = model(measured(docs, ["doc_id"], statistics), labels, learns)
+    one = measured(docs, docs.columns, lambda data, offsets: raw(statistics(data, offsets))[:, None])
+    return calibrate(one.withColumn(RAW, F.col(X)[0]).drop(X))
