@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
     return register
 
 
-from .plans import aggregates, basics, joins, state, stories, vectors, windows  # noqa: E402, F401
+from .plans import aggregates, basics, evaluation, joins, monitoring, state, stories, vectors, windows  # noqa: E402, F401
