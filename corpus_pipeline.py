@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import jaccard, packing, quality, toxicity
 from newsloom.llm.common import fold, table, without
-from newsloom.llm.learning import SCORE
+from newsloom.llm.learning import ROW, SCORE
 from newsloom.llm.queries import tokenizer
 
 THRESHOLD = 0.3
@@ -23,13 +23,13 @@ THRESHOLD = 0.3
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     scored = quality.scored(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
-    return scored.filter(F.col(SCORE) >= THRESHOLD).select(docs.columns)
+    return scored.filter(F.col(SCORE) >= THRESHOLD).select(f"{ROW}.*")
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject."""
     scored = toxicity.scored(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
-    return scored.filter(F.col(SCORE) < THRESHOLD).select(docs.columns)
+    return scored.filter(F.col(SCORE) < THRESHOLD).select(f"{ROW}.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

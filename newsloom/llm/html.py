@@ -3,8 +3,8 @@
 A page is cut at block elements. The first pass decides each block: text within menus, footers, sidebars, forms and elements named as
 adverts, notices or comments is out, as is text that is mostly links; within an article element text is in; elsewhere
 a block is in if it is long with enough stop words. What stays open, short blocks above all, takes the label of the
-nearest decided blocks in the second pass (headings that of the block that follows; if the two sides differ and are as
-far, it is out). Character references are decoded, white space within a block is one space, blocks stand in page order
+nearest decided block in the second pass (headings that of the block that follows; at even distance the one before
+decides, as a text's short last lines stand before what isn't text). Character references are decoded, white space within a block is one space, blocks stand in page order
 with an empty line between.
 
 Defined results: null or empty html, or nothing left, gives the empty text. Null ids and urls keep their rows.
@@ -151,7 +151,7 @@ def first_pass(b: Block, has_article: bool) -> int:
 
 
 def second_pass(labels: list[int], kinds: list[str]) -> list[int]:
-    """Open blocks take the nearest decided label; at even distance both sides have to be in."""
+    """Open blocks take the nearest decided label, at even distance that of the block before; headings that of the one behind."""
     n = len(labels)
     before, after = [(-1, OPEN)] * n, [(n, OPEN)] * n
     last = (-1, OPEN)
@@ -174,10 +174,8 @@ def second_pass(labels: list[int], kinds: list[str]) -> list[int]:
                 label = la
             elif lb == OPEN or la == OPEN:
                 label = lb or la
-            elif i - b == a - i:
-                label = min(lb, la)
             else:
-                label = lb if i - b < a - i else la
+                label = lb if i - b <= a - i else la
         out.append(label)
     return out
 

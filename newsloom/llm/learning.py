@@ -15,7 +15,12 @@ from .common import chunks, small_batches, text_bytes
 #: Raw scores are averaged over so many bins before calibration, so that its input is of fixed size.
 BINS = 1000
 #: Columns that stand beside those of the input while it is scored.
-X, RAW, SCORE = "_features", "_raw", "_score"
+X, RAW, SCORE, ROW = "_features", "_raw", "_score", "_row"
+
+
+def whole(docs: DataFrame) -> DataFrame:
+    """The rows of docs as one column ROW beside their text, so that no name in them can clash with those used here."""
+    return docs.select(F.struct(*docs.columns).alias(ROW), "text")
 
 
 def measured(docs: DataFrame, keep: list[str], measure: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, saved, spread, word_hashes, word_spans
-from .learning import RAW, X, calibration, judged, labelled, matrix, measured
+from .learning import RAW, ROW, X, calibration, judged, labelled, matrix, measured, whole
 
 FEATURES, WIDTH, RIDGE, SEED, SLICES = 256, 4.0, 1e-3, 20240502, 16
 STATISTICS = (
@@ -169,7 +169,7 @@ def quality(docs: DataFrame, labels: DataFrame, learns: Column, held_out: Column
 
 
 def scored(docs: DataFrame, labels: DataFrame, learns: Column) -> DataFrame:
-    """docs with RAW and SCORE beside its columns; texts are read twice, and never shuffled."""
+    """ROW, RAW and SCORE of every row of docs; texts are read twice, and never shuffled."""
     raw, calibrate = model(measured(docs, ["doc_id"], statistics), labels, learns)
-    one = measured(docs, docs.columns, lambda data, offsets: raw(statistics(data, offsets))[:, None])
+    one = measured(whole(docs), [ROW], lambda data, offsets: raw(statistics(data, offsets))[:, None])
     return calibrate(one.withColumn(RAW, F.col(X)[0]).drop(X))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, chunks, hash_word, mix, saved, spread, text_bytes, word_hashes, word_spans
-from .learning import RAW, X, calibration, judged, labelled, measured, sampled
+from .learning import RAW, ROW, X, calibration, judged, labelled, measured, sampled, whole
 
 #: Labelled rows for the lexicon and for the trees; entries of the learned lexicon; words that count as near.
 SAMPLE, ENTRIES, NEAR = 40_000, 600, 6
@@ -187,7 +187,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learns: Column, held_out: Colum
 
 
 def scored(docs: DataFrame, labels: DataFrame, learns: Column) -> DataFrame:
-    """docs with RAW and SCORE beside its columns; only the sample's texts are shuffled."""
+    """ROW, RAW and SCORE of every row of docs; only the sample's texts are shuffled."""
     learned, count = learned_lexicon(docs, labels, learns)
     fitted = model(measured(docs, ["doc_id"], measure(learned)), labels, learns, count)
-    return fitted(measured(docs, docs.columns, measure(learned)))
+    return fitted(measured(whole(docs), [ROW], measure(learned)))
