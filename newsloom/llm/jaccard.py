@@ -310,13 +310,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     by = Window.partitionBy("token")
     posts = posts.select("rep", "n", "token", F.min("rep").over(by).alias("low"), F.max("rep").over(by).alias("high")).filter("low < high").drop("high")
     copies = members.filter("doc_id <> rep").select(F.col("doc_id").alias("rep")).distinct()  # within the classes that aren't common
-    posts = saved(posts.join(copies, "rep", "left_anti"))
-    enough = posts.groupBy("rep", "n").count().filter(F.col("count") >= need).select("rep")
-    posts = posts.join(enough, "rep", "left_semi")
-    lead = posts.groupBy("rep", "n", "low").count().groupBy("rep", "n").agg(F.max(F.struct("count", -F.col("low"))).alias("best"))
-    lead = lead.select("rep", (-F.col("best.col2")).alias("lead"), (F.col("best.count") >= need).alias("hopeful"))
+    by = Window.partitionBy("rep")
+    posts = posts.join(copies, "rep", "left_anti").withColumn("with_low", F.count("*").over(Window.partitionBy("rep", "low")))
+    posts = posts.withColumn("all", F.count("*").over(by)).withColumn("best", F.max(F.struct("with_low", -F.col("low"))).over(by)).filter(F.col("all") >= need)
+    posts = saved(posts.select("rep", "n", "token", (-F.col("best.col2")).alias("lead"), (F.col("best.with_low") >= need).alias("hopeful")))
+
+    # blocks of sets with one lead; the sets that meet enough tokens of another block, or of others in their own, while some there meet theirs
+    lead = posts.select("rep", "lead", "hopeful").distinct()
     size = lead.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    lead = lead.join(size, "lead").withColumn("part", F.pmod(F.xxhash64("rep"), "parts")).drop("parts")
+    lead = lead.join(size, "lead").withColumn("part", F.pmod(F.xxhash64("rep"), "parts")).drop("parts").withColumn("block", F.xxhash64("lead", "part"))
+    lead = saved(lead)
+    own = posts.select("rep", "n", "token").join(lead.select("rep", "block"), "rep").repartition("token")
+    held = own.groupBy("token", F.col("block").alias("other")).agg(F.count("*").alias("sets"))
+    met = own.join(held, "token").filter("block <> other or sets > 1").groupBy("rep", "n", "block", "other").count().filter(F.col("count") >= need)
+    met = saved(met.select("rep", "block", "other"))
+    back = met.select(F.col("other").alias("block"), F.col("block").alias("other")).distinct()
+    met = saved(met.join(back, ["block", "other"], "left_semi"))
+    lead = lead.join(met.select("rep").distinct(), "rep", "left_semi")
     lead = saved(lead.join(size.select(F.col("lead").alias("rep"), "parts"), "rep", "left"))  # parts: of those that it leads
 
     # their whole sets, from the texts again
@@ -338,19 +348,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     star = sets.filter("rep <> lead and hopeful").join(leads, ["lead", "part"]).select("rep", "lead", "set", "theirs").mapInArrow(starred, "rep long, lead long")
     star = saved(star.distinct())
 
-    # blocks of sets with one lead, linked with it or not; the sets that meet enough tokens of another block, or of others in their own
+    # each block in two: those linked with their lead, who need no comparison among themselves, and the others
     near = F.coalesce("near", F.expr("rep = lead"))
-    blocks = lead.join(star.select("rep", F.lit(True).alias("near")), "rep", "left").select("rep", "lead", near.alias("near"), F.xxhash64("lead", near, "part").alias("block"))
-    blocks = saved(blocks)
-    own = posts.select("rep", "n", "token").join(blocks, "rep").repartition("token")
-    held = own.groupBy("token", "block", "lead", "near").agg(F.count("*").alias("sets"))
-    held = held.select("token", F.col("block").alias("other"), F.col("lead").alias("lead2"), F.col("near").alias("near2"), "sets")
-    met = own.join(held, "token").filter("not (near and near2 and lead = lead2) and (block <> other or sets > 1)")
-    met = met.groupBy("rep", "n", "block", "other").count().filter(F.col("count") >= need)
-    met = saved(met.select("rep", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side")))
-    both = met.groupBy("one", "two").agg(F.min("side").alias("l"), F.max("side").alias("h")).filter("one = two or l < h").select("one", "two")
-
-    sides = met.join(both, ["one", "two"], "left_semi").join(sets.select("rep", "set"), "rep").select("one", "two", "side", "rep", "set")
+    halves = saved(lead.join(star.select("rep", F.lit(True).alias("near")), "rep", "left").select("rep", "lead", "block", near.alias("near")))
+    others = halves.select(F.col("block").alias("other"), F.col("lead").alias("lead2"), F.col("near").alias("near2")).distinct()
+    pairs = met.join(halves.drop("block"), "rep").join(others, "other").filter("not (near and near2 and lead = lead2)")
+    pairs = pairs.select("rep", F.xxhash64("block", "near").alias("mine"), F.xxhash64("other", "near2").alias("theirs"))
+    pairs = saved(pairs.select("rep", F.least("mine", "theirs").alias("one"), F.greatest("mine", "theirs").alias("two"), F.when(F.col("mine") <= F.col("theirs"), 0).otherwise(1).alias("side")))
+    both = pairs.groupBy("one", "two").agg(F.min("side").alias("l"), F.max("side").alias("h"), F.count("*").alias("k")).filter("l < h or one = two and k > 1").select("one", "two")
+    sides = pairs.join(both, ["one", "two"], "left_semi").join(sets.select("rep", "set"), "rep").select("one", "two", "side", "rep", "set")
     found = sides.repartition("one", "two").sortWithinPartitions("one", "two").mapInArrow(lambda batches: _compare(batches, share), "a long, b long")
 
     links = star.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).union(found)
