@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import chunks, small_batches
 
 #: Words longer than this use the heap; a task forgets its words beyond KEPT.
-LONG, KEPT = 64, 400_000
+LONG, KEPT = 64, 200_000
 NONE = np.int32(2**31 - 1)
 #: The cut of byte-level texts where a file names no pattern of its own (a fixed value of these vocabularies).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -96,9 +96,10 @@ class Encoder:
         self.pieces = pieces
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.piece_at = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Frees the words of the task; the worker may serve other jobs next."""
         self.words, self.flat, self.count = Words(), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
@@ -212,7 +213,7 @@ class Encoder:
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's begin and end."""
         if len(self.words) > KEPT:
-            self._forget()
+            self.forget()
         known = len(self.words)
         number = self.words.__getitem__
         marks: list[int] = []  # words by number; special tokens as -1 - id
@@ -271,6 +272,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             texts = [e.decode(ids[a:b]) for a, b in itertools.pairwise(at)]
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.record_batch([batch.column("doc_id"), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+        encoder(path).forget()
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -286,5 +288,6 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             ids_sha = [hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in spans]
             text_sha = [hashlib.sha256(e.decode(ids[a:b]).encode()).hexdigest() for a, b in spans]
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder(path).forget()
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

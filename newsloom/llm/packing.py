@@ -219,6 +219,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
                     rows.append((d, piece, start, len(part), zlib.crc32(part.tobytes())))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder(path).forget()
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

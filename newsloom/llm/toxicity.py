@@ -75,15 +75,19 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for longer, h in beginnings(data, start, end):
         rows.append(row[longer])
         found.append(h)
-    both = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(found)]), axis=1)
-    return both[0].astype(np.int64), both[1]
+    row, h = np.concatenate(rows), np.concatenate(found)
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    return row[first], h[first]
 
 
 def lexicon(train: DataFrame) -> np.ndarray:
     """Sorted hashes of words and beginnings that tell toxic texts of train (text, label) from the others."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, most=1 << 22):
+        for batch in chunks(batches):
             row, h = terms(*text_bytes(batch.column("text")))
             toxic = batch.column("label").to_numpy()[row] > 0
             keys, at = np.unique(h, return_inverse=True)
