@@ -31,7 +31,7 @@ WORDS = 5
 #: Links need SHARE hundredths of the union.
 SHARE = 75
 #: Buckets of the table of document counts: 2 ** BITS, in SLICES parts.
-BITS, SLICES = 20, 64
+BITS, SLICES = 22, 64
 #: Sets in a block on average.
 BLOCK = 256
 #: One of so many tokens of a set has to be met by a partner among those that both post.
