@@ -86,6 +86,29 @@ def test_log_gamma():
     assert np.allclose(ctw.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-10)
 
 
+@pytest.mark.parametrize("share", [0.0, 1e-4, 1.0])
+def test_every_context_is_a_node(spark, share):
+    """However few of the training bytes a context has; against the tree in memory with all contexts, on texts with grams that weren't seen."""
+    rng = np.random.default_rng(9)
+    common = " ".join(["the same words again and again"] * 400)
+    texts = [common] * 8 + [" ".join("".join(rng.choice(list("abcdeé"), 5)) for _ in range(60)) for _ in range(30)] + ["zq zq xy", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    learned = [t.encode() for i, t in enumerate(texts) if i % 3 != 1]
+    plain, at = ctw.canonical(np.frombuffer(b"".join(learned), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in learned]))).astype(np.int64))
+    nodes = {}
+    for d in range(ctw.DEPTH + 1):
+        for x in ctw.grams(plain, at).tolist():
+            nodes.setdefault((d, (x >> 8) & (1 << 8 * d) - 1), np.zeros(256))[x & 255] += 1
+    assert min(n.sum() for n in nodes.values()) < 2.0**-16 * len(plain)
+    tree = ctw.Tree(nodes)
+    got = ctw.scores(docs, F.col("doc_id") % 3 != 1, F.col("doc_id") % 3 == 1, gram_share=share).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = (texts[r.doc_id] or "").encode()
+        one = ctw.canonical(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        assert r.score == pytest.approx(tree.score(*one)[0], rel=1e-3, abs=1e-3)
+
+
 def test_ctw_odd_rows(odd_documents, no_documents):
     got = ctw.scores(odd_documents, fold("doc_id", 7) != 2, fold("doc_id", 7) == 2).collect()
     assert len(got) == odd_documents.count() and all(r.score < 0 for r in got)
