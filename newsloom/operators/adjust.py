@@ -23,22 +23,22 @@ def training_set(ratings: DataFrame, scores: DataFrame, keyed: DataFrame) -> Dat
     return ratings.join(scores.withColumnRenamed("score", "base"), ["user_id", "article_id"]).join(keyed, ["user_id", "article_id"]).select("user_id", "article_id", "base", "stars", "features")
 
 
-def fit_weights(base: np.ndarray, target: np.ndarray, x: np.ndarray, prior: float = PRIOR, rounds: int = 100) -> np.ndarray:
+def fit_weights(base: np.ndarray, target: np.ndarray, x: np.ndarray, prior: float = PRIOR, rounds: int = 100, times: np.ndarray | float = 1.0) -> np.ndarray:
     """The weights w that minimise the cross-entropy of target with sigmoid(logit(base) + x w) plus prior / 2 times their squares: Newton steps, halved while they don't
-    improve."""
+    improve. A row may stand for several (times), then target is their sum."""
     p0 = np.clip(base / 100, 0.005, 0.995)
     offset = np.log(p0 / (1 - p0))
     w = np.zeros(x.shape[1])
 
     def loss(w: np.ndarray) -> float:
         z = offset + x @ w
-        return float(np.sum(np.logaddexp(0, z) - target * z) + prior / 2 * w @ w)
+        return float(np.sum(times * np.logaddexp(0, z) - target * z) + prior / 2 * w @ w)
 
     now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(offset + x @ w)))
-        gradient = x.T @ (p - target) + prior * w
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + prior * np.eye(len(w)), gradient)
+        gradient = x.T @ (times * p - target) + prior * w
+        step = np.linalg.solve((x.T * (times * p * (1 - p))) @ x + prior * np.eye(len(w)), gradient)
         size = 1.0
         while size > 1e-8 and loss(w - size * step) > now:
             size /= 2
@@ -89,25 +89,32 @@ def contributions(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return out.select("user_id", "article_id", "feature", "contribution", F.row_number().over(order).alias("place"))
 
 
-def leave_one_out(train: DataFrame, prior: float = PRIOR, most: int = 1000) -> DataFrame:
-    """(user_id, article_id, prediction): each rating predicted by a model of the user's other ones, of the newest so many by article. The refits spread over (user, part)
-    groups: each part holds the user's ratings and refits without its own share of them."""
-    newest = train.withColumn("_turn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("article_id").desc()))).filter(F.col("_turn") <= most)
-    parts = newest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(7))))
+def leave_one_out(train: DataFrame, prior: float = PRIOR, share: int = 125) -> DataFrame:
+    """(user_id, article_id, prediction): each rating predicted by a model of all of the user's other ones. Ratings alike in base, stars and features have the same
+    prediction, so each kind is one row with its count and one refit. The refits spread over (user, part) groups: each part holds the user's kinds and refits
+    for so many of them."""
+    alike = ["user_id", "base", "stars", "_kind"]
+    rows = train.withColumn("_kind", F.array_sort(F.array_distinct("features")))
+    kinds = rows.groupBy(*alike).agg(F.count("*").alias("_times"))
+    user = Window.partitionBy("user_id")
+    kinds = kinds.withColumn("_turn", F.row_number().over(user.orderBy("base", "stars", "_kind"))).withColumn("_parts", F.ceil(F.count("*").over(user) / share).cast("int"))
+    parts = kinds.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
 
     def refit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("article_id").reset_index(drop=True)
-        names, x = _design(rows)
-        base, target = rows.base.to_numpy(float), (rows.stars.to_numpy(float) - 1) / 4
+        rows = rows.sort_values("_turn").reset_index(drop=True)
+        names, x = _design(rows.rename(columns={"_kind": "features"}))
+        base, target, times = rows.base.to_numpy(float), (rows.stars.to_numpy(float) - 1) / 4, rows._times.to_numpy(float)
         out = []
-        for i in np.flatnonzero(rows._turn.to_numpy() % 8 == rows.part.iloc[0]):
-            keep = np.arange(len(rows)) != i
-            w = fit_weights(base[keep], target[keep], x[keep], prior) if len(rows) > 1 else np.zeros(len(names))
+        for i in np.flatnonzero(rows._turn.to_numpy() % rows._parts.iloc[0] == rows.part.iloc[0]):
+            others = times - (np.arange(len(rows)) == i)
+            w = fit_weights(base, target * others, x, prior, times=others)
             p0 = min(max(base[i] / 100, 0.005), 0.995)
-            out.append((rows.user_id[i], rows.article_id[i], 100 / (1 + np.exp(-(np.log(p0 / (1 - p0)) + x[i] @ w)))))
-        return pd.DataFrame(out, columns=["user_id", "article_id", "prediction"])
+            out.append((rows.user_id[i], rows._turn[i], 100 / (1 + np.exp(-(np.log(p0 / (1 - p0)) + x[i] @ w)))))
+        return pd.DataFrame(out, columns=["user_id", "_turn", "prediction"])
 
-    return parts.groupBy("user_id", "part").applyInPandas(refit, "user_id long, article_id long, prediction double")
+    found = parts.groupBy("user_id", "part").applyInPandas(refit, "user_id long, _turn int, prediction double")
+    predicted = kinds.join(found, ["user_id", "_turn"]).select(*alike, "prediction")
+    return rows.join(predicted, alike).select("user_id", "article_id", "prediction")
 
 
 def review_due(ratings: DataFrame, suggested: DataFrame, versions: DataFrame, requests: DataFrame, least: int = 10) -> DataFrame:

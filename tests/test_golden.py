@@ -211,3 +211,20 @@ def test_streamed_marks_equal_batch(spark, sf, tmp_path):
     write(log.filter("event_id % 3 = 2"), 2)
     got = spark.read.parquet(str(tmp_path / "state/2"))
     assert sorted(map(str, got.collect())) == sorted(map(str, jobs.marks(log).select(got.columns).collect()))
+
+
+def test_leave_one_out_of_many_ratings(spark):
+    """A user with more than 1,000 ratings: a prediction for each, by all of the others."""
+    rng = np.random.default_rng(3)
+    rows = [(u, i, int(rng.integers(1, 5)) * 20, int(rng.integers(1, 6)), [f"topic:{k}" for k in rng.choice(6, 2)]) for u, n in ((1, 1201), (2, 1), (3, 9)) for i in range(n)]
+    train = spark.createDataFrame(rows, "user_id long, article_id long, base int, stars int, features array<string>")
+    got = {(r.user_id, r.article_id): r.prediction for r in adjust.leave_one_out(train, share=50).collect()}
+    assert set(got) == {r[:2] for r in rows}
+    for user, article in ((1, 0), (1, 700), (1, 1200), (2, 0), (3, 4)):
+        mine = [r for r in rows if r[0] == user]
+        names, x = adjust._design(pd.DataFrame(mine, columns=["user_id", "article_id", "base", "stars", "features"]))
+        base, target = np.array([float(r[2]) for r in mine]), np.array([(r[3] - 1) / 4 for r in mine])
+        keep = np.arange(len(mine)) != article
+        w = adjust.fit_weights(base[keep], target[keep], x[keep])
+        z = np.log(base[article] / (100 - base[article])) + x[article] @ w
+        assert got[user, article] == pytest.approx(100 / (1 + np.exp(-z)), rel=1e-5)
