@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.markup import pieces
 from ..functions.text import date_in, date_in_name, normalize_url
 from ..functions.time import jst_midnight
 
@@ -102,22 +103,17 @@ def listing_links(pages: DataFrame) -> DataFrame:
     return found.select("page_id", "url", "title", F.coalesce(date_in(F.col("item")), date_in_name(F.col("url"))).alias("day"))
 
 
-_PIECE = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][\w-]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|([^<]+|<)", re.S)
-
-
 def body_text(page: str) -> str | None:
-    """The lines of a page's article element, or of the whole page: blocks break lines, white space is one space, empty lines go; null if nothing is left."""
-    whole = re.search(r"<article\b[^>]*>(.*?)(?:</article>|\Z)", page, re.S | re.I)
-    page, out, silent = whole[1] if whole else page, [], ""
-    for m in _PIECE.finditer(page):
-        name = (m[2] or "").lower()
-        if silent:
-            if m[1] and name == silent:
-                silent = ""
-        elif name in SILENT and not m[1]:
-            silent = name
-        elif m[3]:
-            out.append(re.sub(r"\s+", " ", html.unescape(m[3])))
+    """The lines of a page's first article element, or of the whole page: blocks break lines, white space is one space, empty lines go; null if nothing is left."""
+    out: list[str] = []
+    inside = False
+    for name, end, _, text in pieces(page, SILENT):
+        if text:
+            out.append(re.sub(r"\s+", " ", html.unescape(text)))
+        elif name == "article" and end and inside:
+            break
+        elif name == "article" and not end and not inside:
+            out, inside = [], True
         elif name in BLOCKS:
             out.append("\n")
     lines = (" ".join(line.split()) for line in "".join(out).split("\n"))
