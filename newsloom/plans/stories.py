@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import Tables
+from ..functions.session import saved
 from ..functions.text import bigrams, comparable
 from ..operators import stories
 from ..registry import query
@@ -32,18 +31,6 @@ def pairs(t: Tables) -> DataFrame:
     return stories.similar_pairs(stories.tf_idf(own), articles(t), own, LEAST)
 
 
-def saving(t: Tables):
-    """Cuts lineage by reliable checkpoints in the session's folder."""
-
-    def save(df: DataFrame) -> DataFrame:
-        sc = t.spark.sparkContext
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-        return df.checkpoint()
-
-    return save
-
-
 @query("J1_comparison_texts", "WITH d AS (SELECT article_id, concat_ws(chr(10), title_x, summary_x) AS s, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) AS k FROM v_digests WHERE article_id % 11 <> 0) SELECT a.id, coalesce(d.s, CASE WHEN a.lang = 'en' THEN a.title END) AS text FROM v_articles a LEFT JOIN d ON d.article_id = a.id AND d.k = 1 WHERE d.s IS NOT NULL OR a.lang = 'en'")
 def comparison_texts(t: Tables) -> DataFrame:
     public = t.v_digests.select("id").join(required(t).select(F.col("artifact_id").alias("id")), "id", "left_anti")
@@ -104,7 +91,7 @@ def automatic_verdicts(t: Tables) -> DataFrame:
 
 def grouped(t: Tables) -> DataFrame:
     found = pairs(t).select(F.col("target").alias("a"), F.col("id").alias("b"), "similarity")
-    return stories.groups(found, found.filter("(a + b) % 7 = 0").select("a", "b"), saving(t))
+    return stories.groups(found, found.filter("(a + b) % 7 = 0").select("a", "b"), saved)
 
 
 @query("J7_groups")

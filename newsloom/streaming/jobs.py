@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import shared_folder
 from ..functions.text import normalize_url
 from ..operators import state
 
@@ -59,8 +59,7 @@ retries, marks = state.retries, state.marks
 def collected(stream: DataFrame, key: list[str] | None) -> DataFrame:
     """What a stream gives for all that is there now, as a table: the job runs until the input is used up, with its checkpoint and output in the session's shared folder."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    place = f"{base}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     complete = key is None
 
     def keep(batch: DataFrame, number: int) -> None:
