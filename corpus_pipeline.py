@@ -6,12 +6,12 @@ last keep the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.session import shared_folder
 from newsloom.llm import jaccard, packing, quality, toxicity
 from newsloom.llm.common import fold, table, without
 from newsloom.llm.learning import ROW, SCORE
@@ -52,7 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    folder = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         place = f"{folder}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
