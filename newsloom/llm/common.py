@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import saved, shared_folder  # noqa: F401
+
 #: Bytes of text that a task turns into arrays at a time; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 19
 #: Rows of an Arrow batch.
@@ -21,14 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint in the folder that the session names (a temporary one only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """df, with batches of at most BATCH_ROWS rows for Python workers in its session: texts are long, and memory has to stay bounded."""
     if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
@@ -45,29 +39,34 @@ def fold(doc_id: Column | str, n: int) -> Column:
 FILTER_BITS = 1 << 23
 
 
-def _bit(column: str) -> Column:
+def id_bit(column: str) -> Column:
     return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
 
 
 def id_filter(ids: DataFrame, column: str) -> Broadcast:
     """A bitmap of hashed ids."""
     bits = np.zeros(FILTER_BITS // 64, np.int64)
-    words = ids.select(_bit(column).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    words = ids.select(id_bit(column).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
     for k, x in words.collect():  # FILTER_BITS / 64 rows at most
         bits[k] = x
     return ids.sparkSession.sparkContext.broadcast(bits)
 
 
+def holds(bits: np.ndarray, at: pa.Array) -> pa.Array:
+    """Whether a bitmap has each of these bits set."""
+    at = at.to_numpy(zero_copy_only=False)
+    return pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1, pa.bool_())
+
+
 def maybe_in(df: DataFrame, column: str, bits: Broadcast, hit: bool = True) -> DataFrame:
     """The rows whose id has its bit set (all that are in the filter and a few more), or the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            keep = ((bits.value[at >> 6] >> (at & 63)) & 1 == 1) == hit
-            yield pa.record_batch(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+            keep = holds(bits.value, batch.column(batch.num_columns - 1))
+            yield pa.record_batch(batch.columns[:-1], names=batch.schema.names[:-1]).filter(keep if hit else pc.invert(keep))
 
-    return df.withColumn("_at", _bit(column)).mapInArrow(run, df.schema)
+    return df.select(*df.columns, id_bit(column).alias("_".join(["_at", *df.columns]))).mapInArrow(run, df.schema)
 
 
 def without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:

@@ -141,7 +141,7 @@ def first_pass(b: Block, has_article: bool) -> int:
 
 def second_pass(labels: list[int], kinds: list[str], articles: list[bool]) -> list[int]:
     """Open blocks take the nearest decided label, at even distance that of the block before; headings that of the one behind. Blocks within articles
-    look at decided blocks within articles only. Without any, an open block is in."""
+    look at decided blocks within articles only (not at what is excluded there). Without any, an open block is in."""
     n = len(labels)
     out = list(labels)
     for within in (True, False):  # blocks outside articles look at all
@@ -165,7 +165,7 @@ def second_pass(labels: list[int], kinds: list[str], articles: list[bool]) -> li
 def main_text(page: str) -> str:
     found = blocks(page)
     has_article = any(b.article and not b.outside for b in found)
-    labels = second_pass([first_pass(b, has_article) for b in found], [b.kind for b in found], [b.article for b in found])
+    labels = second_pass([first_pass(b, has_article) for b in found], [b.kind for b in found], [b.article and not b.outside for b in found])
     return "\n\n".join(b.text for b, label in zip(found, labels, strict=True) if label == IN)
 
 

@@ -3,13 +3,16 @@
 Every shingle is a 63-bit token that sorts rare-first: above the hash stands the size class of its bucket in a table of
 document counts (a fixed number of buckets over all documents, so of bounded size at any scale; any order that all
 documents share keeps the join exact, the counts only make it cheap). A set of n tokens posts its first
-n - ceil(share * n) + n / 16 tokens, and two sets that reach the share meet on a sixteenth of their tokens among these. Equal sets are one class before
-anything is posted.
+n - ceil(share * n) + n / 16 tokens, and two sets that reach the share meet on a sixteenth of their tokens among these. Equal sets are one class.
 
-Sets that meet are handled by blocks, never as listed pairs: each takes the smallest set of the token that it shares most as
-its lead; those linked with their lead are joined to it and need no comparison among themselves; every other pair of
-blocks that have a token in common is compared once, by length, position and suffix filters and then exactly. So a
-group of thousands of near copies costs its members once, plus those of them that the lead does not reach.
+Postings travel packed: each task sorts its own, and sends them by ranges of hashes as differences, with the sets' ids once a range. Of a hash so
+many bits are kept that postings seldom meet by chance; those that do only cost a comparison. Only postings that sets of two classes share go on.
+Tokens of a large part of all documents are dealt out over several groups.
+
+Sets that meet are handled by blocks, never as listed pairs. Each takes the smallest set of the token that it shares most as its lead and is compared
+with it; so a group of thousands of near copies costs its members once. What these links join is one component and needs no comparison among
+itself. The others, and different components, are compared where they have enough tokens in common: by blocks of bounded size, each pair of blocks once, by
+length, position and suffix filters and then exactly.
 
 Defined results: null text, empty text or no words: n_shingles 0, alone. A null doc_id keeps its row, with a null
 component. Rows that repeat a doc_id count as one document. Other columns of the input are ignored.
@@ -25,15 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, id_filter, maybe_in, mix, saved, small_batches, text_bytes, word_hashes, word_spans
+from ..operators.stories import labels
+from .common import chunks, holds, id_bit, id_filter, mix, saved, small_batches, text_bytes, word_hashes, word_spans
 
 WORDS = 5
 #: Links need SHARE hundredths of the union.
 SHARE = 75
 #: Buckets of the table of document counts: 2 ** BITS, in SLICES parts.
-BITS, SLICES = 22, 64
-#: Sets in a block on average.
-BLOCK = 256
+BITS, SLICES = 20, 16
+#: Postings in a group on average, and those that a task holds before it sends them on; bits of a hash beyond those that number all postings.
+GROUP, HELD, SPARE = 1 << 20, 1 << 21, 8
+#: A token with more documents than this, and than one of 2 ** 14 of all shingles, is dealt out over several groups.
+HOT = 100_000
+#: Sets in a block and their tokens, on average; sets that one task compares with their lead.
+BLOCK, TOKENS, STAR = 256, 500_000, 4096
 #: One of so many tokens of a set has to be met by a partner among those that both post.
 MEET = 16
 #: Blocks of so many pairs and more are compared as matrices.
@@ -41,6 +49,7 @@ DENSE = 1024
 #: A class of copies is common if it has more than one of so many documents.
 COMMON = 1 << 16
 _STEP = np.uint64(0xA0761D6478BD642F)
+_LOW = np.int64((1 << 48) - 1)
 
 
 # --- shingles ------------------------------------------------------------------------------------------------------
@@ -113,36 +122,55 @@ def _digest(h: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def _list(arrays: list[np.ndarray]) -> pa.Array:
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)), pa.array(flat.astype(np.int64)))
+def squeezed(x: np.ndarray) -> bytes:
+    """An array byte plane by byte plane, so that bytes that hardly vary cost nothing."""
+    return zlib.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+
+
+def unsqueezed(data: pa.BinaryScalar, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data.as_buffer()), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def size_classes(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """For each bucket of shingle hashes, a class that grows with the number of documents' shingles in it, over all documents."""
+SIGNED = "doc_id long, n long, d1 long, d2 long, slice int, counts binary"
+
+
+def signed_and_counted(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Each document's number of shingles and digest of their set, and from each task the number of shingles in every bucket, in slices."""
     size = (1 << BITS) // SLICES
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.uint32)
+        names = ["doc_id", "n", "d1", "d2", "slice", "counts"]
         for batch in chunks(batches):
             sets = shingle_sets(*text_bytes(batch.column("text")), words)
             at, n = np.unique(_bucket(np.concatenate(sets)), return_counts=True)
             total[at] += n.astype(np.uint32)
+            digests = np.array([_digest(h) for h in sets], np.int64).reshape(-1, 2)
+            rows = len(sets)
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         if total.any():
-            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(total[k * size : (k + 1) * size].tobytes(), 1) for k in range(SLICES)], pa.binary())], names=["slice", "counts"])
+            none = pa.nulls(SLICES, pa.int64())
+            yield pa.record_batch([none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array([squeezed(total[k * size : (k + 1) * size]) for k in range(SLICES)], pa.binary())], names=names)
+
+    return docs.mapInArrow(run, SIGNED)
+
+
+def size_classes(counted: DataFrame) -> tuple[np.ndarray, int]:
+    """For each bucket of shingle hashes, a class that grows with the number of documents' shingles in it, over all documents; and the number of all."""
+    size = (1 << BITS) // SLICES
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32).astype(np.uint64)
+                total[k] = total.get(k, 0) + unsqueezed(x, np.uint32).astype(np.uint64)
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary")
-    classes = np.zeros(1 << BITS, np.uint16)
+    parts = counted.filter("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(add, "slice int, counts binary")
+    count = np.zeros(1 << BITS, np.uint64)
     for k, counts in parts.collect():  # SLICES rows of fixed size
-        classes[k * size : (k + 1) * size] = (256 * np.log2(np.frombuffer(counts, np.uint64) + 1.0)).astype(np.uint16)
-    return classes
+        count[k * size : (k + 1) * size] = np.frombuffer(counts, np.uint64)
+    return (256 * np.log2(count + 1.0)).astype(np.uint16), int(count.sum())
 
 
 # --- filters and exact comparison of two sorted token arrays ---------------------------------------------------------
@@ -252,23 +280,107 @@ def _compare(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.Recor
     yield made(out)
 
 
-# --- components ----------------------------------------------------------------------------------------------------
+# --- postings --------------------------------------------------------------------------------------------------------
+
+PACKED = "part int, hot boolean, reps binary, sizes binary, tags binary, tokens binary, sets binary"
+
 
+class Postings:
+    """The postings of a task's sets, kept until they are sent on: by group, in the order of their hashes."""
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) for the ends of links (a, b): the smallest node that each reaches. Labels fall along links and by jumps to a label's own
-    label, so rounds grow with the logarithm of a component's width."""
-    both = saved(links.select("a", "b").union(links.select("b", "a")).distinct())
-    label = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
-        step = label.join(near, "node").select("node", "component", F.least("component", "low").alias("low"))
-        jump = label.select(F.col("node").alias("low"), F.col("component").alias("far"))
-        step = saved(step.join(jump, "low", "left").select("node", "component", F.least("low", "far").alias("next")))
-        done = step.filter("next <> component").isEmpty()
-        label = step.select("node", F.col("next").alias("component"))
-        if done:
-            return label
+    def __init__(self, groups: int, shift: int, limit: float):
+        self.groups, self.shift, self.limit = groups, shift, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.reps: list[int] = []
+        self.sizes: list[int] = []
+        self.tags: list[int] = []
+        self.tokens: list[np.ndarray] = []
+        self.count = 0
+
+    def add(self, rep: int, size: int, tag: int, tokens: np.ndarray) -> None:
+        self.reps.append(rep)
+        self.sizes.append(size)
+        self.tags.append(tag & 0xFFFFFFFF)
+        self.tokens.append(tokens)
+        self.count += len(tokens)
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        if not self.count:
+            return
+        reps, sizes, tags = np.array(self.reps, np.int64), np.array(self.sizes, np.uint32), np.array(self.tags, np.uint32)
+        tokens, own = np.concatenate(self.tokens), np.repeat(np.arange(len(reps), dtype=np.uint32), [len(t) for t in self.tokens])
+        self.clear()
+        documents = np.exp2((tokens >> 48) / 256)
+        key = (tokens & _LOW).astype(np.uint64)
+        group = ((key >> np.uint64(8)) * np.uint64(self.groups) >> np.uint64(40)).astype(np.int64)
+        hot = documents > self.limit
+        if hot.any():
+            salts = np.ceil(documents[hot] / self.limit).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                group[hot] = (mix(key[hot] + mix(reps[own[hot]].view(np.uint64)) % salts) % np.uint64(self.groups)).astype(np.int64)
+        kept = key >> np.uint64(self.shift)
+        rows = []
+        for flag in (False, True):
+            at = np.flatnonzero(hot == flag)
+            if not len(at):
+                continue
+            at = at[np.lexsort((kept[at], group[at]))] if flag else at[np.argsort(key[at], kind="stable")]
+            parts, first = np.unique(group[at], return_index=True)
+            for part, a, b in zip(parts.tolist(), first, [*first[1:], len(at)], strict=True):
+                used, place = np.unique(own[at[a:b]], return_inverse=True)
+                rows.append((part, flag, squeezed(np.diff(reps[used], prepend=0)), squeezed(sizes[used]), squeezed(tags[used]), squeezed(np.diff(kept[at[a:b]], prepend=np.uint64(0))), squeezed(place.astype(np.uint32))))
+        kinds = (pa.int32(), pa.bool_(), *(pa.binary(),) * 5)
+        names = [c.split()[0] for c in PACKED.split(", ")]
+        for at in range(0, len(rows), 64):
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64], strict=True), kinds, strict=True)], names=names)
+
+
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a group stand together. Gives (rep, n, token, low) of the postings that sets of several classes share, low being the smallest of these; of a
+    class the smallest set. All postings of tokens that are dealt out over groups."""
+
+    def found(parts: list[list[np.ndarray]], hot: bool) -> Iterator[pa.RecordBatch]:
+        first = np.cumsum([0, *(len(p[0]) for p in parts[:-1])])
+        reps, sizes, tags, token, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+        own = own + np.repeat(first, [len(p[4]) for p in parts])
+        if not hot:
+            order = np.argsort(token, kind="stable")
+            token, own = token[order], own[order]
+            twin = token[1:] == token[:-1]
+            some = np.append(twin, False) | np.append(False, twin)
+            token, own = token[some], own[some]
+        if not len(token):
+            return
+        rep, size, tag = reps[own], sizes[own], tags[own]
+        order = np.lexsort((rep, tag, size, token))
+        token, rep, size, tag = (x[order] for x in (token, rep, size, tag))
+        new_token, new_class = np.ones(len(token), bool), np.ones(len(token), bool)
+        new_token[1:] = token[1:] != token[:-1]
+        new_class[1:] = new_token[1:] | (size[1:] != size[:-1]) | (tag[1:] != tag[:-1])
+        group = np.cumsum(new_token) - 1
+        keep = rep == rep[new_class][np.cumsum(new_class) - 1]
+        if not hot:
+            keep &= np.bincount(group[new_class])[group] > 1
+        low = np.minimum.reduceat(rep, np.flatnonzero(new_token))[group]
+        out = [pa.array(x[keep].astype(t)) for x, t in ((rep, np.int64), (size, np.int32), (token, np.int64), (low, np.int64))]
+        whole = pa.record_batch(out, names=["rep", "n", "token", "low"])
+        for at in range(0, whole.num_rows, 1 << 16):
+            yield whole.slice(at, 1 << 16)
+
+    key, parts = None, []
+    for batch in batches:
+        part, hot = (batch.column(c).to_pylist() for c in ("part", "hot"))
+        for i in range(batch.num_rows):
+            if (part[i], hot[i]) != key:
+                if parts:
+                    yield from found(parts, key[1])
+                key, parts = (part[i], hot[i]), []
+            reps, sizes, tags, token, own = (unsqueezed(batch.column(c)[i], t) for c, t in (("reps", np.int64), ("sizes", np.uint32), ("tags", np.uint32), ("tokens", np.uint64), ("sets", np.uint32)))
+            parts.append([np.cumsum(reps), sizes, tags, np.cumsum(token), own])
+    if parts:
+        yield from found(parts, key[1])
 
 
 # --- the join --------------------------------------------------------------------------------------------------------
@@ -276,91 +388,108 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, class_id (the smallest doc_id with the same set) and component_id (the smallest that links reach) of every row."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = spark.sparkContext.broadcast(size_classes(docs, words))
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            sets = shingle_sets(*text_bytes(batch.column("text")), words)
-            digests = np.array([_digest(h) for h in sets], np.int64).reshape(-1, 2)
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=["doc_id", "n", "d1", "d2"])
+    counted = saved(signed_and_counted(docs, words))
+    table, shingles = size_classes(counted)
+    classes = context.broadcast(table)
 
     # classes of equal sets; copies within the common ones post nothing
-    signed = saved(docs.mapInArrow(sign, "doc_id long, n long, d1 long, d2 long"))
+    signed = counted.filter("slice is null").select("doc_id", "n", "d1", "d2")
     some = signed.filter("n > 0 and doc_id is not null")
     same = saved(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     members = saved(some.join(same, ["n", "d1", "d2"]).select("doc_id", "n", "rep"))
-    common = same.filter(F.col("copies") > max(1, signed.count() // COMMON)).select("d1", "d2", "rep").collect()  # COMMON rows at most
-    common = spark.sparkContext.broadcast({(r.d1, r.d2): r.rep for r in common})
+    documents, posted = same.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.col("copies") * F.ceil((100 - share) * F.col("n") / 100 + F.col("n") / MEET + 1)), F.lit(0))).collect()[0]
+    common = same.filter(F.col("copies") > max(1, documents // COMMON)).select("d1", "d2", "rep").collect()  # COMMON rows at most
+    common = context.broadcast({(r.d1, r.d2): r.rep for r in common})
+    groups, shift, limit = max(1, -(-posted // GROUP)), max(0, 48 - SPARE - int(posted).bit_length()), float(max(HOT, shingles >> 14))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Postings(groups, shift, limit)
         for batch in chunks(batches):
-            keep, sizes, lists = [], [], []
             for d, h in zip(batch.column("doc_id").to_pylist(), shingle_sets(*text_bytes(batch.column("text")), words), strict=True):
-                if len(h) and d is not None and common.value.get(_digest(h), d) == d:
-                    keep.append(d)
-                    sizes.append(len(h))
-                    lists.append(_tokens(h, classes.value)[: prefix_length(len(h), share)])
-            yield pa.record_batch([pa.array(keep, pa.int64()), pa.array(sizes, pa.int32()), _list(lists)], names=["rep", "n", "tokens"])
-
-    # tokens that several sets post, of sets that meet enough of them; each set's lead
+                if len(h) and d is not None:
+                    digest = _digest(h)
+                    if common.value.get(digest, d) == d:
+                        held.add(d, len(h), digest[0], _tokens(h, classes.value)[: prefix_length(len(h), share)])
+            if held.count > HELD:
+                yield from held.sent()
+        yield from held.sent()
+
+    # tokens that sets of several classes post, of sets that meet enough of them; each set's lead
     need = F.greatest(F.lit(1), F.floor(share * F.col("n") / (100 * MEET)))  # least_met of the smallest partner
-    posts = docs.mapInArrow(post, "rep long, n int, tokens array<long>").select("rep", "n", F.explode("tokens").alias("token"))
-    by = Window.partitionBy("token")
-    posts = posts.select("rep", "n", "token", F.min("rep").over(by).alias("low"), F.max("rep").over(by).alias("high")).filter("low < high").drop("high")
-    copies = members.filter("doc_id <> rep").select(F.col("doc_id").alias("rep")).distinct()  # within the classes that aren't common
+    posts = docs.mapInArrow(post, PACKED).repartition("part", "hot").sortWithinPartitions("part", "hot").mapInArrow(shared, "rep long, n int, token long, low long")
     by = Window.partitionBy("rep")
-    posts = posts.join(copies, "rep", "left_anti").withColumn("with_low", F.count("*").over(Window.partitionBy("rep", "low")))
-    posts = posts.withColumn("all", F.count("*").over(by)).withColumn("best", F.max(F.struct("with_low", -F.col("low"))).over(by)).filter(F.col("all") >= need)
+    posts = posts.repartition("rep").withColumn("all", F.count("*").over(by)).filter(F.col("all") >= need)
+    posts = posts.withColumn("with_low", F.count("*").over(Window.partitionBy("rep", "low")))
+    posts = posts.withColumn("best", F.max(F.struct("with_low", -F.col("low"))).over(by))
     posts = saved(posts.select("rep", "n", "token", (-F.col("best.col2")).alias("lead"), (F.col("best.with_low") >= need).alias("hopeful")))
+    classes.unpersist()
+    common.unpersist()
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        """wanted (rep, ...) with the sets, from the texts again."""
+        bits = id_filter(wanted, "rep")
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.filter(holds(bits.value, batch.column("_at")))
+                for part in chunks(iter([own])):
+                    found = shingle_sets(*text_bytes(part.column("text")), words)
+                    yield pa.record_batch([part.column("rep"), pa.array([packed(h) for h in found], pa.binary())], names=["rep", "set"])
+
+        given = docs.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text", id_bit("doc_id").alias("_at"))
+        return given.mapInArrow(whole, "rep long, set binary").join(wanted, "rep")
+
+    # those linked with their lead; a lead with many is compared in parts
+    lead = saved(posts.groupBy("rep", "n", "lead", "hopeful").agg(F.count("*").alias("posts")))
+    own = lead.filter("rep <> lead and hopeful").select("rep", "lead")
+    size = own.groupBy("lead").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    mine = own.join(size, "lead").select("rep", "lead", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), F.lit(1).alias("turn"))
+    theirs = size.select(F.col("lead").alias("rep"), "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("turn"))
 
-    # blocks of sets with one lead; the sets that meet enough tokens of another block, or of others in their own, while some there meet theirs
-    lead = posts.select("rep", "lead", "hopeful").distinct()
-    size = lead.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    lead = lead.join(size, "lead").withColumn("part", F.pmod(F.xxhash64("rep"), "parts")).drop("parts").withColumn("block", F.xxhash64("lead", "part"))
-    lead = saved(lead)
-    own = posts.select("rep", "n", "token").join(lead.select("rep", "block"), "rep").repartition("token")
-    held = own.groupBy("token", F.col("block").alias("other")).agg(F.count("*").alias("sets"))
-    met = own.join(held, "token").filter("block <> other or sets > 1").groupBy("rep", "n", "block", "other").count().filter(F.col("count") >= need)
-    met = saved(met.select("rep", "block", "other"))
-    back = met.select(F.col("other").alias("block"), F.col("block").alias("other")).distinct()
-    met = saved(met.join(back, ["block", "other"], "left_semi"))
-    lead = lead.join(met.select("rep").distinct(), "rep", "left_semi")
-    lead = saved(lead.join(size.select(F.col("lead").alias("rep"), "parts"), "rep", "left"))  # parts: of those that it leads
-
-    # their whole sets, from the texts again
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            sets = shingle_sets(*text_bytes(part.column("text")), words)
-            yield pa.record_batch([part.column("rep"), pa.array([packed(h) for h in sets], pa.binary())], names=["rep", "set"])
-
-    given = maybe_in(docs.select(F.col("doc_id").alias("rep"), "text").filter("rep is not null"), "rep", id_filter(lead, "rep"))
-    sets = saved(given.mapInArrow(whole, "rep long, set binary").join(lead, "rep"))
-
-    # those linked with their lead
     def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
         for batch in batches:
-            keep = [linked(unpacked(x), unpacked(y), share) for x, y in zip(batch.column("set"), batch.column("theirs"), strict=True)]
-            yield pa.record_batch(batch.columns[:2], names=["rep", "lead"]).filter(pa.array(keep, pa.bool_()))
-
-    leads = sets.filter("parts is not null").select(F.col("rep").alias("lead"), F.col("set").alias("theirs"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    star = sets.filter("rep <> lead and hopeful").join(leads, ["lead", "part"]).select("rep", "lead", "set", "theirs").mapInArrow(starred, "rep long, lead long")
-    star = saved(star.distinct())
-
-    # each block in two: those linked with their lead, who need no comparison among themselves, and the others
-    near = F.coalesce("near", F.expr("rep = lead"))
-    halves = saved(lead.join(star.select("rep", F.lit(True).alias("near")), "rep", "left").select("rep", "lead", "block", near.alias("near")))
-    others = halves.select(F.col("block").alias("other"), F.col("lead").alias("lead2"), F.col("near").alias("near2")).distinct()
-    pairs = met.join(halves.drop("block"), "rep").join(others, "other").filter("not (near and near2 and lead = lead2)")
-    pairs = pairs.select("rep", F.xxhash64("block", "near").alias("mine"), F.xxhash64("other", "near2").alias("theirs"))
-    pairs = saved(pairs.select("rep", F.least("mine", "theirs").alias("one"), F.greatest("mine", "theirs").alias("two"), F.when(F.col("mine") <= F.col("theirs"), 0).otherwise(1).alias("side")))
+            keep = []
+            for turn, x in zip(batch.column("turn").to_pylist(), batch.column("set"), strict=True):
+                if not turn:
+                    first = unpacked(x)
+                keep.append(bool(turn) and linked(unpacked(x), first, share))
+            yield pa.record_batch([batch.column("rep"), batch.column("lead")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    star = sets(saved(mine.unionByName(theirs))).repartition("lead", "part").sortWithinPartitions("lead", "part", "turn").select("rep", "lead", "turn", "set")
+    star = saved(star.mapInArrow(starred, "a long, b long").distinct())
+
+    # groups: what these links join, which needs no comparison within, and blocks of the others of a lead
+    joined = labels(star, saved).select(F.col("node").alias("rep"), F.col("component").alias("whole"))
+    place = lead.select("rep", "n", "lead").join(joined, "rep", "left").withColumn("whole", F.coalesce("whole", F.lit(-1)))
+    place = place.withColumn("one", F.col("whole") >= 0).withColumn("base", F.when(F.col("one"), F.xxhash64("whole", F.lit(1))).otherwise(F.xxhash64("lead", F.lit(0))))
+    sized = place.groupBy("base").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / TOKENS)).alias("parts"))
+    place = place.join(sized, "base").select("rep", "base", "one", F.xxhash64("base", F.pmod(F.xxhash64("rep"), "parts")).alias("block"))
+
+    # sets that meet enough tokens of another group, or of others in their own, while some there meet theirs
+    own = saved(posts.select("rep", "n", "token").join(place, "rep"))
+    several = own.groupBy("token").agg(F.min("base").alias("l"), F.max("base").alias("h"), F.min("one").alias("one"), F.count("*").alias("k")).filter("l < h or not one and k > 1")
+    own = saved(own.join(several.select("token"), "token", "left_semi"))
+    held = own.groupBy("token", F.col("base").alias("other")).agg(F.count("*").alias("k"))
+    far = own.join(held, "token").filter("base <> other or not one and k > 1").groupBy("rep", "n", "base", "other").count().filter(F.col("count") >= need)
+    far = saved(far.select("rep", "base", "other"))
+    far = saved(far.join(far.select(F.col("other").alias("base"), F.col("base").alias("other")).distinct(), ["base", "other"], "left_semi"))
+
+    # the same by blocks
+    own = own.join(far.select("rep").distinct(), "rep", "left_semi")
+    held = own.groupBy("token", F.col("base").alias("other"), F.col("block").alias("theirs")).agg(F.count("*").alias("k"))
+    met = own.join(held, "token").filter("block <> theirs or k > 1").join(far.select("rep", "other"), ["rep", "other"])
+    met = met.groupBy("rep", "n", "block", "theirs").count().filter(F.col("count") >= need)
+    side = F.when(F.col("block") <= F.col("theirs"), 0).otherwise(1)
+    pairs = saved(met.select("rep", F.least("block", "theirs").alias("one"), F.greatest("block", "theirs").alias("two"), side.alias("side")))
     both = pairs.groupBy("one", "two").agg(F.min("side").alias("l"), F.max("side").alias("h"), F.count("*").alias("k")).filter("l < h or one = two and k > 1").select("one", "two")
-    sides = pairs.join(both, ["one", "two"], "left_semi").join(sets.select("rep", "set"), "rep").select("one", "two", "side", "rep", "set")
-    found = sides.repartition("one", "two").sortWithinPartitions("one", "two").mapInArrow(lambda batches: _compare(batches, share), "a long, b long")
+    pairs = saved(pairs.join(both, ["one", "two"], "left_semi"))
+    sides = sets(pairs).select("one", "two", "side", "rep", "set").repartition("one", "two").sortWithinPartitions("one", "two")
+    found = sides.mapInArrow(lambda batches: _compare(batches, share), "a long, b long")
 
-    links = star.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).union(found)
-    label = components(links).select(F.col("node").alias("rep"), "component")
+    label = labels(star.union(found), saved).select(F.col("node").alias("rep"), "component")
     grouped = members.join(label, "rep", "left").select("doc_id", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     alone = signed.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return grouped.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
