@@ -1,11 +1,12 @@
 """Best-fit packing of token sequences, by bin completion over lengths.
 
 Only lengths decide a packing, so the plan is made on their histogram: at most as many entries as a sequence has tokens,
-whatever the number of documents. Around the largest length left, fillings are enumerated from large to small lengths;
-a filling that another one dominates (a length replaced by a larger one that fits as well) is never better and is
-skipped, a filling with more waste than the incumbent's is cut off, and the best-fit filling is the first incumbent. A
-filling is used as often as the counts allow. The last pieces are solved exactly by branch and bound over the same
-fillings: a branch ends when its waste rules out fewer sequences than the incumbent has.
+whatever the number of documents. Best fit by falling lengths, equal sequences at a time, is the first incumbent. If it needs more sequences than
+the lower bound, branch and bound looks for fewer: around the largest length left, fillings are enumerated by rising waste, large lengths first; one that another
+dominates (a length left out could stand for a smaller one that is in, or would still fit) is skipped, and a branch ends when its waste
+leaves no way to fewer sequences than the incumbent has. A filling is used as often as the counts allow; with at most LAST pieces left all
+fillings are enumerated and used once each. The search ends at the lower bound, or after LOOKS steps: the plan is never worse than best fit, and
+planning time doesn't grow with the documents.
 
 Documents find their places by rank among those of their length, counted in parts of bounded size, so nothing but the
 histogram and the plan passes through the driver and no length gathers in a task.
@@ -30,24 +31,75 @@ from .common import chunks, saved, small_batches
 
 CAPACITY, END = 4096, 1
 #: Pieces that one task ranks.
-RANKED = 200_000
-#: Branch and bound: on so many last pieces, over so many nodes; fillings looked at for one sequence.
-LAST, NODES, LOOKED = 40, 20_000, 400
+RANKED = 1000
+#: Branch and bound: steps in all, steps for the fillings of one sequence, pieces left from which on all fillings are enumerated.
+LOOKS, LOOKED, LAST = 200_000, 400, 40
+
+Filling = tuple[tuple[int, int], ...]
 
 
 class Run(NamedTuple):
     """A filling, the number of each length in a sequence, for so many sequences from a first one on."""
 
-    filling: tuple[tuple[int, int], ...]
+    filling: Filling
     first: int
     times: int
 
 
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
+    """Best fit by falling lengths: (filling, times). Each piece goes where the least room is left that holds it."""
+    held: dict[int, list[tuple[Filling, int]]] = {}
+    some = np.zeros(capacity + 1, bool)
+
+    def put(room: int, filling: Filling, times: int) -> None:
+        if times:
+            held.setdefault(room, []).append((filling, times))
+            some[room] = True
+
+    for a in sorted(histogram, reverse=True):
+        n = histogram[a]
+        while n:
+            room = a + int(some[a:].argmax())
+            if some[room]:
+                filling, times = held[room].pop()
+                some[room] = bool(held[room])
+            else:
+                room, filling, times = capacity, (), n
+            k = room // a  # a sequence stays the one with the least room as long as it holds another
+            full = min(times, n // k)
+            put(room - k * a, (*filling, (a, k)), full)
+            n -= full * k
+            if full < times and n:
+                put(room - n * a, (*filling, (a, n)), 1)
+                full, n = full + 1, 0
+            if filling:
+                put(room, filling, times - full)
+    return [x for runs in held.values() for x in runs]
+
+
+def least_sequences(histogram: dict[int, int], capacity: int) -> int:
+    """A lower bound: by tokens; by pieces of which only so many fit together; by large pieces and what doesn't fit beside them."""
+    count = np.zeros(capacity + 1, np.int64)
+    for a, n in histogram.items():
+        count[a] += n
+    tokens = count * np.arange(capacity + 1)
+    above, half = np.cumsum(count[::-1])[::-1], capacity // 2
+    best = -(-int(tokens.sum()) // capacity)
+    for k in range(1, min(capacity, 64) + 1):
+        best = max(best, -(-int(above[capacity // (k + 1) + 1]) // k))
+    until, pieces = np.cumsum(tokens), np.cumsum(count)
+    for small in range(1, half + 1):
+        most = capacity - small  # pieces over half of a sequence and up to this one leave room for small ones
+        room = int(pieces[most] - pieces[half]) * capacity - int(until[most] - until[half])
+        best = max(best, int(above[half + 1]) + max(0, -(-(int(until[half] - until[small - 1]) - room) // capacity)))
+    return best
+
+
 class Lengths:
     """Counts of the lengths left."""
 
     def __init__(self, histogram: dict[int, int], capacity: int):
-        self.capacity = capacity
+        self.capacity, self.looked = capacity, 0
         self.count = np.zeros(capacity + 1, np.int64)
         for length, n in histogram.items():
             self.count[length] += n
@@ -57,151 +109,149 @@ class Lengths:
         k = np.flatnonzero(self.count[1 : most + 1])
         return int(k[-1]) + 1 if len(k) else 0
 
-    def best_fit(self, room: int) -> list[int]:
-        """Largest first as long as something fits."""
-        out: list[int] = []
-        while room and (a := self.largest(room)):
-            self.count[a] -= 1
-            out.append(a)
-            room -= a
-        for a in out:
-            self.count[a] += 1
-        return out
-
-    def filling(self, room: int, most: int = LOOKED) -> list[int]:
-        """A filling of the room with the least waste found: one length, then two, then more, from large ones on."""
-        if not room or self.count[room]:
-            return [room] if room else []
-        best, waste = self.best_fit(room), 0
-        waste = room - sum(best)
-        looked = 0
-
-        def pair(room: int) -> list[int] | None:
-            """Two lengths that fill the room, the first as large as can be."""
-            low = (room + 1) // 2
-            a = np.flatnonzero((self.count[low:room] > 0) & (self.count[room - low : 0 : -1] > 0)) + low
-            if len(a) and not (a[-1] * 2 == room and self.count[a[-1]] < 2):
-                return [int(a[-1]), room - int(a[-1])]
-            return None
-
-        def search(room: int, bound: int, depth: int) -> list[int] | None:
-            nonlocal looked
-            if self.count[room]:
-                return [room]
-            if found := pair(room):
-                return found
-            if not depth:
-                return None
-            a = self.largest(min(bound, room - 1))
-            while a and looked < most:
-                looked += 1
-                self.count[a] -= 1
-                found = search(room - a, a, depth - 1)
-                self.count[a] += 1
-                if found:
-                    return [a, *found]
-                a = self.largest(a - 1)
-            return None
-
-        slack = 0
-        while slack < waste and looked < most:  # fillings of the least waste first
-            if found := search(room - slack, room, 2):
-                return found
-            slack += 1
-        return best
-
-
-def exact(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Branch and bound over the fillings around the largest length of each sequence."""
-    items = sorted(lengths, reverse=True)
-    total = sum(items)
-
-    def best_fit() -> list[list[int]]:
-        bins: list[list[int]] = []
-        for x in items:
-            fits = [b for b in bins if sum(b) + x <= capacity]
-            if fits:
-                max(fits, key=sum).append(x)
-            else:
-                bins.append([x])
-        return bins
+    def use(self, filling: Filling, times: int) -> None:
+        for a, m in filling:
+            self.count[a] -= m * times
 
-    best = best_fit()
-    least = max(-(-total // capacity), sum(2 * x > capacity for x in items))
-    left_nodes = nodes
+    def fillings(self, first: int, waste: int) -> Iterator[tuple[Filling, int]]:
+        """Undominated fillings around a first piece that waste at most so much, by rising waste, with the waste of each."""
+        count, room = self.count.copy(), self.capacity - first
+        count[first] -= 1
+        if count.sum() < LAST:
+            yield from self._all(count, first, room, waste)
+            return
+        stop = self.looked + LOOKED
+        taken = [first]
+        while (a := self._fits(count, room)) and room > 3 * a:  # what three more pieces can't fill takes large ones
+            count[a] -= 1
+            taken.append(a)
+            room -= a
+        for over in range(min(waste, room) + 1):
+            for found in self._exact(count, room - over, room - over, 2, stop):
+                if not over or not self._dominated(count, found, over):
+                    yield tuple(sorted(Counter(taken + found).items(), reverse=True)), over
+            if self.looked > stop:
+                break
+        rest = []  # best fit, where the search above found nothing of the kind
+        while a := self._fits(count, room):
+            count[a] -= 1
+            rest.append(a)
+            room -= a
+        if room <= waste:
+            yield tuple(sorted(Counter(taken + rest).items(), reverse=True)), room
 
-    def fillings(items: list[int], room: int) -> list[list[int]]:
-        """Undominated subsets of descending items within the room, least waste first."""
-        out: list[list[int]] = []
+    @staticmethod
+    def _fits(count: np.ndarray, room: int) -> int:
+        k = np.flatnonzero(count[1 : room + 1])
+        return int(k[-1]) + 1 if len(k) else 0
 
-        def go(i: int, room: int, taken: list[int], skipped: list[int]) -> None:
-            if len(out) > 200:
-                return
-            while i < len(items) and items[i] > room:
-                i += 1
-            if i == len(items):
-                # dominated if a length left out could stand for a smaller one that is in
-                if not any(s > t and s - t <= room for s in skipped for t in taken) and not any(s <= room for s in skipped):
-                    out.append(taken)
-                return
-            go(i + 1, room - items[i], [*taken, items[i]], skipped)
-            j = i
-            while j < len(items) and items[j] == items[i]:
-                j += 1
-            go(j, room, taken, [*skipped, items[i]])
-
-        go(0, room, [], [])
-        return sorted(out, key=lambda f: room - sum(f))
-
-    def branch(items: list[int], bins: list[list[int]], waste: int) -> None:
-        nonlocal best, left_nodes
-        if not items:
-            if len(bins) < len(best):
-                best = bins
-            return
-        left_nodes -= 1
-        if left_nodes < 0 or len(best) == least:
-            return
-        # fewer sequences than the incumbent leave only so much waste
-        if waste > (len(best) - 1) * capacity - total or len(bins) + -(-sum(items) // capacity) >= len(best):
+    def _exact(self, count: np.ndarray, room: int, bound: int, depth: int, stop: int) -> Iterator[list[int]]:
+        """Pieces of at most the bound that fill the room: one, two, or so many more, large ones first."""
+        self.looked += 1
+        if not room:
+            yield []
             return
-        first, rest = items[0], items[1:]
-        for f in fillings(rest, capacity - first):
-            room = capacity - first - sum(f)
-            left = Counter(rest) - Counter(f)
-            branch(sorted(left.elements(), reverse=True), [*bins, [first, *f]], waste + room)
-            if left_nodes < 0 or len(best) == least:
+        if room <= bound and count[room]:
+            yield [room]
+        low, high = (room + 1) // 2, min(bound, room - 1)
+        if low <= high:
+            pair = np.flatnonzero((count[low : high + 1] > 0) & (count[room - high : room - low + 1][::-1] > 0)) + low
+            for a in pair[::-1].tolist():
+                if 2 * a != room or count[a] > 1:
+                    yield [a, room - a]
+        if depth:
+            for a in (np.flatnonzero(count[1 : high + 1]) + 1)[::-1].tolist():
+                if self.looked > stop or a * (depth + 2) < room:
+                    return
+                count[a] -= 1
+                for more in self._exact(count, room - a, a, depth - 1, stop):
+                    if len(more) > 1:
+                        count[a] += 1
+                        yield [a, *more]
+                        count[a] -= 1
+                count[a] += 1
+
+    @staticmethod
+    def _dominated(count: np.ndarray, filling: list[int], waste: int) -> bool:
+        left = count.copy()
+        for a in filling:
+            left[a] -= 1
+        return bool((left[1 : waste + 1] > 0).any()) or any((left[a + 1 : a + waste + 1] > 0).any() for a in set(filling))
+
+    def _all(self, count: np.ndarray, first: int, room: int, waste: int) -> Iterator[tuple[Filling, int]]:
+        """All undominated fillings with few pieces left."""
+        lengths = (np.flatnonzero(count[1 : room + 1]) + 1)[::-1].tolist()
+        out: list[tuple[int, list[int]]] = []
+        stop = self.looked + 50 * LOOKED
+
+        def go(i: int, room: int, taken: list[int]) -> None:
+            self.looked += 1
+            while i < len(lengths) and lengths[i] > room:
+                i += 1
+            if i == len(lengths):
+                if room <= waste and not self._dominated(count, taken, room):
+                    out.append((room, taken))
                 return
+            a = lengths[i]
+            for k in range(min(int(count[a]), room // a), -1, -1):
+                if self.looked <= stop:
+                    go(i + 1, room - k * a, taken + [a] * k)
+
+        go(0, room, [])
+        for over, taken in sorted(out, key=lambda x: x[0]):
+            yield tuple(sorted(Counter([first, *taken]).items(), reverse=True)), over
+
 
-    branch(items, [], 0)
+def completed(histogram: dict[int, int], capacity: int, best: list[tuple[Filling, int]], least: int, looks: int = LOOKS) -> list[tuple[Filling, int]]:
+    """Branch and bound for fewer sequences than the incumbent has."""
+    left = Lengths(histogram, capacity)
+    tokens, pieces = sum(a * n for a, n in histogram.items()), sum(histogram.values())
+    most = sum(times for _, times in best)
+    open_ones: list[Iterator[tuple[Filling, int]]] = []  # the fillings not yet tried, of each sequence begun
+    taken: list[tuple[Filling, int, int]] = []
+    waste = 0
+
+    def undo() -> None:
+        nonlocal waste, pieces
+        filling, times, over = taken.pop()
+        left.use(filling, -times)
+        waste -= over * times
+        pieces += times * sum(m for _, m in filling)
+
+    while most > least and left.looked <= looks:
+        allowed = (most - 1) * capacity - tokens
+        if len(taken) == len(open_ones):
+            first = left.largest(capacity)
+            if not first:
+                best, most = [(f, n) for f, n, _ in taken], sum(n for _, n, _ in taken)
+                undo()
+                continue
+            open_ones.append(left.fillings(first, allowed - waste))
+        filling, over = next(open_ones[-1], ((), 0))
+        if not filling or waste + over > allowed:
+            open_ones.pop()
+            if not taken:
+                break
+            undo()
+            continue
+        times = 1 if pieces <= LAST else min(int(left.count[a]) // m for a, m in filling)
+        if over:
+            times = min(times, (allowed - waste) // over)
+        left.use(filling, times)
+        waste += over * times
+        pieces -= times * sum(m for _, m in filling)
+        taken.append((filling, times, over))
     return best
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
-    left = Lengths(histogram, capacity)
-    runs: list[Run] = []
-    first = 0
-
-    def use(filling: list[int], times: int) -> None:
-        nonlocal first
-        counted = tuple(sorted(Counter(filling).items(), reverse=True))
-        for a, m in counted:
-            left.count[a] -= m * times
-        runs.append(Run(counted, first, times))
+    best, least = best_fit(histogram, capacity), least_sequences(histogram, capacity)
+    if sum(times for _, times in best) > least:
+        best = completed(histogram, capacity, best, least)
+    runs, first = [], 0
+    for filling, times in best:
+        runs.append(Run(filling, first, times))
         first += times
-
-    while (n := int(left.count.sum())) > LAST:
-        a = left.largest(capacity)
-        left.count[a] -= 1
-        filling = [a, *left.filling(capacity - a)]
-        left.count[a] += 1
-        times = min(int(left.count[x]) // m for x, m in Counter(filling).items())
-        # leave the last pieces to the exact search
-        use(filling, max(1, min(times, -(-(n - LAST) // len(filling)))))
-    last = np.flatnonzero(left.count)
-    if len(last):
-        for b in exact(np.repeat(last, left.count[last]).tolist(), capacity):
-            use(b, 1)
     return runs
 
 
@@ -240,11 +290,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -
     places.sort()
     table = cut.sparkSession.sparkContext.broadcast(np.array(places, np.int64).reshape(-1, 5))
 
-    parts = {a: -(-n // RANKED) for a, n in histogram.items() if n > RANKED}
-    salted = cut.withColumn("salt", F.lit(0))
-    if parts:
-        many = F.create_map(*(F.lit(x) for pair in parts.items() for x in pair))
-        salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce(many[F.col("length")], F.lit(1))).cast("int"))
+    parts = [(a, -(-n // RANKED)) for a, n in histogram.items()]  # a row for each length
+    many = cut.sparkSession.createDataFrame(parts, "length long, parts int")
+    salted = cut.join(F.broadcast(many), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "parts").cast("int")).drop("parts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "salt").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")

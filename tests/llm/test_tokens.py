@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import public_tokenizers
@@ -93,3 +94,52 @@ def test_plan_finds_the_least_number():
                 used[a] = used.get(a, 0) + m * r.times
         assert used == histogram
         assert sum(r.times for r in runs) == least_bins(lengths, 30)
+
+
+def uses(runs):
+    used = {}
+    for r in runs:
+        for a, m in r.filling:
+            used[a] = used.get(a, 0) + m * r.times
+    return used
+
+
+@pytest.mark.parametrize("low, high, n", [(600, 2499, 1500), (1, 4096, 1000), (2049, 4096, 2000), (1400, 2000, 2000), (100, 1500, 2000), (1, 200, 50_000), (700, 3000, 300), (4096, 4096, 7)])
+def test_plan_is_never_worse_than_best_fit(low, high, n):
+    lengths, counts = np.unique(np.random.default_rng(n).integers(low, high + 1, n), return_counts=True)
+    histogram = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+    rooms = []  # best fit by falling lengths, piece by piece
+    for a in sorted(np.repeat(lengths, counts).tolist(), reverse=True):
+        fits = [k for k, r in enumerate(rooms) if r >= a] if n <= 2000 else []
+        if fits:
+            rooms[min(fits, key=lambda k: rooms[k])] -= a
+        else:
+            rooms.append(4096 - a)
+    began = time.time()
+    runs = packing.plan(histogram)
+    assert time.time() - began < 60
+    assert uses(runs) == histogram and all(sum(a * m for a, m in r.filling) <= 4096 for r in runs)
+    found = sum(r.times for r in runs)
+    assert packing.least_sequences(histogram, 4096) <= found <= len(rooms)
+
+
+def test_bulk_best_fit_equals_piece_by_piece():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        lengths, counts = np.unique(rng.integers(1, 40, rng.integers(1, 200)), return_counts=True)
+        rooms = []
+        for a in sorted(np.repeat(lengths, counts).tolist(), reverse=True):
+            fits = [k for k, r in enumerate(rooms) if r >= a]
+            if fits:
+                rooms[min(fits, key=lambda k: rooms[k])] -= a
+            else:
+                rooms.append(64 - a)
+        found = packing.best_fit(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), 64)
+        assert sum(times for _, times in found) == len(rooms)
+
+
+def test_lower_bound_holds():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        lengths = rng.integers(1, 30, rng.integers(1, 9)).tolist()
+        assert packing.least_sequences({a: lengths.count(a) for a in lengths}, 30) <= least_bins(lengths, 30)
