@@ -138,18 +138,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(20, int(n).bit_length())
-        for k, base in enumerate((BASE, INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers
+#: Bytes whose hashes are summed at a time.
+SPAN = 1 << 19
+with np.errstate(over="ignore"):
+    UP, DOWN = (np.concatenate(([np.uint64(1)], np.cumprod(np.full(SPAN, x), dtype=np.uint64))) for x in (BASE, INVERSE))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,12 +160,19 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPAC
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans with A-Z lower-cased: a polynomial over random byte values, from running sums."""
-    up, down = powers(len(data) + 1)
+    """64-bit hashes of the spans (in order, apart from each other) with A-Z lower-cased: a polynomial over random byte values, from running sums."""
+    out = np.zeros(len(start), np.uint64)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE[LOWER[data]] * up[: len(data)], out=total[1:])
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        for at in range(0, len(data), SPAN):
+            own = data[at : at + SPAN]
+            total = np.concatenate(([np.uint64(0)], np.cumsum(BYTE[LOWER[own]] * UP[: len(own)], dtype=np.uint64)))
+            low, high = (0, len(start)) if len(data) <= SPAN else (np.searchsorted(end, at, side="right"), np.searchsorted(start, at + len(own)))
+            s, e = np.maximum(start[low:high] - at, 0), np.minimum(end[low:high] - at, len(own))
+            scale = DOWN[s]
+            if high > low and start[low] < at:  # it began before
+                scale[0] = np.uint64(pow(int(BASE), int(at - start[low]), 1 << 64))
+            out[low:high] += (total[e] - total[s]) * scale
+        return mix(out + (end - start).astype(np.uint64))
 
 
 def hash_word(word: bytes) -> int:

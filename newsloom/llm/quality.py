@@ -103,20 +103,22 @@ class Features:
         return np.concatenate([np.cos(z @ self.turn + self.shift) * np.sqrt(2 / len(self.shift)), np.ones((len(x), 1))], axis=1)
 
 
-def solve(train: DataFrame, features: Features, ridge: float = RIDGE) -> np.ndarray:
-    """Ridge weights from train (X, label): normal equations summed in each partition, then by slices of their rows."""
+def normal_sums(train: DataFrame, features: Features) -> np.ndarray:
+    """Of train (X, label, part) the normal equations of either part: summed in each partition, then by slices of their rows."""
     n = len(features.shift) + 1
-    cut = np.linspace(0, n, SLICES + 1).astype(int)
+    cut = np.linspace(0, 2 * n, SLICES + 1).astype(int)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n, n + 1))
+        total = np.zeros((2, n, n + 1))
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                z = features(matrix(part.column(X), len(STATISTICS)))
-                total += z.T @ np.column_stack([z, part.column("label").to_numpy()])
+                rows = batch.slice(at, 4096)
+                z, part, label = features(matrix(rows.column(X), len(STATISTICS))), rows.column("part").to_numpy(), rows.column("label").to_numpy()
+                for k in (0, 1):
+                    total[k] += z[part == k].T @ np.column_stack([z[part == k], label[part == k]])
         if total.any():
-            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([total[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["slice", "sums"])
+            both = total.reshape(2 * n, n + 1)
+            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([both[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["slice", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -126,26 +128,34 @@ def solve(train: DataFrame, features: Features, ridge: float = RIDGE) -> np.ndar
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "sums"])
 
     schema = "slice int, sums binary"
-    rows = train.select(X, "label").mapInArrow(partial, schema).repartition("slice").mapInArrow(add, schema).collect()  # SLICES rows of fixed size
-    both = np.concatenate([np.frombuffer(r["sums"]) for r in sorted(rows, key=lambda r: r["slice"])]).reshape(n, n + 1)
-    left = both[:, :-1] + ridge * both[-1, -2] * np.eye(n) / n
-    return np.linalg.solve(left, both[:, -1])
+    rows = train.select(X, "label", "part").mapInArrow(partial, schema).repartition("slice").mapInArrow(add, schema).collect()  # SLICES rows of fixed size
+    return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(rows, key=lambda r: r["slice"])]).reshape(2, n, n + 1)
+
+
+def solved(sums: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Ridge weights from summed normal equations."""
+    n = len(sums)
+    return np.linalg.solve(sums[:, :-1] + ridge * max(sums[-1, -2], 1.0) * np.eye(n) / n, sums[:, -1])
 
 
 def model(rows: DataFrame, labels: DataFrame, learns: Column) -> tuple[Callable[[np.ndarray], np.ndarray], Callable[[DataFrame], DataFrame]]:
-    """From rows (doc_id, X) and labels (doc_id, quality) the raw score of statistics, and what adds SCORE to rows with RAW."""
-    train = saved(labelled(rows, labels, "quality", learns))
+    """From rows (doc_id, X) and labels (doc_id, quality) the raw score of statistics, and what adds SCORE to rows with RAW. The calibration is learned from
+    raw scores of rows that their model hasn't seen: each half of the training fold is scored by the weights of the other."""
+    train = saved(labelled(rows, labels, "quality", learns).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int")))
     wide = range(len(STATISTICS))
     moments = train.agg(F.count("*"), *(F.avg(F.col(X)[k]) for k in wide), *(F.stddev_pop(F.col(X)[k]) for k in wide)).collect()[0]
     if not moments[0]:
         return lambda x: np.full(len(x), 0.5), calibration(train.withColumn(RAW, F.lit(0.5)))
     features = Features(np.array(moments[1 : 1 + len(wide)]), np.array(moments[1 + len(wide) :]))
-    weights = solve(train, features)
+    sums = normal_sums(train, features)
 
-    def raw(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([features(x[at : at + 4096]) @ weights for at in range(0, len(x), 4096)]) if len(x) else np.zeros(0)
+    def scorer(sums: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        weights = solved(sums)
+        return lambda x: np.concatenate([features(x[at : at + 4096]) @ weights for at in range(0, len(x), 4096)]) if len(x) else np.zeros(0)
 
-    return raw, calibration(with_raw(train, raw))
+    raw = scorer(sums.sum(axis=0))
+    halves = [with_raw(train.filter(F.col("part") == k), scorer(sums[1 - k]) if sums[1 - k].any() else raw) for k in (0, 1)]
+    return raw, calibration(halves[0].unionByName(halves[1]))
 
 
 def with_raw(rows: DataFrame, raw: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

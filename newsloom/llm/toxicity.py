@@ -3,7 +3,8 @@
 The features are densities of a fixed lexicon and of a learned one (whole words and word beginnings, which hold for inflected
 forms), how near its words stand to the second person, capitals, exclamation and other marks, and words that look
 obfuscated (letters broken by digits or signs, single letters in a row, one letter repeated). The learned lexicon comes
-from one half of the training fold and the trees from the other, so that the densities mean the same for new texts.
+from one half of the training fold and the trees from the other, so that the densities mean the same for new texts. The calibration is learned from raw scores
+of rows that their trees haven't seen: each half of these rows is scored by trees from the other.
 
 Learning uses at most SAMPLE labelled rows for each half, chosen by a hash of their ids; scoring uses all rows and whole texts.
 
@@ -166,19 +167,23 @@ def learned_lexicon(docs: DataFrame, labels: DataFrame, learns: Column) -> tuple
 def model(rows: DataFrame, labels: DataFrame, learns: Column, count: int) -> Callable[[DataFrame], DataFrame]:
     """From rows (doc_id, X) and labels (doc_id, toxic), the half that the lexicon doesn't come from, what adds RAW and SCORE to rows with X."""
     other = labelled(rows, labels, "toxic", learns).filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 1)
-    train = saved(sampled(other, SAMPLE, count // 2))
+    train = saved(sampled(other, SAMPLE, count // 2).withColumn("_half", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).cast("int")))
     low, high, mean = train.agg(F.min("label"), F.max("label"), F.avg("label")).collect()[0]
     if low == high:
         raw = 0.5 if mean is None else mean
         return lambda rows: calibration(train.withColumn(RAW, F.lit(raw)))(rows.withColumn(RAW, F.lit(raw)))
     trees = GBTClassifier(featuresCol="_v", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, minInstancesPerNode=10, seed=17, maxMemoryInMB=64, predictionCol="_c")
     trees = trees.setRawPredictionCol("_rp").setProbabilityCol("_p")
-    fitted = trees.fit(train.select(array_to_vector(X).alias("_v"), "label").repartition(8))
 
-    def raw(df: DataFrame) -> DataFrame:
-        return fitted.transform(df.withColumn("_v", array_to_vector(X))).withColumn(RAW, vector_to_array("_p")[1]).drop("_v", X, "_rp", "_p", "_c")
+    def raw_from(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        fitted = trees.fit(rows.select(array_to_vector(X).alias("_v"), "label").repartition(8))
+        return lambda df: fitted.transform(df.withColumn("_v", array_to_vector(X))).withColumn(RAW, vector_to_array("_p")[1]).drop("_v", X, "_rp", "_p", "_c")
 
-    calibrate = calibration(raw(train))
+    raw = raw_from(train)
+    halves = [train.filter(F.col("_half") == k) for k in (0, 1)]
+    learnable = [r[0] for h in halves for r in h.agg(F.coalesce(F.min("label") != F.max("label"), F.lit(False))).collect()]
+    unseen = [(raw_from(halves[1 - k]) if learnable[1 - k] else raw)(halves[k]) for k in (0, 1)]
+    calibrate = calibration(unseen[0].unionByName(unseen[1]))
     return lambda rows: calibrate(raw(rows))
 
 
