@@ -187,3 +187,18 @@ def test_neighbours_against_brute_force(spark):
 
 def test_neighbours_empty_table(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_few_vectors_give_all_candidates(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(0, 700, 100)] + [(100, [float(x) for x in rng.normal(size=64)])]  # one id with two vectors
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in range(0, 700, 100):
+        nearest = {}
+        for a, x in rows:
+            for b, y in rows:
+                if a == q and b != q:
+                    nearest[b] = min(nearest.get(b, math.inf), float(np.sqrt(((np.array(y) - np.array(x)) ** 2).sum())))
+        assert [(v, pytest.approx(s)) for _, v, s in sorted(got[q])] == [(v, s) for s, v in sorted((s, v) for v, s in nearest.items())]
