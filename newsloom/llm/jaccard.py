@@ -463,10 +463,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
 
     # groups: what these links join, which needs no comparison within, and blocks of the others of a lead
     joined = labels(star, saved).select(F.col("node").alias("rep"), F.col("component").alias("whole"))
-    place = lead.select("rep", "n", "lead").join(joined, "rep", "left").withColumn("whole", F.coalesce("whole", F.lit(-1)))
-    place = place.withColumn("one", F.col("whole") >= 0).withColumn("base", F.when(F.col("one"), F.xxhash64("whole", F.lit(1))).otherwise(F.xxhash64("lead", F.lit(0))))
+    place = lead.select("rep", "n", "lead").join(joined, "rep", "left").withColumn("one", F.col("whole").isNotNull())
+    key, flag = F.coalesce("whole", "lead"), F.col("one").cast("long")  # small numbers where ids are small: they travel better than hashes
+    place = place.withColumn("base", F.when(key.between(-(1 << 61), 1 << 61), F.shiftleft(key, 1) + flag).otherwise(F.xxhash64(key, flag)))
     sized = place.groupBy("base").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / TOKENS)).alias("parts"))
-    place = place.join(sized, "base").select("rep", "base", "one", F.xxhash64("base", F.pmod(F.xxhash64("rep"), "parts")).alias("block"))
+    place = place.join(sized, "base").select("rep", "base", "one", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"))
 
     # sets that meet enough tokens of another group, or of others in their own, while some there meet theirs
     own = saved(posts.select("rep", "n", "token").join(place, "rep"))
@@ -479,11 +480,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
 
     # the same by blocks
     own = own.join(far.select("rep").distinct(), "rep", "left_semi")
-    held = own.groupBy("token", F.col("base").alias("other"), F.col("block").alias("theirs")).agg(F.count("*").alias("k"))
-    met = own.join(held, "token").filter("block <> theirs or k > 1").join(far.select("rep", "other"), ["rep", "other"])
-    met = met.groupBy("rep", "n", "block", "theirs").count().filter(F.col("count") >= need)
-    side = F.when(F.col("block") <= F.col("theirs"), 0).otherwise(1)
-    pairs = saved(met.select("rep", F.least("block", "theirs").alias("one"), F.greatest("block", "theirs").alias("two"), side.alias("side")))
+    held = own.groupBy("token", F.col("base").alias("other"), F.col("part").alias("theirs")).agg(F.count("*").alias("k"))
+    met = own.join(held, "token").filter("base <> other or part <> theirs or k > 1").join(far.select("rep", "other"), ["rep", "other"])
+    met = met.groupBy("rep", "n", "base", "part", "other", "theirs").count().filter(F.col("count") >= need)
+    mine, other = F.xxhash64("base", "part"), F.xxhash64("other", "theirs")
+    pairs = saved(met.select("rep", F.least(mine, other).alias("one"), F.greatest(mine, other).alias("two"), F.when(mine <= other, 0).otherwise(1).alias("side")))
     both = pairs.groupBy("one", "two").agg(F.min("side").alias("l"), F.max("side").alias("h"), F.count("*").alias("k")).filter("l < h or one = two and k > 1").select("one", "two")
     pairs = saved(pairs.join(both, ["one", "two"], "left_semi"))
     sides = sets(pairs).select("one", "two", "side", "rep", "set").repartition("one", "two").sortWithinPartitions("one", "two")
