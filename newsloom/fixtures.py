@@ -34,13 +34,18 @@ VIEWS = {
     "v_outcomes": "SELECT event_id, ts AS at, user_id AS item_id, event_type = 'error' AS failed, value > 480 AS permanent FROM events",
     "v_glossary_sources": "SELECT item_id AS term_id, split_part(text, ' ', 1) AS source FROM benchmark",
     "v_url_candidates": "SELECT page_id, url, concat('page ', CAST(page_id AS STRING)) AS title FROM pages",
-    # membership names, topics and the current score of every digest (a fixed rule of its id)
+    # topics, and scores by a rule of the ids, for all users: of the articles that they act on and of one more for each event
     "v_topics": "SELECT DISTINCT topic AS name, CASE WHEN CAST(substring(topic, 2) AS INT) % 2 = 0 THEN 'field' ELSE 'place' END AS facet FROM (SELECT concat('t', CAST(doc_id % 16 AS STRING)) AS topic FROM documents) AS x",
     "v_topic_aliases": "SELECT concat('alias ', name) AS alias, name FROM (SELECT DISTINCT concat('t', CAST(doc_id % 5 AS STRING)) AS name FROM documents) AS x",
-    "v_scores": """SELECT u.user_id, doc_id * 10 + 1 AS artifact_id, doc_id AS article_id, v AS version, CAST((doc_id * 7 + u.user_id * 13 + v * 5) % 101 AS INT) AS score,
-        TIMESTAMP '2024-02-02 00:00:00' + (doc_id + v) * INTERVAL '1' MINUTE AS created_at
-        FROM documents CROSS JOIN (SELECT DISTINCT user_id FROM events WHERE user_id < 20) AS u CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2 AS v) AS n
-        WHERE doc_id % 7 <> 0 AND (v = 1 OR (doc_id + u.user_id) % 2 = 0)""",
+    "v_scores": """SELECT user_id, article_id * 10 + 1 AS artifact_id, article_id, v AS version, CAST((article_id * 7 + user_id * 13 + v * 5) % 101 AS INT) AS score,
+        TIMESTAMP '2024-01-20 00:00:00' + (article_id + v) * INTERVAL '1' MINUTE AS created_at
+        FROM (SELECT DISTINCT user_id, article_id FROM (SELECT user_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS article_id FROM events
+            UNION ALL SELECT user_id, event_id * 31 % n AS article_id FROM events CROSS JOIN (SELECT count(*) AS n FROM documents) AS c) AS p) AS u
+        CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2 AS v) AS n WHERE article_id % 7 <> 0 AND (v = 1 OR (article_id + user_id) % 2 = 0)""",
+    # translated titles, of articles without a digest above all
+    "v_title_translations": """SELECT doc_id * 10 + 4 + v AS id, doc_id AS article_id, TIMESTAMP '2024-02-03 00:00:00' + v * INTERVAL '1' MINUTE AS created_at,
+        CASE WHEN v = 2 AND doc_id % 5 = 0 THEN '  ' ELSE concat('translated ', CAST(v AS STRING), ' ', substring(text, 1, 30)) END AS title_x
+        FROM documents CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2 AS v) AS n WHERE doc_id % 7 = 0 OR doc_id % 13 = 0""",
     "v_stories": "SELECT doc_id AS article_id, doc_id - doc_id % 3 AS story_id FROM documents",
     "v_profile_versions": """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY day) AS version, day AS created_at, lead(day) OVER (PARTITION BY user_id ORDER BY day) AS retired_at
         FROM (SELECT DISTINCT user_id, date_trunc('week', ts) AS day FROM events) AS x""",

@@ -43,11 +43,11 @@ def band_counts(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def coverage(labels: DataFrame, scores: DataFrame, by: list[str]) -> DataFrame:
-    """Per key of scores (by, article_id, created_at): how many labels (article_id, rated_at) there are, how many are scored, how many after the rating."""
-    total = labels.agg(F.count("*").alias("labelled"))
-    hit = scores.join(labels, "article_id").groupBy(*by).agg(F.count("*").alias("scored"), F.sum(F.when(F.col("created_at") > F.col("rated_at"), 1).otherwise(0)).alias("after_rating"))
+    """Per user and key of scores (user_id, by, article_id, created_at): how many labels (user_id, article_id, rated_at) the user has, how many are scored, how many after the rating."""
+    total, by = labels.groupBy("user_id").agg(F.count("*").alias("labelled")), ["user_id", *by]
+    hit = scores.join(labels, ["user_id", "article_id"]).groupBy(*by).agg(F.count("*").alias("scored"), F.sum(F.when(F.col("created_at") > F.col("rated_at"), 1).otherwise(0)).alias("after_rating"))
     keys = scores.select(*by).distinct()
-    return keys.join(hit, by, "left").crossJoin(F.broadcast(total)).select(*by, "labelled", F.coalesce("scored", F.lit(0)).alias("scored"), F.coalesce("after_rating", F.lit(0)).alias("after_rating"))
+    return keys.join(hit, by, "left").join(total, "user_id", "left").select(*by, F.coalesce("labelled", F.lit(0)).alias("labelled"), F.coalesce("scored", F.lit(0)).alias("scored"), F.coalesce("after_rating", F.lit(0)).alias("after_rating"))
 
 
 def missed(picks: DataFrame, ratings: DataFrame) -> DataFrame:

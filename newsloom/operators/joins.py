@@ -25,8 +25,6 @@ def requested(rows: DataFrame, requests: DataFrame, key: str) -> DataFrame:
 def during(events: DataFrame, versions: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Each event (keys, at) with the version (keys, version, created_at, retired_at) that was open then: an as-of lookup by one sort of both sides, so
     long histories aren't multiplied with the events."""
-
-
     tag = versions.select(*keys, F.col("created_at").cast("timestamp").alias("_at"), F.lit(0).alias("_kind"), F.struct("version", "retired_at").alias("_v"), F.lit(None).cast(events.schema.simpleString()).alias("_e"))
     rows = events.select(*keys, F.col(at).cast("timestamp").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(tag.schema["_v"].dataType).alias("_v"), F.struct(*events.columns).alias("_e"))
     open_ = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
@@ -34,17 +32,25 @@ def during(events: DataFrame, versions: DataFrame, keys: list[str], at: str) ->
     return both.select("_e.*", F.col("_open.version").alias("version"))
 
 
+def each_with_each(many: DataFrame, few: DataFrame, slices: int = 64) -> DataFrame:
+    """Every row of few beside every row of many, where the result holds all these pairs anyway: few is dealt to so many slices, the rows of many stay in one each."""
+    left = many.withColumn("_slice", F.pmod(F.xxhash64(*many.columns), F.lit(slices)))
+    return left.join(few.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))), "_slice").drop("_slice")
+
+
 def glossary_hits(texts: DataFrame, sources: DataFrame) -> DataFrame:
-    """(id, term_id) of glossary sources (term_id, source) that texts (id, text) mention. Texts meet a source on its first word, then the whole
-    mention is checked; a source that doesn't begin with a word of letters and digits meets every text, so such sources have to be few."""
-    first = lambda c: F.lower(F.regexp_extract(one_line(c), "^([A-Za-z0-9]+)", 1))
-    keyed = sources.filter("source <> ''").distinct().withColumn("key", first(F.col("source")))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
-    # a plural of a one-word source ends in s or es
+    """(id, term_id) of glossary sources (term_id, source) that texts (id, text) mention. Texts meet a source on its rarest word, then the whole
+    mention is checked; a source without a word of letters and digits meets every text, so such sources have to be few."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
+    # a plural of a source's last word ends in s or es
     forms = lambda w: F.array(w, F.regexp_replace(w, "s$", ""), F.regexp_replace(w, "es$", ""))
-    tokens = texts.select("id", F.explode(F.array_distinct(F.flatten(F.transform(words, forms)))).alias("key"))
-    candidates = tokens.join(keyed.filter("key <> ''"), "key").select("id", "term_id", "source")
-    odd = texts.select("id").join(F.broadcast(keyed.filter("key = ''").select("term_id", "source")))
+    tokens = texts.select("id", F.explode(F.array_distinct(F.flatten(F.transform(words("text"), forms)))).alias("key"))
+    wanted = sources.filter("source <> ''").select("term_id", "source").distinct()
+    parts = wanted.select("term_id", "source", F.explode(words(one_line(F.col("source")))).alias("key"))
+    held = tokens.groupBy("key").agg(F.count("*").alias("texts"))
+    rarest = parts.join(held, "key", "left").groupBy("term_id", "source").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "key")).alias("_k")).select("term_id", "source", "_k.key")
+    candidates = tokens.join(rarest, "key").select("id", "term_id", "source")
+    odd = each_with_each(texts.select("id"), wanted.filter(F.size(words(one_line(F.col("source")))) == 0))
     return candidates.unionByName(odd).distinct().join(texts, "id").filter(mentions(F.col("text"), F.col("source"))).select("id", "term_id").distinct()
 
 

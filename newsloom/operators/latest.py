@@ -71,17 +71,44 @@ def median_floor(values: Column) -> Column:
     return F.when(n > 0, F.floor((F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2))
 
 
+def medians(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, median) as median_floor, of any number of rows: values are counted, and the middle ones found by running sums of the counts."""
+    counts = rows.groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    until = Window.partitionBy(by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_to", F.sum("_n").over(until)).withColumn("_all", F.sum("_n").over(Window.partitionBy(by)))
+    first, second = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    at = lambda k: F.max(F.when((F.col("_to") >= k) & (F.col("_to") - F.col("_n") < k), F.col("_v")))
+    return counts.groupBy(by).agg(F.floor((at(first) + at(second)) / 2).alias("median"))
+
+
 def two_quotas(candidates: DataFrame, others: int = 5, same: int = 3) -> DataFrame:
     """Of each target's candidates (target, unit, similarity, other_source) the most similar: so many with another source, so many without."""
     turn = F.row_number().over(Window.partitionBy("target", "other_source").orderBy(F.col("similarity").desc(), "unit"))
     return candidates.withColumn("_turn", turn).filter(F.col("_turn") <= F.when(F.col("other_source"), others).otherwise(same)).drop("_turn")
 
 
+def explorable(rows: DataFrame, stories: DataFrame, read: DataFrame, rated: DataFrame, below: int) -> DataFrame:
+    """The rows (user_id, article_id, score, relevant) that a daily sample may take: relevant, scored below the least score of lists, of a story of which the user has
+    neither read nor rated an article. read and rated: (user_id, article_id)."""
+    seen = read.select("user_id", "article_id").unionByName(rated.select("user_id", "article_id")).join(stories, "article_id").select("user_id", "story_id").distinct()
+    fit = rows.filter(F.col("relevant") & (F.col("score") < below)).join(stories, "article_id")
+    return fit.join(seen, ["user_id", "story_id"], "left_anti").select("user_id", "article_id")
+
+
+def explored(picked: DataFrame, rows: DataFrame, stories: DataFrame, rated: DataFrame, day: str, below: int) -> DataFrame:
+    """(user_id, article_id) of a day's picks that still show: the same ones all day, but for those that were rated since, they or another article of their story, and those
+    that aren't relevant or below the least score any more."""
+    today = picked.filter(F.col("picked_on") == F.lit(day).cast("date")).select("user_id", "article_id").distinct()
+    done = rated.select("user_id", "article_id").join(stories, "article_id").select("user_id", "story_id").distinct()
+    fit = rows.filter(F.col("relevant") & (F.col("score") < below)).select("user_id", "article_id")
+    return today.join(fit, ["user_id", "article_id"], "left_semi").join(stories, "article_id").join(done, ["user_id", "story_id"], "left_anti").select("user_id", "article_id")
+
+
 def daily_picks(eligible: DataFrame, picked: DataFrame, day: str, per_day: int = 2) -> DataFrame:
     """(user_id, article_id) to add for a day: of eligible articles never picked for the user, by a hash of user, day and article; as many as the day
     still lacks."""
     done = picked.filter(F.col("picked_on") == F.lit(day).cast("date")).groupBy("user_id").agg(F.count("*").alias("done"))
     fresh = eligible.select("user_id", "article_id").join(picked.select("user_id", "article_id"), ["user_id", "article_id"], "left_anti")
-    order = F.xxhash64("user_id", F.lit(day), "article_id")
+    order = F.md5(F.concat_ws("-", "user_id", F.lit(day), "article_id"))
     turn = F.row_number().over(Window.partitionBy("user_id").orderBy(order, "article_id"))
     return fresh.withColumn("turn", turn).join(done, "user_id", "left").filter(F.col("turn") <= per_day - F.coalesce("done", F.lit(0))).select("user_id", "article_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_literal, trigrams
-from .latest import list_order
+from .latest import list_order, top
 
 
 def documents(articles: DataFrame, contents: DataFrame, digests: DataFrame) -> DataFrame:
@@ -33,10 +33,15 @@ def matching(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def postings(texts: DataFrame) -> DataFrame:
-    """(gram, doc_id): the distinct trigrams of each text in lower case. Write it partitioned or bucketed by gram for repeated searches."""
+    """(gram, doc_id): the distinct trigrams of each text in lower case. save_postings writes it for repeated searches."""
     return texts.select("doc_id", F.explode(trigrams(F.lower("text"))).alias("gram"))
 
 
+def save_postings(index: DataFrame, path: str) -> None:
+    """Writes an index in order of its grams, so that a search reads only the row groups that hold its grams."""
+    index.repartitionByRange("gram").sortWithinPartitions("gram", "doc_id").write.parquet(path)
+
+
 def by_postings(index: DataFrame, texts: DataFrame, term: str) -> DataFrame:
     """doc_id of the texts that contain a term of three characters or more: those with all its trigrams, then checked."""
     low = term.lower()
@@ -45,9 +50,9 @@ def by_postings(index: DataFrame, texts: DataFrame, term: str) -> DataFrame:
     return texts.join(held, "doc_id").filter(contains_literal(F.col("text"), term)).select("doc_id")
 
 
-def result(rows: DataFrame, hits: DataFrame, condition: Column, newest_first: bool = False, limit: int = 200) -> DataFrame:
-    """Matching articles that meet the conditions, in list order, stories not folded."""
-    return rows.join(hits.withColumnRenamed("article_id", "id"), "id", "left_semi").filter(condition).orderBy(*list_order(newest_first)).limit(limit)
+def result(rows: DataFrame, hits: DataFrame, condition: Column, by: list[str], newest_first: bool = False, limit: int = 200) -> DataFrame:
+    """Each user's first matching articles that meet the conditions, in list order, stories not folded."""
+    return top(rows.join(hits.withColumnRenamed("article_id", "id"), "id", "left_semi").filter(condition), by, list_order(newest_first), limit)
 
 
 def facets(vocabulary: DataFrame, tags: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import backoff_hours
+from .counts import concordance
 
 MOST_ATTEMPTS = 5
 
@@ -37,12 +38,15 @@ def retries(outcomes: DataFrame) -> DataFrame:
     return out.withColumn("attempts", attempts).select("item_id", "attempts", F.when(F.col("attempts") < MOST_ATTEMPTS, later).alias("next_retry_at"))
 
 
-def marks(log: DataFrame) -> DataFrame:
+def marks(log: DataFrame, stories: DataFrame | None = None) -> DataFrame:
     """(user_id, article_id, stars, read_at, bookmarked_at) of a log (user_id, article_id, event_id, ts, action, stars): the latest rating holds and 0 deletes it; the first
-    reading and bookmark since the last undoing hold."""
+    reading and bookmark since the last undoing hold. Undoing a reading brings the story back, so it clears the readings of all its articles (stories: article_id, story_id;
+    without, each article is its own)."""
     when = lambda a: F.when(F.col("action") == a, F.struct("ts", "event_id"))
     by = Window.partitionBy("user_id", "article_id")
-    rows = log.withColumn("_unread", F.max(when("unread")).over(by)).withColumn("_unmark", F.max(when("unbookmark")).over(by))
+    story = F.coalesce("story_id", "article_id") if stories is not None else F.col("article_id")
+    log = (log.join(stories.select("article_id", "story_id"), "article_id", "left") if stories is not None else log).withColumn("_story", story)
+    rows = log.withColumn("_unread", F.max(when("unread")).over(Window.partitionBy("user_id", "_story"))).withColumn("_unmark", F.max(when("unbookmark")).over(by))
     since = lambda a, undo: F.min(F.when((F.col("action") == a) & (F.col(undo).isNull() | (F.struct("ts", "event_id") > F.col(undo))), F.col("ts")))
     stars = F.max_by("stars", when("rate"))
     out = rows.groupBy("user_id", "article_id").agg(stars.alias("stars"), since("read", "_unread").alias("read_at"), since("bookmark", "_unmark").alias("bookmarked_at"))
@@ -65,22 +69,34 @@ def appended(stored: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:
 
 
 def history(changes: DataFrame) -> DataFrame:
-    """Versions (user_id, version, hash, created_at, retired_at) of a log (user_id, change_id, at, hash): a change to the same hash is none, time never runs backwards, each version
+    """Versions (user_id, version, hash, created_at, retired_at, change_id) of a log (user_id, change_id, at, hash): a change to the same hash is none, time never runs backwards, each version
     retires at the next one."""
     by = Window.partitionBy("user_id").orderBy("change_id")
     rows = changes.withColumn("created_at", F.max("at").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_before", F.lag("hash").over(by))
     kept = rows.filter(~F.col("hash").eqNullSafe(F.col("_before")))
-    return kept.select("user_id", F.row_number().over(by).cast("bigint").alias("version"), "hash", "created_at", F.lead("created_at").over(by).alias("retired_at"), "change_id").drop("change_id")
+    return kept.select("user_id", F.row_number().over(by).cast("bigint").alias("version"), "hash", "created_at", F.lead("created_at").over(by).alias("retired_at"), "change_id")
 
 
-def suggestions(log: DataFrame, current: DataFrame) -> DataFrame:
-    """(suggestion_id, status) of a log (user_id, suggestion_id, event_id, action, base_hash): what was decided first holds; an open one is superseded when the user's profile (user_id, hash) is
-    no longer its base, or a later one was made."""
-    made = log.filter("action = 'made'").select("user_id", "suggestion_id", "base_hash", F.col("event_id").alias("_made"))
+def frozen(history: DataFrame, ratings: DataFrame, scores: DataFrame) -> DataFrame:
+    """history with rated and concordance of each retired version, as they stood when it retired: of the user's latest ratings by then (log: user_id, article_id, event_id, ts, stars) of articles
+    with a score (user_id, article_id, score). Versions in use have none yet."""
+    by = ["user_id", "version"]
+    then = history.filter("retired_at is not null").select(*by, "retired_at").join(ratings.select("user_id", "article_id", "event_id", "ts", "stars"), "user_id").filter(F.col("ts") <= F.col("retired_at"))
+    known = then.groupBy(*by, "article_id").agg(F.max_by("stars", F.struct("ts", "event_id")).alias("stars")).join(scores, ["user_id", "article_id"])
+    stats = known.groupBy(*by).agg(F.count("*").alias("rated")).join(concordance(known, by), by, "left")
+    out = history.join(stats, by, "left")
+    return out.withColumn("rated", F.when(F.col("retired_at").isNotNull(), F.coalesce("rated", F.lit(0))))
+
+
+def suggestions(log: DataFrame, versions: DataFrame) -> DataFrame:
+    """(suggestion_id, status) of a log (user_id, suggestion_id, event_id, action): what was decided first holds; an open one is superseded when a later one was made, or the
+    user's profile got a new version since (user_id, change_id)."""
+    made = log.filter("action = 'made'").select("user_id", "suggestion_id", F.col("event_id").alias("_made"))
+    current = versions.groupBy("user_id").agg(F.max("change_id").alias("_changed"))
     decided = log.filter("action <> 'made'").groupBy("suggestion_id").agg(F.min_by("action", "event_id").alias("_action"))
     last = F.max("_made").over(Window.partitionBy("user_id"))
     rows = made.withColumn("_last", last).join(decided, "suggestion_id", "left").join(current, "user_id", "left")
-    moved = (F.col("_made") < F.col("_last")) | ~F.col("base_hash").eqNullSafe(F.col("hash"))
+    moved = (F.col("_made") < F.col("_last")) | F.coalesce(F.col("_made") < F.col("_changed"), F.lit(False))
     return rows.select("suggestion_id", F.coalesce("_action", F.when(moved, "superseded"), F.lit("pending")).alias("status"))
 
 
@@ -107,14 +123,27 @@ def link_tags(names: DataFrame, vocabulary: DataFrame, aliases: DataFrame) -> Da
     return names.join(own, "name", "left").join(by_alias, "name", "left").select("artifact_id", "name", F.coalesce("_own", "_alias").alias("topic"))
 
 
-def glossary_upsert(stored: DataFrame, fresh: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """Glossary (source, target, changed_at) after an upsert of (source, target), and the sources that are given more than one target without regard to case. An unchanged
-    spelling keeps its time."""
-    conflicts = fresh.groupBy(F.lower("source").alias("source")).agg(F.count_distinct("target").alias("n")).filter("n > 1").select("source")
-    good = fresh.join(conflicts.select(F.col("source").alias("_l")), F.lower("source") == F.col("_l"), "left_anti").dropDuplicates(["source"])
-    old = stored.select("source", F.col("target").alias("_target"), F.col("changed_at").alias("_at"))
-    both = good.join(old, "source", "full")
-    return both.select("source", F.coalesce("target", "_target").alias("target"), F.when(F.col("target").isNull() | F.col("target").eqNullSafe(F.col("_target")), F.col("_at")).otherwise(now).alias("changed_at")), conflicts
+def glossary_upsert(terms: DataFrame, sources: DataFrame, fresh: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Glossary sources (source, term_id, added_at) after an upsert of fresh terms (term_id, target, abbr, sources array) into terms (term_id, target, abbr), and the rejected ones
+    (term_id, reasons). A term is rejected if its target, its abbreviation or one of its sources, whatever its case, is that of another term, stored or fresh with a smaller
+    id. A term's spelling that stays keeps its time, what it no longer names goes, the rest is new, a change of case included."""
+    others = terms.join(fresh.select("term_id"), "term_id", "left_anti")
+
+    def taken(kind: str, stored: DataFrame, given: DataFrame) -> DataFrame:
+        """(term_id, reason) of the fresh terms whose value (term_id, v) another one has."""
+        all_ = stored.select("v", F.lit(None).cast(given.schema["term_id"].dataType).alias("_by")).unionByName(given.select("v", F.col("term_id").alias("_by")))
+        owner = all_.groupBy("v").agg(F.max(F.col("_by").isNull()).alias("_stored"), F.min("_by").alias("_first"))
+        return given.join(owner, "v").filter(F.col("_stored") | (F.col("_first") < F.col("term_id"))).select("term_id", F.lit(kind).alias("reason")).distinct()
+
+    listed = fresh.select("term_id", F.explode(F.array_distinct("sources")).alias("source"))
+    kept = sources.join(fresh.select("term_id"), "term_id", "left_anti")
+    value = lambda df, c: df.filter(F.col(c).isNotNull()).select("term_id", F.col(c).alias("v"))
+    low = lambda df: df.select("term_id", F.lower("source").alias("v")).distinct()
+    bad = taken("target", value(others, "target"), value(fresh, "target")).unionByName(taken("abbr", value(others, "abbr"), value(fresh, "abbr"))).unionByName(taken("source", low(kept), low(listed)))
+    rejected = bad.groupBy("term_id").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
+    good = listed.join(rejected.select("term_id"), "term_id", "left_anti").join(sources.withColumnRenamed("added_at", "_was"), ["term_id", "source"], "left")
+    untouched = sources.join(fresh.join(rejected.select("term_id"), "term_id", "left_anti").select("term_id"), "term_id", "left_anti")
+    return untouched.select("source", "term_id", "added_at").unionByName(good.select("source", "term_id", F.coalesce("_was", now).alias("added_at"))), rejected
 
 
 def requests_done(requests: DataFrame, translations: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +13,19 @@ from ..functions.text import bigrams, comparable
 from .latest import newest, two_quotas
 
 MIN_SIMILARITY, WINDOW_DAYS, STORY_SIZE = 0.17, 21, 8
+#: Texts in a block on average, and terms of two blocks that are multiplied at a time.
+BLOCK, TERMS = 256, 4096
 
 
-def comparison_texts(articles: DataFrame, digests: DataFrame, public: DataFrame, language: str = "ja") -> DataFrame:
-    """(id, text): the newest public digest's title and summary, else the article's title if it is in the reader's language. public: ids of digests without
-    required membership."""
+def comparison_texts(articles: DataFrame, digests: DataFrame, public: DataFrame, translations: DataFrame, language: str = "ja") -> DataFrame:
+    """(id, text): the newest public digest's title and summary, else the newest translation of the title, else the article's title if it is in the reader's
+    language. public: ids of digests without required membership."""
     digest = newest(digests.join(public, "id", "left_semi"), ["article_id"])
     made = digest.select(F.col("article_id").alias("id"), F.concat_ws("\n", "title_x", "summary_x").alias("_digest"))
+    translated = newest(translations, ["article_id"]).select(F.col("article_id").alias("id"), F.col("title_x").alias("_translated"))
     title = F.when(F.col("lang") == language, F.col("title"))
-    return articles.join(made, "id", "left").select("id", F.coalesce("_digest", title).alias("text")).filter("text is not null")
+    rows = articles.join(made, "id", "left").join(translated, "id", "left")
+    return rows.select("id", F.coalesce("_digest", "_translated", title).alias("text")).filter("text is not null")
 
 
 def pool(texts: DataFrame, batch: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
@@ -41,16 +46,66 @@ def tf_idf(texts: DataFrame) -> DataFrame:
 
 
 def similar_pairs(vectors: DataFrame, times: DataFrame, targets: DataFrame, least: float = MIN_SIMILARITY, days: int = WINDOW_DAYS) -> DataFrame:
-    """(target, id, similarity) of targets with any other text no more than so many days away. Postings meet on gram and time bucket, each target in its
-    own bucket and the two beside it, so that work follows the window and not the corpus."""
-    seconds = days * 86400
-    slot = F.floor(F.unix_timestamp(F.col("at").cast("timestamp")) / seconds)
-    timed = vectors.join(times.select("id", F.col("at").cast("timestamp").alias("at")), "id").withColumn("slot", slot)
-    left = timed.join(targets.select("id"), "id", "left_semi").select(F.col("id").alias("target"), "gram", F.col("weight").alias("_w"), F.col("at").alias("_at"), F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    both = left.join(timed, ["gram", "slot"]).filter("target <> id")
-    near = both.filter(F.abs(F.unix_micros("at") - F.unix_micros("_at")) <= seconds * 1_000_000)
-    pairs = near.groupBy("target", "id").agg(F.sum(F.col("_w") * F.col("weight")).alias("similarity"))
-    return pairs.withColumn("similarity", F.round("similarity", 9)).filter(F.col("similarity") >= least)
+    """(target, id, similarity) of targets with any other text no more than so many days away. Texts are dealt into blocks by time slot; a block meets those of its own slot
+    and of the two beside it, and two blocks are compared by products of their matrices: work follows the window and not the corpus, memory the blocks, and a
+    frequent term costs no more than another. Terms are compared by 64-bit hashes."""
+    micros = days * 86_400_000_000
+    listed = vectors.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("gram").alias("h"), "weight")).alias("v"))
+    at = F.unix_micros(F.col("at").cast("timestamp"))
+    rows = listed.join(times.select("id", at.alias("at")), "id").join(targets.select("id", F.lit(True).alias("target")).distinct(), "id", "left")
+    rows = rows.select("id", "at", F.floor(F.col("at") / micros).alias("slot"), F.coalesce("target", F.lit(False)).alias("target"), F.col("v.h").alias("terms"), F.col("v.weight").alias("weights"))
+    slots = rows.groupBy("slot").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    beside = slots.select("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("other")).join(slots.select(F.col("slot").alias("other"), F.col("parts").alias("others")), "other")
+    dealt = rows.join(slots, "slot").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).drop("parts")
+    met = dealt.join(beside, "slot").withColumn("their", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    mine, theirs = F.struct(F.col("slot").alias("s"), F.col("part").alias("p")), F.struct(F.col("other").alias("s"), F.col("their").alias("p"))
+    met = met.select(F.least(mine, theirs).alias("one"), F.greatest(mine, theirs).alias("two"), (mine > theirs).alias("second"), "id", "at", "target", "terms", "weights")
+    met = met.select("one.s", "one.p", F.col("two.s").alias("s2"), F.col("two.p").alias("p2"), "second", "id", "at", "target", "terms", "weights")
+    key = ["s", "p", "s2", "p2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True))
+            columns = [batch.column(c).to_pylist() for c in ("second", "id", "at", "target")]
+            terms, weights = batch.column("terms"), batch.column("weights")
+            for i, (second, *row) in enumerate(zip(*columns, strict=True)):
+                if keys[i] != now:
+                    yield from _similar(now, sides, least, micros)
+                    now, sides = keys[i], ([], [])
+                sides[second].append((*row, terms[i].values.to_numpy(), weights[i].values.to_numpy()))
+        yield from _similar(now, sides, least, micros)
+
+    return met.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "target long, id long, similarity double")
+
+
+def _similar(key: tuple | None, sides: tuple[list, list], least: float, micros: int) -> Iterator[pa.RecordBatch]:
+    """The similar texts of two blocks, or within one if both are the same."""
+    a = sides[0]
+    b = a if key and key[:2] == key[2:] else sides[1]
+    if not a or not b or not any(r[2] for r in a + b):
+        return
+    (ia, ta, wa), (ib, tb, wb) = ((np.array([r[0] for r in x]), np.array([r[1] for r in x]), np.array([r[2] for r in x])) for x in (a, b))
+    vocabulary = np.intersect1d(np.concatenate([r[3] for r in a]), np.concatenate([r[3] for r in b]))
+    both = np.zeros((len(a), len(b)))
+
+    def matrix(rows: list, low: int, high: int) -> np.ndarray:
+        m = np.zeros((len(rows), high - low))
+        for i, r in enumerate(rows):
+            at = np.searchsorted(vocabulary[low:high], r[3])
+            hit = at < high - low
+            hit[hit] = vocabulary[low + at[hit]] == r[3][hit]
+            m[i, at[hit]] = r[4][hit]
+        return m
+
+    for low in range(0, len(vocabulary), TERMS):
+        high = min(low + TERMS, len(vocabulary))
+        both += matrix(a, low, high) @ matrix(b, low, high).T
+    both = np.round(both, 9)
+    i, j = np.nonzero((both >= least) & (np.abs(ta[:, None] - tb[None, :]) <= micros) & (ia[:, None] != ib[None, :]))
+    ways = [(ia[i], ib[j], wa[i])] if b is a else [(ia[i], ib[j], wa[i]), (ib[j], ia[i], wb[j])]
+    for target, other, wanted in ways:
+        yield pa.record_batch([pa.array(target[wanted]), pa.array(other[wanted]), pa.array(both[i, j][wanted])], names=["target", "id", "similarity"])
 
 
 def candidates(pairs: DataFrame, articles: DataFrame, stories: DataFrame) -> DataFrame:
@@ -87,6 +142,12 @@ def latest_judgments(links: DataFrame) -> DataFrame:
     return links.join(last, ["a", "judged_at"])
 
 
+def same_and_apart(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From latest links (a, b, verdict, ...) the pairs (a, b), smaller first, that are the same, and those judged apart: what either side says counts, and apart wins over the same."""
+    pairs = links.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(F.col("verdict") != "same").alias("apart"))
+    return pairs.filter("not apart").select("a", "b"), pairs.filter("apart").select("a", "b")
+
+
 def labels(edges: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) by falling labels and jumps; save cuts the lineage between rounds."""
     both = save(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -102,37 +163,31 @@ def labels(edges: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFram
             return label
 
 
-def merge_in_order(edges: pd.DataFrame, apart: set[tuple[int, int]], most: int) -> dict[int, int]:
-    """The greedy grouping of one component: same-links by falling similarity, then ids; a join is refused if the group would be too large or two of its
-    members were judged apart."""
-    group: dict[int, set[int]] = {}
-    for a, b in edges.sort_values(["similarity", "a", "b"], ascending=[False, True, True])[["a", "b"]].itertuples(index=False):
-        x, y = group.setdefault(a, {a}), group.setdefault(b, {b})
-        if x is y or len(x) + len(y) > most or any((min(p, q), max(p, q)) in apart for p in x for q in y):
-            continue
-        x |= y
-        for m in y:
-            group[m] = x
-    return {m: min(g) for m, g in group.items()}
-
-
 def groups(same: DataFrame, apart: DataFrame, save: Callable[[DataFrame], DataFrame], most: int = STORY_SIZE) -> DataFrame:
-    """(article_id, story_id) for the ends of same-links (a, b, similarity), with pairs judged apart (a, b). Components never touch each other, so the greedy
-    order within each is the order overall."""
-    edges = same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    edges = save(edges)
-    label = labels(edges, save)
-    cut = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    of_a = label.select(F.col("node").alias("a"), "component")
-    within = cut.join(of_a, "a").join(label.select(F.col("node").alias("b"), F.col("component").alias("_c")), "b").filter("component = _c").select("component", "a", "b", F.lit(None).cast("double").alias("similarity"))
-    rows = edges.join(of_a, "a").select("component", "a", "b", "similarity").unionByName(within)
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        no = part.similarity.isna()
-        found = merge_in_order(part[~no], set(zip(part.a[no], part.b[no], strict=True)), most)
-        return pd.DataFrame({"article_id": list(found), "story_id": list(found.values())})
-
-    return rows.groupBy("component").applyInPandas(merge, "article_id long, story_id long")
+    """(article_id, story_id) for the ends of same-links (a, b, similarity): links join groups by falling similarity, then ids; one is refused if the group would be too large or
+    two of its members were judged apart (a, b). A link that comes first for both of its groups can be decided at once, whatever happens elsewhere, so
+    all such links are decided together in rounds; no component has to fit a task."""
+    edges = same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").filter("a <> b").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    edges = save(edges.withColumn("ga", F.col("a")).withColumn("gb", F.col("b")))
+    group = save(edges.select(F.col("a").alias("article_id")).union(edges.select("b")).distinct().withColumn("story_id", F.col("article_id")))
+    cut = save(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rank = F.struct(-F.col("similarity"), "a", "b")
+    while True:
+        size = group.groupBy("story_id").agg(F.count("*").alias("n"))
+        of = lambda c: group.select(F.col("article_id").alias(c), F.col("story_id").alias(f"g{c}"))
+        barred = cut.join(of("a"), "a").join(of("b"), "b").select(F.least("ga", "gb").alias("l"), F.greatest("ga", "gb").alias("h")).distinct()
+        live = edges.filter("ga <> gb").join(size.select(F.col("story_id").alias("ga"), F.col("n").alias("na")), "ga").join(size.select(F.col("story_id").alias("gb"), F.col("n").alias("nb")), "gb").filter(F.col("na") + F.col("nb") <= most)
+        live = live.withColumn("l", F.least("ga", "gb")).withColumn("h", F.greatest("ga", "gb")).join(barred, ["l", "h"], "left_anti")
+        live = save(live.select("a", "b", "similarity", "ga", "gb"))
+        if live.isEmpty():
+            return group
+        best = live.select(F.col("ga").alias("g"), rank.alias("r")).union(live.select("gb", rank)).groupBy("g").agg(F.min("r").alias("r"))
+        first = live.join(best.select(F.col("g").alias("ga"), F.col("r").alias("ra")), "ga").join(best.select(F.col("g").alias("gb"), F.col("r").alias("rb")), "gb").filter((F.col("ra") == rank) & (F.col("rb") == rank))
+        move = save(first.select(F.greatest("ga", "gb").alias("gone"), F.least("ga", "gb").alias("to")))
+        group = save(group.join(move, F.col("story_id") == F.col("gone"), "left").select("article_id", F.coalesce("to", "story_id").alias("story_id")))
+        for c in ("ga", "gb"):
+            live = live.join(move.withColumnRenamed("gone", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        edges = save(live)
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -54,9 +54,9 @@ def band_counts(t: Tables) -> DataFrame:
     return counts.band_counts(scored_ratings(t), ["version"])
 
 
-@query("D6_coverage", f"WITH r AS (SELECT * FROM ({RATED}) AS q WHERE user_id = 1) SELECT s.version, (SELECT count(*) FROM r) AS labelled, count(r.article_id) AS scored, count(*) FILTER (WHERE s.created_at > r.rated_at) AS after_rating FROM v_scores s LEFT JOIN r ON r.article_id = s.article_id WHERE s.user_id = 1 GROUP BY s.version")
+@query("D6_coverage", f"WITH r AS ({RATED}), n AS (SELECT user_id, count(*) AS labelled FROM r GROUP BY 1) SELECT s.user_id, s.version, coalesce(max(n.labelled), 0) AS labelled, count(r.article_id) AS scored, count(*) FILTER (WHERE s.created_at > r.rated_at) AS after_rating FROM v_scores s LEFT JOIN r ON r.article_id = s.article_id AND r.user_id = s.user_id LEFT JOIN n ON n.user_id = s.user_id GROUP BY 1, 2")
 def coverage(t: Tables) -> DataFrame:
-    return counts.coverage(ratings(t).filter("user_id = 1").drop("user_id"), t.v_scores.filter("user_id = 1"), ["version"])
+    return counts.coverage(ratings(t).select("user_id", "article_id", "rated_at"), t.v_scores.select("user_id", "version", "article_id", "created_at"), ["version"])
 
 
 @query("D7_miss_rate", f"WITH r AS ({RATED}), p AS (SELECT DISTINCT user_id, article_id FROM v_interactions WHERE event_type = 'click') SELECT p.user_id, count(*) AS picked, count(r.stars) AS rated, count(*) FILTER (WHERE r.stars >= 4) AS positive, count(*) FILTER (WHERE r.stars >= 4) / count(r.stars) AS miss_rate FROM p LEFT JOIN r ON r.user_id = p.user_id AND r.article_id = p.article_id GROUP BY p.user_id")
@@ -128,12 +128,13 @@ def version_stats(t: Tables) -> DataFrame:
     return out.withColumn("version", F.col("version").cast("bigint"))
 
 
-@query("D16_feature_sums", "SELECT d.article_id, round(sum(p.weight), 9) AS weight_sum FROM (SELECT DISTINCT article_id, topic FROM (" + TOPICS + ") AS q) d JOIN (SELECT concat('t', CAST(pos AS STRING)) AS topic, weight FROM v_profile_terms WHERE user_id = 1) p ON p.topic = d.topic GROUP BY d.article_id")
+@query("D16_feature_sums", "SELECT s.user_id, s.article_id, round(sum(p.weight), 9) AS weight_sum FROM (SELECT user_id, article_id FROM v_scores WHERE version = 1) s JOIN (SELECT DISTINCT article_id, topic FROM (" + TOPICS + ") AS q) d ON d.article_id = s.article_id JOIN (SELECT user_id, concat('t', CAST(pos AS STRING)) AS topic, weight FROM v_profile_terms) p ON p.user_id = s.user_id AND p.topic = d.topic GROUP BY 1, 2")
 def feature_sums(t: Tables) -> DataFrame:
-    weights = t.v_profile_terms.filter("user_id = 1").select("user_id", F.concat(F.lit("t"), F.col("pos").cast("string")).alias("feature"), "weight")
-    rows = article_topics(t).groupBy("article_id").agg(F.collect_list("topic").alias("features")).withColumn("user_id", F.lit(1).cast("bigint"))
+    weights = t.v_profile_terms.select("user_id", F.concat(F.lit("t"), F.col("pos").cast("string")).alias("feature"), "weight")
+    topics = article_topics(t).groupBy("article_id").agg(F.collect_list("topic").alias("features"))
+    rows = t.v_scores.filter("version = 1").select("user_id", "article_id").join(topics, "article_id")
     listed = joins.weight_sums(rows, weights, ["user_id", "article_id"])
-    return listed.filter(F.arrays_overlap("features", F.array(*(F.lit(f"t{k}") for k in range(4))))).select("article_id", F.round("weight_sum", 9).alias("weight_sum"))
+    return listed.filter(F.arrays_overlap("features", F.array(*(F.lit(f"t{k}") for k in range(4))))).select("user_id", "article_id", F.round("weight_sum", 9).alias("weight_sum"))
 
 
 @query("D19_ordered_lists", "SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS types FROM events GROUP BY user_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Tables
 from ..functions import score, text, time
+from ..functions.session import shared_folder
 from ..operators import predicates, sets
 from ..registry import query
 from ..sources import ingest
@@ -40,8 +42,43 @@ def listing_union(t: Tables) -> DataFrame:
 
 @query("A7_snapshot_days", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def snapshot_days(t: Tables) -> DataFrame:
+    """Counts over a snapshot of the events by day: written, its later half written anew, and read back."""
+    place = f"{shared_folder(t.spark)}/snapshot-{uuid.uuid4().hex}"
     kept = t.events.withColumn("day", F.to_date("ts"))
-    return kept.groupBy("day", "event_type").agg(F.count("*").alias("n"))
+    ingest.save_snapshot(kept, place, "day")
+    ingest.save_snapshot(kept.filter("day >= date'2024-01-15'"), place, "day")
+    return t.spark.read.parquet(place).groupBy("day", "event_type").agg(F.count("*").alias("n"))
+
+
+FEED_SITE = "https://news.example/feed/all.xml"
+
+
+@query("A1_feed_items", """SELECT CASE WHEN doc_id % 3 = 0 THEN concat('https://', source, '.example/a/', CAST(doc_id AS STRING)) WHEN doc_id % 3 = 1 THEN concat('https://news.example/a/', CAST(doc_id AS STRING)) ELSE concat('https://news.example/feed/', CAST(doc_id AS STRING)) END AS url,
+ concat('Text & ', CAST(doc_id AS STRING)) AS title, TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL '37' MINUTE AS published, CASE WHEN doc_id % 2 = 0 THEN lang END AS summary FROM documents WHERE doc_id % 11 <> 0""")
+def feed_items(t: Tables) -> DataFrame:
+    """Every document as an item of RSS or Atom feeds of 500, written as files and read back; those without a link go."""
+    place = f"{shared_folder(t.spark)}/feed-{uuid.uuid4().hex}"
+    number = F.col("doc_id").cast("string")
+    link = F.when(F.col("doc_id") % 11 == 0, "").when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://"), "source", F.lit(".example/a/"), number)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("/a/"), number)).otherwise(number)
+    at = F.expr("timestamp'2024-01-01 00:00:00' + doc_id * interval '37' minute")
+    title, summary = F.concat(F.lit("<title>Text &amp; "), number, F.lit("</title>")), lambda name: F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(f"<{name}>"), "lang", F.lit(f"</{name}>"))).otherwise("")
+    item = F.concat(F.lit("<item>"), title, F.lit("<link>"), link, F.lit("</link><pubDate>"), F.date_format(at, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate>"), summary("description"), F.lit("</item>"))
+    entry = F.concat(F.lit("<entry>"), title, F.lit('<link rel="self" href="https://x.example/self"/><link rel="alternate" href="'), link, F.lit('"/><updated>'), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</updated>"), summary("summary"), F.lit("</entry>"))
+    one = F.when(F.length("text") % 2 == 0, item).otherwise(entry)
+    feeds = t.documents.groupBy(F.floor(F.col("doc_id") / 500).alias("page")).agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(one), "\n"), F.lit("</feed>")).alias("value"))
+    feeds.write.partitionBy("page").text(place)
+    return ingest.feed(t.spark, place, FEED_SITE).select("url", "title", "published", "summary")
+
+
+@query("A2_json_listing", "SELECT concat('/d/', CAST(doc_id AS STRING)) AS url, concat('Text ', CAST(doc_id AS STRING)) AS title, TIMESTAMP '2024-01-01 00:00:00' + (doc_id % 300) * INTERVAL '1' DAY - INTERVAL '9' HOUR AS published, lang AS category FROM documents WHERE doc_id % 11 <> 0")
+def json_listing(t: Tables) -> DataFrame:
+    """Every document in JSON listings of 500 entries, written as files and read back; those without a link go."""
+    place = f"{shared_folder(t.spark)}/listing-{uuid.uuid4().hex}"
+    number, day = F.col("doc_id").cast("string"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int"))
+    entry = F.struct(F.concat(F.lit("Text "), number).alias("title"), F.when(F.col("doc_id") % 11 != 0, F.concat(F.lit("/d/"), number)).alias("href"), F.concat_ws("-", F.year(day), F.month(day), F.dayofmonth(day)).alias("date"), F.col("lang").alias("category"))
+    pages = t.documents.groupBy(F.floor(F.col("doc_id") / 500).alias("page")).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    pages.write.partitionBy("page").text(place)
+    return ingest.json_listing(t.spark, place).select("url", "title", "published", "category")
 
 
 @query("A3_listing_links")
@@ -103,33 +140,33 @@ def default_visibility(t: Tables) -> DataFrame:
     return rows.filter(predicates.visible(50)).select("user_id", "article_id", "score")
 
 
-@query("B7_rating_filter", "SELECT a.id, r.stars, r.stars IS NULL OR r.stars > 2 AS hide_low, coalesce(r.stars >= 4, false) AS at_least_4, r.stars IS NULL AS unrated FROM v_articles a LEFT JOIN (SELECT article_id, max(stars) AS stars FROM v_interactions WHERE user_id = 1 GROUP BY article_id) r ON r.article_id = a.id")
+@query("B7_rating_filter", "SELECT s.user_id, s.article_id, r.stars, r.stars IS NULL OR r.stars > 2 AS hide_low, coalesce(r.stars >= 4, false) AS at_least_4, r.stars IS NULL AS unrated FROM v_scores s LEFT JOIN (SELECT user_id, article_id, max(stars) AS stars FROM v_interactions GROUP BY 1, 2) r ON r.user_id = s.user_id AND r.article_id = s.article_id WHERE s.version = 1")
 def rating_filter(t: Tables) -> DataFrame:
-    stars = t.v_interactions.filter("user_id = 1").groupBy("article_id").agg(F.max("stars").alias("stars"))
-    rows = t.v_articles.select("id").join(stars.withColumnRenamed("article_id", "id"), "id", "left")
-    return rows.select("id", "stars", predicates.rated("hide_low").alias("hide_low"), predicates.rated("at_least", 4).alias("at_least_4"), predicates.rated("unrated").alias("unrated"))
+    stars = t.v_interactions.groupBy("user_id", "article_id").agg(F.max("stars").alias("stars"))
+    rows = t.v_scores.filter("version = 1").select("user_id", "article_id").join(stars, ["user_id", "article_id"], "left")
+    return rows.select("user_id", "article_id", "stars", predicates.rated("hide_low").alias("hide_low"), predicates.rated("at_least", 4).alias("at_least_4"), predicates.rated("unrated").alias("unrated"))
 
 
-@query("B8_mark_filters", """WITH r AS (SELECT article_id, min(ts) AS read_at FROM v_interactions WHERE event_type = 'view' AND user_id < 10 GROUP BY article_id),
- s AS (SELECT t.article_id, r.read_at, min(r.read_at) OVER (PARTITION BY t.story_id) AS story_read FROM v_stories t LEFT JOIN r ON r.article_id = t.article_id)
- SELECT article_id, coalesce(read_at, story_read) IS NULL AS unread FROM s""")
+@query("B8_mark_filters", """WITH r AS (SELECT user_id, article_id, min(ts) AS read_at FROM v_interactions WHERE event_type = 'view' GROUP BY 1, 2),
+ s AS (SELECT r.user_id, t.story_id, min(r.read_at) AS story_read FROM r JOIN v_stories t ON t.article_id = r.article_id GROUP BY 1, 2)
+ SELECT v.user_id, v.article_id, coalesce(r.read_at, s.story_read) IS NULL AS unread FROM v_scores v JOIN v_stories t ON t.article_id = v.article_id LEFT JOIN r ON r.user_id = v.user_id AND r.article_id = v.article_id LEFT JOIN s ON s.user_id = v.user_id AND s.story_id = t.story_id WHERE v.version = 1""")
 def mark_filters(t: Tables) -> DataFrame:
-    read = t.v_interactions.filter("event_type = 'view' and user_id < 10").groupBy("article_id").agg(F.min("ts").alias("read_at"))
-    rows = t.v_stories.join(read, "article_id", "left")
-    story = rows.groupBy("story_id").agg(F.min("read_at").alias("story_read_at"))
-    return rows.join(story, "story_id").select("article_id", predicates.marked("read_at", False, "story_read_at").alias("unread"))
+    read = t.v_interactions.filter("event_type = 'view'").groupBy("user_id", "article_id").agg(F.min("ts").alias("read_at"))
+    story = read.join(t.v_stories, "article_id").groupBy("user_id", "story_id").agg(F.min("read_at").alias("story_read_at"))
+    rows = t.v_scores.filter("version = 1").select("user_id", "article_id").join(t.v_stories, "article_id").join(read, ["user_id", "article_id"], "left").join(story, ["user_id", "story_id"], "left")
+    return rows.select("user_id", "article_id", predicates.marked("read_at", False, "story_read_at").alias("unread"))
 
 
-@query("B9_search_conditions", """SELECT a.id FROM v_articles a JOIN v_scores s ON s.article_id = a.id AND s.user_id = 1 AND s.version = 1
+@query("B9_search_conditions", """SELECT s.user_id, a.id FROM v_articles a JOIN v_scores s ON s.article_id = a.id AND s.version = 1
  WHERE a.lang = 'en' AND a.source_id IN ('src1', 'src2', 'src3') AND coalesce(a.published_at, a.fetched_at) >= TIMESTAMP '2024-01-02 00:00:00' AND coalesce(a.published_at, a.fetched_at) < TIMESTAMP '2024-03-01 00:00:00' AND s.score >= 30
  AND EXISTS (SELECT 1 FROM v_digest_topics d WHERE d.artifact_id = s.artifact_id AND d.topic IN ('t1', 't3', 't5', 't7')) AND NOT EXISTS (SELECT 1 FROM v_digest_topics d WHERE d.artifact_id = s.artifact_id AND d.topic = 't9')""")
 def search_conditions(t: Tables) -> DataFrame:
     topics = t.v_digest_topics.groupBy("artifact_id").agg(F.collect_set("topic").alias("topics"))
-    rows = t.v_articles.withColumn("at", time.effective(F.col("published_at"), F.col("fetched_at"))).join(t.v_scores.filter("user_id = 1 and version = 1").withColumnRenamed("article_id", "id"), "id").join(topics, "artifact_id")
+    rows = t.v_articles.withColumn("at", time.effective(F.col("published_at"), F.col("fetched_at"))).join(t.v_scores.filter("version = 1").withColumnRenamed("article_id", "id"), "id").join(topics, "artifact_id")
     rows = rows.withColumn("stars", F.lit(None).cast("int"))
     wanted = predicates.Conditions(sources=["src1", "src2", "src3"], lang="en", since=datetime(2024, 1, 2), until=datetime(2024, 3, 1), min_score=30)
     any_topic = F.arrays_overlap("topics", F.array(*map(F.lit, ("t1", "t3", "t5", "t7"))))
-    return rows.filter(wanted.column() & any_topic & ~F.array_contains("topics", "t9")).select("id")
+    return rows.filter(wanted.column() & any_topic & ~F.array_contains("topics", "t9")).select("user_id", "id")
 
 
 @query("B10_crawl_rules", r"""WITH u AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS origin, regexp_extract(url, '^https?://[^/]+([^#]*)', 1) AS path FROM pages)
@@ -146,16 +183,17 @@ def visit_split(t: Tables) -> DataFrame:
     return t.v_articles.select("id", predicates.visit_split(F.col("fetched_at"), F.lit(datetime(2024, 1, 10))).alias("section"))
 
 
-@query("B12_record_validation", """WITH r AS (SELECT turn + conv_id * 100 AS position, conv_id % 300 AS id, 1 + length(text) % 7 AS k, length(text) % 5 = 0 AS odd FROM conversations),
- seen AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY position) AS turn FROM r)
- SELECT id, concat_ws('; ', CASE WHEN id >= 250 THEN 'not required' END, CASE WHEN turn > 1 THEN 'repeated' END, CASE WHEN k > 5 THEN 'number of topics' END, CASE WHEN odd THEN 'unknown topic' END) AS reasons FROM seen WHERE id >= 250 OR turn > 1 OR k > 5 OR odd
- UNION ALL SELECT id, 'missing' AS reasons FROM (SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id < 250) AS q WHERE id NOT IN (SELECT id FROM r)""")
+@query("B12_record_validation", """WITH q AS (SELECT DISTINCT doc_id AS id FROM documents WHERE lang <> 'de'), r AS (SELECT turn + conv_id * 100 AS position, conv_id AS id, 1 + length(text) % 7 AS k, length(text) % 5 = 0 AS odd FROM conversations),
+ seen AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY position) AS turn, id NOT IN (SELECT id FROM q) AS other FROM r)
+ SELECT id, concat_ws('; ', CASE WHEN other THEN 'not required' END, CASE WHEN turn > 1 THEN 'repeated' END, CASE WHEN k > 5 THEN 'number of topics' END, CASE WHEN odd THEN 'unknown topic' END) AS reasons FROM seen WHERE other OR turn > 1 OR k > 5 OR odd
+ UNION ALL SELECT id, 'missing' AS reasons FROM q WHERE id NOT IN (SELECT id FROM r)""")
 def record_validation(t: Tables) -> DataFrame:
+    """Records are asked for of all documents that aren't German; the turns of a conversation stand for records of the document of its number."""
     topics = F.transform(F.sequence(F.lit(1), (1 + F.length("text") % 7).cast("int")), lambda k: F.concat(F.lit("t"), k.cast("string")))
     odd = F.length("text") % 5 == 0
-    records = t.conversations.select((F.col("turn") + F.col("conv_id") * 100).alias("position"), (F.col("conv_id") % 300).alias("id"), F.when(odd, F.transform(topics, lambda x: F.concat(x, F.lit("?")))).otherwise(topics).alias("topics"), F.array().cast("array<string>").alias("new_topics"))
-    vocabulary = t.v_topics
-    return predicates.rejected_records(records, t.documents.filter("doc_id < 250").select(F.col("doc_id").alias("id")).distinct(), vocabulary).withColumn("reasons", F.concat_ws("; ", "reasons"))
+    records = t.conversations.select((F.col("turn") + F.col("conv_id") * 100).alias("position"), F.col("conv_id").alias("id"), F.when(odd, F.transform(topics, lambda x: F.concat(x, F.lit("?")))).otherwise(topics).alias("topics"), F.array().cast("array<string>").alias("new_topics"))
+    asked = t.documents.filter("lang <> 'de'").select(F.col("doc_id").alias("id")).distinct()
+    return predicates.rejected_records(records, asked, t.v_topics).withColumn("reasons", F.concat_ws("; ", "reasons"))
 
 
 @query("B13_profile_validation", "SELECT user_id, concat_ws('; ', CASE WHEN user_id % 5 = 0 THEN 'repeated topic' END, CASE WHEN user_id % 3 = 0 THEN 'weight' END, CASE WHEN user_id % 7 = 0 THEN 'no positive weight' END) AS reasons FROM (SELECT DISTINCT user_id FROM events) AS u WHERE user_id % 3 = 0 OR user_id % 5 = 0 OR user_id % 7 = 0")
@@ -189,9 +227,10 @@ def union_all(t: Tables) -> DataFrame:
     return sets.names(t.v_topics, t.v_topic_aliases)
 
 
-@query("G3_set_difference", "SELECT id FROM v_articles WHERE id NOT IN (SELECT article_id FROM v_scores WHERE user_id = 1)")
+@query("G3_set_difference", "SELECT user_id, article_id FROM v_scores WHERE version = 1 EXCEPT SELECT user_id, article_id FROM v_scores WHERE version = 2")
 def set_difference(t: Tables) -> DataFrame:
-    return sets.without(t.v_articles.select("id"), t.v_scores.filter("user_id = 1").select(F.col("article_id").alias("id")), ["id"])
+    of = lambda version: t.v_scores.filter(F.col("version") == version).select("user_id", "article_id")
+    return sets.without(of(1), of(2), ["user_id", "article_id"])
 
 
 @query("G4_profile_diff", """WITH a AS (SELECT * FROM v_profile_terms WHERE pos < 3), b AS (SELECT user_id, pos, kind, CASE WHEN pos = 1 THEN weight / 2 ELSE weight END AS weight, vec_id FROM v_profile_terms WHERE pos > 0)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import Tables
+from ..functions.session import shared_folder
 from ..operators import joins, search
 from ..registry import query
 from .windows import ARTICLES, articles
@@ -87,16 +90,19 @@ def term_match(t: Tables) -> DataFrame:
 
 @query("I3_trigram_postings", "SELECT doc_id FROM documents WHERE contains(lower(text), 'nguage') OR contains(lower(text), 'thonthe')")
 def trigram_postings(t: Tables) -> DataFrame:
+    """The index is written once and read by the grams of each term."""
+    place = f"{shared_folder(t.spark)}/postings-{uuid.uuid4().hex}"
     texts = t.documents.select("doc_id", "text")
-    postings = search.postings(texts)
-    return search.by_postings(postings, texts, "thonthe").union(search.by_postings(postings, texts, "nguage")).distinct()
+    search.save_postings(search.postings(texts), place)
+    index = t.spark.read.parquet(place)
+    return search.by_postings(index, texts, "thonthe").union(search.by_postings(index, texts, "nguage")).distinct()
 
 
 @query("I4_search_result", f"""WITH d AS ({DOCS}), a AS ({ARTICLES}), m AS (SELECT DISTINCT article_id FROM d WHERE contains(lower(text), 'tion the'))
- SELECT a.id, s.score FROM a JOIN m ON m.article_id = a.id LEFT JOIN v_scores s ON s.article_id = a.id AND s.user_id = 1 AND s.version = 1 WHERE a.lang = 'en' ORDER BY s.score DESC NULLS LAST, a."at" DESC, a.id DESC LIMIT 50""")
+ SELECT user_id, id, score FROM (SELECT s.user_id, a.id, s.score, row_number() OVER (PARTITION BY s.user_id ORDER BY s.score DESC NULLS LAST, a."at" DESC, a.id DESC) AS k FROM a JOIN m ON m.article_id = a.id JOIN v_scores s ON s.article_id = a.id AND s.version = 1 WHERE a.lang = 'en') AS x WHERE k <= 50""")
 def search_result(t: Tables) -> DataFrame:
-    rows = articles(t).join(t.v_scores.filter("user_id = 1 and version = 1").select(F.col("article_id").alias("id"), "score"), "id", "left")
-    return search.result(rows, search.matching(docs(t), ["tion the"]), F.col("lang") == "en", limit=50).select("id", "score")
+    rows = articles(t).join(t.v_scores.filter("version = 1").select("user_id", F.col("article_id").alias("id"), "score"), "id")
+    return search.result(rows, search.matching(docs(t), ["tion the"]), F.col("lang") == "en", ["user_id"], limit=50).select("user_id", "id", "score")
 
 
 @query("I5_topic_facets", "SELECT t.facet, t.name, count(*) AS uses FROM v_topics t JOIN v_digest_topics d ON d.topic = t.name GROUP BY t.facet, t.name")

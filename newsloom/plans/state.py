@@ -64,11 +64,11 @@ def actions(t: Tables) -> DataFrame:
     return t.v_interactions.select("user_id", "article_id", "event_id", "ts", action.alias("action"), (F.col("stars") - 1).alias("stars"))
 
 
-@query("M5_user_marks", f"""WITH l AS ({ACTIONS}), u AS (SELECT *, max(CASE WHEN action = 'unread' THEN struct_pack(a := ts, e := event_id) END) OVER w AS ur, max(CASE WHEN action = 'unbookmark' THEN struct_pack(a := ts, e := event_id) END) OVER w AS ub, max(CASE WHEN action = 'rate' THEN struct_pack(a := ts, e := event_id) END) OVER w AS lr FROM l WINDOW w AS (PARTITION BY user_id, article_id))
+@query("M5_user_marks", f"""WITH l AS (SELECT x.*, coalesce(t.story_id, x.article_id) AS story FROM ({ACTIONS}) x LEFT JOIN v_stories t ON t.article_id = x.article_id), u AS (SELECT *, max(CASE WHEN action = 'unread' THEN struct_pack(a := ts, e := event_id) END) OVER (PARTITION BY user_id, story) AS ur, max(CASE WHEN action = 'unbookmark' THEN struct_pack(a := ts, e := event_id) END) OVER w AS ub, max(CASE WHEN action = 'rate' THEN struct_pack(a := ts, e := event_id) END) OVER w AS lr FROM l WINDOW w AS (PARTITION BY user_id, article_id))
  SELECT user_id, article_id, nullif(max(CASE WHEN action = 'rate' AND struct_pack(a := ts, e := event_id) = lr THEN stars END), 0) AS stars, min(CASE WHEN action = 'read' AND (ur IS NULL OR struct_pack(a := ts, e := event_id) > ur) THEN ts END) AS read_at,
  min(CASE WHEN action = 'bookmark' AND (ub IS NULL OR struct_pack(a := ts, e := event_id) > ub) THEN ts END) AS bookmarked_at FROM u GROUP BY user_id, article_id""")
 def user_marks(t: Tables) -> DataFrame:
-    return state.marks(actions(t))
+    return state.marks(actions(t), t.v_stories)
 
 
 @query("M6_stream_visits", "WITH d AS (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'view'), l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM d), v AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL '30' MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l) SELECT user_id, min(ts) AS first_view, max(ts) AS last_view FROM v GROUP BY user_id, k")
@@ -82,26 +82,39 @@ def cascade(t: Tables) -> DataFrame:
     return state.cascade(t.v_digests, t.v_articles.filter("lang <> 'de'"), "article_id").select("id", "article_id")
 
 
-@query("M8_versioned_append", "SELECT article_id, model, title_x FROM v_digests WHERE NOT (model = 'm1' AND article_id % 2 = 0)")
+@query("M8_versioned_append", "SELECT article_id, kind, backend, model, prompt_version, input_scope, glossary_at FROM (SELECT article_id, 'digest' AS kind, CASE WHEN article_id % 2 = 0 THEN 'a' ELSE 'b' END AS backend, model, CAST(article_id % 3 AS INT) AS prompt_version, CASE WHEN article_id % 11 = 0 THEN 'm1' ELSE 'public' END AS input_scope, CASE WHEN article_id % 4 = 0 THEN created_at END AS glossary_at FROM v_digests) AS x WHERE NOT (model = 'm1' AND article_id % 5 = 0)")
 def versioned_append(t: Tables) -> DataFrame:
-    rows = t.v_digests.select("article_id", "model", "title_x", F.lit(None).cast("timestamp").alias("glossary_at"))
-    return state.appended(rows.filter("model = 'm1' and article_id % 2 = 0"), rows.unionByName(rows), ["article_id", "model", "glossary_at"]).select("article_id", "model", "title_x")
+    """An artifact's identity is its article, kind, backend, model, prompt version, input scope and glossary time, null being a value. Each fresh row comes twice, and what is stored isn't appended."""
+    a, key = F.col("article_id"), ["article_id", "kind", "backend", "model", "prompt_version", "input_scope", "glossary_at"]
+    rows = t.v_digests.select("article_id", F.lit("digest").alias("kind"), F.when(a % 2 == 0, "a").otherwise("b").alias("backend"), "model", (a % 3).cast("int").alias("prompt_version"), F.when(a % 11 == 0, "m1").otherwise("public").alias("input_scope"), F.when(a % 4 == 0, F.col("created_at")).alias("glossary_at"))
+    return state.appended(rows.filter("model = 'm1' and article_id % 5 = 0"), rows.unionByName(rows), key).select(*key)
 
 
-@query("M9_profile_history", """WITH c AS (SELECT user_id, event_id, max(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS created_at, event_type AS hash, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events)
- SELECT user_id, row_number() OVER w AS version, hash, created_at, lead(created_at) OVER w AS retired_at FROM c WHERE b IS DISTINCT FROM hash WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
-def profile_history(t: Tables) -> DataFrame:
+CHANGES = "SELECT user_id, event_id, max(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS created_at, event_type AS hash, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events"
+
+
+def versions(t: Tables) -> DataFrame:
     return state.history(t.events.select("user_id", F.col("event_id").alias("change_id"), F.col("ts").alias("at"), F.col("event_type").alias("hash")))
 
 
-@query("M10_suggestions", """WITH m AS (SELECT user_id, event_id AS suggestion_id, event_type AS base, max(event_id) OVER (PARTITION BY user_id) AS last FROM events WHERE event_id % 2 = 0), c AS (SELECT user_id, arg_max(event_type, event_id) AS hash FROM events GROUP BY user_id)
- SELECT m.suggestion_id, CASE WHEN m.suggestion_id % 6 = 0 THEN 'applied' WHEN m.suggestion_id % 10 = 0 THEN 'dismissed' WHEN m.suggestion_id < m.last OR m.base <> c.hash THEN 'superseded' ELSE 'pending' END AS status FROM m JOIN c ON c.user_id = m.user_id""")
+@query("M9_profile_history", f"""WITH c AS ({CHANGES}), h AS (SELECT user_id, row_number() OVER w AS version, hash, created_at, lead(created_at) OVER w AS retired_at FROM c WHERE b IS DISTINCT FROM hash WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+ r AS (SELECT h.user_id, h.version, i.article_id, arg_max(i.stars, struct_pack(a := i.ts, e := i.event_id)) AS stars FROM h JOIN v_interactions i ON i.user_id = h.user_id AND i.ts <= h.retired_at GROUP BY 1, 2, 3),
+ s AS (SELECT r.*, v.score FROM r JOIN v_scores v ON v.version = 1 AND v.user_id = r.user_id AND v.article_id = r.article_id), n AS (SELECT user_id, version, count(*) AS rated FROM s GROUP BY 1, 2),
+ p AS (SELECT x.user_id, x.version, avg(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0.0 END) AS concordance FROM s x JOIN s y ON y.user_id = x.user_id AND y.version = x.version AND x.stars > y.stars GROUP BY 1, 2)
+ SELECT h.*, CASE WHEN h.retired_at IS NOT NULL THEN coalesce(n.rated, 0) END AS rated, p.concordance FROM h LEFT JOIN n ON n.user_id = h.user_id AND n.version = h.version LEFT JOIN p ON p.user_id = h.user_id AND p.version = h.version""")
+def profile_history(t: Tables) -> DataFrame:
+    """Versions, those retired with the figures of the time that they retired."""
+    scores = t.v_scores.filter("version = 1").select("user_id", "article_id", "score")
+    return state.frozen(versions(t).drop("change_id"), t.v_interactions, scores)
+
+
+@query("M10_suggestions", f"""WITH m AS (SELECT user_id, event_id AS suggestion_id, max(event_id) OVER (PARTITION BY user_id) AS last FROM events WHERE event_id % 2 = 0), c AS (SELECT user_id, max(event_id) AS changed FROM ({CHANGES}) AS x WHERE b IS DISTINCT FROM hash GROUP BY user_id)
+ SELECT m.suggestion_id, CASE WHEN m.suggestion_id % 6 = 0 THEN 'applied' WHEN m.suggestion_id % 10 = 0 THEN 'dismissed' WHEN m.suggestion_id < m.last OR m.suggestion_id < c.changed THEN 'superseded' ELSE 'pending' END AS status FROM m JOIN c ON c.user_id = m.user_id""")
 def suggestions(t: Tables) -> DataFrame:
     even = t.events.filter("event_id % 2 = 0")
-    made = even.select("user_id", F.col("event_id").alias("suggestion_id"), "event_id", F.lit("made").alias("action"), F.col("event_type").alias("base_hash"))
+    made = even.select("user_id", F.col("event_id").alias("suggestion_id"), "event_id", F.lit("made").alias("action"))
     decided = lambda m, a, later: made.filter(F.col("suggestion_id") % m == 0).withColumn("action", F.lit(a)).withColumn("event_id", F.col("event_id") + later)
-    current = t.events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("hash"))
-    return state.suggestions(made.unionByName(decided(6, "applied", 1)).unionByName(decided(10, "dismissed", 2)), current)
+    return state.suggestions(made.unionByName(decided(6, "applied", 1)).unionByName(decided(10, "dismissed", 2)), versions(t))
 
 
 def merges(t: Tables) -> DataFrame:
@@ -113,10 +126,12 @@ def topic_merge(t: Tables) -> DataFrame:
     return state.merge_topics(t.v_digest_topics, t.v_topic_aliases, t.v_topics, merges(t))[0]
 
 
-@query("M12_vocabulary_replace", "SELECT name FROM v_topics WHERE name NOT IN ('t1', 't13') AND facet = 'place' AND name IN (SELECT topic FROM v_digest_topics)")
+@query("M12_vocabulary_replace", "WITH gone AS (SELECT name FROM v_topics WHERE name NOT IN ('t1', 't13') AND facet = 'place') SELECT name, facet, false AS blocked FROM v_topics WHERE name NOT IN (SELECT name FROM gone) UNION ALL SELECT name, NULL AS facet, true AS blocked FROM gone WHERE name IN (SELECT topic FROM v_digest_topics)")
 def vocabulary_replace(t: Tables) -> DataFrame:
+    """The vocabulary after the replacement, and the names in use that stand against it."""
     wanted = t.v_topics.filter("facet <> 'place' or name in ('t1', 't13')")
-    return state.replace_vocabulary(t.v_topics, wanted, t.v_digest_topics)[1]
+    after, blocked = state.replace_vocabulary(t.v_topics, wanted, t.v_digest_topics)
+    return after.withColumn("blocked", F.lit(False)).unionByName(blocked.select("name", F.lit(None).cast("string").alias("facet"), F.lit(True).alias("blocked")))
 
 
 @query("M13_tag_linking", "SELECT x.artifact_id, x.name, coalesce(v.name, a.name) AS topic FROM (SELECT artifact_id, CASE WHEN artifact_id % 3 = 0 THEN concat('alias ', topic) ELSE topic END AS name FROM v_digest_topics) x LEFT JOIN v_topics v ON v.name = x.name LEFT JOIN v_topic_aliases a ON a.alias = x.name")
@@ -125,11 +140,22 @@ def tag_linking(t: Tables) -> DataFrame:
     return state.link_tags(names, t.v_topics, t.v_topic_aliases)
 
 
-@query("M14_glossary_upsert", f"SELECT concat('s', CAST(p_partkey AS STRING)) AS source, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END AS target, CASE WHEN p_partkey % 2 = 0 OR p_brand = p_type THEN TIMESTAMP '2024-01-01 00:00:00' ELSE {NOW_SQL} END AS changed_at FROM part")
+@query("M14_glossary_upsert", f"""WITH p AS (SELECT p_partkey AS k, p_partkey % 2 = 1 AS fresh FROM part),
+ r AS (SELECT k, list_filter([CASE WHEN k % 9 = 0 THEN 'target' END, CASE WHEN k % 15 = 0 THEN 'abbr' END, CASE WHEN k % 21 = 0 THEN 'source' END], lambda x: x IS NOT NULL) AS reasons FROM p WHERE fresh)
+ SELECT k AS term_id, concat('s', CAST(k AS STRING)) AS source, TIMESTAMP '2024-01-01 00:00:00' AS added_at, NULL AS reasons FROM p WHERE NOT fresh OR k IN (SELECT k FROM r WHERE len(reasons) > 0)
+ UNION ALL SELECT k, concat('x', CAST(k AS STRING)), TIMESTAMP '2024-01-01 00:00:00', NULL FROM p
+ UNION ALL SELECT k, concat('S', CAST(k AS STRING)), {NOW_SQL}, NULL FROM p WHERE fresh AND k NOT IN (SELECT k FROM r WHERE len(reasons) > 0)
+ UNION ALL SELECT k, NULL, NULL, array_to_string(list_sort(reasons), ',') FROM r WHERE len(reasons) > 0""")
 def glossary_upsert(t: Tables) -> DataFrame:
-    source = F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("source")
-    stored = t.part.select(source, F.col("p_brand").alias("target"), F.lit(datetime(2024, 1, 1)).alias("changed_at"))
-    return state.glossary_upsert(stored, t.part.filter("p_partkey % 2 = 1").select(source, F.col("p_type").alias("target")), F.lit(NOW))[0]
+    """Each part is a term with two sources; every other one is given anew with one source in capitals and one kept, some of them with the target, abbreviation or a source of the term before."""
+    k, text = F.col("p_partkey"), lambda s, c: F.concat(F.lit(s), c.cast("string"))
+    terms = t.part.select(k.alias("term_id"), text("T", k).alias("target"), text("A", k).alias("abbr"))
+    sources = t.part.select(F.explode(F.array(text("s", k), text("x", k))).alias("source"), k.alias("term_id"), F.lit(datetime(2024, 1, 1)).alias("added_at"))
+    again = F.array_compact(F.array(text("S", k), text("x", k), F.when(k % 21 == 0, text("X", k - 1))))
+    fresh = t.part.filter(k % 2 == 1).select(k.alias("term_id"), F.when(k % 9 == 0, text("T", k - 1)).otherwise(text("N", k)).alias("target"), F.when(k % 15 == 0, text("A", k - 1)).alias("abbr"), again.alias("sources"))
+    after, rejected = state.glossary_upsert(terms, sources, fresh, F.lit(NOW))
+    none = F.lit(None).cast("string")
+    return after.select("term_id", "source", "added_at", none.alias("reasons")).unionByName(rejected.select("term_id", none.alias("source"), F.lit(None).cast("timestamp").alias("added_at"), F.concat_ws(",", "reasons").alias("reasons")))
 
 
 @query("M15_translation_requests", "SELECT i.event_id, i.article_id, CASE WHEN d.made IS NOT NULL THEN greatest(i.ts, d.made) END AS done_at FROM v_interactions i LEFT JOIN (SELECT article_id, min(created_at) AS made FROM v_digests WHERE model = 'm2' GROUP BY 1) d ON d.article_id = i.article_id WHERE i.event_type = 'purchase'")

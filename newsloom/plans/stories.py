@@ -14,7 +14,10 @@ from .basics import required
 from .windows import ARTICLES, articles
 
 LEAST = 0.95
-TEXTS = "SELECT doc_id AS id, substring(text, 1, 300) AS text FROM documents WHERE lang = 'de'"
+TEXTS = """SELECT a.id, coalesce(d.s, l.title_x, CASE WHEN a.lang = 'en' THEN a.title END) AS text FROM v_articles a
+ LEFT JOIN (SELECT article_id, concat_ws(chr(10), title_x, summary_x) AS s, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) AS k FROM v_digests WHERE article_id % 11 <> 0) d ON d.article_id = a.id AND d.k = 1
+ LEFT JOIN (SELECT article_id, title_x, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) AS k FROM v_title_translations) l ON l.article_id = a.id AND l.k = 1
+ WHERE coalesce(d.s, l.title_x, CASE WHEN a.lang = 'en' THEN a.title END) IS NOT NULL"""
 TFIDF = f"""WITH x AS ({TEXTS}), p AS (SELECT id, lower(regexp_replace(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}]', '', 'g')) AS s FROM x), g AS (SELECT id, substring(s, CAST(k AS INT), 2) AS gram FROM p, range(1, length(s)) AS r(k)),
  tf AS (SELECT id, gram, count(*) AS tf FROM g GROUP BY id, gram), df AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram),
  w AS (SELECT id, tf.gram, tf * (ln(((SELECT count(*) FROM x) + 1) / (df + 1)) + 1) AS w FROM tf JOIN df ON df.gram = tf.gram), v AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w)"""
@@ -23,7 +26,9 @@ PAIRS = TFIDF + f""", a AS ({ARTICLES}), c AS (SELECT l.id AS target, r.id, roun
 
 
 def texts(t: Tables) -> DataFrame:
-    return t.documents.filter("lang = 'de'").select(F.col("doc_id").alias("id"), F.substring("text", 1, 300).alias("text"))
+    """The comparison texts of all articles: titles and summaries of public digests, else translated titles, else English titles."""
+    public = t.v_digests.select("id").join(required(t).select(F.col("artifact_id").alias("id")), "id", "left_anti")
+    return stories.comparison_texts(t.v_articles, t.v_digests, public, t.v_title_translations, "en")
 
 
 def pairs(t: Tables) -> DataFrame:
@@ -31,10 +36,9 @@ def pairs(t: Tables) -> DataFrame:
     return stories.similar_pairs(stories.tf_idf(own), articles(t), own, LEAST)
 
 
-@query("J1_comparison_texts", "WITH d AS (SELECT article_id, concat_ws(chr(10), title_x, summary_x) AS s, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) AS k FROM v_digests WHERE article_id % 11 <> 0) SELECT a.id, coalesce(d.s, CASE WHEN a.lang = 'en' THEN a.title END) AS text FROM v_articles a LEFT JOIN d ON d.article_id = a.id AND d.k = 1 WHERE d.s IS NOT NULL OR a.lang = 'en'")
+@query("J1_comparison_texts", TEXTS)
 def comparison_texts(t: Tables) -> DataFrame:
-    public = t.v_digests.select("id").join(required(t).select(F.col("artifact_id").alias("id")), "id", "left_anti")
-    return stories.comparison_texts(t.v_articles, t.v_digests, public, "en")
+    return texts(t)
 
 
 @query("J2_pool", f"""WITH a AS ({ARTICLES}), s AS (SELECT min("at") - INTERVAL '1' DAY AS f, max("at") + INTERVAL '1' DAY AS u FROM a WHERE id BETWEEN 50 AND 60) SELECT a.id FROM a, s WHERE a."at" BETWEEN s.f AND s.u""")
@@ -99,10 +103,12 @@ def story_groups(t: Tables) -> DataFrame:
     return grouped(t)
 
 
-@query("J8_latest_links", "WITH l AS (SELECT user_id AS a, article_id AS b, CASE WHEN stars >= 4 THEN 'same' ELSE 'unrelated' END AS verdict, date_trunc('day', ts) AS judged_at FROM v_interactions) SELECT a, b, verdict, judged_at FROM (SELECT *, max(judged_at) OVER (PARTITION BY a) AS m FROM l) AS x WHERE judged_at = m")
+@query("J8_latest_links", """WITH l AS (SELECT user_id AS a, article_id AS b, CASE WHEN stars >= 4 THEN 'same' ELSE 'unrelated' END AS verdict, date_trunc('day', ts) AS judged_at FROM v_interactions),
+ n AS (SELECT a, b, verdict FROM (SELECT *, max(judged_at) OVER (PARTITION BY a) AS m FROM l) AS x WHERE judged_at = m AND a <> b) SELECT least(a, b) AS a, greatest(a, b) AS b, CASE WHEN bool_or(verdict <> 'same') THEN 'apart' ELSE 'same' END AS verdict FROM n GROUP BY 1, 2""")
 def latest_links(t: Tables) -> DataFrame:
     links = t.v_interactions.select(F.col("user_id").alias("a"), F.col("article_id").alias("b"), F.when(F.col("stars") >= 4, "same").otherwise("unrelated").alias("verdict"), F.date_trunc("day", "ts").alias("judged_at"))
-    return stories.latest_judgments(links)
+    same, apart = stories.same_and_apart(stories.latest_judgments(links))
+    return same.withColumn("verdict", F.lit("same")).unionByName(apart.withColumn("verdict", F.lit("apart")))
 
 
 @query("J9_group_delta", "SELECT article_id, article_id - article_id % 2 AS story_id FROM v_stories WHERE article_id % 5 <> 0 AND story_id <> article_id - article_id % 2 UNION ALL SELECT article_id, article_id FROM v_stories WHERE article_id % 5 = 0 AND story_id <> article_id")

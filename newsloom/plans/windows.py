@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Tables
 from ..functions.time import effective
-from ..operators import latest
+from ..operators import joins, latest
 from ..registry import query
 from .basics import REQUIRED, required
 
@@ -18,26 +18,37 @@ def articles(t: Tables) -> DataFrame:
     return t.v_articles.withColumn("at", effective(F.col("published_at"), F.col("fetched_at"))).select("id", "source_id", "lang", "at")
 
 
-@query("E1_latest_digest", f"""WITH u AS (SELECT DISTINCT user_id FROM events WHERE user_id < 20), r AS ({REQUIRED}),
+@query("E1_latest_digest", f"""WITH u AS (SELECT DISTINCT user_id FROM events), r AS ({REQUIRED}),
  v AS (SELECT u.user_id, d.id, d.article_id, d.created_at FROM v_digests d CROSS JOIN u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.artifact_id = d.id AND NOT EXISTS (SELECT 1 FROM v_user_memberships m WHERE m.user_id = u.user_id AND m.membership_id = r.membership_id)))
  SELECT user_id, article_id, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, article_id ORDER BY created_at DESC, id DESC) AS k FROM v) AS x WHERE k = 1""")
 def latest_digest(t: Tables) -> DataFrame:
     """Users with the same memberships see the same versions: the newest is chosen once for each membership set, then given to its users."""
-    users = t.events.filter("user_id < 20").select("user_id").distinct()
+    return newest_viewable(t).join(memberships(t), "has").select("user_id", "article_id", "id")
+
+
+def memberships(t: Tables) -> DataFrame:
+    """(user_id, has): each user's memberships."""
+    users = t.events.select("user_id").distinct()
     owned = users.join(t.v_user_memberships.groupBy("user_id").agg(F.sort_array(F.collect_set("membership_id")).alias("has")), "user_id", "left")
-    owned = owned.withColumn("has", F.coalesce("has", F.array().cast("array<int>")))
-    sets = owned.select("has").distinct()
+    return owned.withColumn("has", F.coalesce("has", F.array().cast("array<int>")))
+
+
+def newest_viewable(t: Tables) -> DataFrame:
+    """(has, article_id, id, relevant): the newest digest of each article that a set of memberships opens."""
     need = required(t).groupBy("artifact_id").agg(F.collect_set("membership_id").alias("need")).withColumnRenamed("artifact_id", "id")
-    digests = t.v_digests.select("id", "article_id", "created_at").join(need, "id", "left").crossJoin(F.broadcast(sets))
-    fine = digests.filter(F.col("need").isNull() | (F.size(F.array_except("need", "has")) == 0))
-    return latest.newest(fine, ["has", "article_id"]).join(owned, "has").select("user_id", "article_id", "id")
+    digests = t.v_digests.select("id", "article_id", "created_at", "relevant").join(need, "id", "left")
+    fine = joins.each_with_each(digests, memberships(t).select("has").distinct()).filter(F.col("need").isNull() | (F.size(F.array_except("need", "has")) == 0))
+    return latest.newest(fine, ["has", "article_id"]).select("has", "article_id", "id", "relevant")
 
 
-@query("E2_display_title", """WITH d AS (SELECT article_id, title_x, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) AS k FROM v_digests)
- SELECT a.id, coalesce(nullif(trim(d.title_x), ''), nullif(trim(a.title), ''), a.url) AS title FROM v_articles a LEFT JOIN d ON d.article_id = a.id AND d.k = 1""")
+@query("E2_display_title", """WITH d AS (SELECT article_id, title_x, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) AS k FROM v_digests),
+ l AS (SELECT article_id, title_x, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) AS k FROM v_title_translations)
+ SELECT a.id, coalesce(nullif(trim(d.title_x), ''), nullif(trim(l.title_x), ''), nullif(trim(a.title), ''), a.url) AS title FROM v_articles a LEFT JOIN d ON d.article_id = a.id AND d.k = 1 LEFT JOIN l ON l.article_id = a.id AND l.k = 1""")
 def display_title(t: Tables) -> DataFrame:
-    digest = latest.newest(t.v_digests, ["article_id"]).select(F.col("article_id").alias("id"), "title_x")
-    return t.v_articles.join(digest, "id", "left").select("id", latest.display_title(F.col("title_x"), F.lit(None).cast("string"), F.col("title"), F.col("url")).alias("title"))
+    digest = latest.newest(t.v_digests, ["article_id"]).select(F.col("article_id").alias("id"), F.col("title_x").alias("digest"))
+    translated = latest.newest(t.v_title_translations, ["article_id"]).select(F.col("article_id").alias("id"), F.col("title_x").alias("translated"))
+    rows = t.v_articles.join(digest, "id", "left").join(translated, "id", "left")
+    return rows.select("id", latest.display_title(F.col("digest"), F.col("translated"), F.col("title"), F.col("url")).alias("title"))
 
 
 @query("E3_ranking_score", "SELECT user_id, artifact_id, version, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id, artifact_id ORDER BY version DESC, created_at DESC) AS k FROM v_scores) AS x WHERE k = 1")
@@ -106,7 +117,7 @@ def percentile(t: Tables) -> DataFrame:
 
 @query("E13_median", "SELECT event_type, CAST(floor((s[(n + 1) // 2] + s[n // 2 + 1]) / 2) AS BIGINT) AS median FROM (SELECT event_type, list_sort(list(CAST(value AS BIGINT))) AS s, count(*) AS n FROM events GROUP BY event_type) AS x")
 def median(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(latest.median_floor(F.collect_list(F.round("value").cast("bigint"))).alias("median"))
+    return latest.medians(t.events.select("event_type", F.round("value").cast("bigint").alias("value")), "event_type", "value")
 
 
 @query("F1_list_order", FOLD + """ SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC NULLS LAST, "at" DESC, id DESC) AS place, row_number() OVER (PARTITION BY user_id ORDER BY "at" DESC, id DESC) AS newest FROM r""")
@@ -133,11 +144,29 @@ def reference_sample(t: Tables) -> DataFrame:
     return latest.top(t.v_scores.filter("version = 1"), ["user_id"], [F.col("created_at").desc(), F.col("artifact_id").desc()], 300).select("user_id", "artifact_id")
 
 
-@query("F5_daily_picks")
+EXPLORE = """WITH d AS (SELECT article_id, relevant, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) AS k FROM v_digests),
+ fit AS (SELECT s.user_id, s.article_id, t.story_id FROM v_scores s JOIN d ON d.article_id = s.article_id AND d.k = 1 JOIN v_stories t ON t.article_id = s.article_id WHERE s.version = 1 AND s.score < 50 AND d.relevant),
+ rated AS (SELECT DISTINCT i.user_id, t.story_id FROM v_interactions i JOIN v_stories t ON t.article_id = i.article_id WHERE i.event_type = 'purchase'),
+ seen AS (SELECT * FROM rated UNION SELECT i.user_id, t.story_id FROM v_interactions i JOIN v_stories t ON t.article_id = i.article_id WHERE i.event_type = 'view'),
+ picked AS (SELECT DISTINCT user_id, article_id, CAST(ts AS DATE) AS day FROM v_interactions WHERE event_type = 'click'),
+ free AS (SELECT f.* FROM fit f WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.user_id = f.user_id AND seen.story_id = f.story_id) AND NOT EXISTS (SELECT 1 FROM picked p WHERE p.user_id = f.user_id AND p.article_id = f.article_id)),
+ ranked AS (SELECT user_id, article_id, row_number() OVER (PARTITION BY user_id ORDER BY md5(concat_ws('-', CAST(user_id AS STRING), '2024-01-30', CAST(article_id AS STRING))), article_id) AS turn FROM free),
+ done AS (SELECT user_id, count(*) AS n FROM picked WHERE day = DATE '2024-01-30' GROUP BY user_id),
+ today AS (SELECT user_id, article_id FROM picked WHERE day = DATE '2024-01-30' UNION SELECT r.user_id, r.article_id FROM ranked r LEFT JOIN done ON done.user_id = r.user_id WHERE r.turn <= 2 - coalesce(done.n, 0))
+ SELECT t.user_id, t.article_id FROM today t JOIN fit ON fit.user_id = t.user_id AND fit.article_id = t.article_id WHERE NOT EXISTS (SELECT 1 FROM rated WHERE rated.user_id = t.user_id AND rated.story_id = fit.story_id)"""
+
+
+@query("F5_daily_picks", EXPLORE)
 def daily_picks(t: Tables) -> DataFrame:
-    eligible = t.v_scores.filter("version = 1 and score < 50")
-    picked = t.v_interactions.filter("event_type = 'click'").select("user_id", "article_id", F.to_date("ts").alias("picked_on")).distinct()
-    return latest.daily_picks(eligible, picked, "2024-01-30")
+    """The day's sample of every user: clicks stand for earlier picks, views for readings, purchases for ratings."""
+    day, below = "2024-01-30", 50
+    relevant = latest.newest(t.v_digests, ["article_id"]).select("article_id", "relevant")
+    rows = t.v_scores.filter("version = 1").select("user_id", "article_id", "score").join(relevant, "article_id")
+    acts = lambda kind: t.v_interactions.filter(F.col("event_type") == kind)
+    picked = acts("click").select("user_id", "article_id", F.to_date("ts").alias("picked_on")).distinct()
+    fresh = latest.daily_picks(latest.explorable(rows, t.v_stories, acts("view"), acts("purchase"), below), picked, day)
+    picked = picked.unionByName(fresh.withColumn("picked_on", F.lit(day).cast("date")))
+    return latest.explored(picked, rows, t.v_stories, acts("purchase"), day, below)
 
 
 @query("F6_translation_queue", f"""WITH a AS ({ARTICLES}), q AS (SELECT article_id, min(ts) AS asked FROM v_interactions WHERE event_type = 'purchase' GROUP BY article_id), s AS (SELECT article_id, max(score) AS score FROM v_scores GROUP BY article_id)

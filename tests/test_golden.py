@@ -2,7 +2,10 @@
 
 import itertools
 import json
+import re
 from datetime import datetime
+from html.parser import HTMLParser
+from time import time as time_now
 
 import numpy as np
 import pandas as pd
@@ -11,8 +14,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from newsloom.fixtures import Tables
 from newsloom.functions import score, text, time
 from newsloom.operators import adjust, counts, joins, latest, monitor, predicates, stories
+from newsloom.plans import evaluation
+from newsloom.plans.aggregates import ratings
 from newsloom.sources import ingest
 from newsloom.streaming import jobs
 
@@ -95,26 +101,17 @@ def test_mentions(spark):
     assert hits.count() >= 5
 
 
-edges = st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14), st.integers(1, 9)), min_size=1, max_size=40)
-
-
-@settings(max_examples=60, deadline=None)
-@given(edges, st.sets(st.tuples(st.integers(0, 14), st.integers(0, 14)), max_size=8))
-def test_groups_within_components_are_the_global_ones(found, cut):
-    rows = pd.DataFrame([(min(a, b), max(a, b), s / 10) for a, b, s in found if a != b], columns=["a", "b", "similarity"]).drop_duplicates(["a", "b"])
-    apart = {(min(a, b), max(a, b)) for a, b in cut}
-    whole = stories.merge_in_order(rows, apart, 4)
-    root = {x: x for x in range(15)}
-    for a, b in rows[["a", "b"]].itertuples(index=False):
-        ra, rb = root[a], root[b]
-        root = {k: min(ra, rb) if v in (ra, rb) else v for k, v in root.items()}
-    parts = {}
-    for _, part in rows.groupby(rows.a.map(root)):
-        parts |= stories.merge_in_order(part, apart, 4)
-    assert parts == whole
-    sizes = pd.Series(whole, dtype=object).value_counts()
-    assert sizes.empty or sizes.max() <= 4
-    assert not any(whole.get(a) is not None and whole.get(a) == whole.get(b) for a, b in apart if a != b)
+def merged_in_order(rows, apart, most):
+    """The greedy grouping, one link after the other."""
+    group = {x: {x} for a, b, _ in rows for x in (a, b)}
+    for a, b, _ in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        x, y = group[a], group[b]
+        if x is y or len(x) + len(y) > most or any((min(p, q), max(p, q)) in apart for p in x for q in y):
+            continue
+        x |= y
+        for m in y:
+            group[m] = x
+    return {m: min(g) for m, g in group.items()}
 
 
 def test_groups_job(spark, tmp_path):
@@ -124,8 +121,103 @@ def test_groups_job(spark, tmp_path):
     apart = spark.createDataFrame([(1, 2), (3, 9)], "a long, b long")
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     got = {r.article_id: r.story_id for r in stories.groups(same, apart, lambda d: d.checkpoint()).collect()}
-    plain = pd.DataFrame([(min(a, b), max(a, b), s) for a, b, s in rows], columns=["a", "b", "similarity"]).groupby(["a", "b"], as_index=False).similarity.max()
-    assert got == stories.merge_in_order(plain, {(1, 2), (3, 9)}, stories.STORY_SIZE)
+    plain = {}
+    for a, b, s in rows:
+        plain[min(a, b), max(a, b)] = max(s, plain.get((min(a, b), max(a, b)), 0))
+    assert got == merged_in_order([(*k, s) for k, s in plain.items()], {(1, 2), (3, 9)}, stories.STORY_SIZE)
+
+
+def test_similar_pairs_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(stories, "BLOCK", 8)
+    monkeypatch.setattr(stories, "TERMS", 16)
+    rng = np.random.default_rng(4)
+    weight = rng.random((60, 40)) * (rng.random((60, 40)) < 0.3)
+    weight /= np.maximum(np.linalg.norm(weight, axis=1, keepdims=True), 1e-9)
+    hours = rng.integers(0, 2000, 60)
+    vectors = spark.createDataFrame([(i, f"g{k}", float(weight[i, k])) for i in range(60) for k in np.flatnonzero(weight[i])], "id long, gram string, weight double")
+    times = spark.createDataFrame([(i, datetime.fromtimestamp(int(h) * 3600)) for i, h in enumerate(hours)], "id long, at timestamp")
+    got = {(r.target, r.id): r.similarity for r in stories.similar_pairs(vectors, times, times.filter("id % 2 = 0").select("id"), 0.3, 21).collect()}
+    both = weight @ weight.T
+    want = {(i, j): both[i, j] for i in range(0, 60, 2) for j in range(60) if i != j and abs(int(hours[i]) - int(hours[j])) <= 21 * 24 and round(both[i, j], 9) >= 0.3}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in got)
+
+
+class Plain(HTMLParser):
+    """The lines of a page by the standard library's parser: an article's, if there is one."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.all, self.article, self.depth, self.silent, self.done = "", "", 0, 0, False
+
+    def say(self, x):
+        self.all += x
+        if self.depth and not self.done:
+            self.article += x
+
+    def handle_starttag(self, tag, attributes):
+        self.silent += tag in ingest.SILENT
+        self.depth += tag == "article"
+        if tag in ingest.BLOCKS:
+            self.say("\n")
+
+    def handle_endtag(self, tag):
+        self.silent -= tag in ingest.SILENT
+        if tag == "article":
+            self.done = True
+        if tag in ingest.BLOCKS:
+            self.say("\n")
+
+    def handle_data(self, data):
+        if not self.silent:
+            self.say(re.sub(r"\s+", " ", data))
+
+
+def test_bodies_and_links_equal_the_standard_parser(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    bodies = {r.page_id: r.body for r in ingest.article_bodies(pages).collect()}
+    links = {}
+    for r in ingest.listing_links(pages).collect():
+        links.setdefault(r.page_id, []).append(r.title)
+    for i, page in html.items():
+        p = Plain()
+        p.feed(page)
+        lines = [" ".join(x.split()) for x in (p.article if p.depth else p.all).split("\n")]
+        assert bodies[i] == ("\n".join(x for x in lines if x) or None)
+        found = [" ".join(t.split()) for t in re.findall(r"<a href=\"/[^\"]*\">(.*?)</a>", page)]
+        assert sorted(links.get(i, [])) == sorted(x for x in found if x)
+
+
+def test_broken_markup_takes_linear_time():
+    for page in ("<a " * 300_000, "<head>" * 200_000, '<a "' * 200_000 + ">", "<!" * 300_000, '<a =""' * 100_000 + '=">', "<a '\"" * 100_000 + ">", "<a<a" * 200_000):
+        began = time_now()
+        ingest.body_text(page)
+        assert time_now() - began < 10
+
+
+def test_report_corrects_by_leave_one_out(spark, sf):
+    """The corrected concordance of each user and version, from single refits."""
+    t = Tables(spark, sf)
+    rated = {(r.user_id, r.article_id): r.stars for r in ratings(t).collect()}
+    keys = {r.article_id: r.features for r in evaluation.keyed(t).collect()}
+    rows = {}
+    for r in t.v_scores.collect():
+        if (r.user_id, r.article_id) in rated and r.article_id in keys:
+            rows.setdefault((r.user_id, r.version), []).append((r.score, rated[r.user_id, r.article_id], keys[r.article_id]))
+    got = {(r.user_id, r.version): r.corrected for r in evaluation.evaluation_report(t).collect() if r.corrected is not None}
+    for key, own in rows.items():
+        names = sorted({f for r in own for f in r[2]})
+        x = np.array([[f in r[2] for f in names] for r in own], float)
+        base, stars = np.array([r[0] for r in own], float), np.array([r[1] for r in own], float)
+        predicted = []
+        for i in range(len(own)):
+            rest = np.arange(len(own)) != i
+            w = adjust.fit_weights(base[rest], (stars[rest] - 1) / 4, x[rest])
+            p0 = min(max(base[i] / 100, 0.005), 0.995)
+            predicted.append(100 / (1 + np.exp(-(np.log(p0 / (1 - p0)) + x[i] @ w))))
+        pairs = [(predicted[i], predicted[j]) for i in range(len(own)) for j in range(len(own)) if stars[i] > stars[j]]
+        if pairs:
+            assert got[key] == pytest.approx(np.mean([1.0 if a > b + 1e-9 else 0.5 if abs(a - b) <= 1e-9 else 0.0 for a, b in pairs]), abs=0.02)
 
 
 def test_fit_is_at_the_minimum():
