@@ -41,7 +41,7 @@ GROUP, HELD, SPARE = 1 << 20, 1 << 21, 8
 #: A token with more documents than this, and than one of 2 ** 14 of all shingles, is dealt out over several groups.
 HOT = 100_000
 #: Sets in a block and their tokens, on average; sets that one task compares with their lead.
-BLOCK, TOKENS, STAR = 256, 500_000, 4096
+BLOCK, TOKENS, STAR = 256, 500_000, 512
 #: One of so many tokens of a set has to be met by a partner among those that both post.
 MEET = 16
 #: Blocks of so many pairs and more are compared as matrices.
