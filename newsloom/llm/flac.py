@@ -2,11 +2,11 @@
 
 Decoding (``decode_flac``): metadata, then frames by their sync codes; each frame's header CRC-8 and whole CRC-16 are verified. Constant,
 verbatim, fixed and linear predictors of any order, Rice residuals of both kinds with partitions and escapes, wasted
-bits and the three stereo decorrelations are read. Frames of a stream that look alike (mono, one Rice partition, equal
+bits and the three stereo decorrelations are read. Frames of a stream that look alike (mono, one Rice partition, predictors of one order, equal
 length: what the writer makes) are decoded together, one residual of every frame at a step, with numpy; others one by one.
 
-Writing (``encode_flac``): mono, 8 bits, blocks of 192 samples, each with the cheapest of the five fixed predictors and
-its Rice parameter, or verbatim where Rice would be longer.
+Writing (``encode_flac``): mono, 8 bits, blocks of 192 samples, each with the cheapest of the five fixed predictors and a linear one (Levinson-Durbin
+on the block's autocorrelation) with its Rice parameter, or verbatim where Rice would be longer.
 
 Defined results: null or empty text is one block of spaces in ``text_media``; a broken stream gives its error and no blocks in ``pcm_blocks``.
 Other columns of the input are ignored.
@@ -35,6 +35,10 @@ SAMPLE_BITS = [0, 8, 12, 0, 16, 20, 24, 32]
 SAMPLE_RATE_BYTES = {12: 1, 13: 2, 14: 2}
 
 
+#: The writer's linear predictor: its order, the bits of a weight, and of its fraction.
+ORDER, PRECISION, SHIFT = 4, 7, 5
+
+
 class Broken(ValueError):
     """The stream isn't what the format or its checksums say."""
 
@@ -94,18 +98,38 @@ def _header(k: int) -> bytes:
 # --- writer ----------------------------------------------------------------------------------------------------------
 
 
+def linear_weights(samples: np.ndarray) -> np.ndarray:
+    """The quantised weights of a linear predictor for each row, nearest sample first, by Levinson-Durbin on the row's autocorrelation."""
+    x = samples.astype(np.float64)
+    r = np.stack([(x[:, k:] * x[:, : x.shape[1] - k]).sum(axis=1) for k in range(ORDER + 1)])
+    error, w = np.maximum(r[0], 1e-9), np.zeros((len(x), ORDER))
+    for i in range(ORDER):
+        k = (r[i + 1] - sum((w[:, j] * r[i - j] for j in range(i)), np.zeros(len(x)))) / error
+        before = w[:, :i].copy()
+        w[:, i] = k
+        w[:, :i] -= k[:, None] * before[:, ::-1]
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    low = 1 << (PRECISION - 1)
+    return np.clip(np.round(w * (1 << SHIFT)), -low, low - 1).astype(np.int32)
+
+
 def encode_frames(samples: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The frames of rows of 192 signed 8-bit samples with those frame numbers, end to end, and their lengths in bytes."""
     rows = len(samples)
     d = [samples.astype(np.int16)]
     for _ in range(4):
         d.append(np.diff(d[-1], axis=1))
+    weights, wide = linear_weights(samples), samples.astype(np.int32)
+    predicted = sum(weights[:, j : j + 1] * wide[:, ORDER - 1 - j : BLOCK - 1 - j] for j in range(ORDER)) >> SHIFT
+    d.append((wide[:, ORDER:] - predicted).astype(np.int16))
     folded = [((x << 1) ^ (x >> 15)).astype(np.uint16) for x in d]  # signed to unsigned, small ones first
-    bits = np.empty((5, 8, rows), np.int64)
-    for order, x in enumerate(folded):
+    first = [0, 1, 2, 3, 4, ORDER]  # samples that stand before the residuals, of the fixed predictors and the linear one
+    extra = [0, 0, 0, 0, 0, 9 + PRECISION * ORDER]  # bits of the predictor
+    bits = np.empty((6, 8, rows), np.int64)
+    for kind, x in enumerate(folded):
         for k in range(8):
-            bits[order, k] = (x >> np.uint16(k)).sum(axis=1, dtype=np.int64) + x.shape[1] * (k + 1) + 8 * order
-    flat = bits.reshape(40, rows)
+            bits[kind, k] = (x >> np.uint16(k)).sum(axis=1, dtype=np.int64) + x.shape[1] * (k + 1) + 8 * first[kind] + extra[kind]
+    flat = bits.reshape(48, rows)
     best = flat.argmin(axis=0)
     order, rice = best // 8, best % 8
     coded = flat[best, np.arange(rows)] + 10 < BLOCK * 8  # else verbatim
@@ -120,30 +144,33 @@ def encode_frames(samples: np.ndarray, number: np.ndarray) -> tuple[np.ndarray,
         h = np.frombuffer(b"".join(headers[i] for i in pick), np.uint8).reshape(-1, size)
         out[begin[pick][:, None] + np.arange(size)] = h
     # subframe header: a zero bit, six bits of type, a zero bit
-    out[begin + head] = np.where(coded, (8 + order) << 1, 1 << 1)
+    out[begin + head] = np.where(coded, np.where(order < 5, 8 + order, 31 + ORDER) << 1, 1 << 1)
     body = begin + head + 1
     v = np.flatnonzero(~coded)
     out[body[v][:, None] + np.arange(BLOCK)] = samples[v].view(np.uint8)
-    for o in range(5):
+    for o in range(6):
         pick = np.flatnonzero(coded & (order == o))
         if not len(pick):
             continue
-        out[body[pick][:, None] + np.arange(o)] = samples[pick, :o].view(np.uint8)
+        out[body[pick][:, None] + np.arange(first[o])] = samples[pick, : first[o]].view(np.uint8)
         # two bits of method and four of partition order (0), four of the parameter
         k = rice[pick].astype(np.uint16)[:, None]
-        start = (body[pick] + o) * 8
+        start = (body[pick] + first[o]) * 8
+        predictor = [(4, np.full(len(pick), PRECISION - 1)), (5, np.full(len(pick), SHIFT)), *((PRECISION, weights[pick, j] & ((1 << PRECISION) - 1)) for j in range(ORDER))] if o == 5 else []
         words = folded[o][pick]
         high = (words >> k).astype(np.int64)
-        ends = 10 + np.cumsum(high + 1 + k.astype(np.int64), axis=1)  # after each codeword
+        ends = extra[o] + 10 + np.cumsum(high + 1 + k.astype(np.int64), axis=1)  # after each codeword
         low = (words & ((np.uint16(1) << k) - np.uint16(1))).astype(np.int64)
         # each codeword's stop bit and remainder: at most 8 bits, put down as two bytes
         value = (np.int64(1) << k.astype(np.int64)) | low
         width = 1 + k.astype(np.int64)
         position = start[:, None] + ends - width
-        parameter = start + 6  # the last four of the ten bits
-        position = np.concatenate([parameter[:, None], position], axis=1).ravel()
-        value = np.concatenate([k.astype(np.int64), value], axis=1).ravel()
-        width = np.concatenate([np.full((len(pick), 1), 4), np.broadcast_to(width, words.shape)], axis=1).ravel()
+        predictor.append((10, k[:, 0].astype(np.int64)))  # the parameter is the last four of the ten bits
+        before = np.cumsum([0, *(n for n, _ in predictor)])[:-1] + np.where(np.array([n for n, _ in predictor]) == 10, 6, 0)
+        position = np.concatenate([start[:, None] + before, position], axis=1).ravel()
+        value = np.concatenate([np.stack([v for _, v in predictor], axis=1).astype(np.int64), value], axis=1).ravel()
+        narrow = np.array([4 if n == 10 else n for n, _ in predictor])
+        width = np.concatenate([np.broadcast_to(narrow, (len(pick), len(narrow))), np.broadcast_to(width, words.shape)], axis=1).ravel()
         shifted = value << (16 - (position & 7) - width)
         byte = position >> 3
         # bits never overlap, so sums are unions
@@ -367,9 +394,9 @@ def _frame(data: bytes, head: Header) -> np.ndarray:
     return np.stack([mid + b >> 1, mid - b >> 1])
 
 
-def _frames_alike(data: np.ndarray, at: np.ndarray, order: int, block: int) -> np.ndarray:
-    """Frames x samples: 8-bit mono subframes with the same fixed predictor and one Rice partition, their bodies at those bytes; a residual of every
-    frame at each step."""
+def _frames_alike(data: np.ndarray, at: np.ndarray, order: int, block: int, precision: int) -> np.ndarray:
+    """Frames x samples: 8-bit mono subframes with predictors of one order and one Rice partition, their bodies at those bytes; a residual of every
+    frame at each step. precision: the bits of a linear predictor's weights, 0 for the fixed ones."""
     padded = np.concatenate([data, np.zeros(16, np.uint8)])
     n = len(at)
     out = np.zeros((n, block), np.int32)
@@ -378,6 +405,17 @@ def _frames_alike(data: np.ndarray, at: np.ndarray, order: int, block: int) -> n
     wide = padded[:-8].astype(np.uint64)
     wide = (wide << np.uint64(32)) | (padded[1:-7].astype(np.uint64) << np.uint64(24)) | (padded[2:-6].astype(np.uint64) << np.uint64(16)) | (padded[3:-5].astype(np.uint64) << np.uint64(8)) | padded[4:-4]
     position = (at + order) * 8
+
+    def field(position: np.ndarray, n: int) -> np.ndarray:
+        return ((wide[position >> 3] >> (np.uint64(40 - n) - (position & 7).astype(np.uint64))) & np.uint64((1 << n) - 1)).astype(np.int64)
+
+    weights, shift = np.tile(np.array(FIXED[order] if not precision else [0] * order, np.int64), (n, 1)), np.zeros(n, np.int64)
+    if precision:
+        shift = field(position + 4, 5)
+        for j in range(order):
+            w = field(position + 9 + precision * j, precision)
+            weights[:, j] = w - ((w >> (precision - 1)) << precision)
+        position = position + 9 + precision * order
     first = (wide[position >> 3] >> (np.uint64(30) - (position & 7).astype(np.uint64))) & np.uint64(1023)
     k = (first & np.uint64(15)).astype(np.int64)
     position = position + 10
@@ -410,11 +448,26 @@ def _frames_alike(data: np.ndarray, at: np.ndarray, order: int, block: int) -> n
         x = zeros << k | low
         out[:, i] = x >> 1 ^ -(x & 1)
     for i in range(order, block):
-        for j, w in enumerate(FIXED[order]):
-            out[:, i] += w * out[:, i - 1 - j]
+        if order:
+            out[:, i] += (weights * out[:, i - order : i][:, ::-1]).sum(axis=1) >> shift
     return out
 
 
+def _alike(data: bytes, at: int, end: int) -> tuple[int, int] | None:
+    """The order and precision of a subframe's predictor, if frames like it are decoded together: 8 bits, one partition of plain Rice residuals."""
+    kind = data[at] >> 1
+    order = kind - 8 if 8 <= kind <= 12 else kind - 31 if kind >= 32 else -1
+    if data[at] & 1 or order < 0 or end - at <= 3 + order + (order * 2 + 3 if kind >= 32 else 0):
+        return None
+    bits, precision = Bits(data, at + 1 + order), 0
+    if kind >= 32:
+        precision = bits.take(4) + 1
+        if bits.take(5) > 15:
+            return None
+        bits.at += precision * order
+    return (order, precision) if bits.take(6) == 0 and bits.take(4) < 12 else None
+
+
 class Decoded(NamedTuple):
     info: Info
     offsets: list[int]  #: each block's first sample
@@ -424,7 +477,7 @@ class Decoded(NamedTuple):
 def decode_many(streams: list[bytes]) -> list[Decoded | Broken]:
     """Every stream's blocks of PCM, or what is wrong with it."""
     out: list[Decoded | Broken] = []
-    alike: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    alike: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
     whole = np.frombuffer(b"".join(streams), np.uint8)
     heads: list[tuple[Info, list[Header]] | Broken] = []
     begin, length, base = [], [], 0
@@ -455,24 +508,19 @@ def decode_many(streams: list[bytes]) -> list[Decoded | Broken]:
                 kind = data[at]
                 if head.channels == 0 and head.bits == 8 and kind == 2:
                     blocks[-1] = np.frombuffer(data, np.int8, head.block, at + 1).astype(np.int32)[None]
-                elif head.channels == 0 and head.bits == 8 and kind & 1 == 0 and 8 <= kind >> 1 <= 12 and end - at > 3 + (kind >> 1) - 8:
-                    order = (kind >> 1) - 8
-                    b = at + 1 + order
-                    if data[b] >> 2 == 0 and (data[b] & 3) << 2 | data[b + 1] >> 6 < 12:
-                        alike.setdefault((order, head.block), []).append((s, k, base + at + 1))
-                        continue
-                    blocks[-1] = _frame(data, head)
+                elif head.channels == 0 and head.bits == 8 and (like := _alike(data, at, end)):
+                    alike.setdefault((like[0], head.block, like[1]), []).append((s, k, base + at + 1))
                 else:
                     blocks[-1] = _frame(data, head)
             out.append(Decoded(info, offsets, blocks))
         except Broken as e:
             out.append(e)
         base += len(data)
-    for (order, block), found in alike.items():
+    for (order, block, precision), found in alike.items():
         found = [x for x in found if isinstance(out[x[0]], Decoded)]
         for low in range(0, len(found), 20_000):
             part = found[low : low + 20_000]
-            for (s, k, _), x in zip(part, _frames_alike(whole, np.array([x[2] for x in part]), order, block), strict=True):
+            for (s, k, _), x in zip(part, _frames_alike(whole, np.array([x[2] for x in part]), order, block, precision), strict=True):
                 out[s].blocks[k] = x[None]
     for s, x in enumerate(out):
         if isinstance(x, Decoded) and any(x.info.md5):

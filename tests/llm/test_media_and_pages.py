@@ -22,6 +22,20 @@ def test_flac_alike_frames_equal_one_by_one():
     assert all((flac._frame(data, h) == b).all() for h, b in zip(heads, flac.decode_flac(data).blocks, strict=True))
 
 
+def test_flac_writes_and_reads_linear_predictors():
+    rng = np.random.default_rng(1)
+    wave = (100 * np.sin(np.arange(192 * 40) / 3.7) + rng.normal(0, 2, 192 * 40)).clip(-128, 127).astype(np.int8)
+    sound = (wave.astype(np.int16) + 128).astype(np.uint8).tobytes()
+    for p in (sound, flac.payload(b"The sea, and the land; and a ship upon the sea? " * 200)):
+        data = flac.encode_flac(p)
+        x = flac.decode_flac(data)
+        assert (np.concatenate([b[0] for b in x.blocks]) + 128).astype(np.uint8).tobytes() == p
+        heads = flac.frame_heads(data, flac.read_head(data))
+        assert all((flac._frame(data, h) == b).all() for h, b in zip(heads, x.blocks, strict=True))
+        if p is sound:
+            assert any(data[h.at + h.size] >> 1 >= 32 for h in heads)
+
+
 @pytest.mark.parametrize("at", [0, 30, 45, 120])
 def test_flac_damage_is_seen(at):
     data = bytearray(flac.encode_flac(flac.payload(b"the sea and the land " * 30)))
