@@ -19,12 +19,11 @@ def backlog(articles: DataFrame, since: datetime | Column) -> DataFrame:
 
 
 def relevant(candidates: DataFrame, filters: DataFrame) -> DataFrame:
-    """Candidates (source_id, title, url, summary) that pass their source's filter (source_id, keywords, url_contains, title_excludes; a small
-    table): an excluded word in the title decides; without keywords and URL parts all pass, else one has to be there."""
+    """Candidates (source_id, title, url, summary) that pass their source's filter (source_id, keywords, url_contains, title_excludes): an excluded word in the title decides; without keywords and URL parts all pass, else one has to be there."""
     has = lambda text, words: F.exists(F.coalesce(F.col(words), F.array().cast("array<string>")), lambda w: F.contains(text, w))
     free = (F.coalesce(F.size("keywords"), F.lit(0)) <= 0) & (F.coalesce(F.size("url_contains"), F.lit(0)) <= 0)
     words = has(F.col("title"), "keywords") | F.coalesce(has(F.col("summary"), "keywords"), F.lit(False))
-    joined = candidates.join(F.broadcast(filters), "source_id", "left")
+    joined = candidates.join(filters, "source_id", "left")
     return joined.filter(~has(F.col("title"), "title_excludes") & (free | words | has(F.col("url"), "url_contains"))).select(candidates.columns)
 
 

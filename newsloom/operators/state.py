@@ -103,7 +103,7 @@ def suggestions(log: DataFrame, versions: DataFrame) -> DataFrame:
 def merge_topics(tags: DataFrame, aliases: DataFrame, vocabulary: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """tags (artifact_id, topic), aliases (alias, name) and vocabulary (name, facet) after merges (source, target), which were validated: tags and aliases move to the
     target, one tag where both stood, the source becomes an alias and leaves the vocabulary."""
-    to = F.broadcast(merges.select(F.col("source").alias("_s"), F.col("target").alias("_t")))
+    to = merges.select(F.col("source").alias("_s"), F.col("target").alias("_t"))
     moved = tags.join(to, F.col("topic") == F.col("_s"), "left").select("artifact_id", F.coalesce("_t", "topic").alias("topic")).distinct()
     pointed = aliases.join(to, F.col("name") == F.col("_s"), "left").select("alias", F.coalesce("_t", "name").alias("name")).unionByName(merges.select(F.col("source").alias("alias"), F.col("target").alias("name")))
     return moved, pointed, vocabulary.join(merges.select(F.col("source").alias("name")), "name", "left_anti")

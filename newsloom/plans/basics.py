@@ -306,7 +306,7 @@ def json_field(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("H12_profile_hash")
+@query("H12_profile_hash", """SELECT user_id, sha256(concat('[', string_agg(concat('{"pos":', CAST(pos AS STRING), ',"kind":"', kind, '","weight":', CAST(weight AS STRING), ',"vec_id":', CAST(vec_id AS STRING), '}'), ',' ORDER BY pos), ']')) AS hash FROM v_profile_terms GROUP BY user_id""")
 def profile_hash(t: Tables) -> DataFrame:
     terms = t.v_profile_terms.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "weight", "vec_id"))).alias("terms"))
     return terms.select("user_id", F.sha2(F.to_json("terms"), 256).alias("hash"))

@@ -33,7 +33,8 @@ BUSY = f"SELECT article_id FROM ({ERRORS}) e WHERE attempts >= 5 OR next_retry_a
 @query("M1_stream_deduplicated_urls", f"WITH n AS ({NORMAL_SQL}) SELECT DISTINCT normal AS url FROM n WHERE normal IS NOT NULL")
 def stream_urls(t: Tables) -> DataFrame:
     candidates = t.spark.readStream.schema(t.pages.schema).parquet(t.sf_dir + "/pages.parque[t]")
-    return jobs.collected(jobs.new_urls(candidates.select("page_id", "url")), ["url"]).select("url")
+    seen = candidates.select("url", F.timestamp_seconds(F.col("page_id") * 60).alias("seen_at"))
+    return jobs.kept_once(jobs.new_urls(seen), "url").select("url")
 
 
 @query("M2_pending_work", f"SELECT id AS article_id FROM v_articles WHERE id NOT IN (SELECT article_id FROM v_digests WHERE model = 'm2') AND id IN (SELECT article_id FROM v_contents WHERE kind = 'body') AND id IN (SELECT article_id FROM v_digests WHERE model = 'm1') AND id NOT IN ({BUSY})")

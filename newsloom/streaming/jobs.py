@@ -15,10 +15,11 @@ from ..operators import state
 GAP = "30 minutes"
 
 
-def new_urls(candidates: DataFrame) -> DataFrame:
-    """M1: each normalised URL of a stream of candidates (url, ...) once. The keys are the state; known URLs of earlier runs are kept out when a batch is written
-    (append_new)."""
-    return candidates.withColumn("url", normalize_url(F.col("url"))).filter("url is not null").dropDuplicates(["url"])
+def new_urls(candidates: DataFrame, at: str = "seen_at", late: str = "7 days") -> DataFrame:
+    """M1: each normalised URL of a stream of candidates (url, at, ...) once within the time that candidates may be late. So the state holds the URLs of that time only; what comes
+    again after it is kept out when a batch is written, as are URLs of earlier runs (append_new)."""
+    rows = candidates.withColumn("url", normalize_url(F.col("url"))).filter("url is not null")
+    return rows.withWatermark(at, late).dropDuplicatesWithinWatermark(["url"])
 
 
 def append_new(path: str, key: str) -> Callable[[DataFrame, int], None]:
@@ -43,12 +44,24 @@ def visits(views: DataFrame, late: str = "1 day", gap: str = GAP) -> DataFrame:
     return views.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("user_id", window).agg(F.min("ts").alias("first_view"), F.max("ts").alias("last_view")).select("user_id", "first_view", "last_view")
 
 
-def fold_batches(path: str, fold: Callable[[DataFrame], DataFrame], log: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch (M4, M5): the log so far is kept, each batch under its number so that a repeated one replaces itself, and the state of the keys is folded anew from it."""
+def fold_batches(path: str, fold: Callable[[DataFrame], DataFrame], log: str, keys: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch (M4, M5): the log is kept by buckets of its keys, each batch under its number so that a repeated one replaces itself. A batch folds the keys that it holds
+    anew, from their buckets of the log; the state of the others is that of the batch before."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        fold(batch.sparkSession.read.parquet(log).drop("batch")).write.mode("overwrite").parquet(f"{path}/{number}")
+        spark = batch.sparkSession
+        if batch.isEmpty():
+            (spark.read.parquet(f"{path}/{number - 1}") if number else fold(batch)).write.mode("overwrite").parquet(f"{path}/{number}")
+            return
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{log}/batch={number}")
+        touched = spark.read.parquet(f"{log}/batch={number}").select(*keys, "bucket").distinct()
+        held = [r[0] for r in touched.select("bucket").distinct().collect()]  # so many buckets at most
+        known = spark.read.parquet(log).filter(F.col("batch").cast("int") <= number).filter(F.col("bucket").isin(held))
+        folded = fold(known.join(touched.select(*keys), keys, "left_semi").drop("batch", "bucket"))
+        if number:
+            folded = folded.unionByName(spark.read.parquet(f"{path}/{number - 1}").join(touched.select(*keys), keys, "left_anti"))
+        folded.write.mode("overwrite").parquet(f"{path}/{number}")
 
     return write
 
@@ -56,6 +69,15 @@ def fold_batches(path: str, fold: Callable[[DataFrame], DataFrame], log: str) ->
 retries, marks = state.retries, state.marks
 
 
+def kept_once(stream: DataFrame, key: str) -> DataFrame:
+    """What a stream gives for all that is there now, as a table that holds each key once."""
+    spark = stream.sparkSession
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    job = stream.writeStream.option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).foreachBatch(append_new(f"{place}/out", key)).start()
+    job.awaitTermination()
+    return spark.read.parquet(f"{place}/out")
+
+
 def collected(stream: DataFrame, key: list[str] | None) -> DataFrame:
     """What a stream gives for all that is there now, as a table: the job runs until the input is used up, with its checkpoint and output in the session's shared folder."""
     spark = stream.sparkSession

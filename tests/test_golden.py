@@ -297,11 +297,12 @@ def test_streamed_marks_equal_batch(spark, sf, tmp_path):
     from newsloom.plans.state import actions
 
     log = actions(Tables(spark, sf))
-    write = jobs.fold_batches(str(tmp_path / "state"), jobs.marks, str(tmp_path / "log"))
+    write = jobs.fold_batches(str(tmp_path / "state"), jobs.marks, str(tmp_path / "log"), ["user_id", "article_id"], 4)
     for k in range(3):
         write(log.filter(F.col("event_id") % 3 == k), k)
     write(log.filter("event_id % 3 = 2"), 2)
-    got = spark.read.parquet(str(tmp_path / "state/2"))
+    write(log.limit(0), 3)
+    got = spark.read.parquet(str(tmp_path / "state/3"))
     assert sorted(map(str, got.collect())) == sorted(map(str, jobs.marks(log).select(got.columns).collect()))
 
 
