@@ -69,11 +69,15 @@ def maybe_in(df: DataFrame, column: str, bits: Broadcast, hit: bool = True) -> D
     return df.select(*df.columns, id_bit(column).alias("_".join(["_at", *df.columns]))).mapInArrow(run, df.schema)
 
 
-def without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The rows of df whose id isn't among ids. Only those that may be are shuffled for the exact join."""
+def without(df: DataFrame, ids: DataFrame, column: str, once: DataFrame | None = None) -> DataFrame:
+    """The rows of df whose id isn't among ids, and one row of each id among once. Only rows that may be concerned are shuffled for the exact join."""
     ids = saved(ids.select(column).distinct())
-    bits = id_filter(ids, column)
-    return maybe_in(df, column, bits, False).unionByName(maybe_in(df, column, bits).join(ids, column, "left_anti"))
+    looked = ids if once is None else ids.unionByName(once.select(column))
+    bits = id_filter(looked, column)
+    some = maybe_in(df, column, bits).join(ids, column, "left_anti").select(df.columns)
+    if once is not None:
+        some = some.filter(F.col(column).isNotNull()).dropDuplicates([column]).unionByName(some.filter(F.col(column).isNull()))
+    return maybe_in(df, column, bits, False).unionByName(some)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

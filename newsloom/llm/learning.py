@@ -53,14 +53,14 @@ def sampled(rows: DataFrame, most: int, count: int) -> DataFrame:
     return rows if count <= most else rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * most / count))
 
 
-def calibration(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
+def calibration(train: DataFrame, unknown: float = 0.5) -> Callable[[DataFrame], DataFrame]:
     """From train (RAW within 0 and 1, label) what adds SCORE to rows with RAW: the share of label 1 that it stands for, rising with it. Without both
-    labels it is their mean, or one half."""
+    labels it is their mean, or what is given for none."""
     bins = train.groupBy(F.round(F.greatest(F.least(F.col(RAW), F.lit(1.0)), F.lit(0.0)) * BINS).alias("bin")).agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
     bins = bins.withColumn(RAW, F.col("bin") / BINS)
     low, top = bins.agg(F.min("label"), F.max("label")).collect()[0]
     if low is None or low == top:
-        return lambda rows: rows.withColumn(SCORE, F.lit(0.5 if low is None else float(low)))
+        return lambda rows: rows.withColumn(SCORE, F.lit(unknown if low is None else float(low)))
     model = IsotonicRegression(featuresCol=RAW, labelCol="label", weightCol="weight", predictionCol=SCORE).fit(bins)
     return lambda rows: model.transform(rows).withColumn(SCORE, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(SCORE))))
 

@@ -9,7 +9,7 @@ of rows that their trees haven't seen: each half of these rows is scored by tree
 Learning uses at most SAMPLE labelled rows for each half, chosen by a hash of their ids; scoring uses all rows and whole texts.
 
 Defined results: null and empty texts are scored by their (zero) features. Without both labels in the training fold the score is the mean
-label, or one half. Null ids are scored and in no fold.
+label, without any 0: nothing is known to be toxic. Null ids are scored and in no fold.
 """
 
 from __future__ import annotations
@@ -170,8 +170,8 @@ def model(rows: DataFrame, labels: DataFrame, learns: Column, count: int) -> Cal
     train = saved(sampled(other, SAMPLE, count // 2).withColumn("_half", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).cast("int")))
     low, high, mean = train.agg(F.min("label"), F.max("label"), F.avg("label")).collect()[0]
     if low == high:
-        raw = 0.5 if mean is None else mean
-        return lambda rows: calibration(train.withColumn(RAW, F.lit(raw)))(rows.withColumn(RAW, F.lit(raw)))
+        raw = float(mean or 0.0)
+        return lambda rows: calibration(train.withColumn(RAW, F.lit(raw)), 0.0)(rows.withColumn(RAW, F.lit(raw)))
     trees = GBTClassifier(featuresCol="_v", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, minInstancesPerNode=10, seed=17, maxMemoryInMB=64, predictionCol="_c")
     trees = trees.setRawPredictionCol("_rp").setProbabilityCol("_p")
 
