@@ -1,7 +1,11 @@
 """A corpus pipeline over documents: quality filter, toxicity filter, one document of each near-duplicate group, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a table that is written as Parquet and read again as the next one's docs. All but the
-last keep the columns of documents.
+last keep the columns of documents, whatever else these are called.
+
+Defined results of all stages: null and empty texts are judged by their (zero) statistics, are in no near-duplicate group and pack as their end token. Rows
+without an id are judged and packed like others, and stay with the near duplicates. Rows that repeat an id are judged each, then one of them
+stays. Without labels all documents pass the first two stages. An empty table gives empty ones.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.session import shared_folder
+from newsloom.functions.session import saved, shared_folder
 from newsloom.llm import jaccard, packing, quality, toxicity
 from newsloom.llm.common import fold, table, without
 from newsloom.llm.learning import ROW, SCORE
@@ -33,10 +37,11 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; documents without words stay."""
-    groups = jaccard.near_duplicates(docs)
+    """Of each group of near duplicates the document with the smallest id, once if rows repeat it; documents without words stay."""
+    groups = saved(jaccard.near_duplicates(docs).select("doc_id", "component_id"))
     others = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return without(docs, others, "doc_id").select(docs.columns)
+    repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    return without(docs, others, "doc_id", once=repeated).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
