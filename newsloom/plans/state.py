@@ -33,7 +33,7 @@ BUSY = f"SELECT article_id FROM ({ERRORS}) e WHERE attempts >= 5 OR next_retry_a
 @query("M1_stream_deduplicated_urls", f"WITH n AS ({NORMAL_SQL}) SELECT DISTINCT normal AS url FROM n WHERE normal IS NOT NULL")
 def stream_urls(t: Tables) -> DataFrame:
     candidates = t.spark.readStream.schema(t.pages.schema).parquet(t.sf_dir + "/pages.parque[t]")
-    seen = candidates.select("url", F.timestamp_seconds(F.col("page_id") * 60).alias("seen_at"))
+    seen = candidates.select("url", F.timestamp_seconds(F.col("page_id") * 60 + 1_704_067_200).alias("seen_at"))
     return jobs.kept_once(jobs.new_urls(seen), "url").select("url")
 
 
