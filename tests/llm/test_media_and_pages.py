@@ -1,4 +1,8 @@
+import html as references
 import os
+import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -133,6 +137,103 @@ def test_html_odd_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+class Blocks(HTMLParser):
+    """Blocks of well-formed pages by the standard library's parser: text, characters in links, within an article, excluded, heading."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.text, self.linked, self.stack, self.link, self.silent, self.kind = [], "", 0, [], 0, 0, ""
+
+    def close_block(self):
+        said = " ".join(self.text.split())
+        if said:
+            names = [n for n, _ in self.stack]
+            article = "article" in names or "main" in names
+            self.out.append((said, self.linked, article, any(o for _, o in self.stack), self.kind in html.HEADINGS))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attributes):
+        if tag in html.SILENT and tag != "head":
+            self.silent += 1
+        elif tag == "a":
+            self.link += 1
+        elif tag == "br":
+            self.text += " "
+        elif tag in html.CUT:
+            self.close_block()
+            self.link, self.kind = 0, tag
+            if tag in html.HELD:
+                named = bool(set(re.split(r"[\s_-]+", dict(attributes).get("class") or "")) & html.NAMES)
+                self.stack.append((tag, named or tag in html.OUTSIDE))
+
+    def handle_endtag(self, tag):
+        if tag in html.SILENT and tag != "head":
+            self.silent -= 1
+        elif tag == "a":
+            self.link = 0
+        elif tag in html.CUT:
+            self.close_block()
+            self.link, self.kind = 0, ""
+            if tag in [n for n, _ in self.stack]:
+                while self.stack.pop()[0] != tag:
+                    pass
+
+    def handle_data(self, data):
+        if not self.silent:
+            self.text += data
+            if self.link:
+                self.linked += len(data.strip())
+
+
+def plain_text(page):
+    """Both passes, block by block: every open block searches outwards for a decided one."""
+    p = Blocks()
+    p.feed(page)
+    p.close_block()
+    blocks = p.out
+    has = any(b[2] and not b[3] for b in blocks)
+    labels = []
+    for text, linked, article, outside, _ in blocks:
+        words = re.findall(r"\w+", text.lower())
+        stops = sum(w in html.STOP for w in words) / max(1, len(words))
+        points = sum([len(words) >= 15, len(words) >= 40, len(words) >= 5 and stops >= 0.04, len(words) >= 5 and stops >= 0.12])
+        points += (2 if article else -4 if has else 0) - ((1 if article else 5) if linked > 0.5 * len(text) else 0)
+        labels.append(-1 if outside or points < 0 else 1 if points >= 3 else 0)
+    out = []
+    for i, (label, b) in enumerate(zip(labels, blocks, strict=True)):
+        if not label:
+            seen = [k for k in range(len(blocks)) if labels[k] and (not b[2] or blocks[k][2] and not blocks[k][3])]
+            before, after = [k for k in seen if k < i], [k for k in seen if k > i]
+            if before and after:
+                label = labels[after[0]] if b[4] or after[0] - i < i - before[-1] else labels[before[-1]]
+            else:
+                label = labels[before[-1]] if before else labels[after[0]] if after else 1
+        out.append(label)
+    return "\n\n".join(b[0] for b, label in zip(blocks, out, strict=True) if label == 1), labels.count(0)
+
+
+def test_html_equals_brute_force(spark, sf):
+    opened = 0
+    rows = html.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in rows:
+        text, n = plain_text(pages[r.page_id])
+        assert r.text == text and r.n_chars == len(text), r.page_id
+        opened += n
+    assert opened > 0 and len(rows) == len(pages)
+    extra = "<p>" + "It is a long text of the page and it has all the words that a text of this kind has in it, and more of them than the least. " * 2
+    for page in (f"<body>{extra}<p>short<ul><li><a href=x>one link</a><li><a href=y>two</a></ul>", f"<body><h2>Head</h2>{extra}<article><p>card</article>{extra}<footer>x</footer>", "<article><h1>A</h1><p>b</article>", "<ul><li><a href=x>one</a></ul>"):
+        assert html.main_text(page) == plain_text(page)[0]
+
+
+def test_html_broken_pages_take_linear_time():
+    for page in ("<a " * 1_700_000, "<head>" * 800_000, '<a "' * 600_000 + ">", "</div>" * 400_000, "<div>" * 200_000 + "</section>" * 200_000, "x &amp " * 600_000):
+        began = time.time()
+        html.main_text(page)
+        assert time.time() - began < 20
+    assert html.main_text("a < b &lt; c") == references.unescape("a < b &lt; c")
+
+
 def test_automaton_equals_patterns():
     import re
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann, ctw, quality, toxicity
+from newsloom.llm import ann, common, ctw, quality, toxicity
 from newsloom.llm.common import fold
 
 
@@ -202,3 +202,63 @@ def test_few_vectors_give_all_candidates(spark):
                 if a == q and b != q:
                     nearest[b] = min(nearest.get(b, math.inf), float(np.sqrt(((np.array(y) - np.array(x)) ** 2).sum())))
         assert [(v, pytest.approx(s)) for _, v, s in sorted(got[q])] == [(v, s) for s, v in sorted((s, v) for v, s in nearest.items())]
+
+
+def plain_statistics(text):
+    """Some of the statistics of a text, by plain Python."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in re.split(rb"[\n\r]+", text) if x]
+    low = [w.lower() for w in words]
+    n = max(1, len(words))
+    letters = lambda w: [c for c in w if c >= 128 or chr(c).isalpha()]
+    share = Counter(text)
+    return {
+        "log_bytes": math.log1p(len(text)), "log_words": math.log1p(len(words)), "word_length": sum(map(len, words)) / n, "longest_word": math.log1p(max(map(len, words), default=0)),
+        "letters": len(letters(text)) / max(1, len(text)), "digits": sum(48 <= c < 58 for c in text) / max(1, len(text)), "distinct_words": len(set(low)) / math.sqrt(len(words)) if words else 0,
+        "common_word": max(Counter(low).values()) / len(words) if words else 0, "words_without_letters": sum(not letters(w) for w in words) / n,
+        "repeated_lines": 1 - len({x.lower() for x in lines}) / len(lines) if lines else 0, "entropy": -sum(k / len(text) * math.log2(k / len(text)) for k in share.values()),
+    }
+
+
+def test_statistics_equal_plain_python(spark, sf):
+    texts = [(r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + [b"", b"A\nA\nb 1 22", b"\x00 x"]
+    at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    got = quality.statistics(np.frombuffer(b"".join(texts), np.uint8), at)
+    for row, text in zip(got, texts, strict=True):
+        for name, value in plain_statistics(text).items():
+            assert row[quality.STATISTICS.index(name)] == pytest.approx(value, abs=1e-9), (name, text[:60])
+
+
+def test_normal_sums_equal_one_product(spark):
+    rng = np.random.default_rng(2)
+    x, label, part = rng.normal(size=(500, len(quality.STATISTICS))), rng.integers(0, 2, 500).astype(float), rng.integers(0, 2, 500)
+    features = quality.Features(x.mean(axis=0), x.std(axis=0))
+    rows = spark.createDataFrame([(a.tolist(), float(b), int(c)) for a, b, c in zip(x, label, part, strict=True)], f"{quality.X} array<double>, label double, part int").repartition(7)
+    got = quality.normal_sums(rows, features)
+    for k in (0, 1):
+        z = features(x[part == k])
+        assert np.allclose(got[k], z.T @ np.column_stack([z, label[part == k]]))
+
+
+def test_toxic_words_counted_as_by_plain_python():
+    texts = [b"You idiot, you are a moron and a clown.", b"the sea is calm", b"", b"IDIOT idiot! y0u stuuupid i d i o t"]
+    at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    got = toxicity.measure(np.zeros(0, np.uint64))(np.frombuffer(b"".join(texts), np.uint8), at)
+    for row, text in zip(got, texts, strict=True):
+        words = [w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", text)]
+        hits = sum(w.decode() in toxicity.INSULTS for w in words)
+        assert row[toxicity.FEATURES.index("insults")] == pytest.approx(min(hits, 20) + 100 * hits / max(1, len(words)))
+        assert row[toxicity.FEATURES.index("second_person")] == pytest.approx(sum(w.decode() in toxicity.SECOND_PERSON for w in words) / max(1, len(words)))
+        assert row[toxicity.FEATURES.index("exclamations")] == pytest.approx(text.count(b"!") / max(1, len(text)))
+        assert row[toxicity.FEATURES.index("single_letters")] == pytest.approx(sum(len(w) == 1 for w in words) / max(1, len(words)))
+
+
+def test_hashes_of_long_texts_equal_those_of_their_words():
+    rng = np.random.default_rng(1)
+    data = rng.choice(np.frombuffer(b"abcDEF   \n", np.uint8), 3 * common.SPAN)
+    data[common.SPAN // 2 : 2 * common.SPAN] = 97  # a word over three spans
+    start, end, _ = common.word_spans(data, np.array([0, len(data)]))
+    whole = common.word_hashes(data, start, end)
+    for i in [*range(20), int((end - start).argmax()), len(start) - 1]:
+        word = data[start[i] : end[i]]
+        assert common.word_hashes(word, np.array([0]), np.array([len(word)]))[0] == whole[i]

@@ -1,5 +1,6 @@
 import itertools
 import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -143,3 +144,24 @@ def test_lower_bound_holds():
     for _ in range(60):
         lengths = rng.integers(1, 30, rng.integers(1, 9)).tolist()
         assert packing.least_sequences({a: lengths.count(a) for a in lengths}, 30) <= least_bins(lengths, 30)
+
+
+def test_packed_documents_are_those_of_the_library(spark, sf):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = packing.pack(docs, path).collect()
+    ids = {r.doc_id: [*library.encode(r.text or "", add_special_tokens=False).ids, 1] for r in docs.collect()}
+    assert len(rows) == sum(-(-len(x) // 4096) for x in ids.values())
+    held = {}
+    for r in rows:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.start == 4096 * r.piece and len(part) == r.length == min(4096, len(ids[r.doc_id]) - r.start)
+        assert r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes())
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in held.values():
+        places.sort()
+        assert [o for o, _ in places] == [0, *itertools.accumulate(n for _, n in places[:-1])] and sum(n for _, n in places) <= 4096
+    assert len(held) == -(-sum(map(len, ids.values())) // 4096)
