@@ -47,8 +47,8 @@ def id_filter(ids: DataFrame, column: str) -> Broadcast:
     """A bitmap of hashed ids."""
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     words = ids.select(id_bit(column).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    for k, x in words.collect():  # FILTER_BITS / 64 rows at most
-        bits[k] = x
+    held = words.toArrow()  # FILTER_BITS / 64 rows at most
+    bits[held.column("word").to_numpy()] = held.column("bits").to_numpy()
     return ids.sparkSession.sparkContext.broadcast(bits)
 
 

@@ -400,8 +400,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     same = saved(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     members = saved(some.join(same, ["n", "d1", "d2"]).select("doc_id", "n", "rep"))
     documents, posted = same.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.col("copies") * F.ceil((100 - share) * F.col("n") / 100 + F.col("n") / MEET + 1)), F.lit(0))).collect()[0]
-    common = same.filter(F.col("copies") > max(1, documents // COMMON)).select("d1", "d2", "rep").collect()  # COMMON rows at most
-    common = context.broadcast({(r.d1, r.d2): r.rep for r in common})
+    common = same.filter(F.col("copies") > max(1, documents // COMMON)).select("d1", "d2", "rep").toArrow()  # COMMON rows at most
+    common = context.broadcast(dict(zip(zip(*(common.column(c).to_pylist() for c in ("d1", "d2")), strict=True), common.column("rep").to_pylist(), strict=True)))
     groups, shift, limit = max(1, -(-posted // GROUP)), max(0, 48 - SPARE - int(posted).bit_length()), float(max(HOT, shingles >> 14))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
