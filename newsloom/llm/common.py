@@ -69,14 +69,13 @@ def maybe_in(df: DataFrame, column: str, bits: Broadcast, hit: bool = True) -> D
     return df.select(*df.columns, id_bit(column).alias("_".join(["_at", *df.columns]))).mapInArrow(run, df.schema)
 
 
-def without(df: DataFrame, ids: DataFrame, column: str, once: DataFrame | None = None) -> DataFrame:
-    """The rows of df whose id isn't among ids, and one row of each id among once. Only rows that may be concerned are shuffled for the exact join."""
-    ids = saved(ids.select(column).distinct())
-    looked = ids if once is None else ids.unionByName(once.select(column))
-    bits = id_filter(looked, column)
-    some = maybe_in(df, column, bits).join(ids, column, "left_anti").select(df.columns)
-    if once is not None:
-        some = some.filter(F.col(column).isNotNull()).dropDuplicates([column]).unionByName(some.filter(F.col(column).isNull()))
+def once(df: DataFrame, ids: DataFrame, column: str, goes: str) -> DataFrame:
+    """df without the rows of ids (column, goes) that go, and with one row of each of the others among ids. Only rows that may be concerned are shuffled for the exact
+    join; those without an id stay. An id that repeats has to be among ids."""
+    ids = saved(ids.select(column, goes))
+    bits = id_filter(ids, column)
+    some = maybe_in(df, column, bits).join(ids.filter(goes).select(column), column, "left_anti").select(df.columns)
+    some = some.filter(F.col(column).isNotNull()).dropDuplicates([column]).unionByName(some.filter(F.col(column).isNull()))
     return maybe_in(df, column, bits, False).unionByName(some)
 
 

@@ -10,8 +10,8 @@ many bits are kept that postings seldom meet by chance; those that do only cost
 Tokens of a large part of all documents are dealt out over several groups.
 
 Sets that meet are handled by blocks, never as listed pairs. Each takes the smallest set of the token that it shares most as its lead and is compared
-with it; so a group of thousands of near copies costs its members once. What these links join is one component and needs no comparison among
-itself. The others, and different components, are compared where they have enough tokens in common: by blocks of bounded size, each pair of blocks once, by
+with it; so a group of thousands of near copies costs its members once. What is linked with one lead, or over it with the lead's own, needs no comparison among
+itself. The others, and different groups of these, are compared where they have enough tokens in common: by blocks of bounded size, each pair of blocks once, by
 length, position and suffix filters and then exactly.
 
 Defined results: null text, empty text or no words: n_shingles 0, alone. A null doc_id keeps its row, with a null
@@ -461,8 +461,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     star = sets(saved(mine.unionByName(theirs))).repartition("lead", "part").sortWithinPartitions("lead", "part", "turn").select("rep", "lead", "turn", "set")
     star = saved(star.mapInArrow(starred, "a long, b long").distinct())
 
-    # groups: what these links join, which needs no comparison within, and blocks of the others of a lead
-    joined = labels(star, saved).select(F.col("node").alias("rep"), F.col("component").alias("whole"))
+    # groups: what these links join over a lead and its own lead, which needs no comparison within, and blocks of the others of a lead
+    up = star.select(F.col("a").alias("b"), F.col("b").alias("up"))
+    joined = star.join(up, "b", "left").select(F.col("a").alias("rep"), F.coalesce("up", "b").alias("whole"))
+    joined = joined.unionByName(star.select("b").distinct().join(up, "b", "left_anti").select(F.col("b").alias("rep"), F.col("b").alias("whole")))
     place = lead.select("rep", "n", "lead").join(joined, "rep", "left").withColumn("one", F.col("whole").isNotNull())
     key, flag = F.coalesce("whole", "lead"), F.col("one").cast("long")  # small numbers where ids are small: they travel better than hashes
     place = place.withColumn("base", F.when(key.between(-(1 << 61), 1 << 61), F.shiftleft(key, 1) + flag).otherwise(F.xxhash64(key, flag)))

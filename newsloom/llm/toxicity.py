@@ -4,7 +4,7 @@ The features are densities of a fixed lexicon and of a learned one (whole words
 forms), how near its words stand to the second person, capitals, exclamation and other marks, and words that look
 obfuscated (letters broken by digits or signs, single letters in a row, one letter repeated). The learned lexicon comes
 from one half of the training fold and the trees from the other, so that the densities mean the same for new texts. The calibration is learned from raw scores
-of rows that their trees haven't seen: each half of these rows is scored by trees from the other.
+of rows that their trees haven't seen: half of these rows, scored by trees from the other half.
 
 Learning uses at most SAMPLE labelled rows for each half, chosen by a hash of their ids; scoring uses all rows and whole texts.
 
@@ -180,10 +180,9 @@ def model(rows: DataFrame, labels: DataFrame, learns: Column, count: int) -> Cal
         return lambda df: fitted.transform(df.withColumn("_v", array_to_vector(X))).withColumn(RAW, vector_to_array("_p")[1]).drop("_v", X, "_rp", "_p", "_c")
 
     raw = raw_from(train)
-    halves = [train.filter(F.col("_half") == k) for k in (0, 1)]
-    learnable = [r[0] for h in halves for r in h.agg(F.coalesce(F.min("label") != F.max("label"), F.lit(False))).collect()]
-    unseen = [(raw_from(halves[1 - k]) if learnable[1 - k] else raw)(halves[k]) for k in (0, 1)]
-    calibrate = calibration(unseen[0].unionByName(unseen[1]))
+    first, second = (train.filter(F.col("_half") == k) for k in (0, 1))
+    both = all(h.agg(F.coalesce(F.min("label") != F.max("label"), F.lit(False))).collect()[0][0] for h in (first, second))
+    calibrate = calibration(raw_from(first)(second) if both else raw(train))
     return lambda rows: calibrate(raw(rows))
 
 

@@ -1,9 +1,10 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from newsloom.llm import jaccard
-from newsloom.llm.common import without
+from newsloom.llm.common import once
 
 
 def brute(rows):
@@ -75,6 +76,8 @@ def test_filters_never_lose_a_link():
         assert jaccard.linked(x, y) == (len(y) > 0 and 100 * both >= 75 * (len(x) + len(y) - both))
 
 
-def test_without_keeps_every_other_row(spark):
+def test_once_keeps_every_other_row(spark):
     df = spark.range(5000).withColumnRenamed("id", "doc_id")
-    assert without(df, df.filter("doc_id % 3 = 0"), "doc_id").count() == df.filter("doc_id % 3 <> 0").count()
+    gone = df.filter("doc_id % 3 = 0")
+    got = once(df.unionByName(df), gone.withColumn("goes", F.lit(True)).unionByName(df.filter("doc_id % 3 = 1").withColumn("goes", F.lit(False))), "doc_id", "goes")
+    assert got.count() == df.filter("doc_id % 3 = 1").count() + 2 * df.filter("doc_id % 3 = 2").count()

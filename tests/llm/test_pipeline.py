@@ -2,7 +2,7 @@ import pytest
 
 import corpus_pipeline
 from newsloom.llm import queries
-from newsloom.llm.common import without
+from newsloom.llm.common import once
 
 
 @pytest.fixture
@@ -36,12 +36,13 @@ def test_empty_table_and_no_labels(spark, no_documents, labels, odd_documents, t
         assert stage(spark, odd_documents, str(tmp_path)).count() == odd_documents.count()
 
 
-def test_without_keeps_clashing_columns(spark):
+def test_once_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(k, 10 * k, str(k)) for k in range(50)], "doc_id long, _at long, text string")
-    got = without(docs, docs.filter("doc_id % 2 = 0"), "doc_id")
+    got = once(docs, docs.selectExpr("doc_id", "true goes").filter("doc_id % 2 = 0"), "doc_id", "goes")
     assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(k, 10 * k, str(k)) for k in range(1, 50, 2)]
 
 
+
 def test_stages_keep_columns_and_pack_everything(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, count = docs.columns, docs.count()
