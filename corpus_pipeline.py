@@ -15,9 +15,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.session import saved, shared_folder
+from newsloom.functions.session import shared_folder
 from newsloom.llm import jaccard, packing, quality, toxicity
-from newsloom.llm.common import fold, table, without
+from newsloom.llm.common import fold, once, table
 from newsloom.llm.learning import ROW, SCORE
 from newsloom.llm.queries import tokenizer
 
@@ -38,10 +38,8 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id, once if rows repeat it; documents without words stay."""
-    groups = saved(jaccard.near_duplicates(docs).select("doc_id", "component_id"))
-    others = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    return without(docs, others, "doc_id", once=repeated).select(docs.columns)
+    groups = jaccard.near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("goes"), F.count("*").alias("rows"))
+    return once(docs, groups.filter("goes or rows > 1"), "doc_id", "goes").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
