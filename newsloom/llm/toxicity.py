@@ -9,7 +9,7 @@ of rows that their trees haven't seen: half of these rows, scored by trees from
 Learning uses at most SAMPLE labelled rows for each half, chosen by a hash of their ids; scoring uses all rows and whole texts.
 
 Defined results: null and empty texts are scored by their (zero) features. Without both labels in the training fold the score is the mean
-label, without any 0: nothing is known to be toxic. Null ids are scored and in no fold.
+label, without any one half, or what scored is given for that. Null ids are scored and in no fold.
 """
 
 from __future__ import annotations
@@ -164,14 +164,14 @@ def learned_lexicon(docs: DataFrame, labels: DataFrame, learns: Column) -> tuple
     return lexicon(saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(first), "doc_id"))), count  # SAMPLE rows
 
 
-def model(rows: DataFrame, labels: DataFrame, learns: Column, count: int) -> Callable[[DataFrame], DataFrame]:
+def model(rows: DataFrame, labels: DataFrame, learns: Column, count: int, unknown: float = 0.5) -> Callable[[DataFrame], DataFrame]:
     """From rows (doc_id, X) and labels (doc_id, toxic), the half that the lexicon doesn't come from, what adds RAW and SCORE to rows with X."""
     other = labelled(rows, labels, "toxic", learns).filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 1)
     train = saved(sampled(other, SAMPLE, count // 2).withColumn("_half", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).cast("int")))
     low, high, mean = train.agg(F.min("label"), F.max("label"), F.avg("label")).collect()[0]
     if low == high:
-        raw = float(mean or 0.0)
-        return lambda rows: calibration(train.withColumn(RAW, F.lit(raw)), 0.0)(rows.withColumn(RAW, F.lit(raw)))
+        raw = unknown if mean is None else mean
+        return lambda rows: calibration(train.withColumn(RAW, F.lit(raw)), unknown)(rows.withColumn(RAW, F.lit(raw)))
     trees = GBTClassifier(featuresCol="_v", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, minInstancesPerNode=10, seed=17, maxMemoryInMB=64, predictionCol="_c")
     trees = trees.setRawPredictionCol("_rp").setProbabilityCol("_p")
 
@@ -194,8 +194,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, learns: Column, held_out: Colum
     return judged(model(rows, labels, learns, count)(rows), held_out, threshold)
 
 
-def scored(docs: DataFrame, labels: DataFrame, learns: Column) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, learns: Column, unknown: float = 0.5) -> DataFrame:
     """ROW, RAW and SCORE of every row of docs; only the sample's texts are shuffled."""
     learned, count = learned_lexicon(docs, labels, learns)
-    fitted = model(measured(docs, ["doc_id"], measure(learned)), labels, learns, count)
+    fitted = model(measured(docs, ["doc_id"], measure(learned)), labels, learns, count, unknown)
     return fitted(measured(whole(docs), [ROW], measure(learned)))
