@@ -31,8 +31,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject."""
-    scored = toxicity.scored(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    """Documents that the toxicity classifier doesn't reject; without labels nothing is known to be toxic."""
+    scored = toxicity.scored(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2, unknown=0.0)
     return scored.filter(F.col(SCORE) < THRESHOLD).select(f"{ROW}.*")
 
 
