@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, ctw, flac, html, jaccard, packing, quality, toxicity, urls
+from . import ann, bpe, codes, ctw, flac, html, jaccard, orchard, packing, quality, tokencounts, toxicity, urls
 from .common import fold, table
 
 
@@ -64,11 +64,24 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_quality, op3_context_tree_weighting, op4_flac_media, op5_bpe_encoding, op6_best_fit_packing, op7_html_extraction, op8_nearest_neighbours, op9_url_filters, op10_ngram_jaccard_join,
+        op11_centroid_clustering, op12_token_counts, op13_vector_codes,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filters": urls.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op9_url_filters": urls.oracle_sql(), "op11_centroid_clustering": orchard.oracle_sql(), "op13_vector_codes": codes.oracle_sql()}
