@@ -13,8 +13,8 @@ from ..functions.text import bigrams, comparable
 from .latest import newest, two_quotas
 
 MIN_SIMILARITY, WINDOW_DAYS, STORY_SIZE = 0.17, 21, 8
-#: Texts in a block on average, and terms of two blocks that are multiplied at a time.
-BLOCK, TERMS = 256, 4096
+#: Shares of the bigrams whose norms bound a similarity, tasks that the copies of a text are dealt to, room for the rounding of sums.
+SHARES, SALTS, SLACK = 64, 16, 1e-6
 
 
 def comparison_texts(articles: DataFrame, digests: DataFrame, public: DataFrame, translations: DataFrame, language: str = "ja") -> DataFrame:
@@ -35,77 +35,98 @@ def pool(texts: DataFrame, batch: DataFrame, days: int = WINDOW_DAYS) -> DataFra
 
 
 def tf_idf(texts: DataFrame) -> DataFrame:
-    """(id, gram, weight): tf * (ln((N + 1) / (df + 1)) + 1) of character bigrams within the pool, each text's vector of length one."""
+    """(id, gram, weight, df): tf * (ln((N + 1) / (df + 1)) + 1) of character bigrams within the pool, each text's vector of length one; df is the number of texts with the bigram."""
     grams = texts.select("id", F.explode(bigrams(comparable(F.col("text")))).alias("gram"))
     tf = grams.groupBy("id", "gram").agg(F.count("*").alias("tf"))
     df = tf.groupBy("gram").agg(F.count("*").alias("df"))
     n = texts.agg(F.count("*").alias("n"))
     raw = tf.join(df, "gram").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "gram", (F.col("w") / F.col("norm")).alias("weight"))
+    listed = raw.groupBy("id").agg(F.collect_list(F.struct("gram", "w", "df")).alias("_v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return listed.select("id", "norm", F.explode("_v").alias("v")).select("id", "v.gram", (F.col("v.w") / F.col("norm")).alias("weight"), "v.df")
 
 
-def similar_pairs(vectors: DataFrame, times: DataFrame, targets: DataFrame, least: float = MIN_SIMILARITY, days: int = WINDOW_DAYS) -> DataFrame:
-    """(target, id, similarity) of targets with any other text no more than so many days away. Texts are dealt into blocks by time slot; a block meets those of its own slot
-    and of the two beside it, and two blocks are compared by products of their matrices: work follows the window and not the corpus, memory the blocks, and a
-    frequent term costs no more than another. Terms are compared by 64-bit hashes."""
+def similar_pairs(vectors: DataFrame, times: DataFrame, targets: DataFrame, save: Callable[[DataFrame], DataFrame], least: float = MIN_SIMILARITY, days: int = WINDOW_DAYS) -> DataFrame:
+    """(target, id, similarity) of targets with any other text no more than so many days away: a cosine join by an inverted index.
+
+    Bigrams are ordered from rare to frequent. Two texts that are similar enough share a first bigram, behind which (with it) each of their vectors still has a norm of at least the
+    threshold, so it is enough to post a text under its bigrams until what is left is shorter (for 0.95 a tenth of the squared weights, the rarest). Postings meet by bigram and time slot, in
+    their own slot and the next; a meeting goes on only if the product of both remaining norms reaches the threshold, and that of the
+    norms in SHARES shares of the bigrams too. What remains is compared once, with the whole vectors.
+
+    Texts of one slot with equal vectors are one entry, so copies cost as much as their pairs in the result. Entries are told apart by 128-bit and bigrams by 64-bit hashes. The threshold has to be positive."""
     micros = days * 86_400_000_000
-    listed = vectors.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("gram").alias("h"), "weight")).alias("v"))
+    listed = vectors.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", F.xxhash64("gram").alias("h"), "weight"))).alias("v"))
     at = F.unix_micros(F.col("at").cast("timestamp"))
-    rows = listed.join(times.select("id", at.alias("at")), "id").join(targets.select("id", F.lit(True).alias("target")).distinct(), "id", "left")
-    rows = rows.select("id", "at", F.floor(F.col("at") / micros).alias("slot"), F.coalesce("target", F.lit(False)).alias("target"), F.col("v.h").alias("terms"), F.col("v.weight").alias("weights"))
-    slots = rows.groupBy("slot").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    beside = slots.select("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("other")).join(slots.select(F.col("slot").alias("other"), F.col("parts").alias("others")), "other")
-    dealt = rows.join(slots, "slot").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).drop("parts")
-    met = dealt.join(beside, "slot").withColumn("their", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
-    mine, theirs = F.struct(F.col("slot").alias("s"), F.col("part").alias("p")), F.struct(F.col("other").alias("s"), F.col("their").alias("p"))
-    met = met.select(F.least(mine, theirs).alias("one"), F.greatest(mine, theirs).alias("two"), (mine > theirs).alias("second"), "id", "at", "target", "terms", "weights")
-    met = met.select("one.s", "one.p", F.col("two.s").alias("s2"), F.col("two.p").alias("p2"), "second", "id", "at", "target", "terms", "weights")
-    key = ["s", "p", "s2", "p2"]
+    rows = listed.join(times.select("id", at.alias("at")), "id").withColumn("slot", F.floor(F.col("at") / micros))
+    rows = save(rows.select("id", "at", "slot", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), F.col("v.h").alias("terms"), F.col("v.weight").alias("weights")))
+    copies = ["slot", "h1", "h2"]
+    # the smallest id stands for the copies of a slot; their many rows are dealt over salts
+    entry = rows.groupBy(*copies).agg(F.min("id").alias("entry"), F.count("*").alias("copies"))
+    salted = entry.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    wanted = targets.select("id", F.lit(True).alias("target")).distinct()
+    members = rows.select("id", "at", *copies, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).join(salted.select(*copies, "salt", "entry"), [*copies, "salt"])
+    members = save(members.join(wanted, "id", "left").select("entry", "id", "at", F.coalesce("target", F.lit(False)).alias("target")))
+    entries = rows.join(entry.select(F.col("entry").alias("id"), "copies"), "id").select(F.col("id").alias("entry"), "slot", "copies", "terms", "weights")
+
+    posted = save(entries.select("entry", "slot", "terms", "weights").mapInArrow(_posted(least), "entry long, slot long, term long, rest double, shares array<float>"))
+    own = posted.select("term", "slot", F.col("entry").alias("a"), F.col("rest").alias("ra"), F.col("shares").alias("sa"))
+    other = posted.select("term", F.col("slot").alias("of"), F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"), F.col("entry").alias("b"), F.col("rest").alias("rb"), F.col("shares").alias("sb"))
+    bound = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    met = own.join(other, ["term", "slot"]).filter((F.col("slot") < F.col("of")) | (F.col("a") < F.col("b"))).filter(F.col("ra") * F.col("rb") >= least - SLACK).filter(bound >= least - SLACK)
+    met = met.select("a", "b").distinct()
+    vector = lambda c: entries.select(F.col("entry").alias(c), F.col("terms").alias(f"{c}_terms"), F.col("weights").alias(f"{c}_weights"))
+    compared = met.join(vector("a"), "a").join(vector("b"), "b").mapInArrow(_compared(least), "a long, b long, similarity double")
+    alike = entries.filter("copies > 1").select(F.col("entry").alias("a"), F.col("entry").alias("b"), F.lit(1.0).alias("similarity"))
+    found = compared.unionByName(alike)
+    side = lambda c, i: members.select(F.col("entry").alias(c), F.col("id").alias(i), F.col("at").alias(f"{i}_at"), F.col("target").alias(f"{i}_target"))
+    pairs = found.join(side("a", "x"), "a").join(side("b", "y"), "b").filter((F.abs(F.col("x_at") - F.col("y_at")) <= micros) & ((F.col("a") < F.col("b")) | (F.col("a") > F.col("b")) | (F.col("x") < F.col("y"))))
+    ways = F.array(F.when(F.col("x_target"), F.struct(F.col("x").alias("target"), F.col("y").alias("id"))), F.when(F.col("y_target"), F.struct(F.col("y").alias("target"), F.col("x").alias("id"))))
+    return pairs.select(F.explode(F.array_compact(ways)).alias("way"), "similarity").select("way.target", "way.id", "similarity")
+
+
+def _posted(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each entry, whose bigrams stand from rare to frequent, those behind which its vector still has the least norm; with that norm and the norms of the shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sides = None, ([], [])
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True))
-            columns = [batch.column(c).to_pylist() for c in ("second", "id", "at", "target")]
             terms, weights = batch.column("terms"), batch.column("weights")
-            for i, (second, *row) in enumerate(zip(*columns, strict=True)):
-                if keys[i] != now:
-                    yield from _similar(now, sides, least, micros)
-                    now, sides = keys[i], ([], [])
-                sides[second].append((*row, terms[i].values.to_numpy(), weights[i].values.to_numpy()))
-        yield from _similar(now, sides, least, micros)
-
-    return met.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "target long, id long, similarity double")
-
-
-def _similar(key: tuple | None, sides: tuple[list, list], least: float, micros: int) -> Iterator[pa.RecordBatch]:
-    """The similar texts of two blocks, or within one if both are the same."""
-    a = sides[0]
-    b = a if key and key[:2] == key[2:] else sides[1]
-    if not a or not b or not any(r[2] for r in a + b):
-        return
-    (ia, ta, wa), (ib, tb, wb) = ((np.array([r[0] for r in x]), np.array([r[1] for r in x]), np.array([r[2] for r in x])) for x in (a, b))
-    vocabulary = np.intersect1d(np.concatenate([r[3] for r in a]), np.concatenate([r[3] for r in b]))
-    both = np.zeros((len(a), len(b)))
-
-    def matrix(rows: list, low: int, high: int) -> np.ndarray:
-        m = np.zeros((len(rows), high - low))
-        for i, r in enumerate(rows):
-            at = np.searchsorted(vocabulary[low:high], r[3])
-            hit = at < high - low
-            hit[hit] = vocabulary[low + at[hit]] == r[3][hit]
-            m[i, at[hit]] = r[4][hit]
-        return m
-
-    for low in range(0, len(vocabulary), TERMS):
-        high = min(low + TERMS, len(vocabulary))
-        both += matrix(a, low, high) @ matrix(b, low, high).T
-    both = np.round(both, 9)
-    i, j = np.nonzero((both >= least) & (np.abs(ta[:, None] - tb[None, :]) <= micros) & (ia[:, None] != ib[None, :]))
-    ways = [(ia[i], ib[j], wa[i])] if b is a else [(ia[i], ib[j], wa[i]), (ib[j], ia[i], wb[j])]
-    for target, other, wanted in ways:
-        yield pa.record_batch([pa.array(target[wanted]), pa.array(other[wanted]), pa.array(both[i, j][wanted])], names=["target", "id", "similarity"])
+            sizes = np.diff(terms.offsets.to_numpy())
+            if not len(sizes):
+                continue
+            begin = terms.offsets.to_numpy()[0]
+            h, w = (x.values.to_numpy()[begin : begin + sizes.sum()] for x in (terms, weights))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            total = np.concatenate(([0.0], np.cumsum(w * w)))
+            ends = np.cumsum(sizes)
+            rest = np.sqrt(np.maximum(total[ends][row] - total[:-1], 0))
+            shares = np.zeros((len(sizes), SHARES))
+            np.add.at(shares, (row, (h % SHARES).astype(np.int64)), w * w)
+            shares = np.nextafter(np.sqrt(shares).astype(np.float32), np.float32(2))  # never below
+            at = np.flatnonzero(rest >= least - SLACK)
+            of = row[at]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(of) + 1) * SHARES, SHARES, dtype=np.int32)), pa.array(shares[of].ravel()))
+            yield pa.record_batch([batch.column("entry").take(pa.array(of)), batch.column("slot").take(pa.array(of)), pa.array(h[at]), pa.array(rest[at]), lists], names=["entry", "slot", "term", "rest", "shares"])
+
+    return run
+
+
+def _compared(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pairs that are similar enough by their whole vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros(batch.num_rows)
+            sides = [(batch.column(f"{c}_terms"), batch.column(f"{c}_weights")) for c in "ab"]
+            ha, wa, hb, wb = (x.values.to_numpy() for side in sides for x in side)
+            oa, ob = (terms.offsets.to_numpy() for terms, _ in sides)
+            for i in range(batch.num_rows):
+                _, x, y = np.intersect1d(ha[oa[i] : oa[i + 1]], hb[ob[i] : ob[i + 1]], assume_unique=True, return_indices=True)
+                found[i] = wa[oa[i] + x] @ wb[ob[i] + y]
+            found = np.round(found, 9)
+            hit = np.flatnonzero(found >= least)
+            yield pa.record_batch([batch.column("a").take(pa.array(hit)), batch.column("b").take(pa.array(hit)), pa.array(found[hit])], names=["a", "b", "similarity"])
+
+    return run
 
 
 def candidates(pairs: DataFrame, articles: DataFrame, stories: DataFrame) -> DataFrame:

@@ -31,9 +31,15 @@ def texts(t: Tables) -> DataFrame:
     return stories.comparison_texts(t.v_articles, t.v_digests, public, t.v_title_translations, "en")
 
 
+def pooled(t: Tables) -> DataFrame:
+    """The texts of the pool around a batch, here that of all articles."""
+    timed = texts(t).join(articles(t).select("id", "at"), "id")
+    return stories.pool(timed, timed)
+
+
 def pairs(t: Tables) -> DataFrame:
-    own = texts(t)
-    return stories.similar_pairs(stories.tf_idf(own), articles(t), own, LEAST)
+    own = saved(pooled(t))
+    return stories.similar_pairs(stories.tf_idf(own), own, own, saved, LEAST)
 
 
 @query("J1_comparison_texts", TEXTS)
@@ -55,7 +61,7 @@ def term_statistics(t: Tables) -> DataFrame:
 
 @query("J3_tf_idf", TFIDF + " SELECT id, gram, round(weight, 8) AS weight FROM v")
 def tf_idf(t: Tables) -> DataFrame:
-    return stories.tf_idf(texts(t)).withColumn("weight", F.round("weight", 8))
+    return stories.tf_idf(pooled(t)).select("id", "gram", F.round("weight", 8).alias("weight"))
 
 
 @query("C8_similar_pairs", PAIRS + " SELECT target, id, round(similarity, 6) AS similarity FROM c")

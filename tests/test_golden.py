@@ -127,19 +127,44 @@ def test_groups_job(spark, tmp_path):
     assert got == merged_in_order([(*k, s) for k, s in plain.items()], {(1, 2), (3, 9)}, stories.STORY_SIZE)
 
 
-def test_similar_pairs_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(stories, "BLOCK", 8)
-    monkeypatch.setattr(stories, "TERMS", 16)
+@pytest.mark.parametrize("least", [0.17, 0.5, 0.95])
+def test_similar_pairs_equal_brute_force(spark, tmp_path, least):
+    """Copies in a slot and in several, near copies, texts without bigrams, targets that are few."""
     rng = np.random.default_rng(4)
-    weight = rng.random((60, 40)) * (rng.random((60, 40)) < 0.3)
+    weight = rng.random((90, 40)) * (rng.random((90, 40)) < 0.3) * np.linspace(0.2, 3, 40)
+    weight[60:80] = weight[rng.integers(0, 6, 20)]
+    weight[80:89] = weight[:9] + 0.05 * rng.random((9, 40)) * (weight[:9] > 0)
+    weight[89] = 0
     weight /= np.maximum(np.linalg.norm(weight, axis=1, keepdims=True), 1e-9)
-    hours = rng.integers(0, 2000, 60)
-    vectors = spark.createDataFrame([(i, f"g{k}", float(weight[i, k])) for i in range(60) for k in np.flatnonzero(weight[i])], "id long, gram string, weight double")
+    df = (weight > 0).sum(axis=0)
+    hours = rng.integers(0, 2000, 90)
+    vectors = spark.createDataFrame([(i, f"g{k}", float(weight[i, k]), int(df[k])) for i in range(90) for k in np.flatnonzero(weight[i])], "id long, gram string, weight double, df long")
     times = spark.createDataFrame([(i, datetime.fromtimestamp(int(h) * 3600)) for i, h in enumerate(hours)], "id long, at timestamp")
-    got = {(r.target, r.id): r.similarity for r in stories.similar_pairs(vectors, times, times.filter("id % 2 = 0").select("id"), 0.3, 21).collect()}
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = stories.similar_pairs(vectors, times, times.filter("id % 2 = 0").select("id"), lambda d: d.checkpoint(), least, 21).collect()
+    got = {(r.target, r.id): r.similarity for r in rows}
     both = weight @ weight.T
-    want = {(i, j): both[i, j] for i in range(0, 60, 2) for j in range(60) if i != j and abs(int(hours[i]) - int(hours[j])) <= 21 * 24 and round(both[i, j], 9) >= 0.3}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in got)
+    want = {(i, j): both[i, j] for i in range(0, 90, 2) for j in range(90) if i != j and abs(int(hours[i]) - int(hours[j])) <= 21 * 24 and round(both[i, j], 9) >= least}
+    assert len(rows) == len(got) and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in got)
+
+
+def test_similar_pairs_compare_few(spark, tmp_path, monkeypatch):
+    """Above a high threshold most texts never meet, however frequent their bigrams are."""
+    rng = np.random.default_rng(5)
+    weight = rng.random((400, 300)) * (rng.random((400, 300)) < 0.2)
+    weight[:, :20] = 0.3  # in all texts
+    weight[200:220] = weight[:20]
+    weight /= np.linalg.norm(weight, axis=1, keepdims=True)
+    df = (weight > 0).sum(axis=0)
+    vectors = spark.createDataFrame([(i, f"g{k}", float(weight[i, k]), int(df[k])) for i in range(400) for k in np.flatnonzero(weight[i])], "id long, gram string, weight double, df long")
+    times = spark.createDataFrame([(i, datetime(2024, 1, 1)) for i in range(400)], "id long, at timestamp")
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    tables = []
+    found = stories.similar_pairs(vectors, times, times.select("id"), lambda d: (tables.append(d.checkpoint()), tables[-1])[1], 0.95)
+    assert {(r.target, r.id) for r in found.collect()} == {(i, i + 200) for i in range(20)} | {(i + 200, i) for i in range(20)}
+    posted = tables[-1]
+    per_text = posted.groupBy("entry").count().agg({"count": "max"}).first()[0]
+    assert per_text <= 15 and posted.filter(f"term in ({','.join(str(r[0]) for r in vectors.filter('df = 400').selectExpr('xxhash64(gram)').distinct().collect())})").isEmpty()
 
 
 class Plain(HTMLParser):
