@@ -49,6 +49,10 @@ VIEWS = {
     "v_stories": "SELECT doc_id AS article_id, doc_id - doc_id % 3 AS story_id FROM documents",
     "v_profile_versions": """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY day) AS version, day AS created_at, lead(day) OVER (PARTITION BY user_id ORDER BY day) AS retired_at
         FROM (SELECT DISTINCT user_id, date_trunc('week', ts) AS day FROM events) AS x""",
+    # what a version rests on: articles of the purchases of the week before it
+    "v_version_evidence": """SELECT DISTINCT v.user_id, v.created_at, e.article_id FROM (SELECT DISTINCT user_id, date_trunc('week', ts) AS created_at FROM events) AS v
+        JOIN (SELECT user_id, ts, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS article_id FROM events WHERE event_type = 'purchase') AS e
+        ON e.user_id = v.user_id AND e.ts < v.created_at AND e.ts >= v.created_at - INTERVAL '7' DAY""",
 }
 
 _WORD = re.compile(r"\b(v_\w+)\b")

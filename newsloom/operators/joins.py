@@ -22,14 +22,22 @@ def requested(rows: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     return wanted.join(rows, key)
 
 
-def during(events: DataFrame, versions: DataFrame, keys: list[str], at: str) -> DataFrame:
+def during(events: DataFrame, versions: DataFrame, keys: list[str], at: str, evidence: DataFrame | None = None, article: str = "article_id", days: int = 30) -> DataFrame:
     """Each event (keys, at) with the version (keys, version, created_at, retired_at) that was open then: an as-of lookup by one sort of both sides, so
-    long histories aren't multiplied with the events."""
-    tag = versions.select(*keys, F.col("created_at").cast("timestamp").alias("_at"), F.lit(0).alias("_kind"), F.struct("version", "retired_at").alias("_v"), F.lit(None).cast(events.schema.simpleString()).alias("_e"))
-    rows = events.select(*keys, F.col(at).cast("timestamp").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(tag.schema["_v"].dataType).alias("_v"), F.struct(*events.columns).alias("_e"))
-    open_ = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    long histories aren't multiplied with the events. Each stretch of so many days is sorted for itself, a version standing at the start of every one that it reaches
+    into, so that a key's long history is many tasks'. Events on an article that their version rests on (evidence: keys, version, article) are left out."""
+    slot = lambda c: F.floor(F.unix_micros(c) / (days * 86_400_000_000))
+    span = events.groupBy(*keys).agg(F.max(F.col(at).cast("timestamp")).alias("_last"))
+    made, gone = F.col("created_at").cast("timestamp"), F.col("retired_at").cast("timestamp")
+    seen = versions.join(span, keys).filter(made <= F.col("_last"))
+    seen = seen.withColumn("_slot", F.explode(F.sequence(slot(made), F.greatest(slot(made), slot(F.least(F.coalesce(gone, F.col("_last")), F.col("_last")))))))
+    tag = seen.select(*keys, "_slot", made.alias("_at"), F.lit(0).alias("_kind"), F.struct("version", "retired_at").alias("_v"), F.lit(None).cast(events.schema.simpleString()).alias("_e"))
+    own = F.col(at).cast("timestamp")
+    rows = events.select(*keys, slot(own).alias("_slot"), own.alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(tag.schema["_v"].dataType).alias("_v"), F.struct(*events.columns).alias("_e"))
+    open_ = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys, "_slot").orderBy("_at", "_kind", "_v.version").rowsBetween(Window.unboundedPreceding, 0))
     both = tag.unionByName(rows).withColumn("_open", open_).filter("_kind = 1 and _open is not null and (_open.retired_at is null or _at < _open.retired_at)")
-    return both.select("_e.*", F.col("_open.version").alias("version"))
+    found = both.select("_e.*", F.col("_open.version").alias("version"))
+    return found if evidence is None else found.join(evidence.select(*keys, "version", F.col("article_id").alias(article)), [*keys, "version", article], "left_anti").select(found.columns)
 
 
 def each_with_each(many: DataFrame, few: DataFrame, slices: int = 64) -> DataFrame:

@@ -5,23 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .latest import gaps, median_floor, top
+from .latest import gaps, median_floor
 
 
-def count_anomalies(runs: DataFrame, history: int = 20, least: int = 8) -> DataFrame:
+def count_anomalies(runs: DataFrame, states: DataFrame, since: Column, history: int = 20, least: int = 8) -> DataFrame:
     """(source_id, kind, latest, median) of sources whose newest run (source_id, fetched_at, total) found nothing (empty), or less than a third of the median of up to so many earlier
-    runs (dropped)."""
-    recent = top(runs, ["source_id"], [F.col("fetched_at").desc()], history + 1)
-    turn = F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("fetched_at").desc()))
-    rows = recent.withColumn("_turn", turn).groupBy("source_id").agg(F.max(F.when(F.col("_turn") == 1, F.col("total"))).alias("latest"), F.collect_list(F.when(F.col("_turn") > 1, F.col("total"))).alias("_before"))
+    runs (dropped). Only sources that were read without error since then (states: source_id, last_success_at, last_error) can be judged by their counts."""
+    alive = states.filter(F.col("last_success_at") >= since).select("source_id")
+    newest = Window.partitionBy("source_id").orderBy(F.col("fetched_at").desc())
+    recent = runs.join(alive, "source_id", "left_semi").withColumn("_turn", F.row_number().over(newest)).filter(F.col("_turn") <= history + 1)
+    rows = recent.groupBy("source_id").agg(F.max(F.when(F.col("_turn") == 1, F.col("total"))).alias("latest"), F.collect_list(F.when(F.col("_turn") > 1, F.col("total"))).alias("_before"))
     rows = rows.withColumn("median", F.when(F.size("_before") >= least, median_floor(F.col("_before"))))
     kind = F.when(F.col("latest") == 0, "empty").when(F.col("latest") * 3 < F.col("median"), "dropped")
     return rows.select("source_id", kind.alias("kind"), "latest", "median").filter("kind is not null")
 
 
-def stale(days: DataFrame, today: Column, window: int = 60, least: int = 5, idle: int = 14) -> DataFrame:
+def stale(days: DataFrame, states: DataFrame, flagged: DataFrame, since: Column, today: Column, window: int = 60, least: int = 5, idle: int = 14) -> DataFrame:
     """(source_id, idle, median2) of sources (source_id, day) that were quiet for long: among the distinct days of so many before the newest there are enough gaps, and twice the idle days are more
-    than idle and six times the median gap."""
+    than idle and six times the median gap. Left out are sources that weren't read since then or fail now (states), which says why they are quiet, and those flagged for their counts
+    (source_id)."""
+    alive = states.filter((F.col("last_success_at") >= since) & F.col("last_error").isNull()).select("source_id").join(flagged.select("source_id"), "source_id", "left_anti")
+    days = days.join(alive, "source_id", "left_semi").select("source_id", "day").distinct()
     last = days.groupBy("source_id").agg(F.max("day").alias("_last"))
     near = days.join(last, "source_id").filter(F.datediff("_last", "day") <= window)
     found = gaps(near, "source_id").groupBy("source_id").agg(F.collect_list("gap").alias("_gaps")).filter(F.size("_gaps") >= least)

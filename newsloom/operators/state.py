@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import backoff_hours
 from .counts import concordance
+from .joins import during
 
 MOST_ATTEMPTS = 5
 
@@ -77,11 +78,12 @@ def history(changes: DataFrame) -> DataFrame:
     return kept.select("user_id", F.row_number().over(by).cast("bigint").alias("version"), "hash", "created_at", F.lead("created_at").over(by).alias("retired_at"), "change_id")
 
 
-def frozen(history: DataFrame, ratings: DataFrame, scores: DataFrame) -> DataFrame:
-    """history with rated and concordance of each retired version, as they stood when it retired: of the user's latest ratings by then (log: user_id, article_id, event_id, ts, stars) of articles
-    with a score (user_id, article_id, score). Versions in use have none yet."""
+def frozen(history: DataFrame, ratings: DataFrame, scores: DataFrame, evidence: DataFrame) -> DataFrame:
+    """history with rated and concordance of each retired version, as they stood when it retired: of the ratings (log: user_id, article_id, event_id, ts, stars) that were made while it was
+    in use, the last one of each article, less the articles that it rests on (evidence: user_id, version, article_id) and those without a score (user_id, article_id, score). Versions in use
+    have none yet. Each rating meets one version."""
     by = ["user_id", "version"]
-    then = history.filter("retired_at is not null").select(*by, "retired_at").join(ratings.select("user_id", "article_id", "event_id", "ts", "stars"), "user_id").filter(F.col("ts") <= F.col("retired_at"))
+    then = during(ratings.select("user_id", "article_id", "event_id", "ts", "stars"), history.filter("retired_at is not null"), ["user_id"], "ts", evidence)
     known = then.groupBy(*by, "article_id").agg(F.max_by("stars", F.struct("ts", "event_id")).alias("stars")).join(scores, ["user_id", "article_id"])
     stats = known.groupBy(*by).agg(F.count("*").alias("rated")).join(concordance(known, by), by, "left")
     out = history.join(stats, by, "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import Tables
 from ..operators import counts, joins
 from ..registry import query
+from .joins import version_evidence
 
 RATED = "SELECT user_id, article_id, arg_max(stars, event_id) AS stars, max(ts) AS rated_at FROM v_interactions GROUP BY user_id, article_id"
 
@@ -116,12 +117,13 @@ def hidden_counts(t: Tables) -> DataFrame:
     return counts.lifted(t.v_scores, {"score": F.col("score") >= 50, "relevant": F.col("article_id") % 5 != 0, "version": F.col("version") == 1})
 
 
-@query("D15_version_stats", PAIRS.replace("WITH r AS", "WITH r0 AS", 1).split(", s AS")[0] + """, r AS (SELECT r0.*, p.version AS pv FROM r0 JOIN v_profile_versions p ON p.user_id = r0.user_id AND p.created_at <= r0.rated_at AND (p.retired_at IS NULL OR r0.rated_at < p.retired_at)),
+@query("D15_version_stats", PAIRS.replace("WITH r AS", "WITH r0 AS", 1).split(", s AS")[0] + """, r AS (SELECT r0.*, p.version AS pv FROM r0 JOIN v_profile_versions p ON p.user_id = r0.user_id AND p.created_at <= r0.rated_at AND (p.retired_at IS NULL OR r0.rated_at < p.retired_at)
+  WHERE NOT EXISTS (SELECT 1 FROM v_version_evidence e WHERE e.user_id = p.user_id AND e.created_at = p.created_at AND e.article_id = r0.article_id)),
  s AS (SELECT r.user_id, r.pv, r.stars, x.score FROM r JOIN v_scores x ON x.user_id = r.user_id AND x.article_id = r.article_id AND x.version = 1),
  c AS (SELECT a.user_id, a.pv, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END) AS concordance FROM s a JOIN s b ON a.user_id = b.user_id AND a.pv = b.pv AND a.stars > b.stars GROUP BY 1, 2)
  SELECT n.user_id, n.pv AS version, n.rated, c.concordance FROM (SELECT user_id, pv, count(*) AS rated FROM s GROUP BY 1, 2) n LEFT JOIN c ON c.user_id = n.user_id AND c.pv = n.pv""")
 def version_stats(t: Tables) -> DataFrame:
-    rated = joins.during(ratings(t), t.v_profile_versions, ["user_id"], "rated_at")
+    rated = joins.during(ratings(t), t.v_profile_versions, ["user_id"], "rated_at", version_evidence(t))
     rows = rated.join(t.v_scores.filter("version = 1").select("user_id", "article_id", "score"), ["user_id", "article_id"])
     by = ["user_id", "version"]
     out = rows.groupBy(*by).agg(F.count("*").alias("rated")).join(counts.concordance(rows, by), by, "left")

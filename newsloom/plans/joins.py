@@ -47,10 +47,16 @@ def requested_ids(t: Tables) -> DataFrame:
     return joins.requested(t.v_articles.select("id", "source_id"), lists, "id").select("request", F.col("place").cast("bigint").alias("place"), "id", "source_id")
 
 
-@query("C7_open_version", "SELECT i.event_id, p.version FROM v_interactions i JOIN v_profile_versions p ON p.user_id = i.user_id AND p.created_at <= i.ts AND (p.retired_at IS NULL OR i.ts < p.retired_at) WHERE i.event_type = 'view'")
+@query("C7_open_version", """SELECT i.event_id, p.version FROM v_interactions i JOIN v_profile_versions p ON p.user_id = i.user_id AND p.created_at <= i.ts AND (p.retired_at IS NULL OR i.ts < p.retired_at)
+ WHERE i.event_type = 'view' AND NOT EXISTS (SELECT 1 FROM v_version_evidence e WHERE e.user_id = p.user_id AND e.created_at = p.created_at AND e.article_id = i.article_id)""")
 def open_version(t: Tables) -> DataFrame:
-    views = t.v_interactions.filter("event_type = 'view'").select("event_id", "user_id", "ts")
-    return joins.during(views, t.v_profile_versions, ["user_id"], "ts").select("event_id", F.col("version").cast("bigint").alias("version"))
+    views = t.v_interactions.filter("event_type = 'view'").select("event_id", "user_id", "article_id", "ts")
+    return joins.during(views, t.v_profile_versions, ["user_id"], "ts", version_evidence(t)).select("event_id", F.col("version").cast("bigint").alias("version"))
+
+
+def version_evidence(t: Tables) -> DataFrame:
+    """(user_id, version, article_id): what the versions rest on."""
+    return t.v_version_evidence.join(t.v_profile_versions.select("user_id", "version", "created_at"), ["user_id", "created_at"]).select("user_id", "version", "article_id")
 
 
 @query("C9_glossary_hits", """WITH g AS (SELECT DISTINCT source FROM v_glossary_sources WHERE regexp_matches(source, '^[A-Za-z0-9]+$')) SELECT d.doc_id AS id, lower(g.source) AS term FROM documents d JOIN g

@@ -12,27 +12,60 @@ from ..operators import monitor
 from ..registry import query
 from .windows import ARTICLES, articles
 
-RUNS = "SELECT source_id, fetched_at, CASE WHEN source_id = 'click' AND fetched_at >= TIMESTAMP '2024-01-29 00:00:00' THEN 0 WHEN source_id = 'view' AND fetched_at >= TIMESTAMP '2024-01-29 00:00:00' THEN 1 ELSE total + 9 END AS total FROM v_fetch_runs"
+#: Each type of event of a tenth of the users is a source, read once a day; some of late find little or nothing.
+RUNS = """SELECT source_id, fetched_at, CASE WHEN fetched_at >= TIMESTAMP '2024-01-28 00:00:00' AND source_id LIKE 'click%' THEN 0 WHEN fetched_at >= TIMESTAMP '2024-01-28 00:00:00' AND source_id LIKE 'view%' THEN 1 ELSE total + 9 END AS total
+ FROM (SELECT concat(event_type, '-', CAST(user_id % 10 AS STRING)) AS source_id, date_trunc('day', ts) AS fetched_at, count(*) AS total FROM events GROUP BY 1, 2) AS q"""
+#: What stands for the state of sources: the last event that is cheap was a success, the newest one is an error if it is dear.
+STATES = "SELECT source_id, max(ts) FILTER (WHERE value < 100) AS last_success_at, CASE WHEN max(ts) FILTER (WHERE value >= 450) = max(ts) THEN 'failed' END AS last_error FROM ({}) AS q GROUP BY source_id"
+SOURCES = "SELECT concat(event_type, '-', CAST(user_id % 10 AS STRING)) AS source_id, ts, value FROM events"
+QUIET = "SELECT concat('u', CAST(user_id AS STRING)) AS source_id, ts, value FROM events"
+SINCE, SINCE_SQL = datetime(2024, 1, 29, 12), "TIMESTAMP '2024-01-29 12:00:00'"
 
 
-def runs(t: Tables) -> DataFrame:
-    late = F.col("fetched_at") >= F.lit(datetime(2024, 1, 29))
-    return t.v_fetch_runs.withColumn("total", F.when((F.col("source_id") == "click") & late, 0).when((F.col("source_id") == "view") & late, 1).otherwise(F.col("total") + 9))
+def anomalies_sql(runs: str, states: str) -> str:
+    """Two steps, g and m, over runs and states."""
+    return f"""k AS (SELECT r.*, row_number() OVER (PARTITION BY source_id ORDER BY fetched_at DESC) AS n FROM ({runs}) AS r WHERE source_id IN (SELECT source_id FROM ({states}) AS s WHERE last_success_at >= {SINCE_SQL})),
+ g AS (SELECT source_id, max(total) FILTER (WHERE n = 1) AS latest, list_sort(list(total) FILTER (WHERE n BETWEEN 2 AND 21)) AS b FROM k GROUP BY 1),
+ m AS (SELECT source_id, latest, CASE WHEN len(b) >= 8 THEN CAST(floor((b[(len(b) + 1) // 2] + b[len(b) // 2 + 1]) / 2) AS BIGINT) END AS median FROM g)"""
 
 
-@query("N1_count_anomalies", f"""WITH r AS ({RUNS}), k AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY fetched_at DESC) AS n FROM r), g AS (SELECT source_id, max(total) FILTER (WHERE n = 1) AS latest, list_sort(list(total) FILTER (WHERE n BETWEEN 2 AND 21)) AS b FROM k GROUP BY 1),
- m AS (SELECT source_id, latest, CASE WHEN len(b) >= 8 THEN CAST(floor((b[(len(b) + 1) // 2] + b[len(b) // 2 + 1]) / 2) AS BIGINT) END AS median FROM g) SELECT source_id, CASE WHEN latest = 0 THEN 'empty' ELSE 'dropped' END AS kind, latest, median FROM m WHERE latest = 0 OR latest * 3 < median""")
+def sources(t: Tables) -> DataFrame:
+    return t.events.select(F.concat("event_type", F.lit("-"), (F.col("user_id") % 10).cast("string")).alias("source_id"), "ts", "value")
+
+
+def quiet_sources(t: Tables) -> DataFrame:
+    return t.events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_id"), "ts", "value")
+
+
+def states(rows: DataFrame) -> DataFrame:
+    """(source_id, last_success_at, last_error)."""
+    newest = lambda c: F.max(F.when(c, F.col("ts")))
+    return rows.groupBy("source_id").agg(newest(F.col("value") < 100).alias("last_success_at"), F.when(newest(F.col("value") >= 450) == F.max("ts"), "failed").alias("last_error"))
+
+
+@query("N1_count_anomalies", f"WITH {anomalies_sql(RUNS, STATES.format(SOURCES))} SELECT source_id, CASE WHEN latest = 0 THEN 'empty' ELSE 'dropped' END AS kind, latest, median FROM m WHERE latest = 0 OR latest * 3 < median")
 def count_anomalies(t: Tables) -> DataFrame:
-    return monitor.count_anomalies(runs(t))
+    counted = sources(t).groupBy("source_id", F.date_trunc("day", "ts").alias("fetched_at")).agg(F.count("*").alias("total"))
+    late = F.col("fetched_at") >= F.lit(datetime(2024, 1, 28))
+    runs = counted.withColumn("total", F.when(late & F.col("source_id").startswith("click"), 0).when(late & F.col("source_id").startswith("view"), 1).otherwise(F.col("total") + 9))
+    return monitor.count_anomalies(runs, states(sources(t)), F.lit(SINCE))
+
+
+DAYS = "SELECT DISTINCT concat('u', CAST(user_id AS STRING)) AS source_id, CAST(ts AS DATE) AS day FROM events WHERE ts < TIMESTAMP '2024-01-12 00:00:00' + user_id % 15 * INTERVAL '1' DAY"
+DAY_RUNS = "SELECT source_id, date_trunc('day', ts) AS fetched_at, count(*) AS total FROM (" + QUIET + ") AS q GROUP BY 1, 2"
 
 
-@query("N2_stale_sources", """WITH d AS (SELECT DISTINCT concat('u', CAST(user_id AS STRING)) AS source_id, CAST(ts AS DATE) AS day FROM events WHERE ts < TIMESTAMP '2024-01-12 00:00:00' + user_id % 15 * INTERVAL '1' DAY), l AS (SELECT source_id, max(day) AS last FROM d GROUP BY 1),
- g AS (SELECT d.source_id, datediff('day', lag(day) OVER (PARTITION BY d.source_id ORDER BY day), day) AS gap FROM d JOIN l ON l.source_id = d.source_id WHERE datediff('day', day, last) <= 60), s AS (SELECT source_id, list_sort(list(gap)) AS b FROM g WHERE gap IS NOT NULL GROUP BY 1 HAVING count(*) >= 5),
- m AS (SELECT s.source_id, datediff('day', l.last, DATE '2024-01-31') AS idle, b[(len(b) + 1) // 2] + b[len(b) // 2 + 1] AS median2 FROM s JOIN l ON l.source_id = s.source_id) SELECT source_id, CAST(idle AS INT) AS idle, CAST(median2 AS INT) AS median2 FROM m WHERE 2 * idle > greatest(14, 3 * median2)""")
+@query("N2_stale_sources", f"""WITH {anomalies_sql(DAY_RUNS, STATES.format(QUIET))}, ok AS (SELECT source_id FROM ({STATES.format(QUIET)}) AS s WHERE last_success_at >= {SINCE_SQL} AND last_error IS NULL AND source_id NOT IN (SELECT source_id FROM m WHERE latest = 0 OR latest * 3 < median)),
+ d AS ({DAYS}), l AS (SELECT source_id, max(day) AS last FROM d WHERE source_id IN (SELECT source_id FROM ok) GROUP BY 1),
+ q AS (SELECT d.source_id, datediff('day', lag(day) OVER (PARTITION BY d.source_id ORDER BY day), day) AS gap FROM d JOIN l ON l.source_id = d.source_id WHERE datediff('day', day, last) <= 60), s AS (SELECT source_id, list_sort(list(gap)) AS b FROM q WHERE gap IS NOT NULL GROUP BY 1 HAVING count(*) >= 5),
+ x AS (SELECT s.source_id, datediff('day', l.last, DATE '2024-01-31') AS idle, b[(len(b) + 1) // 2] + b[len(b) // 2 + 1] AS median2 FROM s JOIN l ON l.source_id = s.source_id) SELECT source_id, CAST(idle AS INT) AS idle, CAST(median2 AS INT) AS median2 FROM x WHERE 2 * idle > greatest(14, 3 * median2)""")
 def stale_sources(t: Tables) -> DataFrame:
+    """Each user is a source, whose articles end at some day."""
     until = F.timestamp_add("DAY", (F.col("user_id") % 15).cast("int"), F.lit(datetime(2024, 1, 12)))
     days = t.events.filter(F.col("ts") < until).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_id"), F.to_date("ts").alias("day"))
-    return monitor.stale(days, F.lit("2024-01-31").cast("date"))
+    own = states(quiet_sources(t))
+    runs = quiet_sources(t).groupBy("source_id", F.date_trunc("day", "ts").alias("fetched_at")).agg(F.count("*").alias("total"))
+    return monitor.stale(days, own, monitor.count_anomalies(runs, own, F.lit(SINCE)), F.lit(SINCE), F.lit("2024-01-31").cast("date"))
 
 
 @query("N3_failing_sources", "SELECT user_id AS source_id, arg_max(props, event_id) AS error FROM events WHERE event_type = 'error' GROUP BY user_id")

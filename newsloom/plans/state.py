@@ -98,15 +98,18 @@ def versions(t: Tables) -> DataFrame:
     return state.history(t.events.select("user_id", F.col("event_id").alias("change_id"), F.col("ts").alias("at"), F.col("event_type").alias("hash")))
 
 
-@query("M9_profile_history", f"""WITH c AS ({CHANGES}), h AS (SELECT user_id, row_number() OVER w AS version, hash, created_at, lead(created_at) OVER w AS retired_at FROM c WHERE b IS DISTINCT FROM hash WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
- r AS (SELECT h.user_id, h.version, i.article_id, arg_max(i.stars, struct_pack(a := i.ts, e := i.event_id)) AS stars FROM h JOIN v_interactions i ON i.user_id = h.user_id AND i.ts <= h.retired_at GROUP BY 1, 2, 3),
+@query("M9_profile_history", f"""WITH c AS (SELECT c0.*, i.article_id AS basis FROM (SELECT event_id, {CHANGES[7:]}) AS c0 JOIN v_interactions i ON i.event_id = c0.event_id),
+ h AS (SELECT user_id, row_number() OVER w AS version, hash, created_at, lead(created_at) OVER w AS retired_at, basis FROM c WHERE b IS DISTINCT FROM hash WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+ r AS (SELECT h.user_id, h.version, i.article_id, arg_max(i.stars, struct_pack(a := i.ts, e := i.event_id)) AS stars FROM h JOIN v_interactions i ON i.user_id = h.user_id AND i.ts >= h.created_at AND i.ts < h.retired_at AND i.article_id <> h.basis GROUP BY 1, 2, 3),
  s AS (SELECT r.*, v.score FROM r JOIN v_scores v ON v.version = 1 AND v.user_id = r.user_id AND v.article_id = r.article_id), n AS (SELECT user_id, version, count(*) AS rated FROM s GROUP BY 1, 2),
  p AS (SELECT x.user_id, x.version, avg(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0.0 END) AS concordance FROM s x JOIN s y ON y.user_id = x.user_id AND y.version = x.version AND x.stars > y.stars GROUP BY 1, 2)
- SELECT h.*, CASE WHEN h.retired_at IS NOT NULL THEN coalesce(n.rated, 0) END AS rated, p.concordance FROM h LEFT JOIN n ON n.user_id = h.user_id AND n.version = h.version LEFT JOIN p ON p.user_id = h.user_id AND p.version = h.version""")
+ SELECT h.user_id, h.version, h.hash, h.created_at, h.retired_at, CASE WHEN h.retired_at IS NOT NULL THEN coalesce(n.rated, 0) END AS rated, p.concordance FROM h LEFT JOIN n ON n.user_id = h.user_id AND n.version = h.version LEFT JOIN p ON p.user_id = h.user_id AND p.version = h.version""")
 def profile_history(t: Tables) -> DataFrame:
-    """Versions, those retired with the figures of the time that they retired."""
+    """Versions, those retired with the figures of their time. A version rests on the article of the event that made it."""
     scores = t.v_scores.filter("version = 1").select("user_id", "article_id", "score")
-    return state.frozen(versions(t).drop("change_id"), t.v_interactions, scores)
+    made = versions(t)
+    basis = made.select("user_id", "version", F.col("change_id").alias("event_id")).join(t.v_interactions.select("event_id", "article_id"), "event_id").select("user_id", "version", "article_id")
+    return state.frozen(made.drop("change_id"), t.v_interactions, scores, basis)
 
 
 @query("M10_suggestions", f"""WITH m AS (SELECT user_id, event_id AS suggestion_id, max(event_id) OVER (PARTITION BY user_id) AS last FROM events WHERE event_id % 2 = 0), c AS (SELECT user_id, max(event_id) AS changed FROM ({CHANGES}) AS x WHERE b IS DISTINCT FROM hash GROUP BY user_id)

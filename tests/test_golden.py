@@ -3,7 +3,7 @@
 import itertools
 import json
 import re
-from datetime import datetime
+from datetime import date, datetime
 from html.parser import HTMLParser
 from time import time as time_now
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from newsloom.fixtures import Tables
 from newsloom.functions import score, text, time
-from newsloom.operators import adjust, counts, joins, latest, monitor, predicates, stories
+from newsloom.operators import adjust, counts, joins, latest, monitor, predicates, state, stories
 from newsloom.plans import evaluation
 from newsloom.plans.aggregates import ratings
 from newsloom.sources import ingest
@@ -53,9 +53,42 @@ def test_percentile(spark):
 
 
 def test_count_anomaly(spark):
-    rows = [("a", datetime(2024, 1, 1 + k), 10) for k in range(8)] + [("a", datetime(2024, 1, 20), 3), ("b", datetime(2024, 1, 1), 0), ("c", datetime(2024, 1, 1), 3)]
-    got = sorted(tuple(r) for r in monitor.count_anomalies(spark.createDataFrame(rows, "source_id string, fetched_at timestamp, total long")).collect())
-    assert got == [("a", "dropped", 3, 10), ("b", "empty", 0, None)]
+    """Eight tens before a three is a drop, nothing is nothing whatever was before; sources that weren't read since are not judged, those that fail now are."""
+    rows = [(n, datetime(2024, 1, 1 + k), 10) for k in range(8) for n in "ade"] + [("a", datetime(2024, 1, 20), 3), ("b", datetime(2024, 1, 1), 0), ("c", datetime(2024, 1, 1), 3), ("d", datetime(2024, 1, 20), 3), ("e", datetime(2024, 1, 20), 3), ("f", datetime(2024, 1, 1), 0)]
+    new, old = datetime(2024, 1, 20), datetime(2024, 1, 1)
+    states = spark.createDataFrame([("a", new, None), ("b", new, None), ("c", new, None), ("d", old, None), ("e", new, "timeout")], "source_id string, last_success_at timestamp, last_error string")
+    found = monitor.count_anomalies(spark.createDataFrame(rows, "source_id string, fetched_at timestamp, total long"), states, F.lit(datetime(2024, 1, 10)))
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "dropped", 3, 10), ("b", "empty", 0, None), ("e", "dropped", 3, 10)]
+
+
+def test_stale_sources_that_can_be_judged(spark):
+    """Of six sources that published every other day and then no more: not those that fail, weren't read since, are flagged for their counts or have no state; nor one that is quiet for a usual time."""
+    days = [(n, date(2024, 1, 1 + 2 * k)) for n in ("ok", "fails", "old", "flagged", "unknown") for k in range(7)] + [("fine", date(2024, 1, 1 + 4 * k)) for k in range(7)]
+    new, old = datetime(2024, 1, 29), datetime(2024, 1, 1)
+    states = spark.createDataFrame([("ok", new, None), ("fails", new, "timeout"), ("old", old, None), ("flagged", new, None), ("fine", new, None)], "source_id string, last_success_at timestamp, last_error string")
+    flagged = spark.createDataFrame([("flagged",)], "source_id string")
+    found = monitor.stale(spark.createDataFrame(days, "source_id string, day date"), states, flagged, F.lit(datetime(2024, 1, 20)), F.lit("2024-01-31").cast("date"))
+    assert [tuple(r) for r in found.collect()] == [("ok", 18, 4)]
+
+
+def test_version_figures(spark):
+    """Ratings before the version, at its retirement and on its evidence don't count; of several on an article the last one within the time does; a version in use has no figures."""
+    at = lambda d, h=0: datetime(2024, 1, d, h)
+    history = spark.createDataFrame([(1, 1, "a", at(10), at(20)), (1, 2, "b", at(20), at(20)), (1, 3, "c", at(20), None), (2, 1, "a", at(1), at(31))], "user_id long, version long, hash string, created_at timestamp, retired_at timestamp")
+    ratings = [(1, 1, 1, at(9, 23), 1), (1, 2, 2, at(10), 5), (1, 3, 3, at(12), 5), (1, 3, 4, at(15), 1), (1, 3, 5, at(20), 5), (1, 4, 6, at(20), 5), (1, 5, 7, at(14), 5), (1, 6, 8, at(14), 4), (1, 7, 9, at(14), 2), (3, 1, 10, at(14), 2)]
+    log = spark.createDataFrame(ratings, "user_id long, article_id long, event_id long, ts timestamp, stars int")
+    scores = spark.createDataFrame([(1, k, s) for k, s in ((1, 99), (2, 90), (3, 10), (4, 50), (5, 1), (6, 20))], "user_id long, article_id long, score int")
+    evidence = spark.createDataFrame([(1, 1, 5), (1, 3, 2)], "user_id long, version long, article_id long")
+    got = {(r.user_id, r.version): (r.rated, r.concordance) for r in state.frozen(history, log, scores, evidence).collect()}
+    # version 1: articles 2 (5 stars, 90), 3 (1 star, 10) and 6 (4 stars, 20)
+    assert got == {(1, 1): (3, 1.0), (1, 2): (0, None), (1, 3): (None, None), (2, 1): (0, None)}
+
+
+def test_open_version_over_long_times(spark):
+    versions = spark.createDataFrame([(1, 1, datetime(2020, 1, 1), datetime(2023, 5, 1)), (1, 2, datetime(2023, 5, 1), datetime(2023, 5, 2)), (1, 3, datetime(2023, 5, 2), None), (2, 1, datetime(2030, 1, 1), None)], "user_id long, version long, created_at timestamp, retired_at timestamp")
+    events = spark.createDataFrame([(1, 1, datetime(2019, 12, 31)), (1, 2, datetime(2020, 1, 1)), (1, 3, datetime(2022, 7, 1)), (1, 4, datetime(2023, 5, 1)), (1, 5, datetime(2023, 5, 1, 23)), (1, 6, datetime(2026, 1, 1)), (2, 7, datetime(2026, 1, 1)), (3, 8, datetime(2026, 1, 1))], "user_id long, id long, ts timestamp")
+    got = {r.id: r.version for r in joins.during(events, versions, ["user_id"], "ts").collect()}
+    assert got == {2: 1, 3: 1, 4: 2, 5: 2, 6: 3}
 
 
 def test_periods(spark):
