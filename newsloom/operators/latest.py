@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a reference sample.
+REFERENCE = 3000
+
 
 def top(rows: DataFrame, by: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """The first k rows of each group in an order (Spark prunes within each task before the shuffle)."""
@@ -56,13 +59,19 @@ def visits(views: DataFrame, gap_minutes: int = 30) -> DataFrame:
 
 def percentile(values: DataFrame, reference: DataFrame, by: str) -> DataFrame:
     """values (by, id, value) with score: 0 where the value isn't positive, 50 without reference, else the share of the reference (by, value) that is
-    below, ties counting half, in hundredths. One sort of both together."""
-    tag = values.select(by, "id", "value", F.lit(0).alias("n")).unionByName(reference.select(by, F.lit(None).cast("long").alias("id"), "value", F.lit(1).alias("n")))
-    until = Window.partitionBy(by).orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same, all_ = Window.partitionBy(by, "value"), Window.partitionBy(by)
-    both = tag.withColumn("_to", F.sum("n").over(until)).withColumn("_same", F.sum("n").over(same)).withColumn("_all", F.sum("n").over(all_))
-    rank = F.round(100 * (F.col("_to") - F.col("_same") + F.col("_same") / 2) / F.col("_all"))
-    return both.filter("n = 0").select(by, "id", "value", F.when(F.col("value") <= 0, 0).when(F.col("_all") == 0, 50).otherwise(rank).cast("int").alias("score"))
+    below, ties counting half, in hundredths. A reference is a sample of bounded size (REFERENCE rows): only its rows are sorted. Of its values those at or behind which the
+    score rises are kept, a hundred at most, and each row of values looks its score up in that list."""
+    counted = reference.groupBy(by, "value").agg(F.count("*").alias("_n"))
+    until = Window.partitionBy(by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("_to", F.sum("_n").over(until)).withColumn("_all", F.sum("_n").over(Window.partitionBy(by)))
+    rank = lambda below: F.round(100 * below / F.col("_all")).cast("int")
+    at, behind = rank(F.col("_to") - F.col("_n") + F.col("_n") / 2), rank(F.col("_to").cast("double"))
+    steps = counted.select(by, F.explode(F.array(F.struct(F.col("value").alias("x"), F.lit(False).alias("over"), at.alias("score")), F.struct(F.col("value").alias("x"), F.lit(True).alias("over"), behind.alias("score")))).alias("s"))
+    rises = steps.withColumn("_rise", F.col("s.score") > F.coalesce(F.lag("s.score").over(Window.partitionBy(by).orderBy("s.x", "s.over")), F.lit(0)))
+    known = rises.groupBy(by).agg(F.array_sort(F.collect_list(F.when(F.col("_rise"), F.col("s")))).alias("_steps"))
+    passed = F.filter("_steps", lambda s: (F.col("value") > s["x"]) | ((F.col("value") == s["x"]) & ~s["over"]))
+    score = F.when(F.col("value") <= 0, 0).when(F.col("_steps").isNull(), 50).otherwise(F.coalesce(F.get(passed, F.size(passed) - 1)["score"], F.lit(0)))
+    return values.select(by, "id", "value").join(known, by, "left").select(by, "id", "value", score.cast("int").alias("score"))
 
 
 def median_floor(values: Column) -> Column:

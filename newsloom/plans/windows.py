@@ -107,12 +107,15 @@ def visits(t: Tables) -> DataFrame:
     return latest.visits(t.events.filter("event_type = 'view'"))
 
 
-@query("E12_percentile", """WITH v AS (SELECT user_id, artifact_id AS id, CAST(score - 5 AS DOUBLE) AS value, version FROM v_scores), r AS (SELECT user_id, value FROM v WHERE version = 2)
+@query("E12_percentile", """WITH v AS (SELECT user_id, artifact_id AS id, CAST(score - 5 AS DOUBLE) AS value, version, created_at FROM v_scores),
+ r AS (SELECT user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS k FROM v WHERE version = 2) AS x WHERE k <= 3000)
  SELECT v.user_id, v.id, v.value, CAST(CASE WHEN v.value <= 0 THEN 0 WHEN count(r.value) = 0 THEN 50 ELSE round(100 * (count(*) FILTER (WHERE r.value < v.value) + count(*) FILTER (WHERE r.value = v.value) / 2) / count(r.value)) END AS INT) AS score
  FROM v LEFT JOIN r ON r.user_id = v.user_id WHERE v.version = 1 GROUP BY v.user_id, v.id, v.value""")
 def percentile(t: Tables) -> DataFrame:
-    rows = t.v_scores.select("user_id", F.col("artifact_id").alias("id"), (F.col("score") - 5).cast("double").alias("value"), "version")
-    return latest.percentile(rows.filter("version = 1"), rows.filter("version = 2"), "user_id")
+    """Each user's scores among the newest ones of the other version."""
+    rows = t.v_scores.select("user_id", F.col("artifact_id").alias("id"), (F.col("score") - 5).cast("double").alias("value"), "version", "created_at")
+    known = latest.top(rows.filter("version = 2"), ["user_id"], [F.col("created_at").desc(), F.col("id").desc()], latest.REFERENCE)
+    return latest.percentile(rows.filter("version = 1"), known, "user_id")
 
 
 @query("E13_median", "SELECT event_type, CAST(floor((s[(n + 1) // 2] + s[n // 2 + 1]) / 2) AS BIGINT) AS median FROM (SELECT event_type, list_sort(list(CAST(value AS BIGINT))) AS s, count(*) AS n FROM events GROUP BY event_type) AS x")
@@ -139,11 +142,6 @@ def two_quotas(t: Tables) -> DataFrame:
     return latest.two_quotas(c.withColumn("other_source", F.col("unit") % 2 == 0)).select("target", "unit")
 
 
-@query("F4_reference_sample", "SELECT user_id, artifact_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, artifact_id DESC) AS k FROM v_scores WHERE version = 1) AS x WHERE k <= 300")
-def reference_sample(t: Tables) -> DataFrame:
-    return latest.top(t.v_scores.filter("version = 1"), ["user_id"], [F.col("created_at").desc(), F.col("artifact_id").desc()], 300).select("user_id", "artifact_id")
-
-
 EXPLORE = """WITH d AS (SELECT article_id, relevant, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) AS k FROM v_digests),
  fit AS (SELECT s.user_id, s.article_id, t.story_id FROM v_scores s JOIN d ON d.article_id = s.article_id AND d.k = 1 JOIN v_stories t ON t.article_id = s.article_id WHERE s.version = 1 AND s.score < 50 AND d.relevant),
  rated AS (SELECT DISTINCT i.user_id, t.story_id FROM v_interactions i JOIN v_stories t ON t.article_id = i.article_id WHERE i.event_type = 'purchase'),
