@@ -13,6 +13,8 @@ from ..functions.text import bigrams, comparable
 from .latest import newest, two_quotas
 
 MIN_SIMILARITY, WINDOW_DAYS, STORY_SIZE = 0.17, 21, 8
+#: Edges of a node that one task takes at least, nodes with more at most.
+HUB, HUBS = 10_000, 10_000
 #: Shares of the bigrams whose norms bound a similarity, tasks that the copies of a text are dealt to, room for the rounding of sums.
 SHARES, SALTS, SLACK = 64, 16, 1e-6
 
@@ -170,18 +172,32 @@ def same_and_apart(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def labels(edges: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) by falling labels and jumps; save cuts the lineage between rounds."""
-    both = save(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    """(node, component) of edges (a, b) by alternating stars: each node first hands the smallest of its neighbours (or itself) to its larger neighbours, then to its smaller ones, until every
+    node is linked with the smallest of its component alone. Rounds grow with the logarithm of the longest path; save cuts the lineage between them. The edges of a node with many are
+    dealt over tasks: such nodes are HUBS at most, so that their list is small whatever the graph."""
+    pairs = save(edges.filter("a <> b").select(F.greatest("a", "b").alias("h"), F.least("a", "b").alias("l")).distinct())
+    state = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("h", "l").cast("decimal(38,0)")).alias("s")).first()
+
+    def with_smallest(pairs: DataFrame, key: str, smallest: DataFrame, many: int) -> DataFrame:
+        """pairs beside their key's m of smallest (key, m, degree)."""
+        hubs = F.broadcast(smallest.filter(F.col("degree") > many).select(key, F.ceil(F.col("degree") / many).cast("int").alias("_parts")))  # HUBS rows at most
+        dealt = pairs.join(hubs, key, "left").withColumn("_part", F.pmod(F.xxhash64("h", "l"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+        copies = smallest.withColumn("_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("degree") / many).cast("int") - 1)))
+        return dealt.join(copies.select(key, "m", "_part"), [key, "_part"])
+
+    before = state(pairs)
     while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
-        step = label.join(near, "node").select("node", "component", F.least("component", "low").alias("low"))
-        jump = label.select(F.col("node").alias("low"), F.col("component").alias("far"))
-        step = save(step.join(jump, "low", "left").select("node", "component", F.least("low", "far").alias("next")))
-        done = step.filter("next <> component").isEmpty()
-        label = step.select("node", F.col("next").alias("component"))
-        if done:
-            return label
+        many = max(HUB, -(-2 * before.n // HUBS))
+        ends = pairs.select(F.col("l").alias("u"), F.col("h").alias("v")).union(pairs.select("h", "l"))
+        near = ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree"))
+        large = save(with_smallest(pairs, "l", near.withColumnRenamed("u", "l"), many).select("h", F.col("m").alias("l")).distinct())
+        low = large.groupBy("h").agg(F.min("l").alias("m"), F.count("*").alias("degree"))
+        small = with_smallest(large, "h", low, many).select(F.explode(F.array(F.struct("h", F.col("m").alias("l")), F.struct(F.col("l").alias("h"), F.col("m").alias("l")))).alias("p")).select("p.h", "p.l")
+        pairs = save(small.filter("h <> l").distinct())
+        after = state(pairs)
+        if after == before:
+            return pairs.select(F.col("h").alias("node"), F.col("l").alias("component")).union(pairs.select("l", "l").distinct())
+        before = after
 
 
 def groups(same: DataFrame, apart: DataFrame, save: Callable[[DataFrame], DataFrame], most: int = STORY_SIZE) -> DataFrame:

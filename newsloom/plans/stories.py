@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import Tables
-from ..functions.session import saved
+from ..functions.session import saved, written
 from ..functions.text import bigrams, comparable
 from ..operators import stories
 from ..registry import query
@@ -101,7 +101,7 @@ def automatic_verdicts(t: Tables) -> DataFrame:
 
 def grouped(t: Tables) -> DataFrame:
     found = pairs(t).select(F.col("target").alias("a"), F.col("id").alias("b"), "similarity")
-    return stories.groups(found, found.filter("(a + b) % 7 = 0").select("a", "b"), saved)
+    return stories.groups(found, found.filter("(a + b) % 7 = 0").select("a", "b"), written)
 
 
 @query("J7_groups")

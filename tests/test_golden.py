@@ -160,6 +160,42 @@ def test_groups_job(spark, tmp_path):
     assert got == merged_in_order([(*k, s) for k, s in plain.items()], {(1, 2), (3, 9)}, stories.STORY_SIZE)
 
 
+def components(edges):
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in parent}
+
+
+def test_labels_equal_components(spark, tmp_path, monkeypatch):
+    """A long chain in random order, hubs with the smallest and the largest number, cycles, loops and repeated edges; in few rounds, and with hubs dealt over parts."""
+    rng = np.random.default_rng(9)
+    chain = (10**6 + rng.permutation(10_000)).tolist()
+    graph = [*itertools.pairwise(chain), *((5, 100_000 + k) for k in range(20_000)), *((200_000 + k, 999_999) for k in range(20_000)), (1, 2), (2, 3), (3, 1), (2, 1), (7, 8), (8, 8)]
+    graph += [(2_000_000 + int(a), 2_000_000 + int(b)) for a, b in rng.integers(0, 3000, (3500, 2))]
+    monkeypatch.setattr(stories, "HUB", 500)
+    saves = []
+
+    def save(df):
+        saves.append(f"{tmp_path}/{len(saves)}")
+        df.write.parquet(saves[-1])
+        return spark.read.parquet(saves[-1])
+
+    want = components([e for e in graph if e[0] != e[1]])
+    found = stories.labels(spark.createDataFrame(graph, "a long, b long"), save).collect()
+    assert len(found) == len(want) and {r.node: r.component for r in found} == want
+    assert len(saves) <= 1 + 2 * 14
+    assert stories.labels(spark.createDataFrame([], "a long, b long"), save).count() == 0
+
+
 @pytest.mark.parametrize("least", [0.17, 0.5, 0.95])
 def test_similar_pairs_equal_brute_force(spark, tmp_path, least):
     """Copies in a slot and in several, near copies, texts without bigrams, targets that are few."""
