@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import saved, shared_folder  # noqa: F401
+from ..functions.session import saved, shared_folder, written  # noqa: F401
 
 #: Bytes of text that a task turns into arrays at a time; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 19

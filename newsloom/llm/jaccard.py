@@ -15,7 +15,7 @@ itself. The others, and different groups of these, are compared where they have
 length, position and suffix filters and then exactly.
 
 Defined results: null text, empty text or no words: n_shingles 0, alone. A null doc_id keeps its row, with a null
-component. Rows that repeat a doc_id count as one document. Other columns of the input are ignored.
+component. Rows that repeat a doc_id count as one document; with different texts each is of its own class. Sets are told apart by their size and a 128-bit digest, shingles by 64-bit hashes. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.stories import labels
-from .common import chunks, holds, id_bit, id_filter, mix, saved, small_batches, text_bytes, word_hashes, word_spans
+from .common import chunks, holds, id_bit, id_filter, mix, saved, small_batches, text_bytes, word_hashes, word_spans, written
 
 WORDS = 5
 #: Links need SHARE hundredths of the union.
@@ -42,6 +42,8 @@ GROUP, HELD, SPARE = 1 << 20, 1 << 21, 8
 HOT = 100_000
 #: Sets in a block and their tokens, on average; sets that one task compares with their lead.
 BLOCK, TOKENS, STAR = 256, 500_000, 512
+#: Sets of a token that one task takes at least, tokens with more at most.
+SETS = 4096
 #: One of so many tokens of a set has to be met by a partner among those that both post.
 MEET = 16
 #: Blocks of so many pairs and more are compared as matrices.
@@ -475,15 +477,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     own = saved(posts.select("rep", "n", "token").join(place, "rep"))
     several = own.groupBy("token").agg(F.min("base").alias("l"), F.max("base").alias("h"), F.min("one").alias("one"), F.count("*").alias("k")).filter("l < h or not one and k > 1")
     own = saved(own.join(several.select("token"), "token", "left_semi"))
+    many = max(SETS, posted // SETS)
+    hot = F.broadcast(saved(several.filter(F.col("k") > many).select("token", F.ceil(F.col("k") / many).cast("int").alias("deals"))))  # SETS rows at most
+
+    def on_token(own: DataFrame, held: DataFrame) -> DataFrame:
+        """own beside held of the same token; the sets of a token with many are dealt over tasks, each of which gets all that is held of it."""
+        deals = F.coalesce("deals", F.lit(1))
+        sets_ = own.join(hot, "token", "left").withColumn("deal", F.pmod(F.xxhash64("rep"), deals).cast("int")).drop("deals")
+        groups_ = held.join(hot, "token", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("deals")
+        return sets_.join(groups_, ["token", "deal"]).drop("deal")
+
     held = own.groupBy("token", F.col("base").alias("other")).agg(F.count("*").alias("k"))
-    far = own.join(held, "token").filter("base <> other or not one and k > 1").groupBy("rep", "n", "base", "other").count().filter(F.col("count") >= need)
+    far = on_token(own, held).filter("base <> other or not one and k > 1").groupBy("rep", "n", "base", "other").count().filter(F.col("count") >= need)
     far = saved(far.select("rep", "base", "other"))
     far = saved(far.join(far.select(F.col("other").alias("base"), F.col("base").alias("other")).distinct(), ["base", "other"], "left_semi"))
 
     # the same by blocks
     own = own.join(far.select("rep").distinct(), "rep", "left_semi")
     held = own.groupBy("token", F.col("base").alias("other"), F.col("part").alias("theirs")).agg(F.count("*").alias("k"))
-    met = own.join(held, "token").filter("base <> other or part <> theirs or k > 1").join(far.select("rep", "other"), ["rep", "other"])
+    met = on_token(own, held).filter("base <> other or part <> theirs or k > 1").join(far.select("rep", "other"), ["rep", "other"])
     met = met.groupBy("rep", "n", "base", "part", "other", "theirs").count().filter(F.col("count") >= need)
     mine, other = F.xxhash64("base", "part"), F.xxhash64("other", "theirs")
     pairs = saved(met.select("rep", F.least(mine, other).alias("one"), F.greatest(mine, other).alias("two"), F.when(mine <= other, 0).otherwise(1).alias("side")))
@@ -492,7 +504,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     sides = sets(pairs).select("one", "two", "side", "rep", "set").repartition("one", "two").sortWithinPartitions("one", "two")
     found = sides.mapInArrow(lambda batches: _compare(batches, share), "a long, b long")
 
-    label = labels(star.union(found), saved).select(F.col("node").alias("rep"), "component")
+    label = labels(star.union(found), written).select(F.col("node").alias("rep"), "component")
     grouped = members.join(label, "rep", "left").select("doc_id", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     alone = signed.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return grouped.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")

@@ -52,6 +52,21 @@ def test_components_equal_brute_force(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_documents_of_shared_paragraphs(spark, monkeypatch):
+    """Hot tokens: documents put together from few paragraphs, of which some links join, dealt over tasks; and a text of 2 MB beside its near copy."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "SETS", 64)
+    rng = np.random.default_rng(3)
+    paragraphs = [" ".join(f"p{k}w{x}" for x in rng.integers(0, 900, 30)) for k in range(12)]
+    rows = [(i, " ".join(paragraphs[k] for k in sorted(rng.choice(12, 6, replace=False)))) for i in range(220)]
+    long = [f"long{x}" for x in rng.integers(0, 50_000, 220_000)]
+    rows += [(900, " ".join(long)), (901, " ".join(long[:180_000]))]
+    assert len(rows[-2][1]) > 2_000_000
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute(rows)
+    assert got[901][1] == 900
+
+
 def test_odd_rows(odd_documents):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(odd_documents).collect()]
     assert len(got) == odd_documents.count()
