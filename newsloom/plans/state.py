@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import uuid
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import Tables
+from ..functions.session import shared_folder
 from ..operators import joins, state
 from ..registry import query
-from ..streaming import jobs
+from ..streaming import jobs, keyed
 from .basics import NORMAL_SQL
 
 NOW = datetime(2024, 1, 15)
@@ -48,10 +50,13 @@ def available(t: Tables) -> DataFrame:
     return state.available(t.v_articles.select(F.col("id").alias("article_id")), errors(t), claims(t), F.lit(NOW))
 
 
-@query("M4_retry_state", """WITH c AS (SELECT item_id, max(struct_pack(a := "at", e := event_id)) AS m FROM v_outcomes WHERE NOT failed GROUP BY item_id),
+RETRY_STATE = """WITH c AS (SELECT item_id, max(struct_pack(a := "at", e := event_id)) AS m FROM v_outcomes WHERE NOT failed GROUP BY item_id),
  f AS (SELECT o.* FROM v_outcomes o LEFT JOIN c ON c.item_id = o.item_id WHERE o.failed AND (c.m IS NULL OR struct_pack(a := o."at", e := o.event_id) > c.m)),
  g AS (SELECT item_id, CASE WHEN bool_or(permanent) THEN 5 ELSE least(count(*), 5) END AS attempts, max("at") AS last FROM f GROUP BY item_id)
- SELECT item_id, CAST(attempts AS INT) AS attempts, CASE WHEN attempts < 5 THEN last + CAST(power(2, attempts - 1) AS BIGINT) * INTERVAL '1' HOUR END AS next_retry_at FROM g""")
+ SELECT item_id, CAST(attempts AS INT) AS attempts, CASE WHEN attempts < 5 THEN last + CAST(power(2, attempts - 1) AS BIGINT) * INTERVAL '1' HOUR END AS next_retry_at FROM g"""
+
+
+@query("M4_retry_state", RETRY_STATE)
 def retry_state(t: Tables) -> DataFrame:
     return state.retries(t.v_outcomes)
 
@@ -65,17 +70,54 @@ def actions(t: Tables) -> DataFrame:
     return t.v_interactions.select("user_id", "article_id", "event_id", "ts", action.alias("action"), (F.col("stars") - 1).alias("stars"))
 
 
-@query("M5_user_marks", f"""WITH l AS (SELECT x.*, coalesce(t.story_id, x.article_id) AS story FROM ({ACTIONS}) x LEFT JOIN v_stories t ON t.article_id = x.article_id), u AS (SELECT *, max(CASE WHEN action = 'unread' THEN struct_pack(a := ts, e := event_id) END) OVER (PARTITION BY user_id, story) AS ur, max(CASE WHEN action = 'unbookmark' THEN struct_pack(a := ts, e := event_id) END) OVER w AS ub, max(CASE WHEN action = 'rate' THEN struct_pack(a := ts, e := event_id) END) OVER w AS lr FROM l WINDOW w AS (PARTITION BY user_id, article_id))
+USER_MARKS = f"""WITH l AS (SELECT x.*, coalesce(t.story_id, x.article_id) AS story FROM ({ACTIONS}) x LEFT JOIN v_stories t ON t.article_id = x.article_id), u AS (SELECT *, max(CASE WHEN action = 'unread' THEN struct_pack(a := ts, e := event_id) END) OVER (PARTITION BY user_id, story) AS ur, max(CASE WHEN action = 'unbookmark' THEN struct_pack(a := ts, e := event_id) END) OVER w AS ub, max(CASE WHEN action = 'rate' THEN struct_pack(a := ts, e := event_id) END) OVER w AS lr FROM l WINDOW w AS (PARTITION BY user_id, article_id))
  SELECT user_id, article_id, nullif(max(CASE WHEN action = 'rate' AND struct_pack(a := ts, e := event_id) = lr THEN stars END), 0) AS stars, min(CASE WHEN action = 'read' AND (ur IS NULL OR struct_pack(a := ts, e := event_id) > ur) THEN ts END) AS read_at,
- min(CASE WHEN action = 'bookmark' AND (ub IS NULL OR struct_pack(a := ts, e := event_id) > ub) THEN ts END) AS bookmarked_at FROM u GROUP BY user_id, article_id""")
+ min(CASE WHEN action = 'bookmark' AND (ub IS NULL OR struct_pack(a := ts, e := event_id) > ub) THEN ts END) AS bookmarked_at FROM u GROUP BY user_id, article_id"""
+
+
+@query("M5_user_marks", USER_MARKS)
 def user_marks(t: Tables) -> DataFrame:
     return state.marks(actions(t), t.v_stories)
 
 
 @query("M6_stream_visits", "WITH d AS (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'view'), l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM d), v AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL '30' MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l) SELECT user_id, min(ts) AS first_view, max(ts) AS last_view FROM v GROUP BY user_id, k")
 def stream_visits(t: Tables) -> DataFrame:
-    views = t.spark.readStream.schema(t.events.schema).parquet(t.sf_dir + "/events.parque[t]").filter("event_type = 'view'")
-    return jobs.collected(jobs.visits(views), None)
+    views = events_stream(t, t.spark).filter("event_type = 'view'")
+    end = t.events.agg(F.max("ts")).first()[0] + timedelta(days=3)
+    return jobs.collected(jobs.visits(jobs.flushed(views, F.lit(end)))).filter("user_id is not null").drop("batch")
+
+
+def events_stream(t: Tables, spark: SparkSession) -> DataFrame:
+    return spark.readStream.schema(t.events.schema).parquet(t.sf_dir + "/events.parque[t]")
+
+
+@query("M4_stream_retries", RETRY_STATE)
+def stream_retries(t: Tables) -> DataFrame:
+    """The keyed state of a stream of outcomes, at its end; cleared items have none."""
+    events = events_stream(t, keyed.stateful_session(t.spark))
+    outcomes = events.select(F.col("user_id").alias("item_id"), "event_id", F.col("ts").alias("at"), (F.col("event_type") == "error").alias("failed"), (F.col("value") > 480).alias("permanent"))
+    return stream_state(t, keyed.retries(outcomes, "60 days"), ["item_id"]).filter("attempts > 0").select("item_id", "attempts", "next_retry_at")
+
+
+@query("M5_stream_marks", USER_MARKS)
+def stream_marks(t: Tables) -> DataFrame:
+    """The keyed state of a stream of marks, at its end."""
+    spark = keyed.stateful_session(t.spark)
+    return stream_state(t, keyed.marks(stream_actions(events_stream(t, spark)), Tables(spark, t.sf_dir).v_stories, "60 days"), ["user_id", "article_id"])
+
+
+def stream_state(t: Tables, stream: DataFrame, keys: list[str]) -> DataFrame:
+    place = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    jobs.run(stream, f"{place}/checkpoint", keyed.changes(f"{place}/out"), "update")
+    return keyed.current(t.spark, f"{place}/out", keys)
+
+
+def stream_actions(events: DataFrame) -> DataFrame:
+    """What v_interactions makes of events, as marks."""
+    kind = F.col("event_type")
+    action = F.when(kind == "view", "read").when(kind == "purchase", "bookmark").when(kind == "click", "rate").when(kind == "error", "unread").otherwise("unbookmark")
+    stars = F.floor(F.least(F.col("value"), F.lit(499.0)) / 100).cast("int")
+    return events.select("user_id", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint").alias("article_id"), "event_id", "ts", action.alias("action"), stars.alias("stars"))
 
 
 @query("M7_cascade", "SELECT id, article_id FROM v_digests WHERE article_id IN (SELECT id FROM v_articles WHERE lang <> 'de')")

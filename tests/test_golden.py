@@ -20,7 +20,6 @@ from newsloom.operators import adjust, counts, joins, latest, monitor, predicate
 from newsloom.plans import evaluation
 from newsloom.plans.aggregates import ratings
 from newsloom.sources import ingest
-from newsloom.streaming import jobs
 
 
 def one(df):
@@ -377,29 +376,6 @@ def test_body_text():
     assert ingest.body_text("<script>x</script>") is None
 
 
-def test_append_new_is_repeatable(spark, tmp_path):
-    write = jobs.append_new(str(tmp_path / "t"), "url")
-    batch = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "url string, n int")
-    for _ in range(2):
-        write(batch, 0)
-    write(spark.createDataFrame([("b", 9), ("c", 4)], "url string, n int"), 1)
-    assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["a", "b", "c"]
-
-
-def test_streamed_marks_equal_batch(spark, sf, tmp_path):
-    from newsloom.fixtures import Tables
-    from newsloom.plans.state import actions
-
-    log = actions(Tables(spark, sf))
-    write = jobs.fold_batches(str(tmp_path / "state"), jobs.marks, str(tmp_path / "log"), ["user_id", "article_id"], 4)
-    for k in range(3):
-        write(log.filter(F.col("event_id") % 3 == k), k)
-    write(log.filter("event_id % 3 = 2"), 2)
-    write(log.limit(0), 3)
-    got = spark.read.parquet(str(tmp_path / "state/3"))
-    assert sorted(map(str, got.collect())) == sorted(map(str, jobs.marks(log).select(got.columns).collect()))
-
-
 def test_leave_one_out_of_many_ratings(spark):
     """A user with more than 1,000 ratings: a prediction for each, by all of the others."""
     rng = np.random.default_rng(3)
