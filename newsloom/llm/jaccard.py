@@ -20,8 +20,9 @@ component. Rows that repeat a doc_id count as one document; with different texts
 
 from __future__ import annotations
 
+import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ GROUP, HELD, SPARE = 1 << 20, 1 << 21, 8
 HOT = 100_000
 #: Sets in a block and their tokens, on average; sets that one task compares with their lead.
 BLOCK, TOKENS, STAR = 256, 500_000, 512
+#: Rounds of components, by halves, that are kept as checkpoints.
+CHECKPOINTS = 10
 #: Sets of a token that one task takes at least, tokens with more at most.
 SETS = 4096
 #: One of so many tokens of a set has to be met by a partner among those that both post.
@@ -385,6 +388,12 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(parts, key[1])
 
 
+def _cut() -> Callable[[DataFrame], DataFrame]:
+    """How the rounds of components are kept: as checkpoints, and after so many as written tables, since what a plan's size is thought to be is squared with every checkpoint."""
+    turn = itertools.count()
+    return lambda df: saved(df) if next(turn) < CHECKPOINTS else written(df)
+
+
 # --- the join --------------------------------------------------------------------------------------------------------
 
 
@@ -504,7 +513,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     sides = sets(pairs).select("one", "two", "side", "rep", "set").repartition("one", "two").sortWithinPartitions("one", "two")
     found = sides.mapInArrow(lambda batches: _compare(batches, share), "a long, b long")
 
-    label = labels(star.union(found), written).select(F.col("node").alias("rep"), "component")
+    label = labels(star.union(found), _cut()).select(F.col("node").alias("rep"), "component")
     grouped = members.join(label, "rep", "left").select("doc_id", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     alone = signed.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return grouped.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
