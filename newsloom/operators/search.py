@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import saved
 from ..functions.text import contains_literal, trigrams
 from .latest import list_order, top
 
@@ -32,22 +34,60 @@ def matching(docs: DataFrame, terms: list[str]) -> DataFrame:
     return hit.filter(" and ".join(f"_{k}" for k in range(len(terms))) or "true").select("article_id")
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """(gram, doc_id): the distinct trigrams of each text in lower case. save_postings writes it for repeated searches."""
-    return texts.select("doc_id", F.explode(trigrams(F.lower("text"))).alias("gram"))
-
-
-def save_postings(index: DataFrame, path: str) -> None:
-    """Writes an index in order of its grams, so that a search reads only the row groups that hold its grams."""
-    index.repartitionByRange("gram").sortWithinPartitions("gram", "doc_id").write.parquet(path)
-
-
-def by_postings(index: DataFrame, texts: DataFrame, term: str) -> DataFrame:
-    """doc_id of the texts that contain a term of three characters or more: those with all its trigrams, then checked."""
-    low = term.lower()
-    grams = sorted({low[k : k + 3] for k in range(len(low) - 2)})
-    held = index.filter(F.col("gram").isin(grams)).groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams)).select("doc_id")
-    return texts.join(held, "doc_id").filter(contains_literal(F.col("text"), term)).select("doc_id")
+class TrigramIndex:
+    """Postings (gram, doc_id) of the distinct trigrams of each text in lower case, as a table in a shared folder that lives on: by buckets of the grams, and by the number of the update that
+    added them. An update adds the postings of new and changed texts; those of a text's earlier versions stay, and are masked by its version, the last update that touched it. Versions are written last: an update that failed
+    before that is done over and replaces its own partitions. A search reads the buckets of its grams only."""
+
+    def __init__(self, spark: SparkSession, place: str, buckets: int = 256):
+        self.spark, self.place, self.buckets = spark, place, buckets
+
+    def versions(self) -> DataFrame:
+        """(doc_id, digest, update) of every update; no digest where the text went."""
+        schema = "doc_id long, digest string, update int"
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.place}/versions")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def newest(self, versions: DataFrame) -> DataFrame:
+        last = versions.groupBy("doc_id").agg(F.max_by(F.struct("digest", "update"), "update").alias("v"))
+        return last.select("doc_id", "v.digest", "v.update")
+
+    def _bucket(self, gram: Column) -> Column:
+        return F.pmod(F.xxhash64(gram), F.lit(self.buckets)).cast("int")
+
+    def update(self, texts: DataFrame) -> int:
+        """Takes up what differs in the texts (doc_id, text), all that there are now; how many texts were new, changed or gone."""
+        versions = self.versions()
+        number = (versions.agg(F.max("update")).first()[0] or 0) + 1
+        held = self.newest(versions).filter("digest is not null").select("doc_id", F.col("digest").alias("_held"))
+        now = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+        differ = saved(now.join(held, "doc_id", "full").filter(~F.col("digest").eqNullSafe(F.col("_held"))).select("doc_id", "digest"))
+        n = differ.count()
+        if n:
+            fresh = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(differ.filter("digest is not null").select("doc_id"), "doc_id", "left_semi")
+            rows = fresh.select("doc_id", F.explode(trigrams(F.lower("text"))).alias("gram")).withColumn("bucket", self._bucket(F.col("gram"))).withColumn("update", F.lit(number))
+            by_bucket = rows.repartition("bucket").sortWithinPartitions("bucket", "gram", "doc_id")
+            by_bucket.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "update").parquet(f"{self.place}/postings")
+            differ.write.mode("overwrite").parquet(f"{self.place}/versions/update={number}")
+        return n
+
+    def postings(self, grams: list[str]) -> DataFrame:
+        """(gram, doc_id, update) of these grams."""
+        buckets = [r[0] for r in self.spark.createDataFrame([(g,) for g in grams], "gram string").select(self._bucket(F.col("gram"))).distinct().collect()]
+        rows = self.spark.read.schema("gram string, doc_id long, bucket int, update int").parquet(f"{self.place}/postings")
+        return rows.filter(F.col("bucket").isin(buckets) & F.col("gram").isin(grams)).select("gram", "doc_id", "update")
+
+    def search(self, texts: DataFrame, term: str) -> DataFrame:
+        """doc_id of the texts that contain a term of three characters or more: those with all its trigrams in their present version, then checked."""
+        low = term.lower()
+        grams = sorted({low[k : k + 3] for k in range(len(low) - 2)})
+        held = self.postings(grams).groupBy("doc_id", "update").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams)).select("doc_id", "update")
+        now = self.newest(self.versions().join(held.select("doc_id").distinct(), "doc_id", "left_semi")).filter("digest is not null")
+        return texts.join(held.join(now, ["doc_id", "update"]).select("doc_id"), "doc_id").filter(contains_literal(F.col("text"), term)).select("doc_id")
 
 
 def result(rows: DataFrame, hits: DataFrame, condition: Column, by: list[str], newest_first: bool = False, limit: int = 200) -> DataFrame:
