@@ -32,7 +32,7 @@ VIEWS = {
         FROM events GROUP BY event_type, date_trunc('day', ts)""",
     "v_calls": "SELECT o_orderkey AS id, o_orderdate AS at, o_orderpriority AS backend, o_orderstatus <> 'F' AS ok, o_totalprice AS credits FROM orders",
     "v_outcomes": "SELECT event_id, ts AS at, user_id AS item_id, event_type = 'error' AS failed, value > 480 AS permanent FROM events",
-    "v_glossary_sources": "SELECT item_id AS term_id, split_part(text, ' ', 1) AS source FROM benchmark",
+    "v_glossary_sources": "SELECT item_id * 2 + n AS term_id, CASE WHEN n = 0 THEN split_part(text, ' ', 1) ELSE concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3)) END AS source FROM benchmark CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n) AS k",
     "v_url_candidates": "SELECT page_id, url, concat('page ', CAST(page_id AS STRING)) AS title FROM pages",
     # topics, and scores by a rule of the ids, for all users: of the articles that they act on and of one more for each event
     "v_topics": "SELECT DISTINCT topic AS name, CASE WHEN CAST(substring(topic, 2) AS INT) % 2 = 0 THEN 'field' ELSE 'place' END AS facet FROM (SELECT concat('t', CAST(doc_id % 16 AS STRING)) AS topic FROM documents) AS x",

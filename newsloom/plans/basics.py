@@ -250,9 +250,9 @@ def url_normalisation(t: Tables) -> DataFrame:
     return t.v_url_candidates.select("page_id", "url", text.normalize_url(F.col("url")).alias("normal"))
 
 
-@query("H2_text_normalisation", "SELECT doc_id, lower(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}]', '', 'g')) AS plain FROM documents WHERE lang = 'en'")
+@query("H2_text_normalisation", "SELECT doc_id, lower(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}]', '', 'g')) AS plain FROM documents")
 def text_normalisation(t: Tables) -> DataFrame:
-    return t.documents.filter("lang = 'en'").select("doc_id", text.comparable(F.col("text")).alias("plain"))
+    return t.documents.select("doc_id", text.comparable(F.col("text")).alias("plain"))
 
 
 @query("H3_bigrams", "SELECT doc_id, CAST(greatest(length(text) - 1, 0) AS INT) AS n, substring(text, 1, 2) AS first FROM documents")

@@ -59,11 +59,20 @@ def version_evidence(t: Tables) -> DataFrame:
     return t.v_version_evidence.join(t.v_profile_versions.select("user_id", "version", "created_at"), ["user_id", "created_at"]).select("user_id", "version", "article_id")
 
 
-@query("C9_glossary_hits", """WITH g AS (SELECT DISTINCT source FROM v_glossary_sources WHERE regexp_matches(source, '^[A-Za-z0-9]+$')) SELECT d.doc_id AS id, lower(g.source) AS term FROM documents d JOIN g
- ON regexp_matches(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), concat(CASE WHEN regexp_matches(g.source, '^[A-Z0-9]*[A-Z][A-Z0-9]*$') THEN '' ELSE '(?i)' END, '(^|[^A-Za-z0-9])', g.source, '(es|s)?($|[^A-Za-z0-9])')) GROUP BY 1, 2""")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def mention_sql(text: str) -> str:
+    """Whether g.source stands in a text: ASCII letters of either case but for abbreviations, a plural may follow."""
+    plain, abbreviation = f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))", "regexp_matches(g.source, '^[A-Z0-9]*[A-Z][A-Z0-9]*$')"
+    fold = lambda x: f"CASE WHEN {abbreviation} THEN {x} ELSE translate({x}, '{UPPER}', '{LOWER}') END"
+    return f"regexp_matches({fold(plain)}, concat('(^|[^A-Za-z0-9])', regexp_escape({fold('g.source')}), '(es|s)?($|[^A-Za-z0-9])'))"
+
+
+@query("C9_glossary_hits", f"SELECT d.doc_id AS id, g.term_id FROM documents d JOIN (SELECT DISTINCT term_id, source FROM v_glossary_sources) g ON {mention_sql('d.text')} GROUP BY 1, 2")
 def glossary_hits(t: Tables) -> DataFrame:
-    sources = t.v_glossary_sources.filter(F.col("source").rlike("^[A-Za-z0-9]+$")).select(F.col("source").alias("term_id"), "source").distinct()
-    return joins.glossary_hits(t.documents.select(F.col("doc_id").alias("id"), "text"), sources).select("id", F.lower("term_id").alias("term")).distinct()
+    """Words and pairs of words of all languages, as they stand."""
+    return joins.glossary_hits(t.documents.select(F.col("doc_id").alias("id"), "text"), t.v_glossary_sources)
 
 
 @query("C10_weight_lookup", "SELECT s.user_id, s.artifact_id, round(coalesce(sum(w.weight), 0), 9) AS weight_sum FROM v_scores s LEFT JOIN v_digest_topics d ON d.artifact_id = s.artifact_id LEFT JOIN (SELECT DISTINCT concat('t', CAST(pos * 2 AS STRING)) AS feature, user_id, weight - 0.5 AS weight FROM v_profile_terms) w ON w.feature = d.topic AND w.user_id = s.user_id WHERE s.version = 1 GROUP BY s.user_id, s.artifact_id")

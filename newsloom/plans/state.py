@@ -14,6 +14,7 @@ from ..operators import joins, state
 from ..registry import query
 from ..streaming import jobs, keyed
 from .basics import NORMAL_SQL
+from .joins import mention_sql
 
 NOW = datetime(2024, 1, 15)
 NOW_SQL = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -216,14 +217,11 @@ def redo_selection(t: Tables) -> DataFrame:
     return state.redo(rows, t.v_digests, "m2", F.col("source_id").isin("src1", "src2", "src3")).select("article_id")
 
 
-@query("M17_stale_by_glossary", """WITH g AS (SELECT DISTINCT source FROM v_glossary_sources WHERE regexp_matches(source, '^[A-Za-z0-9]+$')), h AS (SELECT d.doc_id AS article_id, max(TIMESTAMP '2024-02-01 00:00:00' + length(g.source) * 25 * INTERVAL '1' MINUTE) AS changed FROM documents d JOIN g
- ON regexp_matches(trim(regexp_replace(substring(d.text, 1, 6000), '\\s+', ' ', 'g')), concat(CASE WHEN regexp_matches(g.source, '^[A-Z0-9]*[A-Z][A-Z0-9]*$') THEN '' ELSE '(?i)' END, '(^|[^A-Za-z0-9])', g.source, '(es|s)?($|[^A-Za-z0-9])')) GROUP BY 1),
+@query("M17_stale_by_glossary", f"""WITH h AS (SELECT d.doc_id AS article_id, max(TIMESTAMP '2024-02-01 00:00:00' + length(g.source) * 25 * INTERVAL '1' MINUTE) AS changed FROM documents d JOIN v_glossary_sources g ON {mention_sql("substring(d.text, 1, 6000)")} GROUP BY 1),
  l AS (SELECT article_id, max(created_at) AS made_at FROM v_digests GROUP BY 1) SELECT l.article_id, l.made_at FROM l JOIN h ON h.article_id = l.article_id WHERE h.changed > l.made_at""")
 def stale_by_glossary(t: Tables) -> DataFrame:
-    sources = t.v_glossary_sources.filter(F.col("source").rlike("^[A-Za-z0-9]+$")).select(F.col("source").alias("term_id"), "source").distinct()
+    """A digest is made of a text's first 6,000 characters, so only terms in these make it stale."""
     texts = t.documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 6000).alias("text"))
-    glossary = sources.select("term_id", F.timestamp_add("MINUTE", F.length("source") * 25, F.lit(datetime(2024, 2, 1))).alias("changed_at"))
+    glossary = t.v_glossary_sources.select("term_id", F.timestamp_add("MINUTE", F.length("source") * 25, F.lit(datetime(2024, 2, 1))).alias("changed_at"))
     made = t.v_digests.groupBy("article_id").agg(F.max("created_at").alias("made_at"))
-    return state.stale_by_glossary(made, joins.glossary_hits(texts, sources).withColumnRenamed("id", "article_id"), glossary)
-
-
+    return state.stale_by_glossary(made, joins.glossary_hits(texts, t.v_glossary_sources).withColumnRenamed("id", "article_id"), glossary)
