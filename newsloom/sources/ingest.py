@@ -6,10 +6,10 @@ import html
 import re
 from collections.abc import Iterator
 from functools import reduce
-from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,57 +49,52 @@ def json_listing(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.trim(F.coalesce("href", F.lit(""))) != "").select(F.trim("href").alias("url"), "title", jst_midnight(day).alias("published"), "category")
 
 
-class _Links(HTMLParser):
-    """Links of a page with their text and the text of the item that holds them."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.links: list[tuple[str, str, int]] = []
-        self.items: list[str] = [""]
-        self.href: str | None = None
-        self.said = ""
-        self.silent = 0
-
-    def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
-        if tag in SILENT:
-            self.silent += 1
-        elif tag in ("li", "dt", "tr", "article"):
-            self.items.append("")
-        elif tag == "br":
-            self.said += " "
-        elif tag == "a":
-            self.href, self.said = dict(attributes).get("href"), ""
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag == "a" and self.href:
-            self.links.append((self.href, " ".join(self.said.split()), len(self.items) - 1))
-            self.href = None
-
-    def handle_data(self, data: str) -> None:
-        if not self.silent:
-            self.said += data
-            self.items[-1] += data
+_HREF = re.compile(r"""(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+
+
+def page_links(page: str) -> list[tuple[str, str, str]]:
+    """The links of a page as (href, text, text of the item that holds it), in one pass over its tags."""
+    links: list[tuple[str, str, int]] = []
+    items: list[list[str]] = [[]]
+    href, said = None, []
+    for name, end, attributes, text in pieces(page, SILENT):
+        if text:
+            text = html.unescape(text)
+            said.append(text)
+            items[-1].append(text)
+        elif name == "br":
+            said.append(" ")
+        elif name == "a" and end and href:
+            links.append((href, " ".join("".join(said).split()), len(items) - 1))
+            href = None
+        elif name == "a" and not end:
+            found = _HREF.search(attributes)
+            href, said = html.unescape("".join(found.groups(""))) if found else None, []
+        elif name in ("li", "dt", "tr", "article") and not end:
+            items.append([])
+    whole = ["".join(item) for item in items]
+    return [(to, text, whole[item]) for to, text, item in links]
 
 
 def listing_links(pages: DataFrame) -> DataFrame:
     """A3: (page_id, url, title, day) of every link of listing pages (page_id, url, html): no links to the page itself, none but http(s), none without
     text; the day from the item's text, else from the URL's file name."""
 
-    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for page_id, base, page in batch.itertuples(index=False):
-                parser = _Links()
-                parser.feed(page or "")
-                for href, title, item in parser.links:
-                    url = urljoin(base or "", href)
-                    if title and url.startswith(("http://", "https://")) and url.split("#")[0] != (base or "").split("#")[0]:
-                        rows.append((page_id, url, title, parser.items[item]))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "title", "item"])
-
-    found = pages.select("page_id", "url", "html").mapInPandas(links, "page_id long, url string, title string, item string")
+            for page_id, base, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                base = base or ""
+                for href, title, item in page_links(page or ""):
+                    url = urljoin(base, href)
+                    if title and url.startswith(("http://", "https://")) and url.split("#")[0] != base.split("#")[0]:
+                        rows.append((page_id, url, title, item))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (batch.schema.field("page_id").type, pa.string(), pa.string(), pa.string())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "url", "title", "item"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    found = pages.select("page_id", "url", "html").mapInArrow(links, f"page_id {kind}, url string, title string, item string")
     return found.select("page_id", "url", "title", F.coalesce(date_in(F.col("item")), date_in_name(F.col("url"))).alias("day"))
 
 
