@@ -185,6 +185,25 @@ def test_neighbours_against_brute_force(spark):
     assert [got[100][k][0] for k in range(1, 11)] == list(range(2000, 2010))
 
 
+@pytest.mark.parametrize("n, low, high", [(1000, 0.5, 2.0), (5000, 0.5, 2.0), (5000, 0.1, 10.0)])
+def test_neighbours_of_unequal_lengths(spark, n, low, high):
+    """Hashes see directions only; recall of the ten nearest by Euclidean distance, at two sizes."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(n, 64))
+    x *= (np.exp(rng.uniform(np.log(low), np.log(high), n)) / np.linalg.norm(x, axis=1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    found = 0
+    for q in range(0, n, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        found += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    print("recall", n, low, high, found / (n // 10))
+    assert found >= 0.9 * (n // 10)
+
+
 def test_neighbours_empty_table(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).count() == 0
 
