@@ -103,10 +103,14 @@ def term_match(t: Tables) -> DataFrame:
     return search.matching(docs(t), ["Tion the", "of"])
 
 
+#: Buckets of the index: few, as Spark lists the folders of more by a job of its own; large tables take more.
+BUCKETS = 32
+
+
 @query("I3_trigram_postings", "SELECT doc_id FROM documents WHERE contains(lower(text), 'nguage') OR contains(lower(text), 'thonthe')")
 def trigram_postings(t: Tables) -> DataFrame:
     """The index of a table lives on in the shared folder: the first call builds it, later ones take up what has changed."""
-    index = search.TrigramIndex(t.spark, f"{shared_folder(t.spark)}/trigrams-{hashlib.md5(t.sf_dir.encode()).hexdigest()}")
+    index = search.TrigramIndex(t.spark, f"{shared_folder(t.spark)}/trigrams-{BUCKETS}-{hashlib.md5(t.sf_dir.encode()).hexdigest()}", BUCKETS)
     texts = t.documents.select("doc_id", "text")
     index.update(texts)
     return index.search(texts, "thonthe").union(index.search(texts, "nguage")).distinct()

@@ -60,11 +60,11 @@ def late_rows(job: StreamingQuery) -> int:
 retries, marks = keyed.retries, keyed.marks
 
 
-def kept_once(stream: DataFrame, key: str) -> DataFrame:
+def kept_once(stream: DataFrame, key: str, buckets: int = 32) -> DataFrame:
     """What a stream gives for all that is there now, as a table that holds each key once."""
     spark = stream.sparkSession
     place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    run(stream, f"{place}/checkpoint", append_new(f"{place}/out", key))
+    run(stream, f"{place}/checkpoint", append_new(f"{place}/out", key, buckets))
     return spark.read.parquet(f"{place}/out").drop("bucket")
 
 

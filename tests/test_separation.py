@@ -7,7 +7,7 @@ import sys
 from pathlib import Path
 
 ROOT = Path(__file__).parent.parent
-CODE = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 150 and set(s) <= set(q), len(q); assert not any(n.startswith('op') or n == 'pipeline' for n in q); import newsloom.streaming.jobs"
+CODE = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 150 and set(s) <= set(q), len(q); assert not any(n.startswith('op') or n == 'pipeline' for n in q); import newsloom.streaming.jobs\nfrom pyspark.sql import SparkSession\nspark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\nassert q['E6_last_run'](spark, e.SMOKE).count() == 5"
 
 
 def without(tmp_path, *names):
