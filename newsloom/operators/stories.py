@@ -14,7 +14,7 @@ from .latest import newest, two_quotas
 
 MIN_SIMILARITY, WINDOW_DAYS, STORY_SIZE = 0.17, 21, 8
 #: Edges of a node that one task takes at least, nodes with more at most.
-HUB, HUBS = 10_000, 10_000
+HUB, HUBS = 100_000, 10_000
 #: Shares of the bigrams whose norms bound a similarity, tasks that the copies of a text are dealt to, room for the rounding of sums.
 SHARES, SALTS, SLACK = 64, 16, 1e-6
 
@@ -180,6 +180,8 @@ def labels(edges: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFram
 
     def with_smallest(pairs: DataFrame, key: str, smallest: DataFrame, many: int) -> DataFrame:
         """pairs beside their key's m of smallest (key, m, degree)."""
+        if 2 * before.n <= many:  # no node has more edges
+            return pairs.join(smallest.select(key, "m"), key)
         hubs = F.broadcast(smallest.filter(F.col("degree") > many).select(key, F.ceil(F.col("degree") / many).cast("int").alias("_parts")))  # HUBS rows at most
         dealt = pairs.join(hubs, key, "left").withColumn("_part", F.pmod(F.xxhash64("h", "l"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
         copies = smallest.withColumn("_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("degree") / many).cast("int") - 1)))
