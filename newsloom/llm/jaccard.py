@@ -487,10 +487,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     several = own.groupBy("token").agg(F.min("base").alias("l"), F.max("base").alias("h"), F.min("one").alias("one"), F.count("*").alias("k")).filter("l < h or not one and k > 1")
     own = saved(own.join(several.select("token"), "token", "left_semi"))
     many = max(SETS, posted // SETS)
-    hot = F.broadcast(saved(several.filter(F.col("k") > many).select("token", F.ceil(F.col("k") / many).cast("int").alias("deals"))))  # SETS rows at most
+    hot = saved(several.filter(F.col("k") > many).select("token", F.ceil(F.col("k") / many).cast("int").alias("deals")))  # SETS rows at most
+    none_hot, hot = hot.isEmpty(), F.broadcast(hot)
 
     def on_token(own: DataFrame, held: DataFrame) -> DataFrame:
         """own beside held of the same token; the sets of a token with many are dealt over tasks, each of which gets all that is held of it."""
+        if none_hot:
+            return own.join(held, "token")
         deals = F.coalesce("deals", F.lit(1))
         sets_ = own.join(hot, "token", "left").withColumn("deal", F.pmod(F.xxhash64("rep"), deals).cast("int")).drop("deals")
         groups_ = held.join(hot, "token", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("deals")
