@@ -122,6 +122,19 @@ def contributions(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return out.select("user_id", "article_id", "feature", "contribution", F.row_number().over(order).alias("place"))
 
 
+def explained(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """rows (user_id, article_id, base, features) with score, as recommended gives it, and contributions (feature, contribution), the largest first, as contributions gives them. A user's weights are
+    gathered and meet each of the user's rows: no row is made for a feature."""
+    own = weights.groupBy("user_id").agg(F.collect_list(F.struct("feature", "weight")).alias("_own"))
+    used = F.filter("_own", lambda w: F.array_contains("features", w["feature"]))
+    out = rows.join(own, "user_id", "left").withColumn("_own", F.coalesce(used, F.array().cast(own.schema["_own"].dataType)))
+    out = out.withColumn("_t", F.aggregate("_own", F.lit(0.0), lambda s, w: s + w["weight"])).withColumn("score", recommend_score(F.col("base"), F.col("_t")))
+    less = lambda w: F.col("score") - recommend_score(F.col("base"), F.col("_t") - w["weight"])
+    parts = F.filter(F.transform("_own", lambda w: F.struct(-F.abs(less(w)).alias("place"), w["feature"].alias("feature"), less(w).alias("contribution"))), lambda p: p["contribution"] != 0)
+    listed = F.transform(F.sort_array(parts), lambda p: F.struct(p["feature"].alias("feature"), p["contribution"].alias("contribution")))
+    return out.withColumn("contributions", listed).drop("_own", "_t")
+
+
 def leave_one_out(train: DataFrame, prior: float = PRIOR, share: int = 2000) -> DataFrame:
     """(user_id, article_id, prediction): each rating predicted by a model of all of the user's other ones. Ratings alike in base, stars and features have the same
     prediction, so each kind is one row with its count. They are predicted together, from the user's one full fit; those of users with many kinds are spread over parts of so many, which hold all of the user's kinds."""

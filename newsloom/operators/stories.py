@@ -239,9 +239,9 @@ def related(links: DataFrame, stories: DataFrame, articles: DataFrame) -> DataFr
     """(story_id, related, others, newest): the stories that any member's link, in either direction, names, each by its newest article and how many more there
     are."""
     unit = stories.select(F.col("article_id").alias("a"), F.col("story_id").alias("story_id"))
-    way = links.filter("verdict <> 'unrelated'").select("a", "b")
-    both = way.union(way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    pairs = both.join(unit, "a").join(unit.select(F.col("a").alias("b"), F.col("story_id").alias("related")), "b").filter("story_id <> related").select("story_id", "related").distinct()
+    way = links.filter("verdict <> 'unrelated'").select("a", "b").distinct()
+    one = way.join(unit, "a").join(unit.select(F.col("a").alias("b"), F.col("story_id").alias("related")), "b").filter("story_id <> related").select("story_id", "related").distinct()
+    pairs = one.union(one.select("related", "story_id")).distinct()
     face = stories.join(articles.select(F.col("id").alias("article_id"), "at"), "article_id").groupBy(F.col("story_id").alias("related")).agg(F.max_by("article_id", F.struct("at", "article_id")).alias("newest"), (F.count("*") - 1).alias("others"))
     return pairs.join(face, "related").select("story_id", "related", "others", "newest")
 

@@ -165,12 +165,11 @@ def article_detail(t: Tables) -> DataFrame:
     """Every scored article for every user: its versions, corrected score with what each feature contributes, story and related stories."""
     gathered = F.sort_array(F.collect_list(F.struct("created_at", "id")), asc=False)
     versions = t.v_digests.groupBy("article_id").agg(F.array_join(F.transform(gathered, lambda x: x["id"].cast("string")), ",").alias("versions"))
-    rows, own = saved(scored_rows(t)), weights(t)
-    parts = adjust.contributions(rows, own).groupBy("user_id", "article_id").agg(F.sort_array(F.collect_list(F.struct("place", "feature", "contribution"))).alias("p"))
-    parts = parts.select("user_id", "article_id", F.array_join(F.transform("p", lambda x: F.concat_ws(" ", x["feature"], x["contribution"].cast("string"))), ", ").alias("contributions"))
+    parts = F.array_join(F.transform("contributions", lambda x: F.concat_ws(" ", x["feature"], x["contribution"].cast("string"))), ", ")
+    scores = adjust.explained(scored_rows(t), weights(t)).select("user_id", "article_id", "score", F.when(F.size("contributions") > 0, parts).alias("contributions"))
     links = t.v_interactions.select(F.col("user_id").alias("a"), F.col("article_id").alias("b"), F.when(F.col("stars") >= 3, "related").otherwise("unrelated").alias("verdict"))
     related = stories.related(links, t.v_stories, articles(t)).groupBy("story_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set("related")), lambda x: x.cast("string")), ",").alias("related"))
     members = t.v_stories.groupBy("story_id").agg(F.count("*").alias("members")).join(related, "story_id", "left")
     about = t.v_stories.join(members, "story_id").join(versions, "article_id", "left").join(t.v_articles.select(F.col("id").alias("article_id")), "article_id", "left_semi")
-    scores = adjust.recommended(rows, own).select("user_id", "article_id", "score")
-    return scores.join(about, "article_id").join(parts, ["user_id", "article_id"], "left").select("user_id", F.col("article_id").alias("id"), "versions", "score", "contributions", "story_id", "members", "related")
+    # what an article has for all users comes last: it is wide, and goes through no shuffle beside users
+    return scores.join(about, "article_id").select("user_id", F.col("article_id").alias("id"), "versions", "score", "contributions", "story_id", "members", "related")

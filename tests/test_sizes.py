@@ -25,3 +25,21 @@ def test_latest_digest_meets_packs_of_users(spark, sf):
     df = QUERIES["E1_latest_digest"](spark, sf)
     text = plan(df)
     assert re.search(r"Generate explode\(_members", text) and df.rdd.getNumPartitions() == 64
+
+
+def test_explained_equals_scores_and_contributions(spark):
+    from newsloom.operators import adjust
+
+    rows = spark.createDataFrame([(1, 10, 40, ["a", "b", "b"]), (1, 11, 70, ["c"]), (2, 10, 55, ["a", "c"]), (3, 12, 5, []), (1, 13, 0, None)], "user_id long, article_id long, base int, features array<string>")
+    weights = spark.createDataFrame([(1, "a", 0.5), (1, "b", -1.25), (1, "c", 0.0), (2, "c", 2.0)], "user_id long, feature string, weight double")
+    found = adjust.explained(rows, weights).collect()
+    got = {(r.user_id, r.article_id): r.score for r in found}
+    assert got == {(r.user_id, r.article_id): r.score for r in adjust.recommended(rows, weights).collect()}
+    parts = {(r.user_id, r.article_id, p.feature, p.contribution, k) for r in found for k, p in enumerate(r.contributions, 1)}
+    assert parts == {tuple(r) for r in adjust.contributions(rows, weights).select("user_id", "article_id", "feature", "contribution", "place").collect()} and len(parts) == 3
+
+
+def test_article_detail_shuffles_no_related_stories_beside_users(spark, sf):
+    text = plan(QUERIES["L11_article_detail"](spark, sf))
+    join = text[: text.index("Exchange hashpartitioning")] if "Exchange hashpartitioning" in text else text
+    assert "article_id" in join and "user_id" not in re.search(r"\w+Join \[([^\]]*)\]", text).group(1)
