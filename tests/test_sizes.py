@@ -43,3 +43,20 @@ def test_article_detail_shuffles_no_related_stories_beside_users(spark, sf):
     text = plan(QUERIES["L11_article_detail"](spark, sf))
     join = text[: text.index("Exchange hashpartitioning")] if "Exchange hashpartitioning" in text else text
     assert "article_id" in join and "user_id" not in re.search(r"\w+Join \[([^\]]*)\]", text).group(1)
+
+
+def test_marks_of_a_user_are_folded_together():
+    import pandas as pd
+
+    from newsloom.streaming import keyed
+
+    kinds = ["read", "unread", "bookmark", "unbookmark", "rate"]
+    rows = pd.DataFrame([(k % 3, 1000 * k, k, k % 5, kinds[k * 7 % 5], k % 4) for k in range(60)], columns=["story", *keyed.MARK])
+    state, want, alone = None, [], {}
+    for part in (rows[:25], rows[25:]):
+        state, got, _ = keyed._user_marks_step((1,), state, part, 0)
+        want = []
+        for story, own in part.groupby("story"):
+            alone[str(story)], frame, _ = keyed._mark_step((1, story), alone.get(str(story)), own, 0)
+            want += frame.astype(str).values.tolist()
+        assert sorted(got.astype(str).values.tolist()) == sorted(want) and state == alone
