@@ -60,3 +60,33 @@ def test_marks_of_a_user_are_folded_together():
             alone[str(story)], frame, _ = keyed._mark_step((1, story), alone.get(str(story)), own, 0)
             want += frame.astype(str).values.tolist()
         assert sorted(got.astype(str).values.tolist()) == sorted(want) and state == alone
+
+
+def test_users_with_the_same_profile_are_one_row(spark):
+    from newsloom.operators import vectors
+
+    terms = spark.createDataFrame([(u, 0, "interest", 1.0, 7 + u // 10, [1.0, 0.0]) for u in range(30)], "user_id long, pos int, kind string, weight double, vec_id long, vector array<double>")
+    users = spark.range(30).selectExpr("id user_id", "if(id < 5, 'a', 'b') has")
+    base = spark.createDataFrame([(g, v, 0.1, 0.5) for g in "ab" for v in (7, 8, 9)], "has string, vec_id long, mean double, sd double")
+    rows = vectors.shared_profiles(terms, base, users).collect()
+    assert sorted(sorted(r.users) for r in rows) == [list(range(5)), list(range(5, 10)), list(range(10, 20)), list(range(20, 30))]
+
+
+def test_percentile_scores_shuffle_no_row_of_a_user_and_an_article(spark, sf):
+    text = plan(QUERIES["K6_percentile_scores"](spark, sf))
+    assert "Exchange" not in text[: text.index("MapInArrow")]
+
+
+def test_a_profile_that_comes_back_has_its_scores_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from newsloom.operators import vectors
+
+    articles = spark.range(4).selectExpr("id article_id", "array(1.0D) vector", "id seq")
+    terms = lambda w: spark.createDataFrame([(u, 0, "interest", w, 1, [1.0]) for u in (1, 2)], "user_id long, pos int, kind string, weight double, vec_id long, vector array<double>")
+    score = lambda some, used: some.select("article_id").crossJoin(used.select("user_id", (F.col("weight") * 10).cast("int").alias("score"))).select("user_id", "article_id", "score")
+    table = vectors.ScoreTable(spark, str(tmp_path / "scores"), buckets=2)
+    for w in (1.0, 0.5, 1.0):
+        table.update(articles, terms(w), score)
+        assert sorted((r.user_id, r.article_id, r.score) for r in table.read().collect()) == [(u, i, int(w * 10)) for u in (1, 2) for i in range(4)]
+    assert spark.read.parquet(str(tmp_path / "scores/scores-0")).count() == 12  # for two users, three runs of four articles
