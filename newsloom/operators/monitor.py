@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .latest import gaps, median_floor
+from .latest import median_floor
 
 
 def count_anomalies(runs: DataFrame, states: DataFrame, since: Column, history: int = 20, least: int = 8) -> DataFrame:
@@ -25,13 +25,14 @@ def stale(days: DataFrame, states: DataFrame, flagged: DataFrame, since: Column,
     than idle and six times the median gap. Left out are sources that weren't read since then or fail now (states), which says why they are quiet, and those flagged for their counts
     (source_id)."""
     alive = states.filter((F.col("last_success_at") >= since) & F.col("last_error").isNull()).select("source_id").join(flagged.select("source_id"), "source_id", "left_anti")
-    days = days.join(alive, "source_id", "left_semi").select("source_id", "day").distinct()
-    last = days.groupBy("source_id").agg(F.max("day").alias("_last"))
-    near = days.join(last, "source_id").filter(F.datediff("_last", "day") <= window)
-    found = gaps(near, "source_id").groupBy("source_id").agg(F.collect_list("gap").alias("_gaps")).filter(F.size("_gaps") >= least)
+    own = Window.partitionBy("source_id")
+    # the newest day stands beside each day: joining it would do all the steps before it again in the same task
+    days = days.join(alive, "source_id", "left_semi").select("source_id", "day").distinct().withColumn("_last", F.max("day").over(own)).filter(F.datediff("_last", "day") <= window)
+    apart = days.withColumn("gap", F.datediff("day", F.lag("day").over(own.orderBy("day"))))
+    found = apart.groupBy("source_id").agg(F.collect_list("gap").alias("_gaps"), F.max("_last").alias("_last")).filter(F.size("_gaps") >= least)
     s, n = F.sort_array("_gaps"), F.size("_gaps")
     twice = F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))
-    rows = found.join(last, "source_id").withColumn("idle", F.datediff(today, "_last")).withColumn("median2", twice)
+    rows = found.withColumn("idle", F.datediff(today, "_last")).withColumn("median2", twice)
     return rows.filter(2 * F.col("idle") > F.greatest(F.lit(idle), 3 * F.col("median2"))).select("source_id", "idle", "median2")
 
 

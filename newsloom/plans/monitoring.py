@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import Tables
+from ..functions.session import saved
 from ..operators import monitor
 from ..registry import query
 from .windows import ARTICLES, articles
@@ -19,6 +20,8 @@ RUNS = """SELECT source_id, fetched_at, CASE WHEN fetched_at >= TIMESTAMP '2024-
 STATES = "SELECT source_id, max(ts) FILTER (WHERE value < 100) AS last_success_at, CASE WHEN max(ts) FILTER (WHERE value >= 450) = max(ts) THEN 'failed' END AS last_error FROM ({}) AS q GROUP BY source_id"
 SOURCES = "SELECT concat(event_type, '-', CAST(user_id % 10 AS STRING)) AS source_id, ts, value FROM events"
 QUIET = "SELECT concat('u', CAST(user_id AS STRING)) AS source_id, ts, value FROM events"
+#: Days of sources that one task takes.
+DAYS_EACH = 50_000
 SINCE, SINCE_SQL = datetime(2024, 1, 29, 12), "TIMESTAMP '2024-01-29 12:00:00'"
 
 
@@ -33,8 +36,19 @@ def sources(t: Tables) -> DataFrame:
     return t.events.select(F.concat("event_type", F.lit("-"), (F.col("user_id") % 10).cast("string")).alias("source_id"), "ts", "value")
 
 
-def quiet_sources(t: Tables) -> DataFrame:
-    return t.events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_id"), "ts", "value")
+def quiet_tables(t: Tables, each: int = DAYS_EACH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """States, runs and days of the users as sources, from one table of users and days. All three are dealt by source to as many tasks as that has rows for, which the joins and windows behind them keep: as
+    bytes these rows are so few that Spark would make few tasks of any number of them."""
+    until = F.timestamp_add("DAY", (F.col("user_id") % 15).cast("int"), F.lit(datetime(2024, 1, 12)))
+    newest = lambda c: F.max(F.when(c, F.col("ts")))
+    daily = t.events.groupBy("user_id", F.date_trunc("day", "ts").alias("fetched_at")).agg(
+        F.count("*").alias("total"), newest(F.col("value") < 100).alias("good"), newest(F.col("value") >= 450).alias("bad"), F.max("ts").alias("last"), F.max(F.col("ts") < until).alias("seen")
+    )
+    daily = saved(daily.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_id"), "fetched_at", "total", "good", "bad", "last", "seen"))
+    tasks = -(-daily.count() // each) or 1
+    dealt = lambda rows: rows.repartition(tasks, "source_id")
+    states = dealt(daily.select("source_id", "good", "bad", "last")).groupBy("source_id").agg(F.max("good").alias("last_success_at"), F.when(F.max("bad") == F.max("last"), "failed").alias("last_error"))
+    return states, dealt(daily.select("source_id", "fetched_at", "total")), dealt(daily.filter("seen").select("source_id", F.to_date("fetched_at").alias("day")))
 
 
 def states(rows: DataFrame) -> DataFrame:
@@ -61,10 +75,7 @@ DAY_RUNS = "SELECT source_id, date_trunc('day', ts) AS fetched_at, count(*) AS t
  x AS (SELECT s.source_id, datediff('day', l.last, DATE '2024-01-31') AS idle, b[(len(b) + 1) // 2] + b[len(b) // 2 + 1] AS median2 FROM s JOIN l ON l.source_id = s.source_id) SELECT source_id, CAST(idle AS INT) AS idle, CAST(median2 AS INT) AS median2 FROM x WHERE 2 * idle > greatest(14, 3 * median2)""")
 def stale_sources(t: Tables) -> DataFrame:
     """Each user is a source, whose articles end at some day."""
-    until = F.timestamp_add("DAY", (F.col("user_id") % 15).cast("int"), F.lit(datetime(2024, 1, 12)))
-    days = t.events.filter(F.col("ts") < until).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_id"), F.to_date("ts").alias("day"))
-    own = states(quiet_sources(t))
-    runs = quiet_sources(t).groupBy("source_id", F.date_trunc("day", "ts").alias("fetched_at")).agg(F.count("*").alias("total"))
+    own, runs, days = quiet_tables(t)
     return monitor.stale(days, own, monitor.count_anomalies(runs, own, F.lit(SINCE)), F.lit(SINCE), F.lit("2024-01-31").cast("date"))
 
 

@@ -90,3 +90,17 @@ def test_a_profile_that_comes_back_has_its_scores_once(spark, tmp_path):
         table.update(articles, terms(w), score)
         assert sorted((r.user_id, r.article_id, r.score) for r in table.read().collect()) == [(u, i, int(w * 10)) for u in (1, 2) for i in range(4)]
     assert spark.read.parquet(str(tmp_path / "scores/scores-0")).count() == 12  # for two users, three runs of four articles
+
+
+def test_stale_sources_deal_days_by_their_number(spark, sf):
+    """One table of users and days, from which states, runs and days go to as many tasks as it has rows for."""
+    from newsloom.fixtures import Tables
+    from newsloom.plans import monitoring
+
+    events = Tables(spark, sf).events
+    rows = events.groupBy("user_id", events.ts.cast("date")).count().count()
+    found = monitoring.quiet_tables(Tables(spark, sf), 100)
+    assert [df.rdd.getNumPartitions() for df in found] == [-(-rows // 100)] * 3 and rows > 100
+    want = monitoring.states(events.selectExpr("concat('u', user_id) source_id", "ts", "value"))
+    assert sorted(map(str, found[0].collect())) == sorted(map(str, want.collect()))
+    assert found[1].selectExpr("sum(total)").first()[0] == events.count()
