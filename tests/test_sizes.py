@@ -104,3 +104,22 @@ def test_stale_sources_deal_days_by_their_number(spark, sf):
     want = monitoring.states(events.selectExpr("concat('u', user_id) source_id", "ts", "value"))
     assert sorted(map(str, found[0].collect())) == sorted(map(str, want.collect()))
     assert found[1].selectExpr("sum(total)").first()[0] == events.count()
+
+
+def test_glossary_hits_look_at_a_text_once(spark):
+    """Equal to the check of each source in each text, and sources of plain words need no such check."""
+    from pyspark.sql import functions as F
+
+    from newsloom.functions.text import mentions
+
+    texts = ["The  nuclear\nplants, and IAEA's", "nuclear plantes iaea IAEAs (über)", "xnuclear plant", "éa naïve fox-es don't", "Foxes dons", "Kelvin co-op", "a, b", "", None, "a. b c d", "NUCLEAR PLANT", "C++ 　 c++s 7up"]
+    words = ["nuclear plant", "IAEA", "Iaea", "über", "ber", "naïve", "fox", "don't", "don", "elvin", "kelvin", "co-op", "co", "a, b", "a", "b c d", "b c x", "b  c", "c++", "++", "7up", "7UP", "", " ", "é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sources = spark.createDataFrame(list(enumerate(words)), "term_id long, source string")
+    for some in (sources, sources.filter("source rlike '^[A-Za-z0-9 ]+$'")):
+        want = docs.crossJoin(some.filter("source <> ''")).filter(mentions(F.col("text"), F.col("source"))).select("id", "term_id")
+        df = joins.glossary_hits(docs, some)
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.collect()))
+    keyed = {r.source: r for r in joins.keyed_sources(sources).collect()}
+    assert keyed["nuclear plant"].whole and keyed["don't"].whole and not keyed["über"].whole and [bytes(k) for k in keyed["IAEA"].keys] == [b"=IAEA", b"=IAEAs", b"=IAEAes"]
+    assert "(es|s)?" not in plan(joins.glossary_hits(docs, sources))
