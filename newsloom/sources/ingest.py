@@ -8,12 +8,12 @@ from collections.abc import Iterator
 from functools import reduce
 from urllib.parse import urljoin
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.markup import pieces
+from ..functions.session import small_batches
 from ..functions.text import date_in, date_in_name, normalize_url
 from ..functions.time import jst_midnight
 
@@ -94,7 +94,7 @@ def listing_links(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "url", "title", "item"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    found = pages.select("page_id", "url", "html").mapInArrow(links, f"page_id {kind}, url string, title string, item string")
+    found = small_batches(pages.select("page_id", "url", "html")).mapInArrow(links, f"page_id {kind}, url string, title string, item string")
     return found.select("page_id", "url", "title", F.coalesce(date_in(F.col("item")), date_in_name(F.col("url"))).alias("day"))
 
 
@@ -118,11 +118,13 @@ def body_text(page: str) -> str | None:
 def article_bodies(pages: DataFrame) -> DataFrame:
     """A4: (page_id, body) of every page (page_id, html)."""
 
-    @F.pandas_udf("string")
-    def bodies(page: pd.Series) -> pd.Series:
-        return page.fillna("").map(body_text)
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column("page_id"), pa.array([body_text(page.as_py() or "") for page in batch.column("html")], pa.string())], names=["page_id", "body"])
 
-    return pages.select("page_id", bodies("html").alias("body"))
+    return small_batches(pages.select("page_id", "html")).mapInArrow(bodies, f"page_id {kind}, body string")
 
 
 def first_of(tables: list[DataFrame], key: str, order: list[str]) -> DataFrame:
