@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain, pairwise
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.score import recommend_score
+from ..functions.session import saved
 
 PRIOR = 20.0
+#: Rows of models that one task takes.
+EACH = 20_000
 
 
 def features(source: Column, topics: Column, interests: Column, excludes: Column) -> Column:
@@ -91,6 +98,12 @@ def _design(rows: pd.DataFrame) -> tuple[list[str], np.ndarray]:
     return names, x
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Saved rows dealt by keys, EACH of them to a task, or over all cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(-(-rows.count() // EACH), 2 * cores), *keys)
+
+
 def fit(train: DataFrame, prior: float = PRIOR, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """(by, feature, weight): each user's ratings are a model of their own, so the fits spread over tasks; a user's group is as large as what one person rates."""
 
@@ -101,7 +114,7 @@ def fit(train: DataFrame, prior: float = PRIOR, by: tuple[str, ...] = ("user_id"
         return pd.DataFrame({**{k: rows[k].iloc[0] for k in by}, "feature": names, "weight": w})
 
     kinds = ", ".join(f"{k} {train.schema[k].dataType.simpleString()}" for k in by)
-    return train.groupBy(*by).applyInPandas(one, f"{kinds}, feature string, weight double")
+    return dealt(saved(train), *by).groupBy(*by).applyInPandas(one, f"{kinds}, feature string, weight double")
 
 
 def recommended(rows: DataFrame, weights: DataFrame) -> DataFrame:
@@ -139,20 +152,46 @@ def leave_one_out(train: DataFrame, prior: float = PRIOR, share: int = 2000) ->
     """(user_id, article_id, prediction): each rating predicted by a model of all of the user's other ones. Ratings alike in base, stars and features have the same
     prediction, so each kind is one row with its count. They are predicted together, from the user's one full fit; those of users with many kinds are spread over parts of so many, which hold all of the user's kinds."""
     alike = ["user_id", "base", "stars", "_kind"]
-    rows = train.withColumn("_kind", F.array_sort(F.array_distinct("features")))
+    rows = saved(train.select("user_id", "article_id", "base", "stars", F.array_sort(F.array_distinct("features")).alias("_kind")))
     kinds = rows.groupBy(*alike).agg(F.count("*").alias("_times"))
     user = Window.partitionBy("user_id")
     kinds = kinds.withColumn("_turn", F.row_number().over(user.orderBy("base", "stars", "_kind"))).withColumn("_parts", F.ceil(F.count("*").over(user) / share).cast("int"))
     parts = kinds.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
 
-    def predict(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_turn").reset_index(drop=True)
-        _, x = _design(rows.rename(columns={"_kind": "features"}))
-        own = np.flatnonzero(rows._turn.to_numpy() % rows._parts.iloc[0] == rows.part.iloc[0])
-        found = without_each(rows.base.to_numpy(float), (rows.stars.to_numpy(float) - 1) / 4, x, own, rows._times.to_numpy(float), prior)
-        return pd.DataFrame({"user_id": rows.user_id[own], "_turn": rows._turn[own], "prediction": found})
-
-    found = parts.groupBy("user_id", "part").applyInPandas(predict, "user_id long, _turn int, prediction double")
+    def one(turn: np.ndarray, base: np.ndarray, stars: np.ndarray, times: np.ndarray, ends: np.ndarray, features: np.ndarray, parts: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+        own = np.flatnonzero(turn % parts == part)
+        x = np.zeros((len(turn), features.max(initial=-1) + 1))
+        x[np.repeat(np.arange(len(turn)), np.diff(ends)), features] = 1
+        x = x[:, x.any(axis=0)]
+        return turn[own], without_each(base, (stars - 1) / 4, x, own, times, prior)
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            rows = pa.Table.from_batches([b for b in (held, batch) if b is not None]) if held is not None or batch is not None else None
+            if rows is None or not rows.num_rows:
+                continue
+            rows = rows.combine_chunks()
+            user, part, turn, base, stars, times, parts = (rows.column(c).to_numpy() for c in ("user_id", "part", "_turn", "base", "stars", "_times", "_parts"))
+            starts = np.concatenate(([0], np.flatnonzero((user[1:] != user[:-1]) | (part[1:] != part[:-1])) + 1, [len(user)]))
+            # the last user may go on in the next batch
+            done = len(starts) - (1 if batch is None else 2)
+            listed = rows.column("_kind").combine_chunks()
+            listed = listed.chunk(0) if isinstance(listed, pa.ChunkedArray) else listed
+            ends = listed.offsets.to_numpy()
+            names = listed.values.dictionary_encode()
+            numbers = names.indices.to_numpy()
+            out = []
+            for i, j in pairwise(starts[: done + 1]):
+                _, own = np.unique(numbers[ends[i] : ends[j]], return_inverse=True)
+                out.append((user[i], *one(turn[i:j], base[i:j].astype(float), stars[i:j].astype(float), times[i:j].astype(float), ends[i : j + 1], own, parts[i], part[i])))
+            held = rows.slice(starts[done]).to_batches()[0] if starts[done] < rows.num_rows else None
+            if out:
+                users, turns, found = zip(*out, strict=True)
+                yield pa.record_batch([pa.array(np.repeat(users, [len(t) for t in turns])), pa.array(np.concatenate(turns), pa.int32()), pa.array(np.concatenate(found))], names=["user_id", "_turn", "prediction"])
+
+    # dealt by number: these rows are few bytes and much work, which Spark would leave to a few tasks; users come one after another, as a call of Python for each would cost more than its fit
+    found = dealt(saved(parts), "user_id", "part").sortWithinPartitions("user_id", "part", "_turn").mapInArrow(predict, "user_id long, _turn int, prediction double")
     predicted = kinds.join(found, ["user_id", "_turn"]).select(*alike, "prediction")
     return rows.join(predicted, alike).select("user_id", "article_id", "prediction")
 

@@ -123,3 +123,39 @@ def test_glossary_hits_look_at_a_text_once(spark):
     keyed = {r.source: r for r in joins.keyed_sources(sources).collect()}
     assert keyed["nuclear plant"].whole and keyed["don't"].whole and not keyed["über"].whole and [bytes(k) for k in keyed["IAEA"].keys] == [b"=IAEA", b"=IAEAs", b"=IAEAes"]
     assert "(es|s)?" not in plan(joins.glossary_hits(docs, sources))
+
+
+def test_leave_one_out_of_users_across_batches(spark):
+    """Users that go on in the next batch, dealt by their number and not left to one task, are predicted as by fits of their own."""
+    import numpy as np
+
+    from newsloom.operators import adjust
+
+    rng = np.random.default_rng(5)
+    rows = [(u, a, int(rng.integers(0, 101)), int(rng.integers(1, 6)), [f"t{k}" for k in rng.choice(6, rng.integers(0, 4), replace=False)]) for u in range(12) for a in range(int(rng.integers(1, 9)))]
+    train = spark.createDataFrame(rows, "user_id long, article_id long, base int, stars int, features array<string>")
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name, 3)
+    try:
+        got = {(r.user_id, r.article_id): r.prediction for r in adjust.leave_one_out(train, prior=1.0, share=3).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert len(got) == len(rows)
+    for u, a, base, _, own in rows:
+        others = [r for r in rows if r[0] == u and r[1] != a]
+        names = sorted({f for r in rows if r[0] == u for f in r[4]})
+        x = np.array([[float(n in r[4]) for n in names] for r in others]).reshape(len(others), len(names))
+        w = adjust.fit_weights(np.array([r[2] for r in others], float), (np.array([r[3] for r in others], float) - 1) / 4, x, 1.0)
+        p = min(max(base / 100, 0.005), 0.995)
+        assert abs(got[u, a] - 100 / (1 + np.exp(-np.log(p / (1 - p)) - sum(w[names.index(f)] for f in own)))) < 1e-5
+    assert adjust.dealt(train, "user_id").rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_pages_go_to_python_in_small_batches(spark):
+    from newsloom.functions.session import PAGES
+    from newsloom.sources import ingest
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    pages = spark.createDataFrame([(1, "<article><p>a &amp; b</p></article>"), (2, None), (3, "")], "page_id long, html string")
+    assert sorted(map(tuple, ingest.article_bodies(pages).collect())) == [(1, "a & b"), (2, None), (3, None)]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == PAGES
