@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import small_batches
 from ..functions.text import bigrams, comparable
 from .latest import newest, two_quotas
 
@@ -17,6 +18,10 @@ MIN_SIMILARITY, WINDOW_DAYS, STORY_SIZE = 0.17, 21, 8
 HUB, HUBS = 100_000, 10_000
 #: Shares of the bigrams whose norms bound a similarity, tasks that the copies of a text are dealt to, room for the rounding of sums.
 SHARES, SALTS, SLACK = 64, 16, 1e-6
+#: Places of a table of hashes, and numbers of which pairs are compared at once.
+PLACES, ROOM = 1 << 16, 1 << 20
+#: Postings of a block, in the mean.
+BLOCK = 128
 
 
 def comparison_texts(articles: DataFrame, digests: DataFrame, public: DataFrame, translations: DataFrame, language: str = "ja") -> DataFrame:
@@ -70,13 +75,17 @@ def similar_pairs(vectors: DataFrame, times: DataFrame, targets: DataFrame, save
     members = save(members.join(wanted, "id", "left").select("entry", "id", "at", F.coalesce("target", F.lit(False)).alias("target")))
     entries = rows.join(entry.select(F.col("entry").alias("id"), "copies"), "id").select(F.col("id").alias("entry"), "slot", "copies", "terms", "weights")
 
-    posted = save(entries.select("entry", "slot", "terms", "weights").mapInArrow(_posted(least), "entry long, slot long, term long, rest double, shares array<float>"))
-    own = posted.select("term", "slot", F.col("entry").alias("a"), F.col("rest").alias("ra"), F.col("shares").alias("sa"))
-    other = posted.select("term", F.col("slot").alias("of"), F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"), F.col("entry").alias("b"), F.col("rest").alias("rb"), F.col("shares").alias("sb"))
-    bound = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    met = own.join(other, ["term", "slot"]).filter((F.col("slot") < F.col("of")) | (F.col("a") < F.col("b"))).filter(F.col("ra") * F.col("rb") >= least - SLACK).filter(bound >= least - SLACK)
-    met = met.select("a", "b").distinct()
-    vector = lambda c: entries.select(F.col("entry").alias(c), F.col("terms").alias(f"{c}_terms"), F.col("weights").alias(f"{c}_weights"))
+    posted = save(entries.select("entry", "slot", "terms", "weights").mapInArrow(_posted(least), "entry long, slot long, term long, rest double, shares binary"))
+    # postings of a bigram and slot are gathered in blocks, and what two blocks have in common is a product of matrices
+    count = posted.groupBy("term", "slot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    block = posted.join(count, ["term", "slot"]).groupBy("term", "slot", F.pmod(F.xxhash64("entry"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("entry", "rest", "shares")).alias("p"))
+    gathered = save(block.select("term", "slot", "block", F.col("p.entry").alias("entry"), F.col("p.rest").alias("rest"), F.col("p.shares").alias("shares")))
+    own = gathered.select("term", "slot", F.col("block").alias("ba"), F.col("entry").alias("a"), F.col("rest").alias("ra"), F.col("shares").alias("sa"))
+    other = gathered.select("term", F.col("slot").alias("of"), F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"), F.col("block").alias("bb"), F.col("entry").alias("b"), F.col("rest").alias("rb"), F.col("shares").alias("sb"))
+    pairs = own.join(other, ["term", "slot"]).filter((F.col("slot") < F.col("of")) | (F.col("ba") <= F.col("bb")))
+    met = small_batches(pairs.select((F.col("slot") == F.col("of")).alias("same"), "ba", "bb", "a", "ra", "sa", "b", "rb", "sb")).mapInArrow(_met(least), "a long, b long").distinct()
+    # as bytes, since Spark hands arrays to Python one element at a time, and a vector goes with each of its pairs
+    vector = lambda c: entries.select("entry", "terms", "weights").mapInArrow(_packed(c), f"{c} long, {c}_terms binary, {c}_weights binary")
     compared = met.join(vector("a"), "a").join(vector("b"), "b").mapInArrow(_compared(least), "a long, b long, similarity double")
     alike = entries.filter("copies > 1").select(F.col("entry").alias("a"), F.col("entry").alias("b"), F.lit(1.0).alias("similarity"))
     found = compared.unionByName(alike)
@@ -106,24 +115,127 @@ def _posted(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             shares = np.nextafter(np.sqrt(shares).astype(np.float32), np.float32(2))  # never below
             at = np.flatnonzero(rest >= least - SLACK)
             of = row[at]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(of) + 1) * SHARES, SHARES, dtype=np.int32)), pa.array(shares[of].ravel()))
+            lists = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(np.arange(0, (len(of) + 1) * SHARES * 4, SHARES * 4, dtype=np.int32)), pa.py_buffer(shares[of].tobytes())])
             yield pa.record_batch([batch.column("entry").take(pa.array(of)), batch.column("slot").take(pa.array(of)), pa.array(h[at]), pa.array(rest[at]), lists], names=["entry", "slot", "term", "rest", "shares"])
 
     return run
 
 
+def _packed(c: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Entries with their terms and weights, eight bytes each, as binary values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column("entry"), *(pack(batch.column(x)) for x in ("terms", "weights"))], names=[c, f"{c}_terms", f"{c}_weights"])
+
+    return run
+
+
+def _met(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pairs of two blocks of postings that both bounds let pass: the norms of what is left, and those of the shares. Within a block's own slot the smaller entry stands first, each pair once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, ba, bb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("same", "ba", "bb"))
+            ends, entry, rest, shares = {}, {}, {}, {}
+            for c in "ab":
+                ends[c] = batch.column(c).offsets.to_numpy()
+                entry[c], rest[c] = batch.column(c).values.to_numpy(), batch.column(f"r{c}").values.to_numpy()
+                held = batch.column(f"s{c}").values
+                first = np.frombuffer(held.buffers()[1], np.int32, 1, held.offset * 4)[0] if len(held) else 0
+                shares[c] = np.frombuffer(held.buffers()[2], np.float32, len(held) * SHARES, first).reshape(-1, SHARES) if len(held) else np.zeros((0, SHARES), np.float32)
+            left, right = [], []
+            for k in range(batch.num_rows):
+                a, b = (slice(ends[c][k], ends[c][k + 1]) for c in "ab")
+                bound = shares["a"][a] @ shares["b"][b].T
+                i, j = np.nonzero((bound >= least - 10 * SLACK) & (np.outer(rest["a"][a], rest["b"][b]) >= least - SLACK))
+                x, y = entry["a"][a][i], entry["b"][b][j]
+                if same[k]:
+                    # two blocks of a slot meet once, a block meets itself
+                    own = x < y if ba[k] == bb[k] else x != y
+                    x, y = np.minimum(x, y)[own], np.maximum(x, y)[own]
+                left.append(x)
+                right.append(y)
+            if left:
+                found = np.unique(np.stack((np.concatenate(left), np.concatenate(right))), axis=1) if sum(map(len, left)) else np.zeros((2, 0), np.int64)
+                yield pa.record_batch([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    return run
+
+
+def pack(lists: pa.ListArray) -> pa.BinaryArray:
+    """Lists of values of eight bytes as binary values."""
+    ends = lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int32)
+    values = lists.values.to_numpy()[ends[0] : ends[-1]]
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(((ends - ends[0]) * 8).astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
+def _values(packed: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Where the rows of a packed column end, from 0, and their values."""
+    n, start = len(packed), packed.offset
+    ends = np.frombuffer(packed.buffers()[1], np.int32, n + 1, start * 4).astype(np.int64) if n else np.zeros(1, np.int64)
+    data = packed.buffers()[2]
+    size = int(ends[-1] - ends[0]) // 8
+    return (ends - ends[0]) // 8, np.frombuffer(data, kind, size, int(ends[0])) if size else np.zeros(0, kind)
+
+
+class _Numbers:
+    """Numbers of hashes as they come up: by a table of their last bits, and for those whose place is taken by a sorted list."""
+
+    def __init__(self) -> None:
+        self.held, self.number, self.size = np.zeros(PLACES, np.int64), np.full(PLACES, -1), 0
+        self.more, self.more_number = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        place = h & (PLACES - 1)
+        out = np.where(self.held[place] == h, self.number[place], -1)
+        left = np.flatnonzero(out < 0)
+        if len(left):
+            kinds, of = np.unique(h[left], return_inverse=True)
+            new = kinds[~np.isin(kinds, self.more)]
+            new = new[(self.held[new & (PLACES - 1)] != new) | (self.number[new & (PLACES - 1)] < 0)]
+            fresh = np.arange(self.size, self.size + len(new))
+            self.size += len(new)
+            _, first = np.unique(new & (PLACES - 1), return_index=True)
+            first = first[self.number[new[first] & (PLACES - 1)] < 0]
+            self.held[new[first] & (PLACES - 1)], self.number[new[first] & (PLACES - 1)] = new[first], fresh[first]
+            rest = np.setdiff1d(np.arange(len(new)), first)
+            more, number = np.concatenate((self.more, new[rest])), np.concatenate((self.more_number, fresh[rest]))
+            order = np.argsort(more)
+            self.more, self.more_number = more[order], number[order]
+            place = kinds & (PLACES - 1)
+            found = np.where((self.held[place] == kinds) & (self.number[place] >= 0), self.number[place], -1)
+            lacking = np.flatnonzero(found < 0)
+            found[lacking] = self.more_number[np.searchsorted(self.more, kinds[lacking])]
+            out[left] = found[of]
+        return out
+
+
 def _compared(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The pairs that are similar enough by their whole vectors."""
+    """The pairs that are similar enough by their whole vectors. Many pairs are compared at once: the left vectors are laid out by pair and number of the bigram, and looked up by the right ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers()
         for batch in batches:
             found = np.zeros(batch.num_rows)
-            sides = [(batch.column(f"{c}_terms"), batch.column(f"{c}_weights")) for c in "ab"]
-            ha, wa, hb, wb = (x.values.to_numpy() for side in sides for x in side)
-            oa, ob = (terms.offsets.to_numpy() for terms, _ in sides)
-            for i in range(batch.num_rows):
-                _, x, y = np.intersect1d(ha[oa[i] : oa[i + 1]], hb[ob[i] : ob[i + 1]], assume_unique=True, return_indices=True)
-                found[i] = wa[oa[i] + x] @ wb[ob[i] + y]
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sides = []
+                if numbers.size > PLACES // 4:
+                    numbers = _Numbers()
+                for c in "ab":
+                    ends, h = _values(part.column(f"{c}_terms"), np.int64)
+                    _, w = _values(part.column(f"{c}_weights"), np.float64)
+                    row = np.repeat(np.arange(part.num_rows), np.diff(ends))
+                    sides.append((row, numbers.of(h), w))
+                (ra, na, wa), (rb, nb, wb) = sides
+                rows = max(1, ROOM // max(numbers.size, 1))
+                for k in range(0, part.num_rows, rows):
+                    a, b = (slice(*np.searchsorted(r, (k, k + rows))) for r in (ra, rb))
+                    laid = np.zeros(min(rows, part.num_rows - k) * numbers.size)
+                    laid[(ra[a] - k) * numbers.size + na[a]] = wa[a]
+                    shared = laid[(rb[b] - k) * numbers.size + nb[b]] * wb[b]
+                    found[at + k : at + min(k + rows, part.num_rows)] = np.bincount(rb[b] - k, shared, min(rows, part.num_rows - k))
             found = np.round(found, 9)
             hit = np.flatnonzero(found >= least)
             yield pa.record_batch([batch.column("a").take(pa.array(hit)), batch.column("b").take(pa.array(hit)), pa.array(found[hit])], names=["a", "b", "similarity"])

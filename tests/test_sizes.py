@@ -159,3 +159,45 @@ def test_pages_go_to_python_in_small_batches(spark):
     pages = spark.createDataFrame([(1, "<article><p>a &amp; b</p></article>"), (2, None), (3, "")], "page_id long, html string")
     assert sorted(map(tuple, ingest.article_bodies(pages).collect())) == [(1, "a & b"), (2, None), (3, None)]
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == PAGES
+
+
+def test_compared_pairs_equal_those_one_by_one():
+    """Whatever the number of bigrams, those with the same last bits among them; vectors come as bytes, and no pair is intersected for itself."""
+    import numpy as np
+    import pyarrow as pa
+
+    from newsloom.operators import stories
+
+    rng = np.random.default_rng(1)
+    for kinds, space in ((50, 1 << 6), (3000, 1 << 40), (40_000, 1 << 62)):
+        pool = np.unique(rng.integers(-space, space, kinds)) << (10 if kinds == 50 else 0)
+        sides = [[rng.choice(pool, rng.integers(0, 40), replace=False) for _ in range(700)] for _ in "ab"]
+        weights = [[rng.random(len(x)) for x in side] for side in sides]
+        columns = [pa.array(range(700)), pa.array(range(700)), *(stories.pack(pa.array(x)) for x in (sides[0], weights[0], sides[1], weights[1]))]
+        batch = pa.record_batch(columns, names=["a", "b", "a_terms", "a_weights", "b_terms", "b_weights"])
+        want = [sum(w * dict(zip(y, v)).get(t, 0) for t, w in zip(x, u)) for x, u, y, v in zip(sides[0], weights[0], sides[1], weights[1])]
+        for part in (batch, batch.slice(13, 300)):
+            first = part.column("a")[0].as_py()
+            (got,) = stories._compared(0.0)(iter([part]))
+            assert np.allclose(got.column("similarity").to_numpy(), want[first : first + part.num_rows], atol=1e-9)
+    numbers = stories._Numbers()
+    h = rng.integers(-5, 5, 1000) << 16  # all in one place
+    assert len(np.unique(numbers.of(h))) == len(np.unique(h)) == numbers.size and (numbers.of(h) == numbers.of(h)).all()
+
+
+def test_similar_pairs_by_blocks_equal_all_pairs(spark, monkeypatch):
+    """Postings of a bigram and slot in several blocks: no similarity bound is computed row by row, no pair is lost."""
+    from pyspark.sql import functions as F
+
+    from newsloom.functions.session import saved
+    from newsloom.operators import stories
+
+    monkeypatch.setattr(stories, "BLOCK", 3)
+    texts = spark.range(40).selectExpr("id", "timestamp'2024-01-01' + make_interval(0, 0, 0, int(id)) at", "concat(substring('the quick brown fox jumps over', 1 + int(id % 4), 20), repeat(char(97 + int(id % 7)), int(id % 3))) text")
+    texts = saved(texts)
+    vectors = saved(stories.tf_idf(texts))
+    for least, some in ((0.17, 100), (0.5, 1)):
+        got = stories.similar_pairs(vectors, texts, texts, saved, least, 13)
+        l, r = (vectors.join(texts, "id").select(F.col("id").alias(n), F.col("at").alias(f"{n}_at"), "gram", F.col("weight").alias(f"{n}_w")) for n in ("target", "id"))
+        want = l.join(r, "gram").filter("target <> id and abs(unix_micros(target_at) - unix_micros(id_at)) <= 13 * 86400000000").groupBy("target", "id").agg(F.round(F.sum(F.col("target_w") * F.col("id_w")), 9).alias("s")).filter(F.col("s") >= least)
+        assert sorted((x.target, x.id) for x in got.collect()) == sorted((x.target, x.id) for x in want.collect()) and got.count() > some
