@@ -44,10 +44,6 @@ def bigrams(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?s)(?=(..))"), F.lit(1))
 
 
-def trigrams(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(...))"), F.lit(1)))
-
-
 def one_line(text: Column) -> Column:
     """Runs of white space as one space, trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

@@ -113,7 +113,7 @@ def trigram_postings(t: Tables) -> DataFrame:
     index = search.TrigramIndex(t.spark, f"{shared_folder(t.spark)}/trigrams-{BUCKETS}-{hashlib.md5(t.sf_dir.encode()).hexdigest()}", BUCKETS)
     texts = t.documents.select("doc_id", "text")
     index.update(texts)
-    return index.search(texts, "thonthe").union(index.search(texts, "nguage")).distinct()
+    return index.search(texts, "thonthe", "nguage")
 
 
 @query("I4_search_result", f"""WITH d AS ({DOCS}), a AS ({ARTICLES}), m AS (SELECT DISTINCT article_id FROM d WHERE contains(lower(text), 'tion the'))
