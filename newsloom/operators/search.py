@@ -100,11 +100,17 @@ class TrigramIndex:
     def search(self, texts: DataFrame, *terms: str) -> DataFrame:
         """doc_id of the texts that contain any of the terms of three characters or more: those with all trigrams of a term in their present version, then checked."""
         grams = {t: sorted({low[k : k + 3] for k in range(len(low) - 2)}) for t in terms if len(low := t.lower()) > 2}
-        flags = {g: f"_{k}" for k, g in enumerate(sorted({g for of in grams.values() for g in of}))}
-        if not flags:
+        bits = {g: (k // 62, 1 << k % 62) for k, g in enumerate(sorted({g for of in grams.values() for g in of}))}
+        if not bits:
             return texts.select("doc_id").filter(F.lit(False))
-        found = self.postings(list(flags)).groupBy("doc_id", "update").agg(*(F.max(F.col("gram") == g).alias(c) for g, c in flags.items()))
-        likely = {f"_term{k}": F.when(reduce(and_, (F.col(flags[g]) for g in of)), F.lit(t)) for k, (t, of) in enumerate(grams.items())}
+        # the grams that a text has are bits of as few numbers as hold them, as terms may be long
+        numbered = self.spark.createDataFrame([(g, *b) for g, b in bits.items()], "gram string, _word int, _bit long")
+        words = range(max(w for w, _ in bits.values()) + 1)
+        found = self.postings(list(bits)).join(F.broadcast(numbered), "gram").groupBy("doc_id", "update").agg(*(F.bit_or(F.when(F.col("_word") == w, F.col("_bit"))).alias(f"_{w}") for w in words))
+        likely = {}
+        for k, (term, of) in enumerate(grams.items()):
+            masks = {w: sum(b for x, b in (bits[g] for g in of) if x == w) for w in words}
+            likely[f"_term{k}"] = F.when(reduce(and_, (F.col(f"_{w}").bitwiseAND(F.lit(m)) == m for w, m in masks.items() if m)), F.lit(term))
         held = saved(found.select("doc_id", "update", *(c.alias(k) for k, c in likely.items())).filter(F.coalesce(*likely).isNotNull()))
         n = held.count()
         now = self.newest(_of(self.versions(), held.select("doc_id").distinct(), n)).filter("digest is not null")

@@ -112,6 +112,14 @@ def test_few_candidates_are_checked_after_the_join(spark, tmp_path, rows):
     assert [line.split()[1] for line in plan.splitlines() if "Contains(lower(text" in line] == ["Join"]
 
 
+def test_long_terms(spark, tmp_path):
+    long = "".join(np.random.default_rng(2).choice(list("abcdefghijklmnopqrstuvwxyz "), 3000))
+    now = [(1, long), (2, long[:1500] + "-" + long[1500:]), (3, long[1:]), (4, long[1:] + long[:3]), (5, f"x{long.upper()}x"), (6, "zzzz")]
+    index = search.TrigramIndex(spark, str(tmp_path), 4)
+    index.update(texts(spark, now))
+    assert sorted(r.doc_id for r in index.search(texts(spark, now), long, "zzzz").collect()) == [1, 5, 6]
+
+
 def test_texts_that_share_an_id_and_tables_without_texts(spark, tmp_path):
     index = search.TrigramIndex(spark, str(tmp_path), 4)
     for now in ([], [(1, None), (2, "")], [(1, "xabcdx"), (1, "yabcdy"), (1, "none"), (2, "abcd")]):
