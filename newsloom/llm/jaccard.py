@@ -409,7 +409,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     signed = counted.filter("slice is null").select("doc_id", "n", "d1", "d2")
     some = signed.filter("n > 0 and doc_id is not null")
     same = saved(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    members = saved(some.join(same, ["n", "d1", "d2"]).select("doc_id", "n", "rep"))
+    members = some.join(same, ["n", "d1", "d2"]).select("doc_id", "n", "rep")
     documents, posted = same.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.col("copies") * F.ceil((100 - share) * F.col("n") / 100 + F.col("n") / MEET + 1)), F.lit(0))).collect()[0]
     common = same.filter(F.col("copies") > max(1, documents // COMMON)).select("d1", "d2", "rep").toArrow()  # COMMON rows at most
     common = context.broadcast(dict(zip(zip(*(common.column(c).to_pylist() for c in ("d1", "d2")), strict=True), common.column("rep").to_pylist(), strict=True)))
@@ -473,9 +473,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     star = saved(star.mapInArrow(starred, "a long, b long").distinct())
 
     # groups: what these links join over a lead and its own lead, which needs no comparison within, and blocks of the others of a lead
-    up = star.select(F.col("a").alias("b"), F.col("b").alias("up"))
-    joined = star.join(up, "b", "left").select(F.col("a").alias("rep"), F.coalesce("up", "b").alias("whole"))
-    joined = joined.unionByName(star.select("b").distinct().join(up, "b", "left_anti").select(F.col("b").alias("rep"), F.col("b").alias("whole")))
+    ends = star.select(F.col("a").alias("rep"), F.col("b").alias("up")).unionByName(star.select(F.col("b").alias("rep"), F.lit(None).cast("long").alias("up")))
+    ends = ends.groupBy("rep").agg(F.coalesce(F.max("up"), "rep").alias("up"))  # who has no lead is its own
+    joined = ends.join(star.select(F.col("a").alias("up"), F.col("b").alias("top")), "up", "left").select("rep", F.coalesce("top", "up").alias("whole"))
     place = lead.select("rep", "n", "lead").join(joined, "rep", "left").withColumn("one", F.col("whole").isNotNull())
     key, flag = F.coalesce("whole", "lead"), F.col("one").cast("long")  # small numbers where ids are small: they travel better than hashes
     place = place.withColumn("base", F.when(key.between(-(1 << 61), 1 << 61), F.shiftleft(key, 1) + flag).otherwise(F.xxhash64(key, flag)))
@@ -487,8 +487,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) ->
     several = own.groupBy("token").agg(F.min("base").alias("l"), F.max("base").alias("h"), F.min("one").alias("one"), F.count("*").alias("k")).filter("l < h or not one and k > 1")
     own = saved(own.join(several.select("token"), "token", "left_semi"))
     many = max(SETS, posted // SETS)
-    hot = saved(several.filter(F.col("k") > many).select("token", F.ceil(F.col("k") / many).cast("int").alias("deals")))  # SETS rows at most
-    none_hot, hot = hot.isEmpty(), F.broadcast(hot)
+    hot = own.groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > many).select("token", F.ceil(F.col("k") / many).cast("int").alias("deals")).collect()  # SETS rows at most
+    none_hot, hot = not hot, F.broadcast(docs.sparkSession.createDataFrame(hot, "token long, deals int"))
 
     def on_token(own: DataFrame, held: DataFrame) -> DataFrame:
         """own beside held of the same token; the sets of a token with many are dealt over tasks, each of which gets all that is held of it."""

@@ -114,11 +114,14 @@ class Lengths:
             self.count[a] -= m * times
 
     def fillings(self, first: int, waste: int) -> Iterator[tuple[Filling, int]]:
-        """Undominated fillings around a first piece that waste at most so much, by rising waste, with the waste of each."""
-        count, room = self.count.copy(), self.capacity - first
+        """Undominated fillings around a first piece that waste at most so much, by rising waste, with the waste of each. The counts have to be the same each time that the
+        next one is asked for; they are lent, not copied, and whole whenever one is given, as thousands of sequences are open at once."""
+        count, room = self.count, self.capacity - first
         count[first] -= 1
         if count.sum() < LAST:
-            yield from self._all(count, first, room, waste)
+            few = list(self._all(count, first, room, waste))
+            count[first] += 1
+            yield from few
             return
         stop = self.looked + LOOKED
         taken = [first]
@@ -126,10 +129,13 @@ class Lengths:
             count[a] -= 1
             taken.append(a)
             room -= a
+        lent = tuple(Counter(taken).items())
         for over in range(min(waste, room) + 1):
             for found in self._exact(count, room - over, room - over, 2, stop):
                 if not over or not self._dominated(count, found, over):
+                    self.use(lent, -1)
                     yield tuple(sorted(Counter(taken + found).items(), reverse=True)), over
+                    self.use(lent, 1)
             if self.looked > stop:
                 break
         rest = []  # best fit, where the search above found nothing of the kind
@@ -137,6 +143,7 @@ class Lengths:
             count[a] -= 1
             rest.append(a)
             room -= a
+        self.use(tuple(Counter(taken + rest).items()), -1)
         if room <= waste:
             yield tuple(sorted(Counter(taken + rest).items(), reverse=True)), room
 
@@ -146,7 +153,7 @@ class Lengths:
         return int(k[-1]) + 1 if len(k) else 0
 
     def _exact(self, count: np.ndarray, room: int, bound: int, depth: int, stop: int) -> Iterator[list[int]]:
-        """Pieces of at most the bound that fill the room: one, two, or so many more, large ones first."""
+        """Pieces of at most the bound that fill the room: one, two, or so many more, large ones first. The counts are whole whenever some are given."""
         self.looked += 1
         if not room:
             yield []
@@ -156,11 +163,11 @@ class Lengths:
         low, high = (room + 1) // 2, min(bound, room - 1)
         if low <= high:
             pair = np.flatnonzero((count[low : high + 1] > 0) & (count[room - high : room - low + 1][::-1] > 0)) + low
-            for a in pair[::-1].tolist():
+            for a in map(int, pair[::-1].astype(np.int32)):
                 if 2 * a != room or count[a] > 1:
                     yield [a, room - a]
         if depth:
-            for a in (np.flatnonzero(count[1 : high + 1]) + 1)[::-1].tolist():
+            for a in map(int, (np.flatnonzero(count[1 : high + 1]) + 1)[::-1].astype(np.int32)):
                 if self.looked > stop or a * (depth + 2) < room:
                     return
                 count[a] -= 1

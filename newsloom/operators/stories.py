@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.session import small_batches
@@ -285,33 +285,34 @@ def same_and_apart(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def labels(edges: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) of edges (a, b) by alternating stars: each node first hands the smallest of its neighbours (or itself) to its larger neighbours, then to its smaller ones, until every
-    node is linked with the smallest of its component alone. Rounds grow with the logarithm of the longest path; save cuts the lineage between them. The edges of a node with many are
-    dealt over tasks: such nodes are HUBS at most, so that their list is small whatever the graph."""
+    node is linked with the smallest of its component alone. Rounds grow with the logarithm of the longest path; save cuts the lineage between them. Links that are such stars already need none. The edges
+    of a node with many are dealt over tasks: such nodes are HUBS at most, so that their list is small whatever the graph."""
     pairs = save(edges.filter("a <> b").select(F.greatest("a", "b").alias("h"), F.least("a", "b").alias("l")).distinct())
-    state = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("h", "l").cast("decimal(38,0)")).alias("s")).first()
+
+    def state(pairs: DataFrame) -> Row:
+        """The number of pairs, and whether a node with a smaller neighbour has others as well."""
+        ends = pairs.select(F.col("h").alias("u"), F.lit(1).alias("smaller")).union(pairs.select("l", F.lit(0)))
+        nodes = ends.groupBy("u").agg(F.count("*").alias("degree"), F.max("smaller").alias("smaller"))
+        return nodes.agg((F.coalesce(F.sum("degree"), F.lit(0)) / 2).cast("long").alias("n"), F.coalesce(F.max((F.col("smaller") > 0) & (F.col("degree") > 1)), F.lit(False)).alias("open")).first()
 
     def with_smallest(pairs: DataFrame, key: str, smallest: DataFrame, many: int) -> DataFrame:
         """pairs beside their key's m of smallest (key, m, degree)."""
-        if 2 * before.n <= many:  # no node has more edges
+        if 2 * now.n <= many:  # no node has more edges
             return pairs.join(smallest.select(key, "m"), key)
         hubs = F.broadcast(smallest.filter(F.col("degree") > many).select(key, F.ceil(F.col("degree") / many).cast("int").alias("_parts")))  # HUBS rows at most
         dealt = pairs.join(hubs, key, "left").withColumn("_part", F.pmod(F.xxhash64("h", "l"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
         copies = smallest.withColumn("_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("degree") / many).cast("int") - 1)))
         return dealt.join(copies.select(key, "m", "_part"), [key, "_part"])
 
-    before = state(pairs)
-    while True:
-        many = max(HUB, -(-2 * before.n // HUBS))
+    while (now := state(pairs)).open:
+        many = max(HUB, -(-2 * now.n // HUBS))
         ends = pairs.select(F.col("l").alias("u"), F.col("h").alias("v")).union(pairs.select("h", "l"))
         near = ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree"))
         large = save(with_smallest(pairs, "l", near.withColumnRenamed("u", "l"), many).select("h", F.col("m").alias("l")).distinct())
         low = large.groupBy("h").agg(F.min("l").alias("m"), F.count("*").alias("degree"))
         small = with_smallest(large, "h", low, many).select(F.explode(F.array(F.struct("h", F.col("m").alias("l")), F.struct(F.col("l").alias("h"), F.col("m").alias("l")))).alias("p")).select("p.h", "p.l")
         pairs = save(small.filter("h <> l").distinct())
-        after = state(pairs)
-        if after == before:
-            return pairs.select(F.col("h").alias("node"), F.col("l").alias("component")).union(pairs.select("l", "l").distinct())
-        before = after
+    return pairs.select(F.col("h").alias("node"), F.col("l").alias("component")).union(pairs.select("l", "l").distinct())
 
 
 def groups(same: DataFrame, apart: DataFrame, save: Callable[[DataFrame], DataFrame], most: int = STORY_SIZE) -> DataFrame:

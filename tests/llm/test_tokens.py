@@ -1,6 +1,8 @@
 import itertools
 import time
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -165,3 +167,26 @@ def test_packed_documents_are_those_of_the_library(spark, sf):
         places.sort()
         assert [o for o, _ in places] == [0, *itertools.accumulate(n for _, n in places[:-1])] and sum(n for _, n in places) <= 4096
     assert len(held) == -(-sum(map(len, ids.values())) // 4096)
+
+
+def test_packing_plan_keeps_no_counts_of_open_sequences():
+    """Thousands of sequences are open at once; each kept a copy of the counts of all lengths, and so the driver some 260 MB."""
+    rng = np.random.default_rng(8)
+    histogram = {a: int(n) for a, n in zip(range(1, 4097), rng.integers(1, 90, 4096), strict=True)}
+    alone = [(((a, 1),), n) for a, n in histogram.items()]
+    tracemalloc.start()
+    found = packing.completed(histogram, packing.CAPACITY, alone, packing.least_sequences(histogram, packing.CAPACITY))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    used = Counter()
+    for filling, times in found:
+        assert sum(a * m for a, m in filling) <= packing.CAPACITY
+        for a, m in filling:
+            used[a] += m * times
+    assert used == histogram and len(found) > 3000
+    assert most < 60e6
+    left = packing.Lengths({3000: 2, 1096: 1, 900: 60, 200: 9}, packing.CAPACITY)
+    before = left.count.copy()
+    for _ in left.fillings(3000, packing.CAPACITY):
+        assert (left.count == before).all()
+    assert (left.count == before).all()

@@ -2,7 +2,8 @@
 
 import re
 
-from newsloom.operators import joins
+from newsloom.functions.session import saved
+from newsloom.operators import joins, stories
 from newsloom.registry import QUERIES
 
 
@@ -201,3 +202,19 @@ def test_similar_pairs_by_blocks_equal_all_pairs(spark, monkeypatch):
         l, r = (vectors.join(texts, "id").select(F.col("id").alias(n), F.col("at").alias(f"{n}_at"), "gram", F.col("weight").alias(f"{n}_w")) for n in ("target", "id"))
         want = l.join(r, "gram").filter("target <> id and abs(unix_micros(target_at) - unix_micros(id_at)) <= 13 * 86400000000").groupBy("target", "id").agg(F.round(F.sum(F.col("target_w") * F.col("id_w")), 9).alias("s")).filter(F.col("s") >= least)
         assert sorted((x.target, x.id) for x in got.collect()) == sorted((x.target, x.id) for x in want.collect()) and got.count() > some
+
+
+def test_links_that_are_stars_need_no_rounds(spark):
+    """Groups of near copies are linked with one lead each, so their components are there; each round costs the driver ten stages."""
+    saves = []
+
+    def save(df):
+        saves.append(saved(df))
+        return saves[-1]
+
+    star = [(10 * k, 10 * k + j) for k in range(20) for j in range(1, 5)]
+    for edges, rounds in ((star, 0), ([], 0), ([(1, 2), (2, 3)], 1)):
+        saves.clear()
+        found = stories.labels(spark.createDataFrame(edges, "a long, b long"), save).collect()
+        assert {r.node: r.component for r in found} == ({x: 10 * (x // 10) if edges is star else 1 for e in edges for x in e})
+        assert len(found) == len({x for e in edges for x in e}) and len(saves) == 1 + 2 * rounds
