@@ -218,3 +218,16 @@ def test_links_that_are_stars_need_no_rounds(spark):
         found = stories.labels(spark.createDataFrame(edges, "a long, b long"), save).collect()
         assert {r.node: r.component for r in found} == ({x: 10 * (x // 10) if edges is star else 1 for e in edges for x in e})
         assert len(found) == len({x for e in edges for x in e}) and len(saves) == 1 + 2 * rounds
+
+
+def test_scores_of_all_users_are_dealt_by_their_rows(spark, sf, monkeypatch):
+    """Few bytes become many rows: tasks follow the rows of the result, and a raw score is rounded for a profile, not for each of its users."""
+    from newsloom.operators import vectors
+
+    for name, n in (("TASK", 100), ("ARTICLES", 50), ("USERS", 2)):
+        monkeypatch.setattr(vectors, name, n)
+    for query in ("K4_raw_scores", "K6_percentile_scores", "K8_formula_trials"):
+        df = QUERIES[query](spark, sf)
+        assert df.rdd.getNumPartitions() > 20
+    text = plan(QUERIES["K4_raw_scores"](spark, sf))
+    assert "round(" in text[text.index("explode(users") :] and "round(" not in text[: text.index("explode(users")]
