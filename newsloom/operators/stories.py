@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ SHARES, SALTS, SLACK = 64, 16, 1e-6
 PLACES, ROOM = 1 << 16, 1 << 20
 #: Postings of a block, in the mean.
 BLOCK = 128
+#: Texts of a block in the mean, blocks of a slot before they grow, pairs for which a task is made, left texts that are compared at once.
+TEXTS, BLOCKS, PAIRS, ROWS = 1000, 16, 4_000_000, 256
+#: Bigrams whose numbers of texts all tasks hold, the most frequent ones; of others a text brings the numbers along. Bits of a character, entries of a task that are counted together.
+GRAMS, BITS, COUNTED = 1 << 18, 21, 1 << 20
 
 
 def comparison_texts(articles: DataFrame, digests: DataFrame, public: DataFrame, translations: DataFrame, language: str = "ja") -> DataFrame:
@@ -88,13 +94,187 @@ def similar_pairs(vectors: DataFrame, times: DataFrame, targets: DataFrame, save
     vector = lambda c: entries.select("entry", "terms", "weights").mapInArrow(_packed(c), f"{c} long, {c}_terms binary, {c}_weights binary")
     compared = met.join(vector("a"), "a").join(vector("b"), "b").mapInArrow(_compared(least), "a long, b long, similarity double")
     alike = entries.filter("copies > 1").select(F.col("entry").alias("a"), F.col("entry").alias("b"), F.lit(1.0).alias("similarity"))
-    found = compared.unionByName(alike)
+    return _ways(compared.unionByName(alike), members, micros)
+
+
+def _ways(found: DataFrame, members: DataFrame, micros: int) -> DataFrame:
+    """(target, id, similarity) of the members (entry, id, at, target) of similar entries (a, b, similarity) that are no further apart; each pair of entries once, an entry with copies beside itself."""
     side = lambda c, i: members.select(F.col("entry").alias(c), F.col("id").alias(i), F.col("at").alias(f"{i}_at"), F.col("target").alias(f"{i}_target"))
     pairs = found.join(side("a", "x"), "a").join(side("b", "y"), "b").filter((F.abs(F.col("x_at") - F.col("y_at")) <= micros) & ((F.col("a") < F.col("b")) | (F.col("a") > F.col("b")) | (F.col("x") < F.col("y"))))
     ways = F.array(F.when(F.col("x_target"), F.struct(F.col("x").alias("target"), F.col("y").alias("id"))), F.when(F.col("y_target"), F.struct(F.col("y").alias("target"), F.col("x").alias("id"))))
     return pairs.select(F.explode(F.array_compact(ways)).alias("way"), "similarity").select("way.target", "way.id", "similarity")
 
 
+def similar_texts(texts: DataFrame, save: Callable[[DataFrame], DataFrame], least: float = MIN_SIMILARITY, days: int = WINDOW_DAYS) -> DataFrame:
+    """What similar_pairs gives for the vectors that tf_idf makes of texts (id, at, text), all of them targets: a cosine join within time.
+
+    A vector is made of its text and the bigrams' numbers of texts wherever it is needed, so texts travel and neither vectors nor postings: a vector has ten times the bytes of its text, the postings of one with
+    their norms as many again. Time slots are dealt into blocks of texts, and each pair of blocks of a slot, or of a slot and the next, is a group of its own. In it the norms of SHARES shares of the bigrams
+    bound all similarities, by one product of matrices; what remains is compared once, with the whole vectors. Where slots hold many texts, blocks grow, so that copies stay few.
+
+    Texts of one slot with the same characters are one entry, so copies cost as much as their pairs in the result; entries are told apart by 128-bit hashes. The threshold has to be positive."""
+    micros = days * 86_400_000_000
+    s, at = comparable(F.col("text")), F.unix_micros(F.col("at").cast("timestamp"))
+    rows = texts.select("id", at.alias("at"), s.alias("s")).withColumn("slot", F.floor(F.col("at") / micros))
+    rows = save(rows.select("id", "at", "slot", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), "s"))
+    n, whole = rows.count(), rows.filter(F.char_length("s") > 1)
+    copies = ["slot", "h1", "h2"]
+    # the smallest id stands for the copies of a slot; their many rows are dealt over salts
+    entries = save(whole.groupBy(*copies).agg(F.min("id").alias("entry"), F.count("*").alias("copies"), F.first("s").alias("s")))
+    known, more = _statistics(rows, entries, save)
+    salted = entries.select(*copies, "entry", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    members = whole.select("id", "at", *copies, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, [*copies, "salt"])
+    members = members.select("entry", "id", "at", F.lit(True).alias("target"))
+
+    # slots are few, however many texts: a timestamp has 175,000 of them at three weeks each
+    slots = save(entries.groupBy("slot").agg(F.count("*").alias("n")))
+    blocks = F.least(F.ceil(F.col("n") / TEXTS), F.greatest(F.lit(BLOCKS), F.ceil(F.col("n") / (BLOCKS * TEXTS)))).cast("int")
+    beside = lambda k: slots.select((F.col("slot") + k).alias("slot"), blocks.alias("_before" if k > 0 else "_after" if k < 0 else "_own"), F.col("n").alias(f"_n{k}"))
+    dealt = save(beside(0).join(beside(1), "slot", "left").join(beside(-1), "slot", "left"))
+    pairs = dealt.agg(F.sum(F.col("_n0") * (F.col("_n0") / 2 + F.coalesce("_n-1", F.lit(0))))).first()[0] or 0
+    x, each = F.col("_x"), lambda c, of: F.when(F.col(c).isNotNull(), F.transform(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1), of)).otherwise(F.array())
+    place = lambda near, slot, i, j, right: F.struct(F.lit(near).alias("next"), slot.cast("long").alias("of"), i.cast("int").alias("i"), j.cast("int").alias("j"), right.alias("right"))
+    slot = F.col("slot")
+    places = F.concat(each("_own", lambda j: place(False, slot, F.least(x, j), F.greatest(x, j), j < x)), each("_after", lambda j: place(True, slot, x, j, F.lit(False))), each("_before", lambda i: place(True, slot - 1, i, x, F.lit(True))))
+    if more is not None:
+        entries = entries.join(more, copies, "left")
+    held = ["entry", "s", *(("grams", "numbers") if more is not None else ())]
+    met = entries.join(F.broadcast(dealt), "slot").withColumn("_x", F.pmod(F.xxhash64("entry"), F.col("_own")).cast("int")).select(F.explode(places).alias("p"), *held).select("p.*", *held)
+    keys = ["next", "of", "i", "j"]
+    met = met.repartition(max(1, -(-int(pairs) // PAIRS)), *keys).sortWithinPartitions(*keys, "right")
+    compared = met.mapInArrow(_by_blocks(n, known, least), "a long, b long, similarity double")
+    alike = entries.filter("copies > 1").select(F.col("entry").alias("a"), F.col("entry").alias("b"), F.lit(1.0).alias("similarity"))
+    return _ways(compared.unionByName(alike), save(members), micros)
+
+
+def _statistics(rows: DataFrame, entries: DataFrame, save: Callable[[DataFrame], DataFrame]) -> tuple[Broadcast, DataFrame | None]:
+    """The most frequent bigrams of rows (s) and their numbers of texts, GRAMS at most; and of others, if any, (slot, h1, h2, grams, numbers) of the entries that have them."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            grams, of = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+            yield pa.record_batch([pa.array(grams), pa.array(np.bincount(of, np.concatenate([c for _, c in held]), len(grams)).astype(np.int64))], names=["gram", "df"])
+
+        for batch in batches:
+            held.append(np.unique(_grams(batch.column("s"))[1], return_counts=True))
+            size += len(held[-1][0])
+            if size > COUNTED:
+                yield from merged()
+                held, size = [], 0
+        if held:
+            yield from merged()
+
+    df = save(rows.select("s").mapInArrow(counted, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")))
+    kinds, least = df.count(), 1
+    if kinds > GRAMS:
+        # the numbers of texts from which bigrams are few enough; they are as many as their kinds, at most
+        least = 2
+        while df.filter(F.col("df") >= least).count() > GRAMS:
+            least *= 2
+    often = df.filter(F.col("df") >= least).sort("gram").toArrow()
+    known = rows.sparkSession.sparkContext.broadcast(tuple(often.column(c).to_numpy() for c in ("gram", "df")))
+    if least == 1:
+        return known, None
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, gram, _ = _grams(batch.column("s"))
+            rare = np.flatnonzero(~np.isin(gram, known.value[0]))
+            yield pa.record_batch([*(batch.column(c).take(pa.array(row[rare])) for c in copies), pa.array(gram[rare])], names=[*copies, "gram"])
+
+    copies = ["slot", "h1", "h2"]
+    rare = entries.select(*copies, "s").mapInArrow(others, "slot long, h1 long, h2 long, gram long").join(df.filter(F.col("df") < least), "gram")
+    listed = rare.groupBy(*copies).agg(F.sort_array(F.collect_list(F.struct("gram", "df"))).alias("v"))
+    return known, listed.select(*copies, F.col("v.gram").alias("grams"), F.col("v.df").alias("numbers"))
+
+
+def _grams(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bigram, times) of texts, in the order of rows and bigrams; a bigram is the number of its two characters."""
+    lists = [np.frombuffer((t or "").encode("utf-32-le"), np.uint32) for t in texts.to_pylist()]
+    sizes = np.array([len(x) for x in lists], np.int64)
+    if not sizes.sum():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    c = np.concatenate(lists).astype(np.int64)
+    row = np.repeat(np.arange(len(lists)), sizes)
+    inner = np.flatnonzero(row[1:] == row[:-1])
+    row, gram = row[inner], (c[inner] << BITS) | c[inner + 1]
+    kinds, of = np.unique(gram, return_inverse=True)
+    both, times = np.unique(row * max(len(kinds), 1) + of, return_counts=True)
+    return both // max(len(kinds), 1), kinds[both % max(len(kinds), 1)], times
+
+
+def _by_blocks(n: int, known: Broadcast, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The similar pairs of each two blocks of texts, of n texts in all, or within a block. A group's rows follow one another, the left block first."""
+
+    def vectors(block: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+        """(row, bigram, weight) of the block's texts, and the norms of the shares of each, never below."""
+        text = pa.chunked_array([b.column("s") for b in block]).combine_chunks()
+        row, gram, times = _grams(text)
+        grams, numbers = known.value
+        at = np.minimum(np.searchsorted(grams, gram), max(len(grams) - 1, 0))
+        df = np.where(grams[at] == gram, numbers[at], 0) if len(grams) else np.zeros(len(gram), np.int64)
+        if "grams" in block[0].schema.names:
+            # the others of a text come in the order of bigrams, as here
+            df[df == 0] = np.concatenate([b.column("numbers").flatten().to_numpy(zero_copy_only=False).astype(np.int64) for b in block])
+        w = times * (np.log((n + 1) / (df + 1)) + 1)
+        w = w / np.sqrt(np.bincount(row, w * w, len(text)))[row]
+        share = ((gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % SHARES
+        norms = np.sqrt(np.bincount(row * SHARES + share, w * w, len(text) * SHARES)).reshape(-1, SHARES)
+        return row, gram, w, np.nextafter(norms.astype(np.float32), np.float32(2))
+
+    def compared(left: list[pa.RecordBatch], right: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        within = not right
+        ids = [np.concatenate([b.column("entry").to_numpy() for b in side]) for side in (left, right or left)]
+        one = vectors(left)
+        two = one if within else vectors(right)
+        kinds = np.unique(np.concatenate((one[1], two[1])))
+        (la, ga, wa), (lb, gb, wb) = ((row, np.searchsorted(kinds, gram), w) for row, gram, w, _ in (one, two))
+        begin, start = np.searchsorted(la, np.arange(len(ids[0]) + 1)), np.searchsorted(lb, np.arange(len(ids[1]) + 1))
+        laid, out = np.zeros(len(kinds)), ([], [], [])
+        for at in range(0, len(ids[0]), ROWS):
+            i, j = np.nonzero(one[3][at : at + ROWS] @ two[3].T >= least - 10 * SLACK)
+            i += at
+            if within:
+                i, j = i[i < j], j[i < j]
+            for k, of in zip(*np.unique(i, return_index=True), strict=True):
+                others = j[of : np.searchsorted(i, k, "right")]
+                own = slice(begin[k], begin[k + 1])
+                laid[ga[own]] = wa[own]
+                size = start[others + 1] - start[others]
+                ends = np.cumsum(size)
+                terms = np.arange(ends[-1]) + np.repeat(start[others] - (ends - size), size)
+                s = np.round(np.add.reduceat(laid[gb[terms]] * wb[terms], ends - size), 9)
+                laid[ga[own]] = 0
+                hit = np.flatnonzero(s >= least)
+                for held, found in zip(out, (np.full(len(hit), ids[0][k]), ids[1][others[hit]], s[hit]), strict=True):
+                    held.append(found)
+        if out[0]:
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=["a", "b", "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held[0] and (held[1] or not now[0] and now[2] == now[3]):
+                yield from compared(*held)
+
+        for batch in batches:
+            places = list(zip(*(batch.column(c).to_pylist() for c in ("next", "of", "i", "j", "right")), strict=True))
+            at = 0
+            for place, same in itertools.groupby(places):
+                size = sum(1 for _ in same)
+                if place[:-1] != now:
+                    yield from done()
+                    now, held = place[:-1], ([], [])
+                held[place[-1]].append(batch.slice(at, size))
+                at += size
+        yield from done()
+
+    return run
+
+
 def _posted(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For each entry, whose bigrams stand from rare to frequent, those behind which its vector still has the least norm; with that norm and the norms of the shares."""
 

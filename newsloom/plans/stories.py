@@ -38,8 +38,7 @@ def pooled(t: Tables) -> DataFrame:
 
 
 def pairs(t: Tables) -> DataFrame:
-    own = saved(pooled(t))
-    return stories.similar_pairs(stories.tf_idf(own), own, own, saved, LEAST)
+    return stories.similar_texts(pooled(t), saved, LEAST)
 
 
 @query("J1_comparison_texts", TEXTS)

@@ -231,3 +231,27 @@ def test_scores_of_all_users_are_dealt_by_their_rows(spark, sf, monkeypatch):
         assert df.rdd.getNumPartitions() > 20
     text = plan(QUERIES["K4_raw_scores"](spark, sf))
     assert "round(" in text[text.index("explode(users") :] and "round(" not in text[: text.index("explode(users")]
+
+
+def test_similar_texts_equal_all_pairs(spark, monkeypatch):
+    """Texts in blocks of slots, few bigrams held by all tasks, copies, texts without bigrams, characters of more than 16 bits; what similar_pairs finds, without a table of vectors or postings."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(60).selectExpr("id", "timestamp'2024-01-01' + make_interval(0, 0, 0, int(id * 2)) at", "case when id % 20 = 7 then 'x ' when id % 20 = 8 then '' else concat(substring('the quick brown fox jumps over 語語の 𠀀𠀁', 1 + int(id % 4), 28), repeat(char(97 + int(id % 7)), int(id % 3))) end text")
+    texts = saved(texts)
+    vectors = saved(stories.tf_idf(texts.withColumn("text", F.translate("text", "𠀀𠀁", "ΐΰ"))))  # two others that stand alone
+    for least, per_block, grams, some in ((0.17, 1000, 1 << 18, 500), (0.17, 3, 5, 500), (0.9, 2, 0, 10)):
+        monkeypatch.setattr(stories, "TEXTS", per_block)
+        monkeypatch.setattr(stories, "GRAMS", grams)
+        tables = []
+        got = stories.similar_texts(texts, lambda d: (tables.append(saved(d)), tables[-1])[1], least, 13).collect()
+        want = stories.similar_pairs(vectors, texts, texts, saved, least, 13).collect()
+        assert {(r.target, r.id): round(r.similarity, 8) for r in got} == {(r.target, r.id): round(r.similarity, 8) for r in want}
+        assert len(got) == len(want) > some and not any(kind.startswith("array") for t in tables for _, kind in t.dtypes)
+    assert stories.similar_texts(texts.filter("id < 0"), saved).collect() == []
+
+
+def test_story_queries_save_no_vectors(spark, sf):
+    """A vector has ten times the bytes of its text, and its postings as many again."""
+    for query in ("C8_similar_pairs", "H15_sparse_cosine", "J4_candidates", "J5_imported_judgments", "J6_automatic_verdicts"):
+        assert "explode(_v" not in (text := plan(QUERIES[query](spark, sf))) and "shares" not in text and "weights" not in text
