@@ -99,7 +99,7 @@ def automatic_verdicts(t: Tables) -> DataFrame:
 
 
 def grouped(t: Tables) -> DataFrame:
-    found = pairs(t).select(F.col("target").alias("a"), F.col("id").alias("b"), "similarity")
+    found = saved(pairs(t).select(F.col("target").alias("a"), F.col("id").alias("b"), "similarity"))
     return stories.groups(found, found.filter("(a + b) % 7 = 0").select("a", "b"), written)
 
 
