@@ -255,3 +255,12 @@ def test_story_queries_save_no_vectors(spark, sf):
     """A vector has ten times the bytes of its text, and its postings as many again."""
     for query in ("C8_similar_pairs", "H15_sparse_cosine", "J4_candidates", "J5_imported_judgments", "J6_automatic_verdicts"):
         assert "explode(_v" not in (text := plan(QUERIES[query](spark, sf))) and "shares" not in text and "weights" not in text
+
+
+def test_latest_digest_is_dealt_by_its_rows(spark, sf, monkeypatch):
+    """Few bytes become a row for each user and article: tasks follow these, and no row is lost."""
+    few = QUERIES["E1_latest_digest"](spark, sf)
+    monkeypatch.setattr(joins, "TASK", 10)
+    monkeypatch.setattr(joins, "MOST", 90)
+    many = QUERIES["E1_latest_digest"](spark, sf)
+    assert many.rdd.getNumPartitions() == 90 and many.count() == few.count() and many.exceptAll(few).isEmpty()
